@@ -59,7 +59,7 @@ def tenure_bracket_label(tenure: Column, strict: bool = False) -> Column:
         first = (tenure >= edges[0]) & (tenure <= edges[1])
     expr = F.when(first, F.lit(labels[0]))
     for lo, hi, lab in zip(edges[1:-1], edges[2:], labels[1:-1]):
-        expr = expr.when(tenure <= hi, F.lit(lab))
+        expr = expr.when((tenure > lo) & (tenure <= hi), F.lit(lab))
     return expr.when(tenure > edges[-1], F.lit(labels[-1]))
 
 

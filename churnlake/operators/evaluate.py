@@ -213,14 +213,15 @@ def gains_table(scored: DataFrame, n_bins: int = 10, id_col: str = "id") -> Data
     0-based position i is max(ceil(n*i/(N-1)) - 1, 0) (quantile bins over the
     index), then churners captured through each decile."""
     ranked = running_totals(scored.select(id_col, "y", "p"), [Key("p", False), Key(id_col)], ["y"])
-    totals = scored.agg(F.count(F.lit(1)).alias("N"), F.sum("y").alias("T"))
+    totals = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_churners"))
     i = F.col("pos") - 1
-    dec = F.when(F.col("n_neg") <= 1, F.lit(0)).otherwise(
-        F.greatest(F.floor((i * n_bins + F.col("n_neg") - 2) / (F.col("n_neg") - 1)) - 1, F.lit(0))).cast("int")
+    n = F.col("n_rows")
+    dec = F.when(n <= 1, F.lit(0)).otherwise(
+        F.greatest(F.floor((i * n_bins + n - 2) / (n - 1)) - 1, F.lit(0))).cast("int")
     per = (ranked.crossJoin(F.broadcast(totals)).withColumn("decile", dec)
-           .groupBy("decile", "N", "T")
+           .groupBy("decile", "n_rows", "n_churners")
            .agg(F.count(F.lit(1)).alias("customers"), F.max("cum_y").alias("churners_cum")))
-    cap = F.try_divide(F.col("churners_cum").cast("double"), F.col("T"))
+    cap = F.try_divide(F.col("churners_cum").cast("double"), F.col("n_churners"))
     x = (F.col("decile") + 1) / F.lit(float(n_bins))
     return per.select("decile", "customers", F.col("churners_cum").cast("long").alias("churners_cum"),
                       F.round(x, 6).alias("pct_customers"),

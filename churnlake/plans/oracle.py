@@ -533,8 +533,18 @@ UNION ALL
 SELECT '__mean__', grid_index, round(grid_value, 6), round(avg(p), 6) FROM curves GROUP BY grid_index, grid_value""")
 
 
+def _models() -> dict:
+    lab = label_sql("Churn")
+    return {"class_weights": W(SUBS, f"""
+SELECT CAST(label AS INTEGER) AS label, n_c AS count, round(n / (2.0 * n_c), 6) AS balanced_weight,
+  round(CAST(neg AS DOUBLE) / greatest(pos, 1), 6) AS scale_pos_weight
+FROM (SELECT {lab} AS label, count(*) AS n_c FROM subscribers GROUP BY 1) c,
+     (SELECT count(*) AS n, count(*) FILTER (WHERE {lab} = 1) AS pos, count(*) FILTER (WHERE {lab} = 0) AS neg
+      FROM subscribers) t""")}
+
+
 def oracle_sql() -> dict:
     out = {}
-    for part in (_sinks, _quality, _filters, _features, _eda, _encode, _evaluate, _explain):
+    for part in (_sinks, _quality, _filters, _features, _eda, _encode, _evaluate, _explain, _models):
         out.update(part())
     return out

@@ -77,8 +77,8 @@ def label_sql(expr: str) -> str:
 def tenure_label_sql(t: str = "tenure") -> str:
     e, lab = S.TENURE_EDGES, S.TENURE_LABELS
     parts = [f"WHEN {t} >= {e[0]} AND {t} <= {e[1]} THEN {q(lab[0])}"]
-    for hi, name in zip(e[2:], lab[1:-1]):
-        parts.append(f"WHEN {t} <= {hi} THEN {q(name)}")
+    for lo, hi, name in zip(e[1:-1], e[2:], lab[1:-1]):
+        parts.append(f"WHEN {t} > {lo} AND {t} <= {hi} THEN {q(name)}")
     parts.append(f"WHEN {t} > {e[-1]} THEN {q(lab[-1])}")
     return "CASE " + " ".join(parts) + " END"
 

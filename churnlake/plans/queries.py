@@ -19,7 +19,6 @@ from churnlake.plans import pipeline
 from churnlake.sources import adapters, io
 
 SCORER = explain.DEMO_SCORER
-FIXED_TS = _dt.datetime(2024, 1, 1, 0, 0, 0)
 
 
 def _subs(spark, sf, text_=False):
@@ -46,10 +45,6 @@ def _split(spark, sf):
     return sample.stratified_split(_prepared(spark, sf))
 
 
-def _customer_scores(df: DataFrame) -> DataFrame:
-    return df.select(S.ID_COLUMN, SCORER.probability().alias("p"))
-
-
 # ------------------------------------------------------------------ sources / sinks
 
 def q_load_customers(spark, sf):
@@ -73,8 +68,8 @@ def q_save_versioned(spark, sf):
 
 
 def q_save_roster(spark, sf):
-    r = roster.high_risk_roster(_customer_scores(_structured(spark, sf)).join(
-        _structured(spark, sf), S.ID_COLUMN))
+    df = _structured(spark, sf)
+    r = roster.high_risk_roster(df.withColumn("p", SCORER.probability()), top_n=20)
     path = io.save_roster(r, ts=_dt.datetime.now())
     return io.load_customers(spark, path, schema=r.schema)
 
@@ -522,3 +517,110 @@ QUERIES = {
     "partial_dependence": q_partial_dependence,
     "ice_curves": q_ice_curves,
 }
+
+
+# ------------------------------------------------------------------ models (rows-only checks)
+
+def _matrix(spark, sf):
+    from churnlake.plans import modeling
+    return modeling.model_matrix(spark, sf)
+
+
+def q_class_weights(spark, sf):
+    from churnlake.operators import models
+    w = models.class_weights(_subs(spark, sf))
+    return w.select("label", "count", F.round("balanced_weight", 6).alias("balanced_weight"),
+                    F.round("scale_pos_weight", 6).alias("scale_pos_weight"))
+
+
+def q_train_logistic(spark, sf):
+    from churnlake.operators import models
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    return models.coefficients(modeling.fit_logistic(m), m.features)
+
+
+def q_train_forest(spark, sf):
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    return modeling.scored_test(modeling.fit_forest(m), m)
+
+
+def q_train_gbt(spark, sf):
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    return modeling.scored_test(modeling.fit_gbt(m), m)
+
+
+def q_train_gbt_light(spark, sf):
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    return modeling.scored_test(modeling.fit_gbt(m, light=True), m)
+
+
+def q_tune_models(spark, sf):
+    from churnlake.operators import models
+    m = _matrix(spark, sf)
+    _, table = models.tune_logistic(m.scaler.transform(m.train), m.features)
+    return table
+
+
+def q_validation_fit(spark, sf):
+    from churnlake.operators import models
+    m = _matrix(spark, sf)
+    both = m.train.unionByName(m.test).withColumn("is_validation", F.col("split") == "test")
+    data = models.add_weights(both, "ratio")
+    model = models.boosting(m.features, validation_col="is_validation").fit(data)
+    scored = models.probability(model, m.test, [S.ID_COLUMN, models.LABEL])
+    auc = evaluate.roc_auc(scored.select(F.col(models.LABEL).cast("int").alias("y"), "p"))
+    return auc.select(F.lit(model.stages[-1].getNumTrees).alias("trees_used"), "roc_auc")
+
+
+def q_train_all(spark, sf):
+    from churnlake.plans import modeling
+    return evaluate.model_comparison(modeling.model_table(spark, sf))
+
+
+def q_feature_importance(spark, sf):
+    from churnlake.operators import models
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    return models.feature_importance(modeling.fit_forest(m), m.features, top_n=20)
+
+
+def q_model_roundtrip(spark, sf):
+    from churnlake.operators import models
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    model = modeling.fit_logistic(m)
+    fp = models.Fingerprint.of(m.train, m.features, {"model": "logistic", "C": 1.0})
+    path = models.save_model(model, models.model_path(m.train, "logistic", fp))
+    again = models.load_model(path)
+    before = modeling.scored_test(model, m, scaled=True).withColumnRenamed("p", "p_before")
+    after = modeling.scored_test(again, m, scaled=True).select(S.ID_COLUMN, F.col("p").alias("p_after"))
+    return before.join(after, S.ID_COLUMN).withColumn("equal", F.col("p_before") == F.col("p_after"))
+
+
+def q_shap_tree(spark, sf):
+    from churnlake.operators import models, treeshap
+    from churnlake.plans import modeling
+    from churnlake.session import ensure_checkpoint_dir
+    m = _matrix(spark, sf)
+    model = modeling.fit_gbt(m)
+    path = f"{ensure_checkpoint_dir(spark)}/models/shap-gbt-{_dt.datetime.now():%Y%m%d%H%M%S%f}"
+    return treeshap.shap_tree(m.test, model, m.features, path)
+
+
+QUERIES.update({
+    "class_weights": q_class_weights,
+    "train_logistic": q_train_logistic,
+    "train_forest": q_train_forest,
+    "train_gbt": q_train_gbt,
+    "train_gbt_light": q_train_gbt_light,
+    "tune_models": q_tune_models,
+    "validation_fit": q_validation_fit,
+    "train_all": q_train_all,
+    "feature_importance": q_feature_importance,
+    "model_roundtrip": q_model_roundtrip,
+    "shap_tree": q_shap_tree,
+})

@@ -25,9 +25,10 @@ INTERNET_BY_NATION_MOD3 = ["DSL", "Fiber optic", "No"]
 PAYMENT_BY_NATION_MOD4 = ["Electronic check", "Mailed check",
                           "Bank transfer (automatic)", "Credit card (automatic)"]
 # column -> bit of c_custkey deciding Yes/No (gender: Male/Female)
+# (bits 0-7 only, so every category occurs even in the smallest table)
 BIT_OF = {"gender": 0, "SeniorCitizen": 1, "Partner": 2, "Dependents": 3,
           "PhoneService": 4, "PaperlessBilling": 5, "MultipleLines": 6,
-          "OnlineSecurity": 7, "OnlineBackup": 8, "DeviceProtection": 9,
+          "OnlineSecurity": 7, "OnlineBackup": 6, "DeviceProtection": 0,
           "TechSupport": 1, "StreamingTV": 3, "StreamingMovies": 5}
 INTERNET_DEPENDENT = ["OnlineSecurity", "OnlineBackup", "DeviceProtection",
                       "TechSupport", "StreamingTV", "StreamingMovies"]
