@@ -105,7 +105,8 @@ def forest(features: list[str], num_trees: int = 200, max_depth: int | None = No
            seed: int = S.SEED) -> Pipeline:
     rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=num_trees,
                                 maxDepth=max_depth or MAX_TREE_DEPTH, minInstancesPerNode=min_instances,
-                                featureSubsetStrategy=subset, seed=seed, **_weight_arg(weighted))
+                                featureSubsetStrategy=subset, seed=seed, cacheNodeIds=True,
+                                maxMemoryInMB=1024, checkpointInterval=10, **_weight_arg(weighted))
     return Pipeline(stages=[_assembler(features), rf])
 
 

@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from churnlake import schema as S
 from churnlake.operators import clean, features, text
+from churnlake.session import materialize
 from churnlake.sources import adapters
 
 
 def prepare(df: DataFrame, high_value: features.HighValue | None = None,
             dedup_order: list[str] | None = None) -> DataFrame:
     """C1 -> C3 -> E1,E2,E4-E8 -> F1,F2,F5 (the feature-engineering pipeline)."""
-    df = clean.clean_total_charges(df)
-    df = clean.dedup_first(df, S.ID_COLUMN, dedup_order)
+    df = cleaned(df, dedup_order)
     df = features.structured_features(df, high_value)
     return text.text_features(df)
 
 
-def structured_only(df: DataFrame) -> DataFrame:
+def cleaned(df: DataFrame, dedup_order: list[str] | None = None) -> DataFrame:
+    """C1 -> C3, written once: the fitted steps after it (quantile, categories,
+    split) make several passes, each of which then reads only its columns
+    instead of repeating the full-width de-duplication shuffle."""
     df = clean.clean_total_charges(df)
-    df = clean.dedup_first(df, S.ID_COLUMN)
-    return features.structured_features(df)
+    df = clean.dedup_first(df, S.ID_COLUMN, dedup_order)
+    return materialize(df, "cleaned")
+
+
+def structured_only(df: DataFrame) -> DataFrame:
+    return features.structured_features(cleaned(df))
 
 
 def subscribers_prepared(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
