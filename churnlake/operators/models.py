@@ -93,7 +93,8 @@ def _assembler(features: list[str]) -> VectorAssembler:
 def logistic(features: list[str], n_rows: int, C: float = 1.0, penalty: str = "l2",
              weighted: bool = False) -> Pipeline:
     """C-form L2/L1 logistic regression: regParam = 1 / (C * n) gives the same optimum."""
-    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, tol=1e-6,
+    # tol 1e-4 and 1000 iterations: the reference estimator's stopping rule
+    lr = LogisticRegression(featuresCol="features", labelCol=LABEL, maxIter=1000, tol=1e-4,
                             regParam=1.0 / (C * max(n_rows, 1)),
                             elasticNetParam=1.0 if penalty == "l1" else 0.0,
                             standardization=False, **_weight_arg(weighted))
@@ -113,12 +114,12 @@ def forest(features: list[str], num_trees: int = 200, max_depth: int | None = No
 def boosting(features: list[str], max_iter: int = 300, max_depth: int = 5, step: float = 0.05,
              subsample: float = 0.8, colsample: str = "0.8", min_info_gain: float = 0.0,
              weighted: bool = True, validation_col: str | None = None, seed: int = S.SEED) -> Pipeline:
+    # tolerance 0: all iterations run, the best one on the validation rows is kept
+    extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0} if validation_col else {}
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
                         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=colsample,
                         minInfoGain=min_info_gain, seed=seed, cacheNodeIds=True, checkpointInterval=10,
-                        **_weight_arg(weighted))
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col).setValidationTol(0.01)
+                        **_weight_arg(weighted), **extra)
     return Pipeline(stages=[_assembler(features), gbt])
 
 
@@ -194,7 +195,7 @@ def tune_logistic(train: DataFrame, features: list[str], n_candidates: int = N_C
                 .addGrid(lr.elasticNetParam, [1.0 if c["penalty"] == "l1" else 0.0]).build()[0]
                 for c in group]
         cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
-                            foldCol="fold", parallelism=parallelism, seed=S.SEED)
+                            foldCol="fold", numFolds=CV_FOLDS, parallelism=parallelism, seed=S.SEED)
         model = cv.fit(data)
         for c, auc in zip(group, model.avgMetrics):
             results.append((float(c["C"]), c["penalty"], str(c["class_weight"]), float(auc)))
