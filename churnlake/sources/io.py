@@ -34,10 +34,14 @@ def cast_by_name(df: DataFrame, schema: T.StructType = S.CUSTOMER_SCHEMA) -> Dat
 
 def load_customers(spark: SparkSession, path: str, fmt: str = "csv",
                    schema: T.StructType = S.CUSTOMER_SCHEMA) -> DataFrame:
-    """Header CSV (or parquet) scan. A missing path raises AnalysisException."""
+    """Header CSV (or parquet) scan. A missing path raises AnalysisException.
+
+    Quoted fields may span lines (free text), so CSV is read with multiLine:
+    each file is one task - write many part files rather than one huge CSV.
+    """
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raw = (spark.read.option("header", True).option("inferSchema", False)
+    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path))
     return cast_by_name(raw, schema)
@@ -45,7 +49,7 @@ def load_customers(spark: SparkSession, path: str, fmt: str = "csv",
 
 def load_checked(spark: SparkSession, path: str, schema: T.StructType = S.CUSTOMER_SCHEMA) -> DataFrame:
     """Like ``load_customers`` but malformed rows fail the scan and an empty file raises."""
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST")
+    raw = (spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True)
            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
            .csv(path))
     if raw.limit(1).isEmpty():
