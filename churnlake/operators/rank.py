@@ -159,19 +159,26 @@ def _value_counts(df: DataFrame, col: str) -> DataFrame:
             .groupBy("v").agg(F.count(F.lit(1)).alias("w")))
 
 
-def exact_order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+def exact_order_statistics(df: DataFrame, col: str, ranks: list[int],
+                           counts: DataFrame | None = None) -> dict[int, float]:
     """Values at 0-based ranks of the sorted non-null column, exact and distributed.
 
     Values are counted per distinct value first (hot values collapse on the
-    map side), running counts locate the ranks; only the matching distinct
-    values (at most one per rank) reach the driver.
+    map side); that small table is cached for the few passes of the running
+    count and released at the end; only the matching distinct values (at
+    most one per rank) reach the driver.
     """
-    ranked = running_totals(_value_counts(df, col), [Key("v")], ["w"], position=None)
-    cond = None
-    for r in set(ranks):
-        e = (F.col("cum_w") - F.col("w") <= r) & (F.lit(r) < F.col("cum_w"))
-        cond = e if cond is None else cond | e
-    found = ranked.where(cond).select("v", "w", "cum_w").collect()
+    vals = (counts if counts is not None else _value_counts(df, col)).cache()
+    try:
+        n_distinct = vals.count()
+        ranked = running_totals(vals, [Key("v")], ["w"], position=None, n_rows=n_distinct)
+        cond = None
+        for r in set(ranks):
+            e = (F.col("cum_w") - F.col("w") <= r) & (F.lit(r) < F.col("cum_w"))
+            cond = e if cond is None else cond | e
+        found = ranked.where(cond).select("v", "w", "cum_w").collect()
+    finally:
+        vals.unpersist()
     out = {}
     for r in ranks:
         for row in found:
@@ -182,14 +189,16 @@ def exact_order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[in
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
     """Linearly interpolated quantiles (the pandas/numpy default), exact."""
-    total = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
+    counts = _value_counts(df, col).cache()
+    total = counts.agg(F.sum("w")).first()[0]
     if not total:
+        counts.unpersist()
         return [None for _ in probs]
     plan = []
     for q in probs:
         h = (total - 1) * q
         plan.append((h, math.floor(h), math.ceil(h)))
-    stats = exact_order_statistics(df, col, sorted({r for _, lo, hi in plan for r in (lo, hi)}))
+    stats = exact_order_statistics(df, col, sorted({r for _, lo, hi in plan for r in (lo, hi)}), counts)
     out = []
     for h, lo, hi in plan:
         a, b, t = stats[lo], stats[hi], h - lo

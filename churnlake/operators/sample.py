@@ -21,14 +21,26 @@ def key_hash(id_col: str = S.ID_COLUMN, seed: int = S.SEED) -> Column:
 
 
 def _ranked_within_class(df: DataFrame, target: str, id_col: str, seed: int) -> DataFrame:
-    """Position of each row inside its class in (hash, id) order, plus class size."""
+    """0-based position of each row inside its class in (hash, id) order, plus class size.
+
+    One running count over (class, hash, id); class sizes are a tiny grouped
+    count (one row per class) whose offsets become literals.
+    """
     base = df.withColumn("_y", churn_label(F.col(target))).withColumn("_h", key_hash(id_col, seed))
-    sizes = base.groupBy("_y").agg(F.count(F.lit(1)).alias("_class_n"))
-    # start of each class in the (class, hash, id) order: tiny, one row per class
-    ranked = running_totals(base, [Key("_y"), Key("_h"), Key(id_col)], [], position="_pos")
-    starts = ranked.groupBy("_y").agg(F.min("_pos").alias("_start"))
-    return (ranked.join(F.broadcast(starts), "_y").join(F.broadcast(sizes), "_y")
-            .withColumn("_rank", F.col("_pos") - F.col("_start")))
+    sizes = sorted(((r["_y"], r["n"]) for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()),
+                   key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0))  # nulls first, as the sort
+    start, starts = 0, {}
+    for cls, n in sizes:
+        starts[cls] = (start, n)
+        start += n
+    n_total = start
+    ranked = running_totals(base, [Key("_y"), Key("_h"), Key(id_col)], [], position="_pos", n_rows=n_total)
+    start_col, size_col = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for cls, (st, n) in starts.items():
+        hit = F.col("_y").isNull() if cls is None else F.col("_y") == F.lit(cls)
+        start_col = F.when(hit, F.lit(st)).otherwise(start_col)
+        size_col = F.when(hit, F.lit(n)).otherwise(size_col)
+    return ranked.withColumn("_class_n", size_col).withColumn("_rank", F.col("_pos") - 1 - start_col)
 
 
 def stratified_split(df: DataFrame, target: str = S.TARGET_COLUMN, test_size: float = 0.2,
@@ -45,7 +57,7 @@ def stratified_split(df: DataFrame, target: str = S.TARGET_COLUMN, test_size: fl
     r = _ranked_within_class(df, target, id_col, seed)
     k = F.floor(F.col("_class_n") * test_size + 0.5)
     out = r.withColumn("split", F.when(F.col("_rank") < k, F.lit("test")).otherwise(F.lit("train")))
-    return out.drop("_y", "_h", "_pos", "_start", "_class_n", "_rank")
+    return out.drop("_y", "_h", "_pos", "_class_n", "_rank")
 
 
 def split_report(split_df: DataFrame, target: str = S.TARGET_COLUMN) -> DataFrame:
@@ -64,4 +76,4 @@ def cv_folds(df: DataFrame, k: int = 5, target: str = S.TARGET_COLUMN, id_col: s
     """Stratified fold id: position within class (hash order) modulo k."""
     r = _ranked_within_class(df, target, id_col, seed)
     return (r.withColumn("fold", (F.col("_rank") % k).cast("int"))
-            .drop("_y", "_h", "_pos", "_start", "_class_n", "_rank"))
+            .drop("_y", "_h", "_pos", "_class_n", "_rank"))

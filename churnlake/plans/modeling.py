@@ -13,7 +13,7 @@ from churnlake import schema as S
 from churnlake.operators import encode, models, sample
 from churnlake.plans import pipeline
 from churnlake.sources import adapters
-from churnlake.session import ensure_checkpoint_dir
+from churnlake.session import materialize
 
 
 @dataclass
@@ -30,9 +30,8 @@ def model_matrix(spark: SparkSession, sf_dir: str) -> Matrix:
     encoded = encode.encode_categorical(prepared).drop("complaint_text_clean")
     encoded = models.with_label(encoded)
     split = sample.stratified_split(encoded)
-    # the split is consumed by several fits: materialise it once in the shared checkpoint folder
-    ensure_checkpoint_dir(spark)
-    split = split.checkpoint(eager=True)
+    # the split is consumed by several fits: write it once in the shared checkpoint folder
+    split = materialize(split, "model_matrix")
     features = models.model_columns(split)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")

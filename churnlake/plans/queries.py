@@ -188,7 +188,8 @@ def q_sentiment_by_class(spark, sf):
 
 
 def _tfidf(spark, sf):
-    split = _split(spark, sf)
+    from churnlake.session import materialize
+    split = materialize(_split(spark, sf), "text_split")
     model = text.TfidfModel.fit(split.where(F.col("split") == "train"))
     return model, split
 
