@@ -19,15 +19,22 @@ URL_RE = rf"http[^{WS}]+|www[^{WS}]+"
 MENTION_RE = r"@[\p{L}\p{N}_]+"
 NON_ALPHA_RE = rf"[^a-z{WS}]"
 WS_RUN_RE = rf"[{WS}]+"
+NON_LETTER_RUN_RE = r"[^a-z]+"
 
 
 def normalise_text(text: Column) -> Column:
-    """lower -> drop URLs -> drop @mentions -> keep [a-z] and blanks -> one space."""
+    """lower -> drop URLs -> drop @mentions -> keep [a-z] runs separated by one space.
+
+    "non-letter -> space" followed by "collapse blanks" equals replacing every
+    run of non-[a-z] characters by one space (blanks are non-letters), so it
+    is one ASCII regex pass; the URL / mention passes only run on texts that
+    can contain one.
+    """
     t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, URL_RE, " ")
-    t = F.regexp_replace(t, MENTION_RE, " ")
-    t = F.regexp_replace(t, NON_ALPHA_RE, " ")
-    return F.trim(F.regexp_replace(t, WS_RUN_RE, " "))
+    t = F.when((F.instr(t, "http") > 0) | (F.instr(t, "www") > 0),
+               F.regexp_replace(t, URL_RE, " ")).otherwise(t)
+    t = F.when(F.instr(t, "@") > 0, F.regexp_replace(t, MENTION_RE, " ")).otherwise(t)
+    return F.trim(F.regexp_replace(t, NON_LETTER_RUN_RE, " "))
 
 
 def tokens(text: Column, stopwords: list[str] | None = None) -> Column:

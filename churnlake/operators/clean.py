@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from churnlake import schema as S
 from churnlake.functions.columns import parse_number
-from churnlake.operators.rank import exact_quantiles
+from churnlake.operators.rank import exact_quantiles_by_column
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -104,9 +104,10 @@ def quality_numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
             aggs.append(F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], 10000)
                         .alias(f"q{i}"))
     m = df.agg(*aggs).first()
+    quartiles = exact_quantiles_by_column(df, cols, [0.25, 0.5, 0.75]) if exact else {}
     rows = []
     for i, c in enumerate(cols):
-        qs = exact_quantiles(df, c, [0.25, 0.5, 0.75]) if exact else (m[f"q{i}"] or [None] * 3)
+        qs = quartiles[c] if exact else (m[f"q{i}"] or [None] * 3)
         rows.append((c, int(m[f"n{i}"]), m[f"a{i}"], m[f"s{i}"], m[f"lo{i}"], *qs, m[f"hi{i}"]))
     return spark.createDataFrame(rows, _SUMMARY_SCHEMA)
 

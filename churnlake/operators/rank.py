@@ -205,3 +205,62 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float |
         diff = b - a
         out.append(a + diff * t if t < 0.5 else b - diff * (1 - t))
     return out
+
+
+def exact_quantiles_by_column(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list]:
+    """Exact quantiles of several columns from ONE running count.
+
+    (column, value) pairs are counted per distinct pair; the running count
+    over (column, value) restarts per column by subtracting the column's
+    offset (a tiny per-column total).
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                                for i, c in enumerate(cols)]))
+    counts = (df.select(pairs.alias("kv")).select("kv.c", "kv.v")
+              .where(F.col("v").isNotNull() & ~F.isnan("v"))
+              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("w"))).cache()
+    try:
+        totals = {r["c"]: (int(r["n"]), int(r["k"])) for r in
+                  counts.groupBy("c").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
+        offsets, run = {}, 0
+        for i in range(len(cols)):
+            offsets[i] = run
+            run += totals.get(i, (0, 0))[0]
+        ranked = running_totals(counts, [Key("c"), Key("v")], ["w"], position=None,
+                                n_rows=sum(k for _, k in totals.values()))
+        plans, cond = {}, None
+        for i in range(len(cols)):
+            n = totals.get(i, (0, 0))[0]
+            if not n:
+                continue
+            plans[i] = []
+            for q in probs:
+                h = (n - 1) * q
+                plans[i].append((h, math.floor(h), math.ceil(h)))
+                for r in {math.floor(h), math.ceil(h)}:
+                    g = r + offsets[i]
+                    e = (F.col("c") == i) & (F.col("cum_w") - F.col("w") <= g) & (F.lit(g) < F.col("cum_w"))
+                    cond = e if cond is None else cond | e
+        found = ranked.where(cond).select("c", "v", "w", "cum_w").collect() if cond is not None else []
+    finally:
+        counts.unpersist()
+
+    def at(i: int, r: int) -> float:
+        g = r + offsets[i]
+        for row in found:
+            if row["c"] == i and row["cum_w"] - row["w"] <= g < row["cum_w"]:
+                return row["v"]
+        raise RuntimeError("order statistic not found")
+
+    out = {}
+    for i, c in enumerate(cols):
+        if i not in plans:
+            out[c] = [None for _ in probs]
+            continue
+        vals = []
+        for h, lo, hi in plans[i]:
+            a, b, t = at(i, lo), at(i, hi), h - lo
+            diff = b - a
+            vals.append(a + diff * t if t < 0.5 else b - diff * (1 - t))
+        out[c] = vals
+    return out
