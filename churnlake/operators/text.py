@@ -112,17 +112,45 @@ def _ngram_at(n: int):
     return lambda i: F.array_join(F.slice(F.col("t"), i, n), " ")
 
 
-def _doc_terms(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
-    """(id, term) for every uni- and bigram occurrence of each document."""
-    toks = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), lambda w: w != "")
-    base = df.select(F.col(id_col).alias("doc"), toks.alias("t"))
+def _tokens(text_col: str):
+    return F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), lambda w: w != "")
+
+
+def _grams(toks: str = "t", ngram_max: int = 2):
+    """Column: the uni- and bigrams of one document, from the token column ``toks``.
+
+    The n-gram lambda must read a *column*: passing the token expression
+    itself would re-evaluate it for every element (quadratic per document).
+    """
+    t = F.col(toks)
+    if ngram_max == 1:
+        return t
     empty = F.array().cast("array<string>")
-    grams = [F.col("t")]
+    parts = [t]
     for n in range(2, ngram_max + 1):
-        grams.append(F.when(F.size("t") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("t") - n + 1), _ngram_at(n))).otherwise(empty))
-    allg = F.flatten(F.array(*grams)) if ngram_max > 1 else F.col("t")
-    return base.select("doc", F.explode(allg).alias("term"))
+        parts.append(F.when(F.size(t) >= n, F.transform(
+            F.sequence(F.lit(1), F.size(t) - n + 1), _ngram_of(t, n))).otherwise(empty))
+    return F.flatten(F.array(*parts))
+
+
+def _ngram_of(t, n: int):
+    # one-argument lambda: a second parameter would receive the element index
+    return lambda i: F.array_join(F.slice(t, i, n), " ")
+
+
+def _doc_terms(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
+    """(id, term) for every uni- and bigram occurrence of each document."""
+    base = df.select(F.col(id_col).alias("doc"), _tokens(text_col).alias("t"))
+    return base.select("doc", F.explode(_grams("t", ngram_max)).alias("term"))
+
+
+def term_document_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
+    """(term, tf, df): counts per (term, document) first - a document's grams sit in one
+    row, so map-side partial aggregation already merges its repeats - then per term."""
+    per_doc = _doc_terms(df, id_col, text_col, ngram_max).groupBy("term", "doc").agg(
+        F.count(F.lit(1)).alias("c"))
+    return per_doc.groupBy("term").agg(F.sum("c").cast("long").alias("tf"),
+                                       F.count(F.lit(1)).alias("df"))
 
 
 @dataclass(frozen=True)
@@ -135,10 +163,7 @@ class TfidfModel:
     def fit(df: DataFrame, id_col: str = S.ID_COLUMN, text_col: str = CLEAN_COL,
             max_features: int = S.TFIDF_MAX_FEATURES, min_df: int = S.TFIDF_MIN_DF) -> "TfidfModel":
         n_docs = df.count()
-        terms = _doc_terms(df, id_col, text_col)
-        # count per (doc, term) first: map-side combine, then per term
-        per_doc = terms.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("c"))
-        stats = per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count(F.lit(1)).alias("df"))
+        stats = term_document_counts(df, id_col, text_col)
         top = (stats.where(F.col("df") >= min_df)
                .orderBy(F.desc("tf"), "term").limit(max_features).collect())  # <= max_features rows
         spark = df.sparkSession

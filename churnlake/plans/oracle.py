@@ -9,8 +9,8 @@ from churnlake.operators.encode import default_scaled_columns  # noqa: F401  (do
 from churnlake.operators.evaluate import THRESHOLD_GRID
 from churnlake.operators.explain import DEMO_SCORER
 from churnlake.plans import queries as Q
-from churnlake.plans.oracle_base import (SCORED_CTE, SCORED_MODELS_CTE, label_sql, prepared_ctes, q,
-                                         subscribers_ctes)
+from churnlake.plans.oracle_base import (SCORED_CTE, SCORED_MODELS_CTE, keyword_sql, label_sql, prepared_ctes,
+                                         q, subscribers_ctes)
 from churnlake.sources import adapters as A
 
 SUBS = subscribers_ctes(False)
@@ -177,6 +177,9 @@ SELECT customerID, CAST(tenure AS DOUBLE) AS tenure, MonthlyCharges,
         "sentiment_score": tcols("sentiment_score"),
         "sentiment_flags": tcols("sentiment_negative", "sentiment_positive"),
         "keyword_flags": tcols("complaint_network", "complaint_billing", "complaint_service"),
+        "keyword_flags_corpus": W(PREP, "SELECT customerID, " + ", ".join(
+            f"{keyword_sql('complaint_text_clean', Q.CORPUS_KEYWORDS[k])} AS complaint_{k}"
+            for k in ("network", "billing", "service")) + " FROM prepared"),
         "complaint_breakdown": W(PREP, """
 SELECT category, customers, round(100.0 * customers / greatest(n, 1), 6) AS pct FROM (
   SELECT 'Network' AS category, CAST(sum(complaint_network) AS BIGINT) AS customers, count(*) AS n FROM prepared

@@ -183,6 +183,21 @@ def _text_q(*cols):
     return run
 
 
+# keyword lists whose terms occur in the synthetic corpus (the reference lists never do)
+CORPUS_KEYWORDS = dict(network=["tion", "ouen"], billing=["eau", "ble"],
+                       service=["worthless", "stupid", "idiot"])
+
+
+def q_keyword_flags_corpus(spark, sf):
+    df = text.clean_text(_structured_text(spark, sf))
+    return text.keyword_flags(df, **CORPUS_KEYWORDS).select(
+        S.ID_COLUMN, "complaint_network", "complaint_billing", "complaint_service")
+
+
+def _structured_text(spark, sf):
+    return pipeline.cleaned(_subs(spark, sf, True))
+
+
 def q_sentiment_by_class(spark, sf):
     return explore.histogram_by_class(_prepared(spark, sf), ["sentiment_score"])
 
@@ -470,6 +485,7 @@ QUERIES = {
     "sentiment_flags": _text_q("sentiment_negative", "sentiment_positive"),
     "sentiment_by_class": q_sentiment_by_class,
     "keyword_flags": _text_q("complaint_network", "complaint_billing", "complaint_service"),
+    "keyword_flags_corpus": q_keyword_flags_corpus,
     "tfidf_vocabulary": q_tfidf_vocabulary,
     "tfidf_features": q_tfidf_features,
     "tfidf_top_terms": q_tfidf_top_terms,

@@ -60,3 +60,45 @@ def test_matches_brute_force_and_adds_up():
     for r in range(len(X)):
         np.testing.assert_allclose(phi[r], _brute(ens, X[r]), atol=1e-9)
     np.testing.assert_allclose(phi.sum(axis=1) + ens.expected_value(), ens.predict(X), atol=1e-9)
+
+
+def test_mllib_gbt_margin_and_additivity(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from churnlake.operators import models, treeshap
+    from churnlake.plans import modeling
+    from tests.conftest import SF001
+
+    m = modeling.model_matrix(spark, SF001)
+    data = models.add_weights(m.train, "ratio")
+    model = models.boosting(m.features, max_iter=8, max_depth=4).fit(data)
+    shap = treeshap.shap_tree(m.test, model, m.features, str(tmp_path / "gbt"))
+    per = shap.groupBy("customerID").agg(F.sum("shap").alias("s"), F.first("base_value").alias("b"),
+                                         F.first("margin").alias("margin"))
+    raw = model.transform(m.test).select(F.col("customerID"),
+                                         vector_to_array("rawPrediction")[1].alias("raw"))
+    rows = per.join(raw, "customerID").collect()
+    assert len(rows) == m.test.count()
+    for r in rows:
+        assert abs(r["s"] + r["b"] - r["margin"]) < 1e-9
+        assert abs(r["margin"] - r["raw"]) < 1e-9
+
+
+def test_mllib_forest_margin(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from churnlake.operators import models, treeshap
+    from churnlake.plans import modeling
+    from tests.conftest import SF001
+
+    m = modeling.model_matrix(spark, SF001)
+    model = models.forest(m.features, num_trees=5, max_depth=4).fit(m.train)
+    shap = treeshap.shap_tree(m.test, model, m.features, str(tmp_path / "rf"))
+    per = shap.groupBy("customerID").agg(F.sum("shap").alias("s"), F.first("base_value").alias("b"),
+                                         F.first("margin").alias("margin"))
+    prob = model.transform(m.test).select("customerID", vector_to_array("probability")[1].alias("p"))
+    for r in per.join(prob, "customerID").collect():
+        assert abs(r["s"] + r["b"] - r["margin"]) < 1e-9
+        assert abs(r["margin"] - r["p"]) < 1e-9
