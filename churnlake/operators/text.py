@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
@@ -176,24 +176,45 @@ class TfidfModel:
         return self.vocabulary.select("term", F.col("idf").alias("idf_score")) \
             .orderBy("idf_score", "term").limit(top_n)
 
+    def _weights(self, df: DataFrame, id_col: str, text_col: str, keep: list[str]):
+        """Per row: sorted vocabulary terms present ``d`` and their L2-normalised weights ``v``.
+
+        Entirely in-row (no shuffle): a document is one row, the vocabulary is
+        a literal map of at most ``max_features`` terms, so counting a term is
+        bounded by the vocabulary size.
+        """
+        vocab = self.vocabulary.select("term", "idf").collect()  # <= max_features rows
+        terms = [r["term"] for r in vocab]
+        if not vocab:
+            return None, terms
+        idf = F.create_map(*[x for r in vocab for x in (F.lit(r["term"]), F.lit(float(r["idf"])))])
+        base = df.select(*keep, _tokens(text_col).alias("t"))
+        hits = base.select(*keep, F.filter(_grams("t"), lambda g: F.try_element_at(idf, g).isNotNull())
+                           .alias("h"))
+        present = hits.select(*keep, "h", F.array_sort(F.array_distinct("h")).alias("d"))
+        counted = present.select(*keep, "d", F.transform("d", lambda term: F.size(
+            F.filter(F.col("h"), lambda x: x == term))).alias("c"))
+        raw = counted.select(*keep, "d", F.zip_with("d", "c", lambda term, c: (1.0 + F.log(c))
+                                                    * F.element_at(idf, term)).alias("w"))
+        norm = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
+        return raw.select(*keep, "d", F.transform("w", lambda x: x / norm).alias("v")), terms
+
     def transform_long(self, df: DataFrame, id_col: str = S.ID_COLUMN,
                        text_col: str = CLEAN_COL) -> DataFrame:
         """(id, term, tfidf) for vocabulary terms present in the document, L2-normalised."""
-        terms = _doc_terms(df, id_col, text_col)
-        vocab = F.broadcast(self.vocabulary.select("term", "idf"))  # <= max_features rows
-        counts = terms.join(vocab, "term").groupBy("doc", "term", "idf").agg(
-            F.count(F.lit(1)).alias("c"))
-        w = counts.withColumn("raw", (1.0 + F.log("c")) * F.col("idf"))
-        norm = Window.partitionBy("doc")
-        return w.select(F.col("doc").alias(id_col), "term",
-                        (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(norm)))
-                        .alias("tfidf"))
+        w, _ = self._weights(df, id_col, text_col, [id_col])
+        if w is None:
+            return df.sparkSession.createDataFrame([], f"{id_col} string, term string, tfidf double")
+        return (w.select(id_col, F.explode(F.arrays_zip("d", "v")).alias("z"))
+                .select(id_col, F.col("z.d").alias("term"), F.col("z.v").alias("tfidf")))
 
     def transform(self, df: DataFrame, id_col: str = S.ID_COLUMN, text_col: str = CLEAN_COL) -> DataFrame:
-        """Wide form: one ``tfidf_<term>`` column per vocabulary term, text column dropped."""
-        terms = [r["term"] for r in self.vocabulary.select("term").orderBy("term").collect()]
-        long = self.transform_long(df, id_col, text_col)
-        wide = long.groupBy(id_col).agg(*[
-            F.max(F.when(F.col("term") == t, F.col("tfidf"))).alias(f"tfidf_{t}") for t in terms])
-        out = df.drop(text_col).join(wide, id_col, "left")
-        return out.fillna(0.0, subset=[f"tfidf_{t}" for t in terms])
+        """Wide form: one ``tfidf_<term>`` column per vocabulary term (0 when absent),
+        the text column dropped; computed in-row, no shuffle."""
+        keep = [c for c in df.columns if c != text_col]
+        w, terms = self._weights(df, id_col, text_col, keep)
+        if w is None:
+            return df.drop(text_col)
+        m = F.map_from_arrays("d", "v")
+        return w.select(*keep, *[F.coalesce(F.try_element_at(m, F.lit(t)), F.lit(0.0)).alias(f"tfidf_{t}")
+                                 for t in sorted(terms)])

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
 from churnlake import schema as S
-from churnlake.operators.encode import default_scaled_columns  # noqa: F401  (doc reference)
 from churnlake.operators.evaluate import THRESHOLD_GRID
 from churnlake.operators.explain import DEMO_SCORER
 from churnlake.plans import queries as Q
@@ -48,10 +45,6 @@ split AS (
   FROM split_rank)"""
 
 
-SCORER_P = ("1.0 / (1.0 + exp(-(" + D(DEMO_SCORER.intercept) + "".join(
-    f" + {D(w)} * CAST({f} AS DOUBLE)" for f, w in DEMO_SCORER.weights.items()) + ")))")
-
-
 def scorer_p(override: dict | None = None) -> str:
     override = override or {}
     z = D(DEMO_SCORER.intercept)

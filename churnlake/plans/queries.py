@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake import schema as S

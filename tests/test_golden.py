@@ -167,3 +167,19 @@ def test_scaler_uses_population_std_and_zero_std(spark):
     assert [r["tenure"] for r in rows] == [-1.0, 1.0]
     assert [r["MonthlyCharges"] for r in rows] == [0.0, 0.0]
     assert F is not None
+
+
+def test_tfidf_weights_match_formula(spark):
+    df = spark.createDataFrame([("1", "aa bb aa"), ("2", "aa cc"), ("3", "bb aa")],
+                               "customerID string, complaint_text_clean string")
+    model = text.TfidfModel.fit(df)
+    vocab = {r["term"]: (r["tf"], r["df"], r["idf"]) for r in model.vocabulary.collect()}
+    assert vocab["aa"][:2] == (4, 3) and vocab["bb"][:2] == (2, 2) and "cc" not in vocab
+    assert vocab["aa"][2] == pytest.approx(math.log(4 / 4) + 1)
+    long = {(r["customerID"], r["term"]): r["tfidf"] for r in model.transform_long(df).collect()}
+    assert vocab["bb aa"][:2] == (2, 2)  # bigrams count too
+    wa = (1 + math.log(2)) * vocab["aa"][2]
+    wb, wab = vocab["bb"][2], vocab["bb aa"][2]
+    assert long[("1", "aa")] == pytest.approx(wa / math.sqrt(wa * wa + wb * wb + wab * wab))
+    wide = model.transform(df).orderBy("customerID").collect()
+    assert wide[1]["tfidf_aa"] == pytest.approx(1.0) and wide[1]["tfidf_bb"] == 0.0
