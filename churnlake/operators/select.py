@@ -22,7 +22,8 @@ def filter_customers(df: DataFrame, network_qualities: list[int], tenure_range:
             & F.col("MonthlyCharges").between(*charges_range))
     if sentiment_range is not None and "sentiment_score" in df.columns:
         pred = pred & F.col("sentiment_score").between(*sentiment_range)
-    return df.where(F.coalesce(pred, F.lit(False)))
+    # where() drops NULL like false; a bare predicate stays translatable to parquet filters
+    return df.where(pred)
 
 
 def filter_bounds(df: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def filter_bounds(df: DataFrame) -> DataFrame:
 
 
 def filtered_count(df: DataFrame, predicate) -> DataFrame:
-    return df.agg(F.count_if(F.coalesce(predicate, F.lit(False))).alias("shown"),
+    return df.agg(F.count_if(predicate).alias("shown"),
                   F.count(F.lit(1)).alias("total"))
 
 

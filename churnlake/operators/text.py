@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
-from churnlake.functions.text import clean_text as clean_expr
-from churnlake.functions.text import keyword_flag
+from churnlake.functions.text import MENTION_RE, NON_LETTER_RUN_RE, URL_RE, drop_stopwords, keyword_flag
 
 TEXT_COL = "complaint_text"
 CLEAN_COL = "complaint_text_clean"
@@ -34,9 +33,23 @@ LEXICON = [
 
 
 def clean_text(df: DataFrame, text_col: str = TEXT_COL) -> DataFrame:
+    """F1 as staged columns: every expensive step is a column consumed by the next.
+
+    Written as one nested expression, shared steps (the lower-cased text, the
+    token array) would be repeated inside the tree and evaluated several
+    times per row; as separate non-cheap columns Catalyst keeps them single.
+    The URL / mention regexes only run on texts that can contain one.
+    """
     if text_col not in df.columns:
         return df.withColumn(CLEAN_COL, F.lit(""))
-    return df.withColumn(CLEAN_COL, clean_expr(F.col(text_col)))
+    low, no_url, no_at = "_tx_low", "_tx_url", "_tx_at"
+    out = df.withColumn(low, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    out = out.withColumn(no_url, F.when((F.instr(F.col(low), "http") > 0) | (F.instr(F.col(low), "www") > 0),
+                                        F.regexp_replace(F.col(low), URL_RE, " ")).otherwise(F.col(low)))
+    out = out.withColumn(no_at, F.when(F.instr(F.col(no_url), "@") > 0,
+                                       F.regexp_replace(F.col(no_url), MENTION_RE, " ")).otherwise(F.col(no_url)))
+    out = out.withColumn(CLEAN_COL, drop_stopwords(F.trim(F.regexp_replace(F.col(no_at), NON_LETTER_RUN_RE, " "))))
+    return out.drop(low, no_url, no_at)
 
 
 def _lexicon_map(lexicon):
@@ -44,20 +57,25 @@ def _lexicon_map(lexicon):
 
 
 def sentiment_score(df: DataFrame, text_col: str = CLEAN_COL, lexicon=None) -> DataFrame:
-    """Mean polarity of the lexicon words in the text (0 when none) + flags."""
+    """Mean polarity of the lexicon words in the text (0 when none) + flags.
+
+    The polarity array is its own column (read three times by the score).
+    """
     if text_col not in df.columns:
         return df.withColumns({"sentiment_score": F.lit(0.0), "sentiment_negative": F.lit(0),
                                "sentiment_positive": F.lit(0)})
     lex = _lexicon_map(lexicon or LEXICON)
-    toks = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), lambda w: w != "")
-    pol = F.filter(F.transform(toks, lambda w: F.try_element_at(lex, w)), lambda x: x.isNotNull())
+    toks = F.split(F.coalesce(F.col(text_col), F.lit("")), " ")
+    out = df.withColumn("_pol", F.filter(F.transform(toks, lambda w: F.try_element_at(lex, w)),
+                                         lambda x: x.isNotNull()))
+    pol = F.col("_pol")
     total = F.aggregate(pol, F.lit(0.0), lambda acc, x: acc + x)
     score = F.when(F.size(pol) > 0, total / F.size(pol)).otherwise(F.lit(0.0))
-    return (df.withColumn("sentiment_score", score)
+    return (out.withColumn("sentiment_score", score)
             .withColumns({
                 "sentiment_negative": (F.col("sentiment_score") < S.SENTIMENT_NEGATIVE_BELOW).cast("int"),
                 "sentiment_positive": (F.col("sentiment_score") > S.SENTIMENT_POSITIVE_ABOVE).cast("int"),
-            }))
+            }).drop("_pol"))
 
 
 def keyword_flags(df: DataFrame, text_col: str = CLEAN_COL, network=None, billing=None,

@@ -12,10 +12,17 @@ from churnlake.sources import adapters
 
 def prepare(df: DataFrame, high_value: features.HighValue | None = None,
             dedup_order: list[str] | None = None) -> DataFrame:
-    """C1 -> C3 -> E1,E2,E4-E8 -> F1,F2,F5 (the feature-engineering pipeline)."""
+    """C1 -> C3 -> E1,E2,E4-E8 -> F1,F2,F5 (the feature-engineering pipeline).
+
+    The feature table is written once (like the dashboard's memoised
+    prepare step): text features are computed a single time, later queries
+    read only the columns they use, and filters on features (sentiment,
+    flags) become parquet pushed filters instead of being expanded back into
+    the text expressions by predicate pushdown.
+    """
     df = cleaned(df, dedup_order)
     df = features.structured_features(df, high_value)
-    return text.text_features(df)
+    return materialize(text.text_features(df), "prepared")
 
 
 def cleaned(df: DataFrame, dedup_order: list[str] | None = None) -> DataFrame:
