@@ -38,5 +38,42 @@ def structured_only(df: DataFrame) -> DataFrame:
     return features.structured_features(cleaned(df))
 
 
+# Per-session memo of written tables, like the dashboard's memoised prepare
+# step: key = application, table folder and size/mtime of the input files, so
+# changed inputs are rebuilt; values are parquet-backed DataFrames.
+_MEMO: dict = {}
+SOURCE_TABLES = ("customer", "orders", "documents")
+
+
+def _inputs_key(spark: SparkSession, sf_dir: str, kind: str):
+    import os
+    stats = []
+    for name in SOURCE_TABLES:
+        try:
+            st = os.stat(f"{sf_dir}/{name}.parquet")
+        except OSError:
+            return None  # not a local path: no memo, always rebuild
+        stats.append((name, st.st_size, st.st_mtime_ns))
+    return (spark.sparkContext.applicationId, sf_dir, kind, tuple(stats))
+
+
+def memoized(spark: SparkSession, sf_dir: str, kind: str, build):
+    key = _inputs_key(spark, sf_dir, kind)
+    if key is None:
+        return build()
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
 def subscribers_prepared(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
-    return prepare(adapters.subscribers(spark, sf_dir, with_text=with_text))
+    return memoized(spark, sf_dir, f"prepared-{with_text}",
+                    lambda: prepare(adapters.subscribers(spark, sf_dir, with_text=with_text)))
+
+
+def subscribers_structured(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """Cleaned table (written once) + structured features with the fitted threshold."""
+    def build():
+        base = cleaned(adapters.subscribers(spark, sf_dir, with_text=with_text))
+        return features.structured_features(base, features.HighValue.fit(base))
+    return memoized(spark, sf_dir, f"structured-{with_text}", build)

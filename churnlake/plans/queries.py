@@ -29,7 +29,7 @@ def _prepared(spark, sf):
 
 
 def _structured(spark, sf):
-    return pipeline.structured_only(_subs(spark, sf))
+    return pipeline.subscribers_structured(spark, sf)
 
 
 def _scored(spark, sf):
@@ -194,7 +194,7 @@ def q_keyword_flags_corpus(spark, sf):
 
 
 def _structured_text(spark, sf):
-    return pipeline.cleaned(_subs(spark, sf, True))
+    return pipeline.memoized(spark, sf, "cleaned-text", lambda: pipeline.cleaned(_subs(spark, sf, True)))
 
 
 def q_sentiment_by_class(spark, sf):
@@ -203,7 +203,7 @@ def q_sentiment_by_class(spark, sf):
 
 def _tfidf(spark, sf):
     from churnlake.session import materialize
-    split = materialize(_split(spark, sf), "text_split")
+    split = pipeline.memoized(spark, sf, "text-split", lambda: materialize(_split(spark, sf), "text_split"))
     model = text.TfidfModel.fit(split.where(F.col("split") == "train"))
     return model, split
 
@@ -388,7 +388,7 @@ def q_high_risk_roster(spark, sf):
 
 
 def q_roster_for_test_split(spark, sf):
-    split = sample.stratified_split(_subs(spark, sf, True).transform(pipeline.structured_only))
+    split = sample.stratified_split(pipeline.subscribers_structured(spark, sf, with_text=True))
     test = split.where(F.col("split") == "test")
     probs = test.select(S.ID_COLUMN, SCORER.probability().alias("p"))
     out = roster.roster_for_split(test, probs)
@@ -539,7 +539,7 @@ QUERIES = {
 
 def _matrix(spark, sf):
     from churnlake.plans import modeling
-    return modeling.model_matrix(spark, sf)
+    return pipeline.memoized(spark, sf, "model-matrix", lambda: modeling.model_matrix(spark, sf))
 
 
 def q_class_weights(spark, sf):
