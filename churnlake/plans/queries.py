@@ -204,7 +204,8 @@ def q_sentiment_by_class(spark, sf):
 def _tfidf(spark, sf):
     from churnlake.session import materialize
     split = pipeline.memoized(spark, sf, "text-split", lambda: materialize(_split(spark, sf), "text_split"))
-    model = text.TfidfModel.fit(split.where(F.col("split") == "train"))
+    model = pipeline.memoized(spark, sf, "tfidf-model",
+                              lambda: text.TfidfModel.fit(split.where(F.col("split") == "train")))
     return model, split
 
 
