@@ -169,43 +169,73 @@ def sample_candidates(grid: dict, n: int, seed: int = S.SEED) -> list[dict]:
     return rng.sample(combos, min(n, len(combos)))
 
 
-def tune_logistic(train: DataFrame, features: list[str], n_candidates: int = N_CANDIDATES["logistic"],
-                  parallelism: int = 4) -> tuple[PipelineModel, DataFrame]:
-    """Randomised search over the LR grid with stratified folds, scored by ROC-AUC.
-
-    Candidates differ in weighting, so each weighting is a separate
-    CrossValidator over its own param maps; folds come from ``cv_folds``.
+def _candidate_maps(kind: str, pipe: Pipeline, cands: list[dict], n: int) -> list[dict]:
+    est = pipe.getStages()[-1]
+    maps = []
+    for c in cands:
+        if kind == "logistic":
+            maps.append({est.regParam: 1.0 / (c["C"] * n),
+                         est.elasticNetParam: 1.0 if c["penalty"] == "l1" else 0.0})
+        elif kind == "forest":
+            maps.append({est.numTrees: c["numTrees"], est.maxDepth: c["maxDepth"] or MAX_TREE_DEPTH,
+                         est.minInstancesPerNode: c["minInstancesPerNode"],
+                         est.featureSubsetStrategy: c["featureSubsetStrategy"]})
+        else:
+            maps.append({est.maxIter: c["maxIter"], est.maxDepth: c["maxDepth"], est.stepSize: c["stepSize"],
+                         est.subsamplingRate: c["subsamplingRate"],
+                         est.featureSubsetStrategy: c["featureSubsetStrategy"], est.minInfoGain: c["minInfoGain"]})
+    return maps
+
+
+GRIDS = {"logistic": LR_GRID, "forest": RF_GRID, "gbt": GBT_GRID}
+
+
+def tune(kind: str, train: DataFrame, features: list[str], n_candidates: int | None = None,
+         parallelism: int = 4, grid: dict | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Randomised search (M6): seeded sample of the grid, stratified folds, ROC-AUC.
+
+    Candidates that differ in class weighting are searched by separate
+    CrossValidators over their own weighted data; boosting always weighs the
+    positive class by neg/pos. Returns the best model and one row per
+    candidate (parameters as JSON, mean AUC over the folds).
     """
     from churnlake.operators.sample import cv_folds
     from pyspark.sql import SparkSession
+    grid = grid or GRIDS[kind]
     n = train.count()
-    cands = sample_candidates(LR_GRID, n_candidates)
+    cands = sample_candidates(grid, n_candidates or N_CANDIDATES[kind])
     folded = cv_folds(train, CV_FOLDS)
-    results, best = [], None
     evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC")
-    for weighting in ("balanced", None):
-        group = [c for c in cands if c["class_weight"] == weighting]
+    results, best = [], None
+    weightings = ("ratio",) if kind == "gbt" else ("balanced", None)
+    for weighting in weightings:
+        group = [c for c in cands if kind == "gbt" or c.get("class_weight") == weighting]
         if not group:
             continue
         data = add_weights(folded, weighting)
-        pipe = logistic(features, n, weighted=weighting is not None)
-        lr = pipe.getStages()[-1]
-        maps = [ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c["C"] * n)])
-                .addGrid(lr.elasticNetParam, [1.0 if c["penalty"] == "l1" else 0.0]).build()[0]
-                for c in group]
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator,
-                            foldCol="fold", numFolds=CV_FOLDS, parallelism=parallelism, seed=S.SEED)
+        weighted = weighting is not None
+        pipe = {"logistic": lambda: logistic(features, n, weighted=weighted),
+                "forest": lambda: forest(features, weighted=weighted),
+                "gbt": lambda: boosting(features, weighted=True)}[kind]()
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=_candidate_maps(kind, pipe, group, n),
+                            evaluator=evaluator, foldCol="fold", numFolds=CV_FOLDS,
+                            parallelism=parallelism, seed=S.SEED)
         model = cv.fit(data)
         for c, auc in zip(group, model.avgMetrics):
-            results.append((float(c["C"]), c["penalty"], str(c["class_weight"]), float(auc)))
+            results.append((kind, json.dumps(c, sort_keys=True), float(auc)))
             if best is None or auc > best[0]:
                 best = (auc, model.bestModel)
     table = SparkSession.getActiveSession().createDataFrame(
-        results, "C double, penalty string, class_weight string, mean_auc double")
+        results, "model string, params string, mean_auc double")
     return best[1], table
 
 
+def tune_logistic(train: DataFrame, features: list[str], n_candidates: int = N_CANDIDATES["logistic"],
+                  parallelism: int = 4) -> tuple[PipelineModel, DataFrame]:
+    return tune("logistic", train, features, n_candidates, parallelism)
+
+
 # ----------------------------------------------------------------- persistence
 
 @dataclass(frozen=True)

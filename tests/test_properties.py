@@ -109,3 +109,18 @@ def test_filters_reach_the_scan(spark):
     plan = _plan(df)
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,100.0)]" in plan
     assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
+
+
+def test_randomised_search_forest_and_boosting(spark):
+    from churnlake.operators import models
+    from churnlake.plans import modeling
+    m = modeling.model_matrix(spark, SF001)
+    small_rf = {"numTrees": [5, 10], "maxDepth": [3], "minInstancesPerNode": [1, 2],
+                "featureSubsetStrategy": ["sqrt"], "class_weight": ["balanced", None]}
+    model, table = models.tune("forest", m.train, m.features, n_candidates=3, grid=small_rf, parallelism=2)
+    assert table.count() == 3 and model is not None
+    small_gbt = {"maxIter": [3], "maxDepth": [2, 3], "stepSize": [0.1], "subsamplingRate": [1.0],
+                 "featureSubsetStrategy": ["1.0"], "minInfoGain": [0.0]}
+    model, table = models.tune("gbt", m.train, m.features, n_candidates=2, grid=small_gbt, parallelism=2)
+    assert table.count() == 2
+    assert all(0.0 <= r["mean_auc"] <= 1.0 for r in table.collect())
