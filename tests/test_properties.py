@@ -124,3 +124,12 @@ def test_randomised_search_forest_and_boosting(spark):
     model, table = models.tune("gbt", m.train, m.features, n_candidates=2, grid=small_gbt, parallelism=2)
     assert table.count() == 2
     assert all(0.0 <= r["mean_auc"] <= 1.0 for r in table.collect())
+
+
+def test_feature_filters_reach_the_prepared_scan(spark):
+    df = Q.q_filter_customers(spark, SF001)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    text = " ".join(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(sentiment_score,-1.0)" in text and "In(network_quality, [1,2])" in text
+    # the text features are read from the written feature table, never recomputed in the filter
+    assert "regexp_replace" not in plan
