@@ -121,6 +121,14 @@ def running_totals(df: DataFrame, order, values: list[str], *, prefix: str = "cu
                        max(1, math.ceil(n / MIN_ROWS_PER_BUCKET)))
     cuts = choose_cuts(df, keys, n, b)
     bucketed = df.withColumn("_bkt", _bucket_expr(keys, cuts) if cuts else F.lit(0))
+    w = (Window.partitionBy("_bkt").orderBy(*_sort_cols(keys))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if not cuts:
+        # one bucket (at most MIN_ROWS_PER_BUCKET rows): every offset is 0, no stats job, no join
+        return bucketed.select(
+            *[F.col(c) for c in df.columns],
+            *[F.sum(v).over(w).cast(_sum_type(df.schema[v].dataType)).alias(f"{prefix}{v}") for v in values],
+            *([F.row_number().over(w).cast("long").alias(position)] if position else []))
 
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(v).alias(f"_s_{v}") for v in values]
     stats = bucketed.groupBy("_bkt").agg(*aggs).orderBy("_bkt").collect()  # <= len(cuts)+1 rows
@@ -136,8 +144,6 @@ def running_totals(df: DataFrame, order, values: list[str], *, prefix: str = "cu
         + [T.StructField(f"_off_{v}", _sum_type(val_types[v])) for v in values])
     offsets = spark.createDataFrame(rows, off_schema)
 
-    w = (Window.partitionBy("_bkt").orderBy(*_sort_cols(keys))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = bucketed.join(F.broadcast(offsets), "_bkt", "left")
     cols = [F.col(f"_off_{v}") + F.sum(v).over(w) for v in values]
     out = out.select(
