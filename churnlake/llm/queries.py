@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from churnlake.llm import quality_rules
+from churnlake.llm import quality_rules, simhash
 from churnlake.llm.tables import read_table
 
 
@@ -13,6 +14,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(led, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_simhash": op8_simhash,
 }
