@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import decontaminate, quality_rules, simhash, suffix_dedup
+from churnlake.llm import bpe, decontaminate, quality_rules, simhash, suffix_dedup
 from churnlake.llm.tables import read_table
 
 
@@ -14,6 +14,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(led, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +38,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_bpe": op4_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
     "op10_suffix_dedup": op10_suffix_dedup,
