@@ -232,9 +232,10 @@ def _bits_for(n: float) -> int:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
-                   block_bytes: int = 8 << 20, bucket_entries: int = 2_000_000) -> DataFrame:
+                   whole_characters: bool = False, block_bytes: int = 8 << 20, bucket_entries: int = 2_000_000) -> DataFrame:
     """(id, carried columns, kept, spans, n_bytes): the bytes left, and the removed runs as (start, end) byte offsets.
 
+    ``whole_characters`` draws the ends of a run in to UTF-8 character borders, so that what is left stays valid text.
     ``block_bytes`` bounds the text a task holds (one longer document is a block of its own),
     ``bucket_entries`` the list entries a sorting task holds.
     """
@@ -277,7 +278,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = block.order[doc]
         _, cls, low, _ = _classes(h, order)
         repeated = at[_read_marks(marks, 2)[cls] | (low[cls] < order)]
-        kept, spans = _cut_out(block, np.sort(repeated))
+        kept, spans = _cut_out(block, np.sort(repeated), whole_characters)
         return pa.table([table.column("_id"), *(table.column(f"_c{i}") for i in range(len(carry))),
                          pa.array(kept, pa.binary()),
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -291,7 +292,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return blocks.groupBy("block").cogroup(ranks.unionByName(ties).groupBy("block")).applyInArrow(cut, schema)
 
 
-def _cut_out(block: Block, starts: np.ndarray) -> tuple[list[bytes], list[list[dict]]]:
+def _cut_out(block: Block, starts: np.ndarray, whole_characters: bool) -> tuple[list[bytes], list[list[dict]]]:
     """Per document: what is left, and the maximal removed runs; ``starts`` are the repeated strings' positions."""
     kept, spans = [], []
     low = np.searchsorted(starts, block.offsets[:-1])
@@ -305,6 +306,10 @@ def _cut_out(block: Block, starts: np.ndarray) -> tuple[list[bytes], list[list[d
         own = starts[lo:hi] - start
         gap = np.flatnonzero(np.diff(own) > LENGTH)
         begins, ends = own[np.concatenate(([0], gap + 1))], own[np.concatenate((gap, [len(own) - 1]))] + LENGTH
+        if whole_characters:
+            inner = np.append((block.data[start:end] & 0xC0) == 0x80, False)
+            for _ in range(3):
+                begins, ends = begins + inner[begins], ends - inner[ends]
         left, edge = [], 0
         for b, e in zip(begins, ends):
             left.append(block.data[start + edge: start + b].tobytes())
