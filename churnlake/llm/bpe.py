@@ -32,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from churnlake.llm.tables import slices
+
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 CACHE_PIECES = 200_000
-BATCH_BYTES = 8 << 20
 
 
 class Vocabulary:
@@ -226,16 +227,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about BATCH_BYTES in ``column``, at least a row each."""
-    sizes = np.cumsum([0] + [len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column)])
-    lo = 0
-    while lo < batch.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + BATCH_BYTES, "right")) - 1)
-        yield batch.slice(lo, hi - lo)
-        lo = hi
-
-
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
            path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(id, carried columns, n_tokens, tokens): tokens is the ids as little-endian unsigned 32-bit integers."""
@@ -247,7 +238,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for batch in parts:
-            for rows in _batches(batch, "_text"):
+            for rows in slices(batch, "_text"):
                 ids = [np.array(tool.encode(t), "<u4").tobytes() for t in rows.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(i) for i in range(len(names))]
@@ -266,7 +257,7 @@ def decode(df: DataFrame, tokens_col: str = "tokens", name: str = "decoded", pat
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, public_tokenizers.PATTERN)
         for batch in parts:
-            for rows in _batches(batch, batch.schema.names[at]):
+            for rows in slices(batch, batch.schema.names[at]):
                 texts = [tool.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in rows.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], schema.names)
 

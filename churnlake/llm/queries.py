@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, decontaminate, quality_rules, simhash, suffix_dedup
-from churnlake.llm.tables import read_table
+from churnlake.llm import bpe, decontaminate, language_id, quality_rules, simhash, suffix_dedup
+from churnlake.llm.tables import learning_rows, read_table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(led, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs, learning_rows())).select(
+        "doc_id", (~learning_rows()).alias("held_out"), "lang_pred", "score")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents")))
     return coded.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"),
@@ -38,6 +44,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +21,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def learning_rows(id_col: str = "doc_id"):
     """The rows a model may learn from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch that hold about ``limit`` bytes in a string or binary column, at least a row each."""
+    values = batch.column(column)
+    sizes = np.cumsum([0] + [len(x.as_buffer()) if x.is_valid else 0 for x in values])
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(sizes, sizes[lo] + limit, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
