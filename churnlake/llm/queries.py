@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, decontaminate, language_id, quality_rules, simhash, suffix_dedup
+from churnlake.llm import bpe, decontaminate, language_id, quality_fm, quality_rules, simhash, suffix_dedup
 from churnlake.llm.tables import learning_rows, read_table
 
 
@@ -14,6 +14,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(led, quality_rules.POLICIES[quality_rules.CURRENT])
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    machine = quality_fm.fit(docs, labels, learning_rows())
+    return quality_fm.predict(docs, machine).select("doc_id", (~learning_rows()).alias("held_out"), "score", "predicted")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs, learning_rows())).select(
@@ -44,6 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_fm": op2_quality_fm,
     "op3_language_id": op3_language_id,
     "op4_bpe": op4_bpe,
     "op6_decontaminate": op6_decontaminate,
