@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlake.llm.tables import bound
+
 SPACE = r"\x20\x09-\x0D"
 
 #: Rules in bit order: name and the condition under which a document fails, over the measurements.
@@ -69,11 +71,6 @@ POLICIES = {
 CURRENT = "v2"
 
 
-def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: inside a lambda, a plain column expression is evaluated per element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _characters(text: Column, outside: str) -> Column:
     """Code points of ``text`` that are left when runs of the class ``outside`` are taken out."""
     return F.length(F.regexp_replace(text, outside, "")).cast("long")
@@ -99,14 +96,14 @@ def _repeat_words(words: Column) -> Column:
             same = lambda e, j: F.coalesce(hashed(e) == hashed(F.get(p, j)), F.lit(False))
             return F.filter(p, lambda e, j: same(e, j - 1) | same(e, j + 1))
 
-        return F.sort_array(F.transform(_bound(F.sort_array(packed), repeated), lambda e: e.bitwiseAND(mask)))
+        return F.sort_array(F.transform(bound(F.sort_array(packed), repeated), lambda e: e.bitwiseAND(mask)))
 
     def covered(at):
         width = F.transform(at, lambda s, j: F.least(F.lit(3).cast("long"),
                                                      F.coalesce(F.get(at, j + 1) - s, F.lit(3).cast("long"))))
         return F.aggregate(width, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_bound(_bound(low, starts), covered))
+    return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(bound(bound(low, starts), covered))
 
 
 def with_ledger(df: DataFrame, text_col: str = "text", name: str = "_ledger") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, chat_format, decontaminate, html_text, language_id, quality_fm, quality_rules, simhash, suffix_dedup
+from churnlake.llm import bpe, chat_format, decontaminate, html_text, language_id, licenses, quality_fm, quality_rules, simhash, suffix_dedup
 from churnlake.llm.tables import learning_rows, read_table
 
 
@@ -41,6 +41,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; one is derived: source, thousands and hundreds of the id, id."""
+    docs = read_table(spark, sf_dir, "documents")
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000), part(100), F.col("doc_id").cast("string"))
+    return licenses.scan(docs.withColumn("path", F.when(F.col("doc_id").isNotNull(), path)))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -70,6 +78,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
+    "op7_licenses": op7_licenses,
     "op8_simhash": op8_simhash,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,11 @@ def learning_rows(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda, a plain column expression is evaluated per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch that hold about ``limit`` bytes in a string or binary column, at least a row each."""
     values = batch.column(column)
