@@ -43,15 +43,27 @@ from churnlake.session import ensure_checkpoint_dir, materialize
 COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
 LENGTH = 50
 SAMPLE = LENGTH - PERIOD + 1
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 17
 
-_BASE = np.uint64(0xD1342543DE82EF95)
+_BASE = 0xD1342543DE82EF95
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, 256, dtype=np.uint64)
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+_ZERO = np.zeros(1, np.uint64)
 
 
-def _power(k: int) -> np.uint64:
-    return np.uint64(pow(int(_BASE), k, 1 << 64))
+class _Grown:
+    """Arrays that depend on a length alone, kept up to the longest one asked for."""
+    powers = inverses = np.ones(1, np.uint64)
+    cover = np.zeros(0, np.int64)
+
+    @classmethod
+    def to(cls, n: int) -> None:
+        if len(cls.powers) < n:
+            size = 1 << n.bit_length()
+            cls.powers, cls.inverses = (
+                np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, np.uint64(step)))))
+                for step in (_BASE, pow(_BASE, -1, 1 << 64)))
+            places = np.arange(size)
+            cls.cover = places[np.isin(places % PERIOD, COVER)]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,24 +72,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes of all strings of 2^k bytes in one piece of text, by doubling."""
+    """Polynomial hashes of the strings of one piece of text, of any length, from one running sum."""
 
     def __init__(self, data: np.ndarray):
-        self.of = {1: np.concatenate((_BYTE[data], np.zeros(LENGTH, np.uint64)))}
-        k = 1
-        while 2 * k <= LENGTH:
-            h = self.of[k]
-            self.of[2 * k] = h[: len(h) - k] * _power(k) + h[k:]
-            k *= 2
+        _Grown.to(len(data) + 1)
+        self.sums = np.concatenate((_ZERO, np.cumsum(_BYTE[data] * _Grown.inverses[: len(data)])))
 
     def at(self, starts: np.ndarray, length: int) -> np.ndarray:
         """Mixed hash of the ``length`` bytes from each start."""
-        total, done = np.zeros(len(starts), np.uint64), 0
-        for k in sorted(self.of, reverse=True):
-            if length & k:
-                total = total * _power(k) + self.of[k][starts + done]
-                done += k
-        return _mix(total)
+        return _mix((self.sums[starts + length] - self.sums[starts]) * _Grown.powers[starts])
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of so many integers from each start, end to end: the integers, and the range each belongs to."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    within = np.arange(len(which)) - (np.cumsum(counts) - counts)[which]
+    return starts[which] + within, which
 
 
 class Block:
@@ -101,59 +111,67 @@ class Block:
             yield lo, hi
             lo = hi
 
-    def _layout(self, lo: int, hi: int):
-        """For each byte of a piece: its document, and how many bytes its document has from there on."""
-        sizes = self.sizes[lo:hi]
-        doc = np.repeat(np.arange(lo, hi), sizes)
-        room = self.offsets[doc + 1] - np.arange(self.offsets[lo], self.offsets[hi])
-        return doc, room
+    def _hashed(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the strings from rising byte positions; no string crosses a document."""
+        found = [np.zeros(0, np.uint64)]
+        for lo, hi in self.pieces():
+            start, end = self.offsets[lo], self.offsets[hi]
+            own = at[np.searchsorted(at, start): np.searchsorted(at, end)] - start
+            if len(own):
+                found.append(Hashes(self.data[start:end]).at(own, length))
+        return np.concatenate(found)
 
     def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash (of so many bits), byte position and document of every cover sample."""
-        found = []
-        for lo, hi in self.pieces():
-            doc, room = self._layout(lo, hi)
-            start = self.offsets[lo]
-            place = np.arange(start, self.offsets[hi]) - self.offsets[doc]
-            at = np.flatnonzero(_IN_COVER[place % PERIOD] & (room >= SAMPLE) & self.usable[doc])
-            h = Hashes(self.data[start: self.offsets[hi]]).at(at, SAMPLE) >> np.uint64(64 - bits)
-            found.append((h, at + start, doc[at].astype(np.int32)))
-        return _joined(found)
-
-    def suffixes(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, byte position and document of the suffixes within reach of a sample position in ``shared``."""
-        found = []
-        shared = np.sort(shared)
-        for lo, hi in self.pieces():
-            start, end = self.offsets[lo], self.offsets[hi]
-            near = shared[np.searchsorted(shared, start): np.searchsorted(shared, end)] - start
-            if not len(near):
-                continue
-            doc, room = self._layout(lo, hi)
-            reach = np.zeros(end - start + 1, np.int32)
-            np.add.at(reach, np.maximum(near - PERIOD + 1, 0), 1)
-            np.add.at(reach, near + 1, -1)
-            at = np.flatnonzero((np.cumsum(reach)[:-1] > 0) & (room >= LENGTH) & self.usable[doc])
-            found.append((Hashes(self.data[start:end]).at(at, LENGTH), at + start, doc[at].astype(np.int32)))
-        return _joined(found)
-
-
-def _joined(found):
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def _classes(h: np.ndarray, order: np.ndarray):
-    """Distinct values in order, each entry's class, and the least and greatest document order of each class."""
-    by = np.argsort(h, kind="stable")
-    first = np.concatenate(([True], h[by][1:] != h[by][:-1])) if len(h) else np.zeros(0, bool)
+        _Grown.to(int(self.sizes.max(initial=0)) + 1)
+        places = np.where(self.usable, np.searchsorted(_Grown.cover, self.sizes - SAMPLE, "right"), 0)
+        nth, doc = _ranges(np.zeros(len(places), np.int64), places)
+        at = _Grown.cover[nth] + self.offsets[doc]
+        return self._hashed(at, SAMPLE) >> np.uint64(64 - bits), at, doc
+
+    def suffixes(self, shared: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, byte position and document of the suffixes in reach of rising sample positions ``shared``."""
+        first = np.maximum(shared - PERIOD + 1, self.offsets[doc])
+        last = np.minimum(shared, self.offsets[doc + 1] - LENGTH)
+        first, last, doc = (x[first <= last] for x in (first, last, doc))
+        if len(last):
+            first[1:] = np.maximum(first[1:], last[:-1] + 1)
+        at, which = _ranges(first, np.maximum(last - first + 1, 0))
+        return self._hashed(at, LENGTH), at, doc[which]
+
+
+def _order(values: np.ndarray, bits: int) -> np.ndarray:
+    """Stable ascending order of values of so many bits.
+
+    The leading bits and the place of a value are sorted as one integer, which is far faster than an indirect
+    sort. If values that differ only in the bits cut off come out of order, the indirect sort is done after all.
+    """
+    place = max(1, len(values)).bit_length()
+    cut = max(0, bits + place - 64)
+    packed = ((values >> np.uint64(cut)) << np.uint64(place)) | np.arange(len(values), dtype=np.uint64)
+    packed.sort()
+    by = (packed & np.uint64((1 << place) - 1)).astype(np.int64)
+    if cut and (values[by][1:] < values[by][:-1]).any():
+        return np.argsort(values, kind="stable")
+    return by
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def _classes(h: np.ndarray, bits: int, order: np.ndarray):
+    """Each entry's class of equal values, in value order, and the least and greatest document order of each class."""
+    if not len(h):
+        return np.zeros(0, np.int64), order, order
+    by = _order(h, bits)
+    ranked = h[by]
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     starts = np.flatnonzero(first)
     cls = np.empty(len(h), np.int64)
     cls[by] = np.cumsum(first) - 1
-    if not len(h):
-        return h, cls, order, order
-    return h[by][starts], cls, np.minimum.reduceat(order[by], starts), np.maximum.reduceat(order[by], starts)
+    return cls, np.minimum.reduceat(order[by], starts), np.maximum.reduceat(order[by], starts)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -192,13 +210,13 @@ def _lists(block: int, values: np.ndarray, bits: int, bucket_bits: int) -> pa.Ta
     })
 
 
-def _sorted_bucket(later_only: bool, turn: int):
+def _sorted_bucket(later_only: bool, turn: int, bits: int, bucket_bits: int):
     """Sort one bucket; an entry is marked if another block holds it too, or, ``later_only``, an earlier block."""
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         n = table.column("n").to_numpy()
         values = np.concatenate([unpack(b, k) for b, k in zip(table.column("list").to_pylist(), n)])
-        by = np.argsort(values, kind="stable")
+        by = _order(values & np.uint64((1 << (bits - bucket_bits)) - 1), bits - bucket_bits)
         tie = values[by][1:] == values[by][:-1]
         marked = np.concatenate(([False], tie))
         if not later_only:
@@ -223,8 +241,9 @@ def _read_marks(table: pa.Table, turn: int) -> np.ndarray:
 def _reachable(block: Block, marks: np.ndarray, bits: int):
     """Suffixes that may tie with another document: near a sample string that another document holds too."""
     h, at, doc = block.samples(bits)
-    _, cls, low, high = _classes(h, block.order[doc])
-    return block.suffixes(at[(marks | (low != high))[cls]])
+    cls, low, high = _classes(h, bits, block.order[doc])
+    near = (marks | (low != high))[cls]
+    return block.suffixes(at[near], doc[near])
 
 
 def _bits_for(n: float) -> int:
@@ -257,7 +276,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def first_lists(table: pa.Table) -> pa.Table:
         block = Block(table)
-        return _lists(table.column("block")[0].as_py(), np.unique(block.samples(sample_bits)[0]),
+        return _lists(table.column("block")[0].as_py(), _distinct(block.samples(sample_bits)[0]),
                       sample_bits, sample_buckets)
 
     def second_lists(table: pa.Table, marks: pa.Table) -> pa.Table:
@@ -265,7 +284,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return _lists(0, np.zeros(0, np.uint64), 64, suffix_buckets)
         block = Block(table)
         h, _, _ = _reachable(block, _read_marks(marks, 1), sample_bits)
-        return _lists(table.column("block")[0].as_py(), np.unique(h), 64, suffix_buckets)
+        return _lists(table.column("block")[0].as_py(), _distinct(h), 64, suffix_buckets)
 
     fields = [T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, df.schema[c].dataType) for c in carry)]
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -276,19 +295,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         block = Block(table)
         h, at, doc = _reachable(block, _read_marks(marks, 1), sample_bits)
         order = block.order[doc]
-        _, cls, low, _ = _classes(h, order)
-        repeated = at[_read_marks(marks, 2)[cls] | (low[cls] < order)]
-        kept, spans = _cut_out(block, np.sort(repeated), whole_characters)
+        cls, low, _ = _classes(h, 64, order)
+        repeated = at[(_read_marks(marks, 2)[cls] | (low[cls] < order)) if len(at) else slice(0)]
+        kept, spans = _cut_out(block, repeated, whole_characters)
         return pa.table([table.column("_id"), *(table.column(f"_c{i}") for i in range(len(carry))),
                          pa.array(kept, pa.binary()),
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                          pa.array(block.sizes, pa.int64())], names=[f.name for f in schema.fields])
 
     first = blocks.select("block", "_id", "_text").groupBy("block").applyInArrow(first_lists, _LISTS)
-    ranks = materialize(first.groupBy("bucket").applyInArrow(_sorted_bucket(False, 1), _MARKS), "cover-ranks")
+    ranks = materialize(first.groupBy("bucket").applyInArrow(_sorted_bucket(False, 1, sample_bits, sample_buckets), _MARKS), "cover-ranks")
     second = blocks.select("block", "_id", "_text").groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(
         second_lists, _LISTS)
-    ties = materialize(second.groupBy("bucket").applyInArrow(_sorted_bucket(True, 2), _MARKS), "suffix-ties")
+    ties = materialize(second.groupBy("bucket").applyInArrow(_sorted_bucket(True, 2, 64, suffix_buckets), _MARKS), "suffix-ties")
     return blocks.groupBy("block").cogroup(ranks.unionByName(ties).groupBy("block")).applyInArrow(cut, schema)
 
 
