@@ -1,8 +1,9 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
 A byte is removed when it lies in a ``length``-byte string that also starts in a
-document with a smaller id. All suffixes of a corpus are never sorted at once; the work
-goes in three passes over blocks of documents (consecutive ranges of the id):
+document with a smaller id. All suffixes of a corpus are never sorted at once. Whole copies of a
+text are told by two 64-bit hashes and the length: they go entirely, and only the copy of least id is
+searched. For the rest the work goes in three passes over blocks of documents (consecutive ranges of the id):
 
 1. Cover sample. The positions of a document whose residue modulo ``PERIOD`` lies in a difference cover.
    Any two positions reach, by one common step below the period, a sample position in both,
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,8 @@ from pyspark.sql import types as T
 
 from churnlake.session import ensure_checkpoint_dir, materialize
 
-#: A difference cover: every residue modulo 31 is a difference of two of its six members.
-COVER, PERIOD = (1, 5, 11, 24, 25, 27), 31
+#: A difference cover: every residue modulo 21 is a difference of two of its five members.
+COVER, PERIOD = (3, 6, 7, 12, 14), 21
 LENGTH = 50
 SAMPLE = LENGTH - PERIOD + 1
 PIECE_BYTES = 1 << 17
@@ -93,7 +95,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Block:
     """The documents of one block: their bytes end to end, with the order of their ids."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, marks: pa.Table):
         text = table.column("_text").combine_chunks()
         text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
         text = text.cast(pa.large_binary())
@@ -101,7 +103,10 @@ class Block:
         self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
         self.sizes = np.diff(self.offsets)
         ids = table.column("_id").to_pandas()
-        self.usable = (self.sizes >= LENGTH) & ids.notna().to_numpy()
+        copied = set(marks.filter(pc.field("round") == 0).column("copy").to_pylist())
+        self.copies = np.fromiter((i in copied for i in table.column("_id").to_pylist()), bool, len(ids)) & (
+            self.sizes >= LENGTH)
+        self.usable = (self.sizes >= LENGTH) & ids.notna().to_numpy() & ~self.copies
         self.order = ids.rank(method="dense").fillna(0).to_numpy(np.int32)
 
     def pieces(self) -> Iterator[tuple[int, int]]:
@@ -197,6 +202,18 @@ _MARKS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("b
                        T.StructField("round", T.IntegerType())])
 
 
+def _copies(blocks: DataFrame) -> DataFrame:
+    """A row of round 0 for every document whose text a document of smaller id has as a whole."""
+    text = F.col("_text")
+    prints = blocks.filter(F.col("_id").isNotNull()).select("block", F.col("_id").alias("copy"), F.octet_length(text).alias("size"),
+                           F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
+    least = prints.groupBy("size", "h1", "h2").agg(F.min("copy").alias("least"), F.max("copy").alias("greatest"))
+    copied = prints.join(least.filter("least < greatest"), ["size", "h1", "h2"]).filter("copy > least")
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in _MARKS.fields} | {
+        "block": F.col("block"), "round": F.lit(0).alias("round")}
+    return copied.select(*none.values(), "copy").distinct()
+
+
 def _lists(block: int, values: np.ndarray, bits: int, bucket_bits: int) -> pa.Table:
     """The sorted values of a block, cut into one packed list per bucket."""
     bucket = (values >> np.uint64(bits - bucket_bits)).astype(np.int64)
@@ -274,15 +291,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
      .bucketBy(n_blocks, "block").sortBy("block").saveAsTable(name))
     blocks = spark.table(name)
 
-    def first_lists(table: pa.Table) -> pa.Table:
-        block = Block(table)
+    def first_lists(table: pa.Table, marks: pa.Table) -> pa.Table:
+        if not len(table):
+            return _lists(0, np.zeros(0, np.uint64), sample_bits, sample_buckets)
+        block = Block(table, marks)
         return _lists(table.column("block")[0].as_py(), _distinct(block.samples(sample_bits)[0]),
                       sample_bits, sample_buckets)
 
     def second_lists(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(table):
             return _lists(0, np.zeros(0, np.uint64), 64, suffix_buckets)
-        block = Block(table)
+        block = Block(table, marks)
         h, _, _ = _reachable(block, _read_marks(marks, 1), sample_bits)
         return _lists(table.column("block")[0].as_py(), _distinct(h), 64, suffix_buckets)
 
@@ -292,7 +311,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            T.StructField("n_bytes", T.LongType())])
 
     def cut(table: pa.Table, marks: pa.Table) -> pa.Table:
-        block = Block(table)
+        block = Block(table, marks)
         h, at, doc = _reachable(block, _read_marks(marks, 1), sample_bits)
         order = block.order[doc]
         cls, low, _ = _classes(h, 64, order)
@@ -303,21 +322,31 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                          pa.array(block.sizes, pa.int64())], names=[f.name for f in schema.fields])
 
-    first = blocks.select("block", "_id", "_text").groupBy("block").applyInArrow(first_lists, _LISTS)
-    ranks = materialize(first.groupBy("bucket").applyInArrow(_sorted_bucket(False, 1, sample_bits, sample_buckets), _MARKS), "cover-ranks")
-    second = blocks.select("block", "_id", "_text").groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(
-        second_lists, _LISTS)
-    ties = materialize(second.groupBy("bucket").applyInArrow(_sorted_bucket(True, 2, 64, suffix_buckets), _MARKS), "suffix-ties")
+    texts = blocks.select("block", "_id", "_text").groupBy("block")
+    none = F.lit(None).cast(df.schema[id_col].dataType).alias("copy")
+
+    def sorted_buckets(lists: DataFrame, bits: int, bucket_bits: int, later_only: bool, turn: int) -> DataFrame:
+        return lists.groupBy("bucket").applyInArrow(_sorted_bucket(later_only, turn, bits, bucket_bits), _MARKS).select("*", none)
+
+    copies = materialize(_copies(blocks), "whole-copies")
+    first = texts.cogroup(copies.groupBy("block")).applyInArrow(first_lists, _LISTS)
+    ranks = materialize(sorted_buckets(first, sample_bits, sample_buckets, False, 1).unionByName(copies), "cover-ranks")
+    second = texts.cogroup(ranks.groupBy("block")).applyInArrow(second_lists, _LISTS)
+    ties = materialize(sorted_buckets(second, 64, suffix_buckets, True, 2), "suffix-ties")
     return blocks.groupBy("block").cogroup(ranks.unionByName(ties).groupBy("block")).applyInArrow(cut, schema)
 
 
 def _cut_out(block: Block, starts: np.ndarray, whole_characters: bool) -> tuple[list[bytes], list[list[dict]]]:
-    """Per document: what is left, and the maximal removed runs; ``starts`` are the repeated strings' positions."""
+    """Per document: what is left, and the maximal removed runs; ``starts`` are the repeated strings' rising positions."""
     kept, spans = [], []
     low = np.searchsorted(starts, block.offsets[:-1])
     high = np.searchsorted(starts, block.offsets[1:])
     for d, (lo, hi) in enumerate(zip(low, high)):
         start, end = block.offsets[d], block.offsets[d + 1]
+        if block.copies[d]:
+            kept.append(b"")
+            spans.append([{"start": 0, "end": int(end - start)}])
+            continue
         if lo == hi:
             kept.append(block.data[start:end].tobytes())
             spans.append([])
