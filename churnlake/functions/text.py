@@ -22,38 +22,12 @@ WS_RUN_RE = rf"[{WS}]+"
 NON_LETTER_RUN_RE = r"[^a-z]+"
 
 
-def normalise_text(text: Column) -> Column:
-    """lower -> drop URLs -> drop @mentions -> keep [a-z] runs separated by one space.
-
-    "non-letter -> space" followed by "collapse blanks" equals replacing every
-    run of non-[a-z] characters by one space (blanks are non-letters), so that
-    is one ASCII regex pass. Each step consumes the previous one exactly once,
-    so the expression tree never repeats a sub-expression.
-    """
-    t = F.lower(F.coalesce(text, F.lit("")))
-    t = F.regexp_replace(t, URL_RE, " ")
-    t = F.regexp_replace(t, MENTION_RE, " ")
-    return F.trim(F.regexp_replace(t, NON_LETTER_RUN_RE, " "))
-
-
 def drop_stopwords(normalised: Column, stopwords: list[str] | None = None) -> Column:
     stop = F.array(*[F.lit(w) for w in (S.STOPWORDS if stopwords is None else stopwords)])
     return F.array_join(F.filter(F.split(normalised, " "),
                                  lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), " ")
 
 
-def tokens(text: Column, stopwords: list[str] | None = None) -> Column:
-    """Cleaned tokens: stopwords and one-letter tokens removed, order kept."""
-    stop = F.array(*[F.lit(w) for w in (S.STOPWORDS if stopwords is None else stopwords)])
-    return F.filter(F.split(normalise_text(text), " "),
-                    lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
-
-
-def clean_text(text: Column, stopwords: list[str] | None = None) -> Column:
-    """The cleaned complaint string; NULL and blank input give ''."""
-    return F.array_join(tokens(text, stopwords), " ")
-
-
 def keyword_flag(text: Column, keywords: list[str]) -> Column:
     """1 when any keyword occurs as a substring of the text, else 0."""
     if not keywords:

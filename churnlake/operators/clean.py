@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import schema as S
-from churnlake.functions.columns import parse_number
+from churnlake.functions.columns import nan_to_null, parse_number
 from churnlake.operators.rank import exact_quantiles_by_column
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -34,29 +34,37 @@ def imputed_count(df: DataFrame) -> DataFrame:
                   F.count(F.lit(1)).alias("rows"))
 
 
-def dedup_first(df: DataFrame, id_col: str = S.ID_COLUMN,
-                order_cols: list[str] | None = None) -> DataFrame:
+def dedup_first(df: DataFrame, order_cols: list[str], id_col: str = S.ID_COLUMN) -> DataFrame:
     """Keep the first row per id in ``order_cols`` order (null ids form one group).
 
-    ``min(struct(order..., rest...))`` per id is a hash aggregate with
-    map-side partial aggregation, so an id holding a third of the rows is
-    reduced inside each task before the shuffle (no per-key sort).
+    The first order key of each id is found on the narrow key columns, combined in every task before the
+    shuffle, so an id with very many rows moves once per task. Full rows, texts included, are then moved once, by
+    the join with those keys; rows that share id and order key are told apart by the row of least values.
     """
     if id_col not in df.columns:
         raise ValueError(f"dedup needs the id column {id_col!r}")
-    order_cols = list(order_cols or [])
-    rest = [c for c in df.columns if c != id_col and c not in order_cols]
-    packed = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)],
-                      *[F.col(c).alias(c) for c in rest])
-    firsts = df.groupBy(id_col).agg(F.min(packed).alias("_first"))
-    names = {f"o{i}": c for i, c in enumerate(order_cols)}
-    return firsts.select(id_col, *[F.col(f"_first.{k}").alias(v) for k, v in names.items()],
-                         *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
+    if not order_cols:
+        raise ValueError("dedup needs the columns that say which row comes first")
+    keys = [f"_o{i}" for i in range(len(order_cols))]
+    first = F.struct(*[F.col(c).alias(k) for c, k in zip(order_cols, keys)])
+    firsts = df.groupBy(F.col(id_col).alias("_id")).agg(F.min(first).alias("_first")).select("_id", "_first.*")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    for c, k in zip(order_cols, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    kept = df.join(firsts, same, "left_semi")
+    rest = [c for c in df.columns if c != id_col]
+    return kept.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_row")).select(id_col, "_row.*").select(*df.columns)
+
+
+def _missing(field: T.StructField):
+    """NULL, or NaN in a fractional column."""
+    c = F.col(field.name)
+    return c.isNull() | F.isnan(c) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else c.isNull()
 
 
 def quality_shape(df: DataFrame) -> DataFrame:
     """rows, columns and total missing cells in one pass."""
-    miss = [F.sum(F.col(c).isNull().cast("long")) for c in df.columns]
+    miss = [F.sum(_missing(f).cast("long")) for f in df.schema.fields]
     total = miss[0]
     for m in miss[1:]:
         total = total + m
@@ -67,8 +75,7 @@ def quality_shape(df: DataFrame) -> DataFrame:
 
 def quality_missing(df: DataFrame) -> DataFrame:
     """(column, missing) - one aggregate, then unpivot."""
-    wide = df.agg(*[F.sum(F.col(c).isNull().cast("long")).alias(f"m{i}")
-                    for i, c in enumerate(df.columns)])
+    wide = df.agg(*[F.sum(_missing(f).cast("long")).alias(f"m{i}") for i, f in enumerate(df.schema.fields)])
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
                                          F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("missing"))
                                 for i, c in enumerate(df.columns)]))
@@ -96,7 +103,7 @@ def quality_numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
         return spark.createDataFrame([], _SUMMARY_SCHEMA)
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
+        x = nan_to_null(F.col(c).cast("double"))
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"),
                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     if not exact:

@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
-from churnlake.functions.columns import churn_label, yes_no_flag
-
-MAX_CATEGORIES = 1000
+from churnlake.functions.columns import churn_label, nan_to_null, yes_no_flag
 
 
 def encode_binary(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -52,11 +50,8 @@ class OneHot:
                                     for c in cols]))
         distinct = (df.select(pairs.alias("kv")).select("kv.col", "kv.val")
                     .where(F.col("val").isNotNull()).distinct())
-        rows = distinct.limit(MAX_CATEGORIES * len(cols) + 1).collect()
-        if len(rows) > MAX_CATEGORIES * len(cols):
-            raise ValueError("too many categories for one-hot encoding")
         cats: dict[str, list[str]] = {c: [] for c in cols}
-        for r in rows:
+        for r in distinct.collect():  # one row per output column
             cats[r["col"]].append(r["val"])
         return OneHot({c: sorted(v) for c, v in cats.items()})
 
@@ -91,9 +86,9 @@ class Scaler:
     @staticmethod
     def fit(train: DataFrame, columns: list[str] | None = None) -> "Scaler":
         cols = columns or default_scaled_columns(train)
-        row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
-                        *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]
-                        ).first()
+        values = [nan_to_null(F.col(c).cast("double")) for c in cols]
+        row = train.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)],
+                        *[F.stddev_pop(v).alias(f"s{i}") for i, v in enumerate(values)]).first()
         stats = {}
         for i, c in enumerate(cols):
             sd = row[f"s{i}"]

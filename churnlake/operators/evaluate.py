@@ -1,22 +1,31 @@
 """Evaluation over scored rows (id, y, p).
 
 Counts are conditional sums in one aggregate. Curves and AUC group rows by
-distinct score first (a hot score collapses map-side), then take running
-totals over the scores with the bucketed helper; the gains table ranks rows
-by (p desc, id) with the same helper. No step moves all rows into one task.
+distinct score first (a hot score collapses map-side), write that table once
+in score order, and take running totals and class totals from its ranges; the gains table
+ranks rows by (p desc, id) in the same way. No step moves all rows into one task.
+
+One rule for incomplete rows: a row without a label or without a score (NULL or
+NaN) has no part in any count, curve or area.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
-from churnlake.operators.rank import Key, running_totals
+from churnlake.operators.rank import Key, range_count, range_stats, ranged, totals_of
+from churnlake.session import materialize
 
 THRESHOLD_GRID = [round(0.1 + 0.05 * i, 2) for i in range(17)]  # .10 .. .90
 
 
+def complete(scored: DataFrame) -> DataFrame:
+    """Rows with a label and a score."""
+    return scored.where(F.col("y").isNotNull() & F.col("p").isNotNull() & ~F.isnan("p"))
+
+
 def apply_threshold(scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD) -> DataFrame:
     return scored.withColumn("y_pred", (F.col("p") >= threshold).cast("int"))
 
@@ -34,9 +43,8 @@ def confusion_matrix(scored: DataFrame, threshold: float = S.DEFAULT_THRESHOLD,
                      by: list[str] | None = None) -> DataFrame:
     """All four cells always present (one class only still gives a 2x2)."""
     cells = _cells(threshold)
-    aggs = [v.alias(k) for k, v in cells.items()]
-    g = scored.groupBy(*by) if by else scored
-    out = g.agg(*aggs)
+    rows = complete(scored)
+    out = (rows.groupBy(*by) if by else rows).agg(*[v.alias(k) for k, v in cells.items()])
     n = F.greatest(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"), F.lit(1))
     return out.select(*(by or []), "tn", "fp", "fn", "tp",
                       *[F.round(100.0 * F.col(k) / n, 6).alias(f"{k}_pct") for k in cells])
@@ -95,7 +103,7 @@ def threshold_metrics(scored: DataFrame, thresholds: list[float] | None = None)
     for i, t in enumerate(ts):
         for k, v in _cells(t).items():
             aggs.append(v.alias(f"{k}_{i}"))
-    wide = scored.agg(*aggs)
+    wide = complete(scored).agg(*aggs)
     arr = F.array(*[F.struct(F.lit(float(t)).alias("threshold"),
                              *[F.col(f"{k}_{i}").alias(k) for k in ("tn", "fp", "fn", "tp")])
                     for i, t in enumerate(ts)])
@@ -111,24 +119,23 @@ def score_table(scored: DataFrame, by: str | None = None) -> DataFrame:
     cum_* are inclusive counts of rows with score >= p (within the model).
     """
     keys = ([by] if by else []) + ["p"]
-    g = scored.groupBy(*keys).agg(F.sum("y").cast("long").alias("pos"),
-                                  F.sum(1 - F.col("y")).cast("long").alias("neg"))
+    g = materialize(complete(scored).groupBy(*keys).agg(
+        F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg")), "scores")
     order = ([Key(by)] if by else []) + [Key("p", False)]
-    rt = running_totals(g, order, ["pos", "neg"], position=None)
-    tot_cols = [F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")]
-    if by:
-        totals = g.groupBy(by).agg(*tot_cols)
-        # base = counts of the models before this one in the order (tiny: one row per model)
-        base = totals.select(by, F.coalesce(F.sum("n_pos").over(Window.orderBy(by).rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("base_pos"),
-            F.coalesce(F.sum("n_neg").over(Window.orderBy(by).rowsBetween(
-                Window.unboundedPreceding, -1)), F.lit(0)).alias("base_neg"), "n_pos", "n_neg")
-        rt = rt.join(F.broadcast(base), by)
-        return rt.select(by, "p", "pos", "neg",
-                         (F.col("cum_pos") - F.col("base_pos")).alias("cum_pos"),
-                         (F.col("cum_neg") - F.col("base_neg")).alias("cum_neg"), "n_pos", "n_neg")
-    totals = g.agg(*tot_cols)
-    return rt.crossJoin(F.broadcast(totals))  # one-row totals
+    stored = ranged(g, order, range_count(g.count()))
+    if not by:
+        stats = range_stats(stored, ["pos", "neg"])
+        n_pos, n_neg = (sum(r[f"_s_{v}"] or 0 for r in stats) for v in ("pos", "neg"))
+        return totals_of(stored, g.columns, order, ["pos", "neg"], stats=stats).withColumns(
+            {"n_pos": F.lit(n_pos).cast("long"), "n_neg": F.lit(n_neg).cast("long")})
+    rt = totals_of(stored, g.columns, order, ["pos", "neg"])
+    # the first score of a model tells what all models before it hold
+    base = rt.groupBy(by).agg(F.min(F.col("cum_pos") - F.col("pos")).alias("base_pos"),
+                              F.min(F.col("cum_neg") - F.col("neg")).alias("base_neg"),
+                              F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return rt.join(base, by).select(by, "p", "pos", "neg",
+                                    (F.col("cum_pos") - F.col("base_pos")).alias("cum_pos"),
+                                    (F.col("cum_neg") - F.col("base_neg")).alias("cum_neg"), "n_pos", "n_neg")
 
 
 def roc_auc(scored: DataFrame, by: str | None = None) -> DataFrame:
@@ -198,35 +205,39 @@ def pr_auc(scored: DataFrame, by: str | None = None) -> DataFrame:
 
 def calibration_curve(scored: DataFrame, n_bins: int = 10) -> DataFrame:
     """Uniform bins (a, b] (0 in the first), empty bins dropped; mean p and mean y."""
-    edges = [i * (1.0 + 1e-8) / n_bins for i in range(1, n_bins)]
+    edges = [i * (1.0 / n_bins) for i in range(1, n_bins)]
     b = F.lit(n_bins - 1)
     for i in reversed(range(len(edges))):
         b = F.when(F.col("p") <= F.lit(edges[i]), F.lit(i)).otherwise(b)
-    return (scored.withColumn("bin", b).groupBy("bin")
+    return (complete(scored).withColumn("bin", b).groupBy("bin")
             .agg(F.round(F.avg("p"), 6).alias("mean_predicted"),
                  F.round(F.avg(F.col("y").cast("double")), 6).alias("fraction_positive"),
                  F.count(F.lit(1)).alias("count")))
 
 
 def gains_table(scored: DataFrame, n_bins: int = 10, id_col: str = "id") -> DataFrame:
-    """Cumulative gains: rows sorted by p desc (id breaks ties), decile of the
-    0-based position i is max(ceil(n*i/(N-1)) - 1, 0) (quantile bins over the
+    """Cumulative gains, one row per decile, empty deciles too: rows sorted by p desc (id breaks
+    ties), decile of the 0-based position i is max(ceil(n*i/(N-1)) - 1, 0) (quantile bins over the
     index), then churners captured through each decile."""
-    ranked = running_totals(scored.select(id_col, "y", "p"), [Key("p", False), Key(id_col)], ["y"])
-    totals = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("n_churners"))
+    rows = complete(scored).select(id_col, "y", "p")
+    stored = ranged(rows, [Key("p", False), Key(id_col)], range_count(rows.count()))
+    stats = range_stats(stored, ["y"])
+    n, churners = sum(r["_n"] for r in stats), sum(r["_s_y"] or 0 for r in stats)
+    ranked = totals_of(stored, ["y"], [Key("p", False), Key(id_col)], ["y"], position="pos", stats=stats)
     i = F.col("pos") - 1
-    n = F.col("n_rows")
-    dec = F.when(n <= 1, F.lit(0)).otherwise(
-        F.greatest(F.floor((i * n_bins + n - 2) / (n - 1)) - 1, F.lit(0))).cast("int")
-    per = (ranked.crossJoin(F.broadcast(totals)).withColumn("decile", dec)
-           .groupBy("decile", "n_rows", "n_churners")
-           .agg(F.count(F.lit(1)).alias("customers"), F.max("cum_y").alias("churners_cum")))
-    cap = F.try_divide(F.col("churners_cum").cast("double"), F.col("n_churners"))
+    decile = F.lit(0) if n <= 1 else F.greatest(F.floor((i * n_bins + n - 2) / (n - 1)) - 1, F.lit(0))
+    per = ranked.groupBy(decile.cast("int").alias("decile")).agg(F.count(F.lit(1)).alias("customers"), F.sum("y").alias("y"))
+    found = {r["decile"]: (r["customers"], r["y"]) for r in per.collect()}  # at most n_bins rows
+    out, cum = [], 0
+    for d in range(n_bins):
+        customers, y = found.get(d, (0, 0))
+        cum += y
+        out.append((d, customers, cum))
+    table = scored.sparkSession.createDataFrame(out, "decile int, customers long, churners_cum long")
+    cap = F.try_divide(F.col("churners_cum").cast("double"), F.lit(churners))
     x = (F.col("decile") + 1) / F.lit(float(n_bins))
-    return per.select("decile", "customers", F.col("churners_cum").cast("long").alias("churners_cum"),
-                      F.round(x, 6).alias("pct_customers"),
-                      F.round(cap, 6).alias("pct_churners_captured"),
-                      F.round(cap / x, 6).alias("lift"))
+    return table.select("decile", "customers", "churners_cum", F.round(x, 6).alias("pct_customers"),
+                        F.round(cap, 6).alias("pct_churners_captured"), F.round(cap / x, 6).alias("lift"))
 
 
 def lift_by_decile(scored: DataFrame, n_bins: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
-from churnlake.functions.columns import churn_label
+from churnlake.functions.columns import churn_label, nan_to_null
 
 
 def _y(df: DataFrame, target: str) -> Column:
@@ -21,6 +21,7 @@ def churn_rate_by_feature(df: DataFrame, feature: str, target: str = S.TARGET_CO
             .groupBy(F.col(feature).alias("value"))
             .agg(F.round(F.avg(_y(df, target)) * 100.0, 6).alias("churn_rate"),
                  F.count(F.lit(1)).alias("customers"))
+            .orderBy(F.desc("churn_rate"), F.col("value"))
             .select(F.col("value").cast("string").alias(feature), "churn_rate", "customers"))
 
 
@@ -44,7 +45,7 @@ def overall_churn_rate(df: DataFrame, target: str = S.TARGET_COLUMN) -> DataFram
 
 def histogram_by_class(df: DataFrame, features: list[str], target: str = S.TARGET_COLUMN,
                        bins: int = 30, classes: list[int] | None = (0, 1)) -> DataFrame:
-    """Equal-width counts per (feature, class) with that class's own min/max.
+    """Equal-width counts per (feature, class) with that class's own min/max, empty bins included.
 
     Last bin is closed; min == max widens the range by 0.5 each side. Several
     features are unpivoted first, so one aggregate serves all of them. The
@@ -67,9 +68,9 @@ def histogram_by_class(df: DataFrame, features: list[str], target: str = S.TARGE
     joined = long.join(F.broadcast(rng), ["feature", "cls"])
     b = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                 F.lit(bins - 1)).cast("int")
-    out = (joined.withColumn("bin", b)
-           .groupBy("feature", "cls", "bin", "lo", "hi")
-           .agg(F.count(F.lit(1)).alias("count")))
+    counts = joined.withColumn("bin", b).groupBy("feature", "cls", "bin").agg(F.count(F.lit(1)).alias("count"))
+    every = rng.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = every.join(counts, ["feature", "cls", "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     return out.select("feature", F.col("cls").alias("churn"), "bin",
                       F.round(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins, 6).alias("bin_start"),
                       F.round(F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins, 6).alias("bin_end"),
@@ -86,8 +87,8 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     pairs = list(combinations(cols, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, r double")
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-                    for i, (a, b) in enumerate(pairs)])
+    value = {c: nan_to_null(F.col(c).cast("double")) for c in cols}
+    wide = df.agg(*[F.corr(value[a], value[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.explode(F.array(*[F.struct(F.lit(b).alias("feature_a"), F.lit(a).alias("feature_b"),
                                         F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
     return wide.select(rows.alias("p")).select("p.feature_a", "p.feature_b",

@@ -1,19 +1,12 @@
 """Distributed running totals and exact order statistics.
 
-``Window.orderBy`` without a partition moves every row into one task. Here a
-total order is cut into range buckets instead:
-
-1. sample the order key (bounded sample, sorted by Spark), pick ``B-1`` cut
-   tuples; because cuts are whole key tuples, a single hot primary value is
-   split by the tie-break columns;
-2. bucket = position of the row among the cuts, a balanced CASE tree of
-   depth log2(B) - a deterministic function of the row, so recomputation on a
-   lost executor gives the same bucket;
-3. per-bucket counts/sums (at most B rows) -> exclusive offsets -> joined back
-   by broadcast (B rows, bounded by the bucket count);
-4. ``Window.partitionBy(bucket).orderBy(key)`` running sums + offset.
-
-Results are exact; the sample only affects balance.
+``Window.orderBy`` without a partition moves every row into one task. Here the rows are
+range-partitioned by Spark on the whole order key and written once to the shared folder, with the
+number of the range stored in each row. Per-range counts and sums give the offsets of the
+ranges; a window inside each range adds the rest. The key includes the tie-break columns, so a
+single hot value is spread over ranges; NULL keys are ordered by Spark, first when ascending.
+
+The number of ranges follows the row count alone, and every size takes the same route.
 """
 
 from __future__ import annotations
@@ -25,11 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnlake.session import shuffle_partitions
+from churnlake.session import materialize
 
-MAX_BUCKETS = 4096
-MIN_ROWS_PER_BUCKET = 2000
-SAMPLE_PER_BUCKET = 40
+ROWS_PER_RANGE = 200_000
+MIN_RANGES = 4
 
 
 @dataclass(frozen=True)
@@ -39,234 +31,124 @@ class Key:
 
 
 def _keys(order) -> list[Key]:
-    out = []
-    for k in order:
-        if isinstance(k, Key):
-            out.append(k)
-        elif isinstance(k, tuple):
-            out.append(Key(k[0], k[1]))
-        else:
-            out.append(Key(k, True))
-    return out
+    return [k if isinstance(k, Key) else Key(*k) if isinstance(k, tuple) else Key(k) for k in order]
 
 
 def _sort_cols(keys: list[Key]) -> list[Column]:
-    return [F.col(k.name).asc() if k.ascending else F.col(k.name).desc() for k in keys]
-
-
-def _row_before_cut(keys: list[Key], cut: tuple) -> Column:
-    """Row strictly before ``cut`` in the total order (lexicographic)."""
-    expr = None
-    for i in reversed(range(len(keys))):
-        k, v = keys[i], F.lit(cut[i])
-        c = F.col(k.name)
-        strict = c < v if k.ascending else c > v
-        if expr is None:
-            expr = strict
-        else:
-            expr = strict | ((c == v) & expr)
-    return expr
-
-
-def _row_at_or_before_cut(keys: list[Key], cut: tuple) -> Column:
-    eq = None
-    for k, v in zip(keys, cut):
-        e = F.col(k.name) == F.lit(v)
-        eq = e if eq is None else eq & e
-    return _row_before_cut(keys, cut) | eq
-
-
-def _bucket_expr(keys: list[Key], cuts: list[tuple]) -> Column:
-    """Bucket b holds rows with cuts[b-1] < row <= cuts[b] (balanced tree)."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_row_at_or_before_cut(keys, cuts[mid]), build(lo, mid)).otherwise(
-            build(mid + 1, hi))
-
-    return build(0, len(cuts))
-
-
-def choose_cuts(df: DataFrame, keys: list[Key], n_rows: int, buckets: int,
-                seed: int = 17) -> list[tuple]:
-    if buckets <= 1 or n_rows == 0:
-        return []
-    want = buckets * SAMPLE_PER_BUCKET
-    frac = min(1.0, want / n_rows)
-    sample = (df.select(*[k.name for k in keys]).sample(False, frac, seed)
-              .orderBy(*_sort_cols(keys)).collect())
-    if not sample:
-        return []
-    cuts, last = [], None
-    for i in range(1, buckets):
-        t = tuple(sample[min(len(sample) - 1, (i * len(sample)) // buckets)])
-        if t != last:
-            cuts.append(t)
-            last = t
-    return cuts
+    return [F.col(k.name).asc_nulls_first() if k.ascending else F.col(k.name).desc_nulls_last() for k in keys]
+
+
+def range_count(n_rows: int) -> int:
+    return max(MIN_RANGES, math.ceil(n_rows / ROWS_PER_RANGE))
+
+
+def ranged(df: DataFrame, order, ranges: int) -> DataFrame:
+    """``df`` range-partitioned along ``order`` and written, with the range's number in ``_range``."""
+    split = df.repartitionByRange(ranges, *_sort_cols(_keys(order)))
+    return materialize(split.withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _with_offsets(stored: DataFrame, values: list[str], stats: list | None = None) -> DataFrame:
+    """``stored`` joined with the count and sums of all earlier ranges (one row per range)."""
+    stats = stats or range_stats(stored, values)
+    types = {f.name: f.dataType for f in stored.schema.fields}
+    zero = {v: 0 if isinstance(_sum_type(types[v]), T.LongType) else 0.0 for v in values}
+    rows, n, sums = [], 0, dict(zero)
+    for r in stats:
+        rows.append((r["_range"], n, *sums.values()))
+        n += r["_n"]
+        sums = {v: sums[v] + (r[f"_s_{v}"] or zero[v]) for v in values}
+    schema = T.StructType([T.StructField("_range", T.IntegerType()), T.StructField("_off_n", T.LongType()),
+                           *[T.StructField(f"_off_{v}", _sum_type(types[v])) for v in values]])
+    return stored.join(F.broadcast(stored.sparkSession.createDataFrame(rows, schema)), "_range")
+
+
+def range_stats(stored: DataFrame, values: list[str]) -> list:
+    """Rows (_range, _n, _s_value...) in range order."""
+    return (stored.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
+            .orderBy("_range").collect())
 
 
 def running_totals(df: DataFrame, order, values: list[str], *, prefix: str = "cum_",
                    position: str | None = "pos", buckets: int | None = None,
                    n_rows: int | None = None) -> DataFrame:
     """Append inclusive running sums of ``values`` (and a 1-based ``position``)
-    along ``order``. The order key must be unique and non-null.
+    along ``order``, whose keys together are unique per row.
     """
-    keys = _keys(order)
-    spark = df.sparkSession
-    n = df.count() if n_rows is None else n_rows
-    b = buckets or min(MAX_BUCKETS, max(1, shuffle_partitions(spark)),
-                       max(1, math.ceil(n / MIN_ROWS_PER_BUCKET)))
-    cuts = choose_cuts(df, keys, n, b)
-    bucketed = df.withColumn("_bkt", _bucket_expr(keys, cuts) if cuts else F.lit(0))
-    w = (Window.partitionBy("_bkt").orderBy(*_sort_cols(keys))
+    ranges = buckets or range_count(df.count() if n_rows is None else n_rows)
+    stored = ranged(df, order, ranges)
+    return totals_of(stored, df.columns, order, values, prefix=prefix, position=position)
+
+
+def totals_of(stored: DataFrame, columns: list[str], order, values: list[str], *, prefix: str = "cum_",
+              position: str | None = None, stats: list | None = None) -> DataFrame:
+    """Running totals over a table that ``ranged`` wrote in the same order."""
+    w = (Window.partitionBy("_range").orderBy(*_sort_cols(_keys(order)))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if not cuts:
-        # one bucket (at most MIN_ROWS_PER_BUCKET rows): every offset is 0, no stats job, no join
-        return bucketed.select(
-            *[F.col(c) for c in df.columns],
-            *[F.sum(v).over(w).cast(_sum_type(df.schema[v].dataType)).alias(f"{prefix}{v}") for v in values],
-            *([F.row_number().over(w).cast("long").alias(position)] if position else []))
-
-    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(v).alias(f"_s_{v}") for v in values]
-    stats = bucketed.groupBy("_bkt").agg(*aggs).orderBy("_bkt").collect()  # <= len(cuts)+1 rows
-    rows, run_n, run = [], 0, {v: 0 for v in values}
-    for r in stats:
-        rows.append((int(r["_bkt"]), run_n, *[run[v] for v in values]))
-        run_n += int(r["_n"])
-        for v in values:
-            run[v] = run[v] + (r[f"_s_{v}"] or 0)
-    val_types = {f.name: f.dataType for f in df.schema.fields}
-    off_schema = T.StructType(
-        [T.StructField("_bkt", T.IntegerType()), T.StructField("_off_n", T.LongType())]
-        + [T.StructField(f"_off_{v}", _sum_type(val_types[v])) for v in values])
-    offsets = spark.createDataFrame(rows, off_schema)
-
-    out = bucketed.join(F.broadcast(offsets), "_bkt", "left")
-    cols = [F.col(f"_off_{v}") + F.sum(v).over(w) for v in values]
-    out = out.select(
-        *[F.col(c) for c in df.columns],
-        *[c.alias(f"{prefix}{v}") for c, v in zip(cols, values)],
+    return _with_offsets(stored, values, stats).select(
+        *columns,
+        *[(F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0))).alias(f"{prefix}{v}") for v in values],
         *([(F.col("_off_n") + F.row_number().over(w)).alias(position)] if position else []))
-    return out
 
 
 def _sum_type(t: T.DataType) -> T.DataType:
-    if isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType)):
-        return T.LongType()
-    return T.DoubleType()
-
-
-def _value_counts(df: DataFrame, col: str) -> DataFrame:
-    return (df.select(F.col(col).cast("double").alias("v"))
-            .where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy("v").agg(F.count(F.lit(1)).alias("w")))
+    integral = (T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.BooleanType)
+    return T.LongType() if isinstance(t, integral) else T.DoubleType()
 
 
-def exact_order_statistics(df: DataFrame, col: str, ranks: list[int],
-                           counts: DataFrame | None = None) -> dict[int, float]:
-    """Values at 0-based ranks of the sorted non-null column, exact and distributed.
+def exact_quantiles_by_column(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list]:
+    """Linearly interpolated quantiles (the pandas/numpy default) of several columns, exact.
 
-    Values are counted per distinct value first (hot values collapse on the
-    map side); that small table is cached for the few passes of the running
-    count and released at the end; only the matching distinct values (at
-    most one per rank) reach the driver.
+    Values are counted per distinct (column, value), so hot values collapse on the map side; the counts
+    are range-partitioned on (column, value) once. The range totals tell in which ranges the wanted
+    positions lie; only the two values around each position reach the driver. NULL and NaN are left out.
     """
-    vals = (counts if counts is not None else _value_counts(df, col)).cache()
-    try:
-        n_distinct = vals.count()
-        ranked = running_totals(vals, [Key("v")], ["w"], position=None, n_rows=n_distinct)
-        cond = None
-        for r in set(ranks):
-            e = (F.col("cum_w") - F.col("w") <= r) & (F.lit(r) < F.col("cum_w"))
-            cond = e if cond is None else cond | e
-        found = ranked.where(cond).select("v", "w", "cum_w").collect()
-    finally:
-        vals.unpersist()
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
+                                for i, c in enumerate(cols)]))
+    counts = materialize(df.select(pairs.alias("kv")).select("kv.c", "kv.v")
+                         .where(F.col("v").isNotNull() & ~F.isnan("v"))
+                         .groupBy("c", "v").agg(F.count(F.lit(1)).alias("w")), "value-counts")
+    totals = {r["c"]: (r["n"], r["k"]) for r in
+              counts.groupBy("c").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
+    wanted, before = {}, 0
+    for i in range(len(cols)):
+        n = totals.get(i, (0, 0))[0]
+        for q in probs if n else ():
+            h = (n - 1) * q
+            wanted[i, q] = (h, before + math.floor(h), before + math.ceil(h))
+        before += n
+    places = sorted({p for _, lo, hi in wanted.values() for p in (lo, hi)})
+    values = _values_at(counts, [Key("c"), Key("v")], places, sum(k for _, k in totals.values()))
     out = {}
-    for r in ranks:
-        for row in found:
-            if row["cum_w"] - row["w"] <= r < row["cum_w"]:
-                out[r] = row["v"]
+    for i, c in enumerate(cols):
+        out[c] = []
+        for q in probs:
+            if (i, q) not in wanted:
+                out[c].append(None)
+                continue
+            h, lo, hi = wanted[i, q]
+            a, b, t = values[lo], values[hi], h - math.floor(h)
+            out[c].append(a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t))
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
-    """Linearly interpolated quantiles (the pandas/numpy default), exact."""
-    counts = _value_counts(df, col).cache()
-    total = counts.agg(F.sum("w")).first()[0]
-    if not total:
-        counts.unpersist()
-        return [None for _ in probs]
-    plan = []
-    for q in probs:
-        h = (total - 1) * q
-        plan.append((h, math.floor(h), math.ceil(h)))
-    stats = exact_order_statistics(df, col, sorted({r for _, lo, hi in plan for r in (lo, hi)}), counts)
-    out = []
-    for h, lo, hi in plan:
-        a, b, t = stats[lo], stats[hi], h - lo
-        diff = b - a
-        out.append(a + diff * t if t < 0.5 else b - diff * (1 - t))
-    return out
+def _values_at(counts: DataFrame, order: list[Key], places: list[int], n_rows: int) -> dict[int, float]:
+    """The value v at each 0-based place of the order, from weighted distinct values (columns v, w)."""
+    if not places:
+        return {}
+    ranked = running_totals(counts, order, ["w"], position=None, n_rows=n_rows)
+    hit = F.exists(F.array(*[F.lit(p) for p in places]),
+                   lambda p: (F.col("cum_w") - F.col("w") <= p) & (p < F.col("cum_w")))
+    found = ranked.where(hit).select("v", "w", "cum_w").collect()
+    return {p: next(r["v"] for r in found if r["cum_w"] - r["w"] <= p < r["cum_w"]) for p in places}
 
 
-def exact_quantiles_by_column(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list]:
-    """Exact quantiles of several columns from ONE running count.
+def exact_order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """Values at 0-based ranks of the sorted column without NULL and NaN."""
+    counts = materialize(df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+                         .groupBy("v").agg(F.count(F.lit(1)).alias("w")), "value-counts")
+    return _values_at(counts, [Key("v")], sorted(set(ranks)), counts.count())
 
-    (column, value) pairs are counted per distinct pair; the running count
-    over (column, value) restarts per column by subtracting the column's
-    offset (a tiny per-column total).
-    """
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
-                                for i, c in enumerate(cols)]))
-    counts = (df.select(pairs.alias("kv")).select("kv.c", "kv.v")
-              .where(F.col("v").isNotNull() & ~F.isnan("v"))
-              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("w"))).cache()
-    try:
-        totals = {r["c"]: (int(r["n"]), int(r["k"])) for r in
-                  counts.groupBy("c").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
-        offsets, run = {}, 0
-        for i in range(len(cols)):
-            offsets[i] = run
-            run += totals.get(i, (0, 0))[0]
-        ranked = running_totals(counts, [Key("c"), Key("v")], ["w"], position=None,
-                                n_rows=sum(k for _, k in totals.values()))
-        plans, cond = {}, None
-        for i in range(len(cols)):
-            n = totals.get(i, (0, 0))[0]
-            if not n:
-                continue
-            plans[i] = []
-            for q in probs:
-                h = (n - 1) * q
-                plans[i].append((h, math.floor(h), math.ceil(h)))
-                for r in {math.floor(h), math.ceil(h)}:
-                    g = r + offsets[i]
-                    e = (F.col("c") == i) & (F.col("cum_w") - F.col("w") <= g) & (F.lit(g) < F.col("cum_w"))
-                    cond = e if cond is None else cond | e
-        found = ranked.where(cond).select("c", "v", "w", "cum_w").collect() if cond is not None else []
-    finally:
-        counts.unpersist()
-
-    def at(i: int, r: int) -> float:
-        g = r + offsets[i]
-        for row in found:
-            if row["c"] == i and row["cum_w"] - row["w"] <= g < row["cum_w"]:
-                return row["v"]
-        raise RuntimeError("order statistic not found")
 
-    out = {}
-    for i, c in enumerate(cols):
-        if i not in plans:
-            out[c] = [None for _ in probs]
-            continue
-        vals = []
-        for h, lo, hi in plans[i]:
-            a, b, t = at(i, lo), at(i, hi), h - lo
-            diff = b - a
-            vals.append(a + diff * t if t < 0.5 else b - diff * (1 - t))
-        out[c] = vals
-    return out
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> list[float | None]:
+    return exact_quantiles_by_column(df, [col], probs)[col]

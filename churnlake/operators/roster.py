@@ -24,11 +24,12 @@ def high_risk_roster(df: DataFrame, p_col: str = "p", top_n: int = 20,
             .orderBy(F.desc("churn_probability"), F.asc(id_col)).limit(top_n))
 
 
-def roster_for_split(df: DataFrame, probabilities: DataFrame, id_col: str = S.ID_COLUMN,
+def roster_for_split(df: DataFrame, p_col: str = "p", top_n: int | None = None, id_col: str = S.ID_COLUMN,
                      text_col: str = "complaint_text", preview_chars: int = 60) -> DataFrame:
-    """Display attributes joined to scores on the key (never by position)."""
+    """Display attributes and tier of scored rows, highest risk first, cut to ``top_n`` (all rows if None)."""
     cols = [c for c in S.ROSTER_COLUMNS if c in df.columns and c != id_col]
     text = F.col(text_col) if text_col in df.columns else F.lit("")
-    attrs = df.select(id_col, *cols, F.substring(F.coalesce(text, F.lit("")), 1, preview_chars)
-                      .alias("complaint_preview"))
-    return risk_tier(attrs.join(probabilities, id_col), "p").drop("p")
+    rows = risk_tier(df, p_col).select(
+        id_col, *cols, F.substring(F.coalesce(text, F.lit("")), 1, preview_chars).alias("complaint_preview"),
+        "churn_probability", "risk_tier").orderBy(F.desc("churn_probability"), F.asc(id_col))
+    return rows if top_n is None else rows.limit(top_n)

@@ -7,6 +7,8 @@ reproducible, independent of partitioning and checkable.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,44 +22,62 @@ def key_hash(id_col: str = S.ID_COLUMN, seed: int = S.SEED) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def _ranked_within_class(df: DataFrame, target: str, id_col: str, seed: int) -> DataFrame:
-    """0-based position of each row inside its class in (hash, id) order, plus class size.
+HASH_BITS = 60
+STEP_BITS = 12
+
+
+def class_cuts(df: DataFrame, wanted, target: str, id_col: str, seed: int) -> dict:
+    """Per class (NULL is a class): the (hash, id) of its ``wanted(class size)``-th row in (hash, id) order.
 
-    One running count over (class, hash, id); class sizes are a tiny grouped
-    count (one row per class) whose offsets become literals.
+    The place is found by counting: rows per leading hash bits, then again inside the one group that holds the place,
+    until the hash is known; only then are ids looked at, those of that one hash. Every round reads
+    the id and the label and moves a few thousand counts; no row is sorted or shuffled.
     """
-    base = df.withColumn("_y", churn_label(F.col(target))).withColumn("_h", key_hash(id_col, seed))
-    sizes = sorted(((r["_y"], r["n"]) for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()),
-                   key=lambda t: (t[0] is not None, t[0] if t[0] is not None else 0))  # nulls first, as the sort
-    start, starts = 0, {}
-    for cls, n in sizes:
-        starts[cls] = (start, n)
-        start += n
-    n_total = start
-    ranked = running_totals(base, [Key("_y"), Key("_h"), Key(id_col)], [], position="_pos", n_rows=n_total)
-    start_col, size_col = F.lit(None).cast("long"), F.lit(None).cast("long")
-    for cls, (st, n) in starts.items():
-        hit = F.col("_y").isNull() if cls is None else F.col("_y") == F.lit(cls)
-        start_col = F.when(hit, F.lit(st)).otherwise(start_col)
-        size_col = F.when(hit, F.lit(n)).otherwise(size_col)
-    return ranked.withColumn("_class_n", size_col).withColumn("_rank", F.col("_pos") - 1 - start_col)
+    rows = df.select(churn_label(F.col(target)).alias("y"), key_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"))
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    left = {y: wanted(n) for y, n in sizes.items() if wanted(n) > 0}
+    prefix = {y: 0 for y in left}
+    for done in range(STEP_BITS, HASH_BITS + 1, STEP_BITS):
+        part = rows.filter(_in_prefix(prefix, done - STEP_BITS)).groupBy(
+            "y", F.shiftright("h", HASH_BITS - done).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        for r in sorted(part.collect(), key=lambda r: r["p"]):
+            y = r["y"]
+            if r["p"] >> STEP_BITS == prefix[y] and left[y] > 0:
+                if left[y] > r["n"]:
+                    left[y] -= r["n"]
+                else:
+                    prefix[y], left[y] = r["p"], -left[y]
+        left = {y: -k for y, k in left.items()}
+    ids: dict = {}
+    for r in rows.filter(_in_prefix(prefix, HASH_BITS)).select("y", "id").collect():
+        ids.setdefault(r["y"], []).append(r["id"])
+    return {y: (prefix[y], sorted(ids[y], key=lambda i: (i is not None, i))[left[y] - 1]) for y in prefix}
+
+
+def _in_prefix(prefix: dict, bits: int) -> Column:
+    hit = F.lit(False)
+    for y, p in prefix.items():
+        hit = hit | (F.col("y").eqNullSafe(F.lit(y)) & (F.shiftright("h", HASH_BITS - bits) == F.lit(p)))
+    return hit
 
 
 def stratified_split(df: DataFrame, target: str = S.TARGET_COLUMN, test_size: float = 0.2,
                      id_col: str = S.ID_COLUMN, seed: int = S.SEED, exact: bool = True) -> DataFrame:
     """Adds ``split`` ('train'/'test').
 
-    exact: per class the round(n_c * test_size) rows first in hash order go to
-    test (class sizes are hit exactly). Otherwise a hash threshold with no
-    shuffle at all (class rates within sampling error).
+    exact: per class (NULL labels are one) the round(n_c * test_size) rows first in hash order go to
+    test; each row is compared with its class's cut where it stands. Otherwise a hash threshold with
+    no pass before (class rates within sampling error). Rows that repeat an id at the cut go the same way.
     """
+    h = key_hash(id_col, seed)
     if not exact:
-        u = key_hash(id_col, seed) / F.lit(float(1 << 60))
-        return df.withColumn("split", F.when(u < test_size, "test").otherwise("train"))
-    r = _ranked_within_class(df, target, id_col, seed)
-    k = F.floor(F.col("_class_n") * test_size + 0.5)
-    out = r.withColumn("split", F.when(F.col("_rank") < k, F.lit("test")).otherwise(F.lit("train")))
-    return out.drop("_y", "_h", "_pos", "_class_n", "_rank")
+        return df.withColumn("split", F.when(h / F.lit(float(1 << HASH_BITS)) < test_size, "test").otherwise("train"))
+    test = F.lit(False)
+    for y, (cut, last) in class_cuts(df, lambda n: math.floor(n * test_size + 0.5), target, id_col, seed).items():
+        here = churn_label(F.col(target)).eqNullSafe(F.lit(y))
+        upto = F.coalesce(F.col(id_col) <= F.lit(last), F.col(id_col).isNull())
+        test = test | (here & ((h < F.lit(cut)) | ((h == F.lit(cut)) & upto)))
+    return df.withColumn("split", F.when(F.coalesce(test, F.lit(False)), F.lit("test")).otherwise(F.lit("train")))
 
 
 def split_report(split_df: DataFrame, target: str = S.TARGET_COLUMN) -> DataFrame:
@@ -73,7 +93,12 @@ def row_sample(df: DataFrame, n: int, id_col: str = S.ID_COLUMN, seed: int = S.S
 
 def cv_folds(df: DataFrame, k: int = 5, target: str = S.TARGET_COLUMN, id_col: str = S.ID_COLUMN,
              seed: int = S.SEED) -> DataFrame:
-    """Stratified fold id: position within class (hash order) modulo k."""
-    r = _ranked_within_class(df, target, id_col, seed)
-    return (r.withColumn("fold", (F.col("_rank") % k).cast("int"))
-            .drop("_y", "_h", "_pos", "_class_n", "_rank"))
+    """Stratified fold id: position within class (hash order, NULL labels first) modulo k."""
+    base = df.withColumn("_y", churn_label(F.col(target))).withColumn("_h", key_hash(id_col, seed))
+    sizes = {r["_y"]: r["n"] for r in base.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked = running_totals(base, [Key("_y"), Key("_h"), Key(id_col)], [], position="_pos", n_rows=sum(sizes.values()))
+    before, start = 0, F.lit(0)
+    for y in sorted(sizes, key=lambda y: (y is not None, y)):
+        start = F.when(F.col("_y").eqNullSafe(F.lit(y)), F.lit(before)).otherwise(start)
+        before += sizes[y]
+    return ranked.withColumn("fold", ((F.col("_pos") - 1 - start) % k).cast("int")).drop("_y", "_h", "_pos")

@@ -27,17 +27,13 @@ def filter_customers(df: DataFrame, network_qualities: list[int], tenure_range:
 
 
 def filter_bounds(df: DataFrame) -> DataFrame:
-    """Sorted distinct network qualities and min/max of tenure and charges (one pass).
+    """Sorted distinct network qualities (integers) and min/max of tenure and charges, from one aggregate.
 
-    Distinct qualities are grouped first (a handful of values), so no set is
-    built over rows.
+    The set holds the domain of a slider, a handful of values.
     """
-    nq = df.groupBy("network_quality").agg(F.count(F.lit(1)).alias("_n"))
-    qualities = nq.agg(F.array_join(F.sort_array(F.collect_list(F.col("network_quality").cast("string"))),
-                                    ",").alias("network_qualities"))
-    bounds = df.agg(F.min("tenure").alias("tenure_min"), F.max("tenure").alias("tenure_max"),
-                    F.min("MonthlyCharges").alias("charges_min"), F.max("MonthlyCharges").alias("charges_max"))
-    return qualities.crossJoin(bounds)
+    return df.agg(F.sort_array(F.collect_set(F.col("network_quality").cast("int"))).alias("network_qualities"),
+                  F.min("tenure").alias("tenure_min"), F.max("tenure").alias("tenure_max"),
+                  F.min("MonthlyCharges").alias("charges_min"), F.max("MonthlyCharges").alias("charges_max"))
 
 
 def filtered_count(df: DataFrame, predicate) -> DataFrame:

@@ -125,11 +125,6 @@ def term_frequency(df: DataFrame, text_col: str = CLEAN_COL, top_n: int = 80) ->
 
 # ---------------------------------------------------------------- TF-IDF
 
-def _ngram_at(n: int):
-    # one-argument lambda: a second parameter would receive the element index
-    return lambda i: F.array_join(F.slice(F.col("t"), i, n), " ")
-
-
 def _tokens(text_col: str):
     return F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), " "), lambda w: w != "")
 
@@ -156,19 +151,15 @@ def _ngram_of(t, n: int):
     return lambda i: F.array_join(F.slice(t, i, n), " ")
 
 
-def _doc_terms(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
-    """(id, term) for every uni- and bigram occurrence of each document."""
-    base = df.select(F.col(id_col).alias("doc"), _tokens(text_col).alias("t"))
-    return base.select("doc", F.explode(_grams("t", ngram_max)).alias("term"))
-
-
 def term_document_counts(df: DataFrame, id_col: str, text_col: str, ngram_max: int = 2) -> DataFrame:
-    """(term, tf, df): counts per (term, document) first - a document's grams sit in one
-    row, so map-side partial aggregation already merges its repeats - then per term."""
-    per_doc = _doc_terms(df, id_col, text_col, ngram_max).groupBy("term", "doc").agg(
-        F.count(F.lit(1)).alias("c"))
-    return per_doc.groupBy("term").agg(F.sum("c").cast("long").alias("tf"),
-                                       F.count(F.lit(1)).alias("df"))
+    """(term, tf, df) from one shuffle: a document is one row, so its sorted grams show in place which
+    occurrence is the first; term counts and first occurrences are then summed per term, map-side first."""
+    grams = df.select(_tokens(text_col).alias("t")).select(F.sort_array(_grams("t", ngram_max)).alias("g"))
+    first = F.zip_with("g", F.concat(F.array(F.lit(None).cast("string")), F.col("g")),
+                       lambda a, b: F.struct(a.alias("term"), (~a.eqNullSafe(b)).cast("long").alias("first")))
+    return (grams.select(F.explode(first).alias("x")).where(F.col("x.term").isNotNull())
+            .groupBy(F.col("x.term").alias("term"))
+            .agg(F.count(F.lit(1)).alias("tf"), F.sum("x.first").alias("df")))
 
 
 @dataclass(frozen=True)

@@ -6,7 +6,9 @@ explained in Arrow batches by ``mapInPandas``. The recursion over a tree is
 the same for every row - only which child is "hot" differs - so it runs once
 per tree with one numpy vector per path weight, i.e. vectorised over the
 whole batch (Lundberg et al., "Consistent individualized feature attribution
-for tree ensembles", 2018, Algorithm 2).
+for tree ensembles", 2018, Algorithm 2). A path holds each feature once, so
+its length is bounded by the features, not by the depth of the tree. The
+cost of a batch is leaves x path length squared: deep forests are slow, not refused.
 
 Output explains the model margin: GBT F = sum_t w_t tree_t(x) (probability
 1/(1+exp(-2F))), random forest = mean of leaf class-1 fractions. SHAP values
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 
 from churnlake import schema as S
 
-MAX_DEPTH = 12  # cost is trees x nodes x depth^2 per batch; deeper ensembles are refused
-
 
 @dataclass
 class Tree:
@@ -56,10 +56,7 @@ class Ensemble:
         out = np.zeros(X.shape[0])
         for t in self.trees:
             node = np.zeros(X.shape[0], dtype=np.int64)
-            for _ in range(MAX_DEPTH + 32):
-                inner = t.left[node] >= 0
-                if not inner.any():
-                    break
+            while (inner := t.left[node] >= 0).any():
                 go_left = X[np.arange(len(node)), np.maximum(t.feature[node], 0)] <= t.threshold[node]
                 node = np.where(inner, np.where(go_left, t.left[node], t.right[node]), node)
             out += t.weight * t.value[node]
@@ -191,9 +188,6 @@ def shap_tree(df: DataFrame, model: PipelineModel, features: list[str], path: st
     """
     spark = df.sparkSession
     ens = read_ensemble(spark, model, path, len(features))
-    depth = max(_depth(t) for t in ens.trees)
-    if depth > MAX_DEPTH:
-        raise ValueError(f"tree depth {depth} exceeds {MAX_DEPTH}; train shallower trees for SHAP")
     base = ens.expected_value()
     bc = spark.sparkContext.broadcast(ens)  # model-sized, not data-sized
     names = list(features)
@@ -218,13 +212,3 @@ def shap_tree(df: DataFrame, model: PipelineModel, features: list[str], path: st
                      F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     schema = f"{id_col} string, feature string, value double, shap double, base_value double, margin double"
     return rows.mapInPandas(run, schema)
-
-
-def _depth(t: Tree) -> int:
-    best, stack = 0, [(0, 0)]
-    while stack:
-        node, d = stack.pop()
-        best = max(best, d)
-        if t.left[node] >= 0:
-            stack += [(int(t.left[node]), d + 1), (int(t.right[node]), d + 1)]
-    return best

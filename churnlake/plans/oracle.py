@@ -68,7 +68,7 @@ SELECT customerID, tenure, MonthlyCharges, Contract, InternetService, network_qu
        round_even({scorer_p()}, 4) AS churn_probability, {tier_sql(f'round_even({scorer_p()}, 4)')} AS risk_tier
 FROM prepared ORDER BY churn_probability DESC, customerID LIMIT 20""")
     return {
-        "load_customers": W(SUBS, "SELECT * FROM subscribers"),
+        "load_customers": W(SUBS_T, "SELECT * FROM subscribers"),
         "load_checked": W(SUBS, "SELECT * FROM subscribers"),
         "missing_columns": "SELECT 'network_quality' AS missing_column",
         "save_versioned": W(STRUCT, "SELECT * FROM prepared"),
@@ -128,7 +128,7 @@ def _filters() -> dict:
         "filter_customers": W(PREP, f"SELECT customerID, network_quality, tenure, MonthlyCharges, sentiment_score "
                                     f"FROM prepared WHERE {pred}"),
         "filter_bounds": W(STRUCT, """
-SELECT (SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT DISTINCT CAST(network_quality AS VARCHAR) AS v FROM prepared))
+SELECT (SELECT string_agg(CAST(v AS VARCHAR), ',' ORDER BY v) FROM (SELECT DISTINCT network_quality AS v FROM prepared))
          AS network_qualities,
        min(tenure) AS tenure_min, max(tenure) AS tenure_max,
        min(MonthlyCharges) AS charges_min, max(MonthlyCharges) AS charges_max FROM prepared"""),
@@ -173,11 +173,10 @@ SELECT customerID, CAST(tenure AS DOUBLE) AS tenure, MonthlyCharges,
         "keyword_flags_corpus": W(PREP, "SELECT customerID, " + ", ".join(
             f"{keyword_sql('complaint_text_clean', Q.CORPUS_KEYWORDS[k])} AS complaint_{k}"
             for k in ("network", "billing", "service")) + " FROM prepared"),
-        "complaint_breakdown": W(PREP, """
-SELECT category, customers, round(100.0 * customers / greatest(n, 1), 6) AS pct FROM (
-  SELECT 'Network' AS category, CAST(sum(complaint_network) AS BIGINT) AS customers, count(*) AS n FROM prepared
-  UNION ALL SELECT 'Billing', CAST(sum(complaint_billing) AS BIGINT), count(*) FROM prepared
-  UNION ALL SELECT 'Service', CAST(sum(complaint_service) AS BIGINT), count(*) FROM prepared)"""),
+        "complaint_breakdown": W(PREP, "SELECT category, CAST(sum(hit) AS BIGINT) AS customers, "
+                                       "round(100.0 * sum(hit) / greatest(count(*), 1), 6) AS pct FROM (" + " UNION ALL ".join(
+            f"SELECT {q(k.title())} AS category, {keyword_sql('complaint_text_clean', Q.CORPUS_KEYWORDS[k])} AS hit FROM prepared"
+            for k in ("network", "billing", "service")) + ") GROUP BY category"),
         "complaint_preview": W(SUBS_T, "SELECT customerID, substring(coalesce(complaint_text, ''), 1, 60) "
                                        "AS complaint_preview FROM subscribers"),
         "term_frequency": W(PREP, """
@@ -237,10 +236,11 @@ rng AS (
   FROM filt GROUP BY feature, cls),
 b AS (
   SELECT f.feature, f.cls, lo, hi, CAST(least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) AS INTEGER) AS bin
-  FROM filt f JOIN rng USING (feature, cls))""", f"""
-SELECT feature, cls AS churn, bin, round(lo + bin * (hi - lo) / {bins}, 6) AS bin_start,
-  round(lo + (bin + 1) * (hi - lo) / {bins}, 6) AS bin_end, count(*) AS count
-FROM b GROUP BY feature, cls, bin, lo, hi""")
+  FROM filt f JOIN rng USING (feature, cls)),
+every AS (SELECT feature, cls, lo, hi, CAST(i AS INTEGER) AS bin FROM rng CROSS JOIN range({bins}) t(i))""", f"""
+SELECT e.feature, e.cls AS churn, e.bin, round(e.lo + e.bin * (e.hi - e.lo) / {bins}, 6) AS bin_start,
+  round(e.lo + (e.bin + 1) * (e.hi - e.lo) / {bins}, 6) AS bin_end, count(b.feature) AS count
+FROM every e LEFT JOIN b USING (feature, cls, bin) GROUP BY e.feature, e.cls, e.bin, e.lo, e.hi""")
 
 
 def rate_sql(feature: str, ctes: str) -> str:
@@ -359,7 +359,7 @@ def _evaluate() -> dict:
     rec = "CASE WHEN n_pos = 0 THEN 1.0 ELSE CAST(cum_pos AS DOUBLE) / n_pos END"
     prev_rec = (f"CASE WHEN {prev_cp} + {prev_cn} = 0 THEN 0.0 WHEN n_pos = 0 THEN 1.0 "
                 f"ELSE CAST({prev_cp} AS DOUBLE) / n_pos END")
-    edges = [i * (1.0 + 1e-8) / 10 for i in range(1, 10)]
+    edges = [i * (1.0 / 10) for i in range(1, 10)]
     calib_bin = "CASE " + " ".join(f"WHEN p <= {D(e)} THEN {i}" for i, e in enumerate(edges)) + " ELSE 9 END"
     thr = " UNION ALL ".join(f"SELECT {D(t)} AS threshold, {_cells(t)} FROM scored" for t in THRESHOLD_GRID)
     cm = f"""
@@ -389,7 +389,9 @@ t AS (SELECT count(*) AS N, sum(y) AS T FROM scored),
 d AS (SELECT CAST(CASE WHEN N <= 1 THEN 0 ELSE greatest(floor((i * 10 + N - 2) / (N - 1)) - 1, 0) END AS INTEGER)
         AS decile, y FROM r, t),
 per AS (SELECT decile, count(*) AS customers, sum(y) AS s FROM d GROUP BY decile),
-cum AS (SELECT decile, customers, sum(s) OVER (ORDER BY decile) AS churners_cum FROM per),
+full_per AS (SELECT CAST(i AS INTEGER) AS decile, coalesce(customers, 0) AS customers, coalesce(s, 0) AS s
+  FROM range(10) x(i) LEFT JOIN per ON per.decile = x.i),
+cum AS (SELECT decile, customers, sum(s) OVER (ORDER BY decile) AS churners_cum FROM full_per),
 gains AS (
   SELECT decile, customers, CAST(churners_cum AS BIGINT) AS churners_cum,
     round(CAST(decile + 1 AS DOUBLE) / 10.0, 6) AS pct_customers,
@@ -451,7 +453,7 @@ def _explain() -> dict:
 SELECT customerID, tenure, MonthlyCharges, Contract, InternetService, network_quality,
   substring(coalesce(complaint_text, ''), 1, 60) AS complaint_preview,
   round_even({scorer_p()}, 4) AS churn_probability, {tier_sql(f'round_even({scorer_p()}, 4)')} AS risk_tier
-FROM split WHERE split = 'test'"""),
+FROM split WHERE split = 'test' ORDER BY churn_probability DESC, customerID LIMIT 50"""),
         "score_customers": W(STRUCT, f"SELECT customerID, round({scorer_p()}, 6) AS p FROM prepared"),
         "shap_linear": W(shap, "SELECT customerID, feature, value, round(shap, 6) AS shap FROM shap"),
         "shap_global": W(shap, "SELECT feature, round(avg(abs(shap)), 6) AS mean_abs_shap FROM shap GROUP BY feature "

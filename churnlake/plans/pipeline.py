@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnlake import schema as S
 from churnlake.operators import clean, features, text
@@ -10,8 +11,7 @@ from churnlake.session import materialize
 from churnlake.sources import adapters
 
 
-def prepare(df: DataFrame, high_value: features.HighValue | None = None,
-            dedup_order: list[str] | None = None) -> DataFrame:
+def prepare(df: DataFrame, dedup_order: list[str], high_value: features.HighValue | None = None) -> DataFrame:
     """C1 -> C3 -> E1,E2,E4-E8 -> F1,F2,F5 (the feature-engineering pipeline).
 
     The feature table is written once (like the dashboard's memoised
@@ -25,42 +25,35 @@ def prepare(df: DataFrame, high_value: features.HighValue | None = None,
     return materialize(text.text_features(df), "prepared")
 
 
-def cleaned(df: DataFrame, dedup_order: list[str] | None = None) -> DataFrame:
+def cleaned(df: DataFrame, dedup_order: list[str]) -> DataFrame:
     """C1 -> C3, written once: the fitted steps after it (quantile, categories,
     split) make several passes, each of which then reads only its columns
     instead of repeating the full-width de-duplication shuffle."""
     df = clean.clean_total_charges(df)
-    df = clean.dedup_first(df, S.ID_COLUMN, dedup_order)
+    df = clean.dedup_first(df, dedup_order)
     return materialize(df, "cleaned")
 
 
-def structured_only(df: DataFrame) -> DataFrame:
-    return features.structured_features(cleaned(df))
-
-
 # Per-session memo of written tables, like the dashboard's memoised prepare
-# step: key = application, table folder and size/mtime of the input files, so
-# changed inputs are rebuilt; values are parquet-backed DataFrames.
+# step. The key holds what Spark reports of the input files (paths, sizes, times), so it
+# works alike on any store and changed inputs are rebuilt; values are parquet-backed DataFrames.
 _MEMO: dict = {}
 SOURCE_TABLES = ("customer", "orders", "documents")
 
 
 def _inputs_key(spark: SparkSession, sf_dir: str, kind: str):
-    import os
-    stats = []
+    marks = []
     for name in SOURCE_TABLES:
-        try:
-            st = os.stat(f"{sf_dir}/{name}.parquet")
-        except OSError:
-            return None  # not a local path: no memo, always rebuild
-        stats.append((name, st.st_size, st.st_mtime_ns))
-    return (spark.sparkContext.applicationId, sf_dir, kind, tuple(stats))
+        files = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+            F.col("_metadata.file_modification_time").alias("time")).distinct()
+        marks.append(tuple(files.agg(F.count(F.lit(1)), F.sum("size"), F.max("time"),
+                                     F.sum(F.xxhash64("path").cast("decimal(38,0)"))).first()))
+    return (spark.sparkContext.applicationId, sf_dir, kind, tuple(marks))
 
 
 def memoized(spark: SparkSession, sf_dir: str, kind: str, build):
     key = _inputs_key(spark, sf_dir, kind)
-    if key is None:
-        return build()
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
@@ -68,12 +61,12 @@ def memoized(spark: SparkSession, sf_dir: str, kind: str, build):
 
 def subscribers_prepared(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     return memoized(spark, sf_dir, f"prepared-{with_text}",
-                    lambda: prepare(adapters.subscribers(spark, sf_dir, with_text=with_text)))
+                    lambda: prepare(adapters.subscribers(spark, sf_dir, with_text=with_text), adapters.SUBSCRIBER_ORDER))
 
 
 def subscribers_structured(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """Cleaned table (written once) + structured features with the fitted threshold."""
     def build():
-        base = cleaned(adapters.subscribers(spark, sf_dir, with_text=with_text))
+        base = cleaned(adapters.subscribers(spark, sf_dir, with_text=with_text), adapters.SUBSCRIBER_ORDER)
         return features.structured_features(base, features.HighValue.fit(base))
     return memoized(spark, sf_dir, f"structured-{with_text}", build)

@@ -47,7 +47,7 @@ def _split(spark, sf):
 # ------------------------------------------------------------------ sources / sinks
 
 def q_load_customers(spark, sf):
-    path = io.save_versioned(_subs(spark, sf), prefix="customers_csv", ts=_dt.datetime.now())
+    path = io.save_versioned(_subs(spark, sf, True), prefix="customers_csv", ts=_dt.datetime.now())
     return io.load_customers(spark, path)
 
 
@@ -62,8 +62,8 @@ def q_missing_columns(spark, sf):
 
 def q_save_versioned(spark, sf):
     df = _structured(spark, sf)
-    path = io.save_versioned(df, prefix="processed", fmt="parquet", ts=_dt.datetime.now())
-    return spark.read.parquet(path)
+    path = io.save_versioned(df, prefix="processed", ts=_dt.datetime.now())
+    return io.load_customers(spark, path, schema=df.schema)
 
 
 def q_save_roster(spark, sf):
@@ -90,7 +90,7 @@ def q_imputed_count(spark, sf):
 
 
 def q_dedup_customers(spark, sf):
-    d = clean.dedup_first(adapters.dup_customers(spark, sf), S.ID_COLUMN, ["ts", "event_id"])
+    d = clean.dedup_first(adapters.dup_customers(spark, sf), ["ts", "event_id"])
     return d.select(S.ID_COLUMN, "event_id", "event_type", "value")
 
 
@@ -124,7 +124,8 @@ def q_filter_customers(spark, sf):
 
 
 def q_filter_bounds(spark, sf):
-    return sel.filter_bounds(_structured(spark, sf))
+    df = sel.filter_bounds(_structured(spark, sf))
+    return df.withColumn("network_qualities", F.array_join(F.col("network_qualities").cast("array<string>"), ","))
 
 
 def q_filtered_count(spark, sf):
@@ -194,7 +195,7 @@ def q_keyword_flags_corpus(spark, sf):
 
 
 def _structured_text(spark, sf):
-    return pipeline.memoized(spark, sf, "cleaned-text", lambda: pipeline.cleaned(_subs(spark, sf, True)))
+    return pipeline.memoized(spark, sf, "cleaned-text", lambda: pipeline.cleaned(_subs(spark, sf, True), adapters.SUBSCRIBER_ORDER))
 
 
 def q_sentiment_by_class(spark, sf):
@@ -231,7 +232,8 @@ def q_term_frequency(spark, sf):
 
 
 def q_complaint_breakdown(spark, sf):
-    return text.complaint_breakdown(_prepared(spark, sf))
+    df = text.clean_text(_structured_text(spark, sf))
+    return text.complaint_breakdown(text.keyword_flags(df, **CORPUS_KEYWORDS))
 
 
 def q_complaint_preview(spark, sf):
@@ -390,10 +392,8 @@ def q_high_risk_roster(spark, sf):
 
 def q_roster_for_test_split(spark, sf):
     split = sample.stratified_split(pipeline.subscribers_structured(spark, sf, with_text=True))
-    test = split.where(F.col("split") == "test")
-    probs = test.select(S.ID_COLUMN, SCORER.probability().alias("p"))
-    out = roster.roster_for_split(test, probs)
-    return out
+    test = split.where(F.col("split") == "test").withColumn("p", SCORER.probability())
+    return roster.roster_for_split(test, top_n=50)
 
 
 # ------------------------------------------------------------------ explain (linear)

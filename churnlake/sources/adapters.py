@@ -49,12 +49,16 @@ def _map_values(c, values: list[str]):
                   list(enumerate(values))[1:], F.when(c == 0, F.lit(values[0])))
 
 
+# which of several rows of a customer comes first (the derived table has one row per customer)
+SUBSCRIBER_ORDER = ["tenure", "MonthlyCharges"]
+
+
 def subscribers(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """Customer table in the churn schema.
 
     orders is aggregated per customer before the join (partial aggregation on
     the map side, so a customer holding a third of the orders is pre-combined
-    per task); the global latest date is a one-row aggregate joined by
+    per task); the global latest date is a one-row aggregate of those aggregates, joined by
     broadcast (one row, bounded).
     """
     orders = table(spark, sf_dir, "orders").select(
@@ -62,7 +66,7 @@ def subscribers(spark: SparkSession, sf_dir: str, with_text: bool = True) -> Dat
         F.col("o_totalprice").cast("decimal(18,2)").alias("amt"))
     per_cust = orders.groupBy("o_custkey").agg(
         F.min("d").alias("first_d"), F.max("d").alias("last_d"), F.sum("amt").alias("total"))
-    latest = orders.agg(F.max("d").alias("latest_d"))
+    latest = per_cust.agg(F.max("last_d").alias("latest_d"))
 
     c = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")

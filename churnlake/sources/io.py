@@ -15,45 +15,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import schema as S
+from churnlake.functions.columns import nan_to_null
 from churnlake.session import ensure_checkpoint_dir
 
 REQUIRED_DEFAULT = ["tenure", "MonthlyCharges"]
 
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FRACTIONAL = (T.FloatType, T.DoubleType)
+# CSV as pandas writes and reads it: a quote inside a quoted field is doubled
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+               "ignoreTrailingWhiteSpace": False}
+
+
 def cast_by_name(df: DataFrame, schema: T.StructType = S.CUSTOMER_SCHEMA) -> DataFrame:
+    """Columns cast to the types the schema gives their names.
+
+    Whole numbers written with a fraction ("3.0") are whole numbers; NaN in any
+    numeric column is a missing value, whether the schema knows the column or not.
+    """
     types = {f.name: f.dataType for f in schema.fields}
     cols = []
-    for c in df.columns:
-        t = types.get(c)
-        if t is None or isinstance(t, T.StringType):
-            cols.append(F.col(c))
-        else:
-            cols.append(F.col(c).cast("string").try_cast(t).alias(c))
+    for f in df.schema.fields:
+        t, c = types.get(f.name, f.dataType), F.col(f"`{f.name}`")
+        if isinstance(t, _INTEGRAL) and not isinstance(f.dataType, _INTEGRAL):
+            x = c.cast("string").try_cast("double")
+            exact = c.cast("string").try_cast(t)
+            c = F.coalesce(exact, F.when(x == F.floor(x), x.try_cast(t)))
+        elif t != f.dataType and not isinstance(t, T.StringType):
+            c = c.cast("string").try_cast(t)
+        if isinstance(t, _FRACTIONAL):
+            c = nan_to_null(c)
+        cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
+def _read_csv(spark: SparkSession, path: str, multi_line: bool, mode: str) -> DataFrame:
+    return spark.read.options(**CSV_DIALECT, mode=mode, multiLine=multi_line).csv(path)
+
+
 def load_customers(spark: SparkSession, path: str, fmt: str = "csv",
-                   schema: T.StructType = S.CUSTOMER_SCHEMA) -> DataFrame:
+                   schema: T.StructType = S.CUSTOMER_SCHEMA, multi_line: bool = True) -> DataFrame:
     """Header CSV (or parquet) scan. A missing path raises AnalysisException.
 
-    Quoted fields may span lines (free text), so CSV is read with multiLine:
-    each file is one task - write many part files rather than one huge CSV.
+    ``multi_line`` lets quoted fields span lines (free text), at the price of one task
+    per file: switch it off for files without line breaks in fields, which then split.
     """
-    if fmt == "parquet":
-        return spark.read.parquet(path)
-    raw = (spark.read.option("header", True).option("inferSchema", False).option("multiLine", True)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(path))
+    raw = spark.read.parquet(path) if fmt == "parquet" else _read_csv(spark, path, multi_line, "PERMISSIVE")
     return cast_by_name(raw, schema)
 
 
-def load_checked(spark: SparkSession, path: str, schema: T.StructType = S.CUSTOMER_SCHEMA) -> DataFrame:
-    """Like ``load_customers`` but malformed rows fail the scan and an empty file raises."""
-    raw = (spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(path))
+def load_checked(spark: SparkSession, path: str, schema: T.StructType = S.CUSTOMER_SCHEMA,
+                 multi_line: bool = True) -> DataFrame:
+    """Like ``load_customers`` but malformed rows fail the scan and a file without rows raises."""
+    raw = _read_csv(spark, path, multi_line, "FAILFAST")
     if raw.limit(1).isEmpty():
-        raise ValueError("Uploaded CSV is empty.")
+        raise ValueError(f"no data rows in {path}")
     return cast_by_name(raw, schema)
 
 
@@ -64,22 +81,20 @@ def missing_columns(df: DataFrame, required: list[str] | None = None) -> DataFra
 
 
 def _stamp(ts: _dt.datetime | None) -> str:
-    return (ts or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
+    return (ts or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S_%f")
 
 
 def save_versioned(df: DataFrame, output_dir: str | None = None, prefix: str = "processed",
                    fmt: str = "csv", ts: _dt.datetime | None = None) -> str:
-    """Write ``{output_dir}/{prefix}_{YYYYmmdd_HHMMSS}``; returns the path.
+    """Write ``{output_dir}/{prefix}_{YYYYmmdd_HHMMSS_ffffff}``; returns the path.
 
-    Default folder: under the session's shared checkpoint folder, never a
-    machine-local one.
+    An existing version is never replaced: writing to it raises. Default folder: under the session's checkpoint folder.
     """
     base = output_dir or f"{ensure_checkpoint_dir(df.sparkSession)}/datasets"
     path = f"{base}/{prefix}_{_stamp(ts)}"
-    w = df.write.mode("overwrite")
+    w = df.write.mode("errorifexists")
     if fmt == "csv":
-        (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
-         .option("ignoreTrailingWhiteSpace", False).csv(path))
+        w.options(**CSV_DIALECT).csv(path)
     else:
         w.parquet(path)
     return path

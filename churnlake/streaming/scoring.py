@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from churnlake import schema as S
 from churnlake.operators import clean, features, roster, text
 from churnlake.operators.explain import LinearScorer
-from churnlake.sources.io import cast_by_name
+from churnlake.sources.io import CSV_DIALECT, cast_by_name
 
 
 def read_customer_stream(spark: SparkSession, source_dir: str, columns: list[str],
@@ -25,9 +25,7 @@ def read_customer_stream(spark: SparkSession, source_dir: str, columns: list[str
     """Header CSV files as a stream; strings first, then cast by name."""
     raw_schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     # enforceSchema=false: a header that does not match the column names fails the scan
-    raw = (spark.readStream.schema(raw_schema).option("header", True).option("multiLine", True)
-           .option("enforceSchema", False)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    raw = (spark.readStream.schema(raw_schema).options(**CSV_DIALECT, multiLine=True, enforceSchema=False)
            .option("maxFilesPerTrigger", max_files_per_trigger).csv(source_dir))
     return cast_by_name(raw)
 

@@ -53,7 +53,7 @@ def test_quantile(spark):
 def test_dedup_first_and_null_ids(spark):
     df = spark.createDataFrame([("x", 2, "late"), ("x", 1, "early"), (None, 5, "n1"), (None, 3, "n2")],
                                "customerID string, ts int, v string")
-    out = sorted(_rows(clean.dedup_first(df, "customerID", ["ts"]), "customerID", "v"),
+    out = sorted(_rows(clean.dedup_first(df, ["ts"], "customerID"), "customerID", "v"),
                  key=lambda r: (r[0] is None, r[0]))
     assert out == [("x", "early"), (None, "n2")]
 
