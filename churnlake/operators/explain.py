@@ -24,6 +24,12 @@ class LinearScorer:
     weights: dict = field(default_factory=dict)
     intercept: float = 0.0
 
+    @staticmethod
+    def from_scaled(weights: dict, intercept: float, stats: dict) -> "LinearScorer":
+        """Weights over columns scaled as (x - mean) / sd, turned into weights over the columns themselves."""
+        raw = {c: w / stats.get(c, (0.0, 1.0))[1] for c, w in weights.items()}
+        return LinearScorer(raw, intercept - sum(raw[c] * stats[c][0] for c in raw if c in stats))
+
     def margin(self, overrides: dict | None = None) -> Column:
         overrides = overrides or {}
         z = F.lit(float(self.intercept))
@@ -59,13 +65,19 @@ def shap_linear(df: DataFrame, scorer: LinearScorer, background: DataFrame | Non
     The background is the training table (never the explained row itself).
     Means are one aggregate; the unpivot is an in-row explode.
     """
+    rows = shap_linear_rows(df, scorer, background, id_col)
+    return rows.select(id_col, F.explode("shap").alias("s")).select(id_col, "s.feature", "s.value", "s.shap")
+
+
+def shap_linear_rows(df: DataFrame, scorer: LinearScorer, background: DataFrame | None = None,
+                     id_col: str = S.ID_COLUMN) -> DataFrame:
+    """One row per customer: (id, shap: array of (feature, value, shap))."""
     feats = list(scorer.weights)
     means = background_means(background if background is not None else df, feats)
-    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
-                             (F.lit(float(scorer.weights[f])) *
-                              (F.col(f).cast("double") - F.lit(means[f]))).alias("shap"))
-                    for f in feats])
-    return df.select(F.col(id_col), F.explode(arr).alias("s")).select(id_col, "s.feature", "s.value", "s.shap")
+    return df.select(F.col(id_col), F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                 (F.lit(float(scorer.weights[f])) * (F.col(f).cast("double") - F.lit(means[f]))).alias("shap"))
+        for f in feats]).alias("shap"))
 
 
 def base_value(df: DataFrame, scorer: LinearScorer, background: DataFrame | None = None) -> float:
@@ -104,14 +116,17 @@ def shap_waterfall(shap_long: DataFrame, customer_id: str, base: float, max_disp
                        (F.lit(float(base)) + F.sum("shap").over(run)).alias("cumulative"))
 
 
-def shap_customer_top(shap_long: DataFrame, top_n: int = 10, id_col: str = S.ID_COLUMN) -> DataFrame:
-    """Top n features by |shap| for every customer at once (window per customer:
-    one customer's features, bounded)."""
-    w = Window.partitionBy(id_col).orderBy(F.desc(F.abs("shap")), "feature")
-    return (shap_long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
-            .withColumn("direction", F.when(F.col("shap") > 0, F.lit("increases_churn"))
-                        .otherwise(F.lit("reduces_churn")))
-            .select(id_col, "rank", "feature", "value", F.col("shap").alias("shap_value"), "direction"))
+def shap_customer_top(shap_rows: DataFrame, top_n: int = 10, id_col: str = S.ID_COLUMN) -> DataFrame:
+    """Top n features by |shap| for every customer, sorted inside each row.
+
+    ``shap_rows`` has one row per customer with the array ``shap`` of (feature, value, shap), as
+    ``shap_linear_rows`` and ``treeshap.shap_tree_rows`` give it; nothing is shuffled.
+    """
+    by_size = F.sort_array(F.transform("shap", lambda s: F.struct(
+        (-F.abs(s["shap"])).alias("size"), s["feature"].alias("feature"), s["value"].alias("value"), s["shap"].alias("shap"))))
+    return shap_rows.select(id_col, F.posexplode(F.slice(by_size, 1, top_n)).alias("pos", "s")).select(
+        id_col, (F.col("pos") + 1).alias("rank"), "s.feature", "s.value", F.col("s.shap").alias("shap_value"),
+        F.when(F.col("s.shap") > 0, F.lit("increases_churn")).otherwise(F.lit("reduces_churn")).alias("direction"))
 
 
 # ----------------------------------------------------------------- PDP / ICE
@@ -148,23 +163,31 @@ def _grid_rows(df: DataFrame, feature: str, grid: list[float], extra: list[str])
     return df.select(*extra, *[c for c in df.columns if c not in extra], F.explode(arr).alias("g"))
 
 
-def partial_dependence(df: DataFrame, scorer: LinearScorer, features: list[str],
-                       grid_resolution: int = 100) -> DataFrame:
-    """Mean probability with the feature set to each grid value, per feature.
+def _at_grid(rows: DataFrame, scorer, feature: str) -> DataFrame:
+    """``rows`` with the probability ``p`` when ``feature`` takes the row's grid value.
+
+    ``scorer`` is a ``LinearScorer``, or any function from a table of model columns to the same table with ``p``.
+    """
+    if isinstance(scorer, LinearScorer):
+        return rows.withColumn("p", scorer.probability({feature: F.col("g.gv")}))
+    return scorer(rows.withColumn(feature, F.col("g.gv").cast("double")))
+
+
+def partial_dependence(df: DataFrame, scorer, features: list[str], grid_resolution: int = 100) -> DataFrame:
+    """Mean probability with the feature set to each grid value, per feature; features the table lacks are left out.
 
     Each row is scored at all grid values in-row and aggregated straight
     away (partial aggregation keeps the shuffle at grid size per task).
     """
-    valid = [f for f in features if f in df.columns]
-    if not valid:
-        raise ValueError("None of the specified features exist in the table.")
+    known = [f for f in features if f in df.columns]
+    if not known:
+        raise ValueError(f"no column among {features}")
     outs = []
-    for f in valid:
+    for f in known:
         grid = pdp_grid(df, f, grid_resolution)
-        rows = _grid_rows(df, f, grid, [])
-        p = scorer.probability({f: F.col("g.gv")})
+        rows = _at_grid(_grid_rows(df, f, grid, []), scorer, f)
         outs.append(rows.groupBy(F.col("g.gi").alias("grid_index"), F.col("g.gv").alias("grid_value"))
-                    .agg(F.avg(p).alias("avg")).select(
+                    .agg(F.avg("p").alias("avg")).select(
                         F.lit(f).alias("feature"), "grid_index", F.round("grid_value", 6).alias("grid_value"),
                         F.round("avg", 6).alias("partial_dependence")))
     out = outs[0]
@@ -173,19 +196,16 @@ def partial_dependence(df: DataFrame, scorer: LinearScorer, features: list[str],
     return out
 
 
-def ice_curves(df: DataFrame, scorer: LinearScorer, feature: str, sample_n: int = 100,
+def ice_curves(df: DataFrame, scorer, feature: str, sample_n: int = 100,
                grid_resolution: int = 100, id_col: str = S.ID_COLUMN) -> DataFrame:
     """Per-customer curves for a seeded sample of ``sample_n`` customers plus
     their mean ('__mean__' rows)."""
     from churnlake.operators.sample import row_sample
-    if feature not in df.columns:
-        raise ValueError(f"Feature '{feature}' not found.")
     sample = row_sample(df, sample_n, id_col)
     grid = pdp_grid(sample, feature, grid_resolution)
-    rows = _grid_rows(sample, feature, grid, [id_col])
-    p = scorer.probability({feature: F.col("g.gv")})
+    rows = _at_grid(_grid_rows(sample, feature, grid, [id_col]), scorer, feature)
     curves = rows.select(F.col(id_col).cast("string").alias(id_col), F.col("g.gi").alias("grid_index"),
-                         F.col("g.gv").alias("grid_value"), p.alias("p"))
+                         F.col("g.gv").alias("grid_value"), "p")
     mean = curves.groupBy("grid_index", "grid_value").agg(F.avg("p").alias("p")) \
         .select(F.lit("__mean__").alias(id_col), "grid_index", "grid_value", "p")
     both = curves.unionByName(mean)

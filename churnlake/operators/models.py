@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import schema as S
-from churnlake.session import ensure_checkpoint_dir
+from churnlake.session import ensure_checkpoint_dir, materialize
 
 LABEL = "label"
 WEIGHT = "class_weight"
@@ -135,19 +135,21 @@ def probability(model: PipelineModel, df: DataFrame, keep: list[str] | None = No
     return out.select(*(keep or []), vector_to_array("probability")[1].alias("p"))
 
 
+def _importances(est) -> list[float]:
+    """What a fitted stage says of its inputs: tree importances, or the size of linear weights."""
+    readers = (("featureImportances", lambda v: v), ("coefficients", abs))
+    found = next(((read, getattr(est, name)) for name, read in readers if hasattr(est, name)), None)
+    if found is None:
+        raise TypeError(f"{type(est).__name__} is neither a tree ensemble nor a linear model")
+    read, vector = found
+    return [float(read(v)) for v in vector.toArray()]
+
+
 def feature_importance(model: PipelineModel, features: list[str], top_n: int = 20) -> DataFrame:
-    """Tree importances, else |coefficients|; top n (ties by name)."""
-    est = model.stages[-1]
-    if hasattr(est, "featureImportances"):
-        vals = est.featureImportances.toArray().tolist()
-    elif hasattr(est, "coefficients"):
-        vals = [abs(v) for v in est.coefficients.toArray().tolist()]
-    else:
-        raise AttributeError("Model does not expose feature importances or coefficients.")
+    """Top n features by importance (ties by name)."""
     from pyspark.sql import SparkSession
-    session = SparkSession.getActiveSession()
-    rows = sorted(zip(features, vals), key=lambda r: (-r[1], r[0]))[:top_n]
-    return session.createDataFrame(rows, "feature string, importance double")
+    rows = sorted(zip(features, _importances(model.stages[-1])), key=lambda r: (-r[1], r[0]))[:top_n]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
 
 def coefficients(model: PipelineModel, features: list[str]) -> DataFrame:
@@ -202,9 +204,10 @@ def tune(kind: str, train: DataFrame, features: list[str], n_candidates: int | N
     from churnlake.operators.sample import cv_folds
     from pyspark.sql import SparkSession
     grid = grid or GRIDS[kind]
-    n = train.count()
     cands = sample_candidates(grid, n_candidates or N_CANDIDATES[kind])
-    folded = cv_folds(train, CV_FOLDS)
+    # the folds are read by every candidate: ranked and written once
+    folded = materialize(cv_folds(train, CV_FOLDS), "folds")
+    n = folded.count() * (CV_FOLDS - 1) / CV_FOLDS  # rows a fold is fitted on
     evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction",
                                               metricName="areaUnderROC")
     results, best = [], None
@@ -249,14 +252,40 @@ class Fingerprint:
         return Fingerprint(hashlib.sha256(blob.encode()).hexdigest()[:16])
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model: PipelineModel, path: str, fp: Fingerprint | None = None) -> str:
     model.write().overwrite().save(path)
+    if fp is not None:
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(fp.value,)], "fingerprint string").write.mode("overwrite").parquet(f"{path}-fingerprint")
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str, fp: Fingerprint | None = None) -> PipelineModel:
+    """The stored pipeline; with ``fp``, one stored under another fingerprint (or none) raises."""
+    if fp is not None and stored_fingerprint(path) != fp.value:
+        raise ValueError(f"the model in {path} was not trained with this schema and these parameters")
     return PipelineModel.load(path)
 
 
+def stored_fingerprint(path: str) -> str | None:
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import SparkSession
+    try:
+        row = SparkSession.getActiveSession().read.parquet(f"{path}-fingerprint").first()
+    except AnalysisException:  # nothing stored there
+        return None
+    return row[0] if row else None
+
+
+def fit_or_load(path: str, fp: Fingerprint, fit) -> PipelineModel:
+    """The stored model if its fingerprint is ``fp``, else a new fit, stored under it."""
+    if stored_fingerprint(path) == fp.value:
+        return load_model(path, fp)
+    model = fit()
+    save_model(model, path, fp)
+    return model
+
+
 def model_path(df: DataFrame, name: str, fp: Fingerprint) -> str:
     return f"{ensure_checkpoint_dir(df.sparkSession)}/models/{name}-{fp.value}"

@@ -179,9 +179,9 @@ def explain_batch(ens: Ensemble, X: np.ndarray) -> np.ndarray:
     return phi
 
 
-def shap_tree(df: DataFrame, model: PipelineModel, features: list[str], path: str,
-              id_col: str = S.ID_COLUMN) -> DataFrame:
-    """Long table (id, feature, value, shap, base_value, margin) for every row.
+def shap_tree_rows(df: DataFrame, model: PipelineModel, features: list[str], path: str,
+                   id_col: str = S.ID_COLUMN) -> DataFrame:
+    """One row per customer: (id, shap: array of (feature, value, shap), base_value, margin).
 
     ``margin`` is the ensemble output re-computed from the node table, so
     sum(shap) + base_value == margin per row (checked by the tests).
@@ -189,26 +189,28 @@ def shap_tree(df: DataFrame, model: PipelineModel, features: list[str], path: st
     spark = df.sparkSession
     ens = read_ensemble(spark, model, path, len(features))
     base = ens.expected_value()
-    bc = spark.sparkContext.broadcast(ens)  # model-sized, not data-sized
+    shared = spark.sparkContext.broadcast(ens)  # model-sized, not data-sized
     names = list(features)
 
     def run(batches):
-        e = bc.value
+        e = shared.value
         for pdf in batches:
             X = np.stack(pdf["x"].to_numpy()).astype(float) if len(pdf) else np.zeros((0, len(names)))
-            phi = explain_batch(e, X)
-            margin = e.predict(X)
-            n = len(pdf)
-            yield pd.DataFrame({
-                id_col: np.repeat(pdf[id_col].to_numpy(), len(names)),
-                "feature": np.tile(names, n),
-                "value": X.reshape(-1),
-                "shap": phi.reshape(-1),
-                "base_value": base,
-                "margin": np.repeat(margin, len(names)),
-            })
+            yield pd.DataFrame({id_col: pdf[id_col], "values": list(X), "phi": list(explain_batch(e, X)),
+                                "base_value": base, "margin": e.predict(X)})
 
     rows = df.select(F.col(id_col).cast("string").alias(id_col),
                      F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    schema = f"{id_col} string, feature string, value double, shap double, base_value double, margin double"
-    return rows.mapInPandas(run, schema)
+    out = rows.mapInPandas(run, f"{id_col} string, values array<double>, phi array<double>, base_value double, margin double")
+    named = F.array(*[F.lit(n) for n in names])
+    triples = F.transform(F.arrays_zip(named.alias("f"), F.col("values"), F.col("phi")), lambda z: F.struct(
+        z["f"].alias("feature"), z["values"].alias("value"), z["phi"].alias("shap")))
+    return out.select(id_col, triples.alias("shap"), "base_value", "margin")
+
+
+def shap_tree(df: DataFrame, model: PipelineModel, features: list[str], path: str,
+              id_col: str = S.ID_COLUMN) -> DataFrame:
+    """Long table (id, feature, value, shap, base_value, margin) for every row."""
+    rows = shap_tree_rows(df, model, features, path, id_col)
+    return rows.select(id_col, F.explode("shap").alias("s"), "base_value", "margin").select(
+        id_col, "s.feature", "s.value", "s.shap", "base_value", "margin")

@@ -4,6 +4,7 @@ score the test split. Used by the registered model queries and the bench."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from churnlake import schema as S
 from churnlake.operators import encode, models, sample
+from churnlake.operators.explain import LinearScorer
 from churnlake.plans import pipeline
-from churnlake.sources import adapters
 from churnlake.session import materialize
 
 
@@ -54,6 +55,16 @@ def fit_gbt(m: Matrix, light: bool = False) -> PipelineModel:
     return pipe.fit(data)
 
 
+FITS = {"logistic": fit_logistic, "forest": fit_forest, "gbt": fit_gbt, "gbt_light": lambda m: fit_gbt(m, light=True)}
+
+
+def fitted(m: Matrix, name: str) -> PipelineModel:
+    """The model of that name for this matrix: stored once under a fingerprint of its columns, settings and rows."""
+    rows = m.train.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*m.train.columns).cast("decimal(38,0)"))).first()
+    fp = models.Fingerprint.of(m.train, m.features, {"model": name, "seed": S.SEED, "rows": [str(v) for v in rows]})
+    return models.fit_or_load(models.model_path(m.train, name, fp), fp, lambda: FITS[name](m))
+
+
 def scored_test(model: PipelineModel, m: Matrix, scaled: bool = False) -> DataFrame:
     test = m.scaler.transform(m.test) if scaled else m.test
     out = models.probability(model, test, [S.ID_COLUMN, models.LABEL])
@@ -63,15 +74,32 @@ def scored_test(model: PipelineModel, m: Matrix, scaled: bool = False) -> DataFr
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked test-split scores of the three trained models: (model, id, y, p)."""
     m = model_matrix(spark, sf_dir)
-    parts = [("logistic_regression", scored_test(fit_logistic(m), m, scaled=True)),
-             ("random_forest", scored_test(fit_forest(m), m)),
-             ("gradient_boosting", scored_test(fit_gbt(m), m))]
-    out = None
-    for name, df in parts:
-        d = df.select(F.lit(name).alias("model"), F.col(S.ID_COLUMN).alias("id"), "y", "p")
-        out = d if out is None else out.unionByName(d)
-    return out
-
-
-def subscribers_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.subscribers(spark, sf_dir, with_text=False)
+    return scores_of(m, {"logistic_regression": "logistic", "random_forest": "forest", "gradient_boosting": "gbt"})
+
+
+def scores_of(m: Matrix, names: dict[str, str]) -> DataFrame:
+    """Stacked test scores (model, id, y, p): label shown -> name in FITS."""
+    parts = [scored_test(fitted(m, kind), m, scaled=kind == "logistic").select(
+        F.lit(shown).alias("model"), F.col(S.ID_COLUMN).alias("id"), "y", "p") for shown, kind in names.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def linear_scorer(m: Matrix) -> LinearScorer:
+    """The fitted logistic regression as a scorer over unscaled columns."""
+    est = fitted(m, "logistic").stages[-1]
+    return LinearScorer.from_scaled(dict(zip(m.features, est.coefficients.toArray().tolist())), float(est.intercept),
+                                    m.scaler.stats)
+
+
+def gradient_norm(m: Matrix) -> DataFrame:
+    """(n_train, gradient): largest entry of the penalised mean gradient at the fitted logistic regression.
+
+    At the optimum of mean log loss + reg/2 |w|^2 the gradient is zero in every weight and the intercept.
+    """
+    est = fitted(m, "logistic").stages[-1]
+    w, train = est.coefficients.toArray().tolist(), m.scaler.transform(m.train)
+    z = reduce(lambda a, b: a + b, [F.lit(v) * F.col(c).cast("double") for c, v in zip(m.features, w)], F.lit(est.intercept))
+    r = 1.0 / (1.0 + F.exp(-z)) - F.col(models.LABEL)
+    reg = est.getRegParam()
+    parts = [F.abs(F.avg(r * F.col(c).cast("double")) + F.lit(reg * v)) for c, v in zip(m.features, w)]
+    return train.agg(F.count(F.lit(1)).alias("n_train"), F.greatest(F.abs(F.avg(r)), *parts).alias("gradient"))

@@ -216,6 +216,10 @@ weighted AS (SELECT customerID, term, (1 + ln(c)) * idf AS raw FROM counts)"""
         "tfidf_features": W(feats, """
 SELECT customerID, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY customerID)), 6) AS tfidf
 FROM weighted"""),
+        "tfidf_wide": W(feats, """
+, norm AS (SELECT customerID, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY customerID)), 6) AS tfidf FROM weighted)
+SELECT s.customerID, v.term, coalesce(n.tfidf, 0.0) AS tfidf
+FROM split s CROSS JOIN vocab v LEFT JOIN norm n ON n.customerID = s.customerID AND n.term = v.term"""),
         "tfidf_top_terms": W(base, "SELECT term, round(idf, 6) AS idf_score FROM vocab ORDER BY idf, term LIMIT 20"),
     }
 
@@ -541,8 +545,24 @@ FROM (SELECT {lab} AS label, count(*) AS n_c FROM subscribers GROUP BY 1) c,
       FROM subscribers) t""")}
 
 
+def _trained() -> dict:
+    """What must hold of any trained model, for the rows of the split that SQL makes itself."""
+    test = W(STRUCT + split_ctes("prepared"), "SELECT customerID, {} FROM split WHERE split = 'test'")
+    return {
+        "scores_valid": W(STRUCT + split_ctes("prepared"), f"""
+SELECT model, customerID AS id, {label_sql('Churn')} AS y, TRUE AS valid FROM split,
+  (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting')) m(model) WHERE split = 'test'"""),
+        "shap_tree_additive": test.format("TRUE AS additive"),
+        "logistic_scorer": test.format("TRUE AS equal"),
+        "model_roundtrip_equal": test.format("TRUE AS equal"),
+        "logistic_optimum": W(STRUCT + split_ctes("prepared"),
+                              "SELECT count(*) AS n_train, TRUE AS stationary FROM split WHERE split = 'train'"),
+        "importance_total": "SELECT TRUE AS sums_to_one, TRUE AS none_negative",
+    }
+
+
 def oracle_sql() -> dict:
     out = {}
-    for part in (_sinks, _quality, _filters, _features, _eda, _encode, _evaluate, _explain, _models):
+    for part in (_sinks, _quality, _filters, _features, _eda, _encode, _evaluate, _explain, _models, _trained):
         out.update(part())
     return out

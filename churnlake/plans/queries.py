@@ -430,8 +430,7 @@ def q_shap_waterfall(spark, sf):
 
 
 def q_shap_customer_top(spark, sf):
-    s, _ = _shap_long(spark, sf)
-    t = explain.shap_customer_top(s, top_n=2)
+    t = explain.shap_customer_top(explain.shap_linear_rows(_structured(spark, sf), SCORER), top_n=2)
     return t.select(S.ID_COLUMN, "rank", "feature", "value", F.round("shap_value", 6).alias("shap_value"),
                     "direction")
 
@@ -554,55 +553,53 @@ def q_train_logistic(spark, sf):
     from churnlake.operators import models
     from churnlake.plans import modeling
     m = _matrix(spark, sf)
-    return models.coefficients(modeling.fit_logistic(m), m.features)
-
-
-def q_train_forest(spark, sf):
-    from churnlake.plans import modeling
-    m = _matrix(spark, sf)
-    return modeling.scored_test(modeling.fit_forest(m), m)
+    return models.coefficients(modeling.fitted(m, "logistic"), m.features)
 
 
-def q_train_gbt(spark, sf):
-    from churnlake.plans import modeling
-    m = _matrix(spark, sf)
-    return modeling.scored_test(modeling.fit_gbt(m), m)
-
-
-def q_train_gbt_light(spark, sf):
-    from churnlake.plans import modeling
-    m = _matrix(spark, sf)
-    return modeling.scored_test(modeling.fit_gbt(m, light=True), m)
+def _scores(name):
+    def run(spark, sf):
+        from churnlake.plans import modeling
+        m = _matrix(spark, sf)
+        return modeling.scored_test(modeling.fitted(m, name), m)
+    return run
 
 
-def q_tune_models(spark, sf):
-    from churnlake.operators import models
-    m = _matrix(spark, sf)
-    _, table = models.tune_logistic(m.scaler.transform(m.train), m.features)
-    return table
+def _tuned(kind, n):
+    def run(spark, sf):
+        from churnlake.operators import models
+        m = _matrix(spark, sf)
+        train = m.scaler.transform(m.train) if kind == "logistic" else m.train
+        return models.tune(kind, train, m.features, n)[1]
+    return run
 
 
 def q_validation_fit(spark, sf):
+    """Boosting watched on a fifth of the training rows; the area is that of the test rows, which it never saw."""
     from churnlake.operators import models
     m = _matrix(spark, sf)
-    both = m.train.unionByName(m.test).withColumn("is_validation", F.col("split") == "test")
-    data = models.add_weights(both, "ratio")
+    held = sample.stratified_split(m.train.drop("split"), target=models.LABEL, seed=S.SEED + 1)
+    data = models.add_weights(held.withColumn("is_validation", F.col("split") == "test").drop("split"), "ratio")
     model = models.boosting(m.features, validation_col="is_validation").fit(data)
     scored = models.probability(model, m.test, [S.ID_COLUMN, models.LABEL])
     auc = evaluate.roc_auc(scored.select(F.col(models.LABEL).cast("int").alias("y"), "p"))
     return auc.select(F.lit(model.stages[-1].getNumTrees).alias("trees_used"), "roc_auc")
 
 
-def q_train_all(spark, sf):
+def _all_scores(spark, sf):
     from churnlake.plans import modeling
-    return evaluate.model_comparison(modeling.model_table(spark, sf))
+    return modeling.scores_of(_matrix(spark, sf), {
+        "logistic_regression": "logistic", "random_forest": "forest", "gradient_boosting": "gbt"})
+
+
+def q_train_all(spark, sf):
+    return evaluate.model_comparison(_all_scores(spark, sf))
 
 
 def q_feature_importance(spark, sf):
     from churnlake.operators import models
     from churnlake.plans import modeling
     m = _matrix(spark, sf)
-    return models.feature_importance(modeling.fit_forest(m), m.features, top_n=20)
+    return models.feature_importance(modeling.fitted(m, "forest"), m.features, top_n=20)
 
 
 def q_model_roundtrip(spark, sf):
@@ -610,34 +607,160 @@ def q_model_roundtrip(spark, sf):
     from churnlake.plans import modeling
     m = _matrix(spark, sf)
     model = modeling.fit_logistic(m)
-    fp = models.Fingerprint.of(m.train, m.features, {"model": "logistic", "C": 1.0})
-    path = models.save_model(model, models.model_path(m.train, "logistic", fp))
-    again = models.load_model(path)
+    fp = models.Fingerprint.of(m.train, m.features, {"model": "roundtrip", "C": 1.0})
+    path = models.save_model(model, models.model_path(m.train, "roundtrip", fp), fp)
+    again = models.load_model(path, fp)
     before = modeling.scored_test(model, m, scaled=True).withColumnRenamed("p", "p_before")
     after = modeling.scored_test(again, m, scaled=True).select(S.ID_COLUMN, F.col("p").alias("p_after"))
     return before.join(after, S.ID_COLUMN).withColumn("equal", F.col("p_before") == F.col("p_after"))
 
 
-def q_shap_tree(spark, sf):
-    from churnlake.operators import models, treeshap
+# ---- a trained model explained, and the facts that SQL can check
+
+def _tree_rows(spark, sf):
+    from churnlake.operators import treeshap
     from churnlake.plans import modeling
-    from churnlake.session import ensure_checkpoint_dir
+    from churnlake.session import ensure_checkpoint_dir, materialize
     m = _matrix(spark, sf)
-    model = modeling.fit_gbt(m)
-    path = f"{ensure_checkpoint_dir(spark)}/models/shap-gbt-{_dt.datetime.now():%Y%m%d%H%M%S%f}"
-    return treeshap.shap_tree(m.test, model, m.features, path)
+
+    def build():
+        path = f"{ensure_checkpoint_dir(spark)}/models/shap-gbt-{_dt.datetime.now():%Y%m%d%H%M%S%f}"
+        return materialize(treeshap.shap_tree_rows(m.test, modeling.fitted(m, "gbt"), m.features, path), "tree-shap")
+    return pipeline.memoized(spark, sf, "tree-shap", build)
+
+
+def _tree_long(spark, sf):
+    return _tree_rows(spark, sf).select(S.ID_COLUMN, F.explode("shap").alias("s"), "base_value", "margin").select(
+        S.ID_COLUMN, "s.feature", "s.value", "s.shap", "base_value", "margin")
+
+
+def q_shap_tree_global(spark, sf):
+    return explain.shap_global(_tree_long(spark, sf))
+
+
+def q_shap_tree_summary(spark, sf):
+    return explain.shap_summary(_tree_long(spark, sf).drop("base_value", "margin"))
+
+
+def q_shap_tree_top(spark, sf):
+    return explain.shap_customer_top(_tree_rows(spark, sf), top_n=5)
+
+
+def q_shap_tree_waterfall(spark, sf):
+    rows = _tree_long(spark, sf)
+    one = rows.orderBy(F.desc("margin"), S.ID_COLUMN).select(S.ID_COLUMN, "base_value").first()
+    return explain.shap_waterfall(rows.drop("base_value", "margin"), one[0], one[1])
+
+
+def q_shap_tree_additive(spark, sf):
+    total = F.aggregate("shap", F.col("base_value"), lambda a, s: a + s["shap"])
+    return _tree_rows(spark, sf).select(S.ID_COLUMN, (F.abs(total - F.col("margin")) < 1e-9).alias("additive"))
+
+
+def _gbt_scorer(spark, sf):
+    from churnlake.operators import models
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    model = modeling.fitted(m, "gbt")
+    return m, lambda rows: models.probability(model, rows, [c for c in (S.ID_COLUMN, "g") if c in rows.columns])
+
+
+def q_partial_dependence_model(spark, sf):
+    m, scorer = _gbt_scorer(spark, sf)
+    return explain.partial_dependence(m.test, scorer, ["tenure", "MonthlyCharges"])
+
+
+def q_ice_curves_model(spark, sf):
+    m, scorer = _gbt_scorer(spark, sf)
+    return explain.ice_curves(m.test, scorer, "tenure", sample_n=50)
+
+
+def q_roster_trained(spark, sf):
+    """The riskiest 20 test customers of the trained boosting model, with their readable attributes."""
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    scores = modeling.scored_test(modeling.fitted(m, "gbt"), m).select(S.ID_COLUMN, "p")
+    return roster.roster_for_split(_prepared(spark, sf).join(scores, S.ID_COLUMN), top_n=20)
+
+
+def q_gains_trained(spark, sf):
+    return evaluate.gains_table(_all_scores(spark, sf).where(F.col("model") == "gradient_boosting").drop("model"))
+
+
+def q_cost_trained(spark, sf):
+    return evaluate.cost_evaluation(_all_scores(spark, sf).where(F.col("model") == "gradient_boosting").drop("model"))
+
+
+def q_scores_valid(spark, sf):
+    return _all_scores(spark, sf).select("model", "id", "y", F.col("p").between(0.0, 1.0).alias("valid"))
+
+
+def q_logistic_optimum(spark, sf):
+    from churnlake.plans import modeling
+    return modeling.gradient_norm(_matrix(spark, sf)).select("n_train", (F.col("gradient") < 1e-2).alias("stationary"))
+
+
+def q_logistic_scorer(spark, sf):
+    """The fitted regression as a linear scorer gives the model's own probabilities."""
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    own = modeling.scored_test(modeling.fitted(m, "logistic"), m, scaled=True).select(S.ID_COLUMN, "p")
+    linear = m.test.select(S.ID_COLUMN, modeling.linear_scorer(m).probability().alias("q"))
+    return own.join(linear, S.ID_COLUMN).select(S.ID_COLUMN, (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("equal"))
+
+
+def q_model_roundtrip_equal(spark, sf):
+    return q_model_roundtrip(spark, sf).select(S.ID_COLUMN, "equal")
+
+
+def q_importance_total(spark, sf):
+    from churnlake.operators import models
+    from churnlake.plans import modeling
+    m = _matrix(spark, sf)
+    table = models.feature_importance(modeling.fitted(m, "forest"), m.features, top_n=len(m.features))
+    return table.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+def q_tfidf_wide(spark, sf):
+    model, split = _tfidf(spark, sf)
+    wide = model.transform(split)
+    names = [c for c in wide.columns if c.startswith("tfidf_")]
+    pairs = F.array(*[F.struct(F.lit(c[6:]).alias("term"), F.round(F.col(f"`{c}`"), 6).alias("tfidf")) for c in names])
+    return wide.select(S.ID_COLUMN, F.explode(pairs).alias("t")).select(S.ID_COLUMN, "t.term", "t.tfidf")
+
+
+def q_shap_tree(spark, sf):
+    return _tree_long(spark, sf)
 
 
 QUERIES.update({
     "class_weights": q_class_weights,
     "train_logistic": q_train_logistic,
-    "train_forest": q_train_forest,
-    "train_gbt": q_train_gbt,
-    "train_gbt_light": q_train_gbt_light,
-    "tune_models": q_tune_models,
+    "train_forest": _scores("forest"),
+    "train_gbt": _scores("gbt"),
+    "train_gbt_light": _scores("gbt_light"),
+    "tune_models": _tuned("logistic", None),
+    "tune_forest": _tuned("forest", 3),
+    "tune_boosting": _tuned("gbt", 2),
     "validation_fit": q_validation_fit,
     "train_all": q_train_all,
     "feature_importance": q_feature_importance,
     "model_roundtrip": q_model_roundtrip,
     "shap_tree": q_shap_tree,
+    "shap_tree_global": q_shap_tree_global,
+    "shap_tree_summary": q_shap_tree_summary,
+    "shap_tree_top": q_shap_tree_top,
+    "shap_tree_waterfall": q_shap_tree_waterfall,
+    "shap_tree_additive": q_shap_tree_additive,
+    "partial_dependence_model": q_partial_dependence_model,
+    "ice_curves_model": q_ice_curves_model,
+    "roster_trained": q_roster_trained,
+    "gains_trained": q_gains_trained,
+    "cost_trained": q_cost_trained,
+    "scores_valid": q_scores_valid,
+    "logistic_optimum": q_logistic_optimum,
+    "logistic_scorer": q_logistic_scorer,
+    "model_roundtrip_equal": q_model_roundtrip_equal,
+    "importance_total": q_importance_total,
+    "tfidf_wide": q_tfidf_wide,
 })
