@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from churnlake.operators import evaluate, explain, sample
-from churnlake.operators.rank import Key, running_totals
+from churnlake.operators.rank import Key, ranged, running_totals
 from churnlake.plans import queries as Q
 from tests.conftest import SF001, SF01
 
@@ -42,14 +42,68 @@ def test_running_totals_partition_invariant(spark, parts):
         assert got[r["id"]] == (i, cum)
 
 
-def test_hot_value_is_split_across_buckets(spark):
-    # a third of the rows share one score: the cut tuples must split them by id
+def test_hot_value_is_split_across_ranges(spark):
+    # a third of the rows share one score: the ranges are cut inside it, by id
     df = spark.range(0, 9000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0.5))
                                      .otherwise(F.rand(3)).alias("p"), F.lit(1).alias("y"))
-    rt = running_totals(df, [Key("p", False), Key("id")], ["y"], buckets=8)
-    sizes = [r["count"] for r in rt.groupBy("_bkt").count().collect()] if "_bkt" in rt.columns else None
-    assert sizes is None  # helper columns are dropped
-    assert rt.agg(F.max("pos")).first()[0] == 9000
+    stored = ranged(df, [Key("p", False), Key("id")], 8)
+    sizes = [r["count"] for r in stored.groupBy("_range").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 9000 / 8
+    assert stored.where("p = 0.5").select("_range").distinct().count() >= 3
+    assert running_totals(df, [Key("p", False), Key("id")], ["y"], buckets=8).agg(F.max("pos")).first()[0] == 9000
+
+
+def _labelled(spark, n):
+    label = F.when(F.col("id") % 10 < 4, "Yes").when(F.col("id") % 10 < 9, "No")
+    return spark.range(n).select(F.col("id").cast("string").alias("customerID"), label.alias("Churn"))
+
+
+@pytest.mark.parametrize("n", [1500, 20000])
+def test_null_labels_split_and_fold_alike_at_every_size(spark, n):
+    df = _labelled(spark, n)
+    got = {(r["Churn"], r["split"]): r["count"] for r in
+           sample.stratified_split(df).groupBy("Churn", "split").count().collect()}
+    assert [got[c, "test"] for c in ("Yes", "No", None)] == [n * 8 // 100, n // 10, n // 50]
+    folds = {(r["Churn"], r["fold"]): r["count"] for r in sample.cv_folds(df).groupBy("Churn", "fold").count().collect()}
+    assert folds == {(c, k): share * n // 50 for c, share in (("Yes", 4), ("No", 5), (None, 1)) for k in range(5)}
+
+
+def test_split_equals_ranking(spark):
+    rows = [(r["customerID"], r["Churn"], r["h"]) for r in
+            _labelled(spark, 3000).withColumn("h", sample.key_hash()).collect()]
+    first = {i for c in ("Yes", "No", None)
+             for i, _, _ in sorted((r for r in rows if r[1] == c), key=lambda r: (r[2], r[0]))[
+                 : int(sum(r[1] == c for r in rows) * 0.2 + 0.5)]}
+    split = sample.stratified_split(_labelled(spark, 3000))
+    assert {r["customerID"] for r in split.where("split = 'test'").collect()} == first
+
+
+def test_null_keys_take_part_in_running_totals(spark):
+    df = spark.createDataFrame([(None, 1, 5), (2.0, 2, 7), (None, 3, 1), (1.0, 4, 2)], "k double, id int, y int")
+    rt = running_totals(df, [Key("k"), Key("id")], ["y"], buckets=3)
+    assert [(r["id"], r["pos"], r["cum_y"]) for r in rt.orderBy("pos").collect()] == [(1, 1, 5), (3, 2, 6), (4, 3, 8), (2, 4, 15)]
+
+
+def test_gains_have_all_deciles_and_skip_incomplete_rows(spark):
+    rows = [(i, i % 2, p) for i, p in enumerate([0.9, 0.8, 0.3, 0.2, 0.1])] + [(9, 1, None), (10, None, 0.5), (11, 1, float("nan"))]
+    df = spark.createDataFrame(rows, "id int, y int, p double")
+    gains = evaluate.gains_table(df).orderBy("decile").collect()
+    assert [r["decile"] for r in gains] == list(range(10)) and sum(r["customers"] for r in gains) == 5
+    assert gains[-1]["pct_churners_captured"] == 1.0
+    cm = evaluate.confusion_matrix(df).first()
+    assert cm["tn"] + cm["fp"] + cm["fn"] + cm["tp"] == 5
+    assert evaluate.score_table(df).agg(F.sum("pos") + F.sum("neg")).first()[0] == 5
+
+
+def test_master_without_shared_folder_raises():
+    from types import SimpleNamespace
+
+    from churnlake.session import ensure_checkpoint_dir
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda *a: None),
+                              _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="share"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
 
 
 def test_auc_matches_mllib(spark):
@@ -104,13 +158,6 @@ def test_no_python_and_no_single_partition_window(spark, name):
             assert "], [], [" not in line, line
 
 
-def test_filters_reach_the_scan(spark):
-    df = spark.read.parquet(f"{SF001}/customer.parquet").where(F.col("c_acctbal") > 100).select("c_custkey")
-    plan = _plan(df)
-    assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,100.0)]" in plan
-    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double>" in plan
-
-
 def test_randomised_search_forest_and_boosting(spark):
     from churnlake.operators import models
     from churnlake.plans import modeling

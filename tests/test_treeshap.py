@@ -102,3 +102,47 @@ def test_mllib_forest_margin(spark, tmp_path):
     for r in per.join(prob, "customerID").collect():
         assert abs(r["s"] + r["b"] - r["margin"]) < 1e-9
         assert abs(r["margin"] - r["p"]) < 1e-9
+
+
+def test_deep_trees_are_explained():
+    rng = np.random.default_rng(3)
+
+    def chain(depth):
+        """A tree of that depth with one path: every inner node has a leaf on its right."""
+        n = 2 * depth + 1
+        inner = np.arange(depth)
+        left, right = np.full(n, -1), np.full(n, -1)
+        left[inner], right[inner] = np.append(inner[1:], depth), depth + 1 + inner
+        feature = np.full(n, -1)
+        feature[inner] = inner % 3
+        cover = np.concatenate((np.arange(depth + 1, 0, -1.0), np.ones(depth)))
+        return Tree(left, right, feature, rng.normal(size=n), rng.normal(size=n), cover, 1.0)
+
+    ens = Ensemble("forest", [chain(18), chain(25)], 3)
+    X = rng.normal(size=(10, 3))
+    phi = explain_batch(ens, X)
+    np.testing.assert_allclose(phi.sum(axis=1) + ens.expected_value(), ens.predict(X), atol=1e-9)
+    for r in range(3):
+        np.testing.assert_allclose(phi[r], _brute(ens, X[r]), atol=1e-9)
+
+
+def test_stored_model_is_reused_only_under_its_fingerprint(spark, tmp_path):
+    import pytest
+
+    from churnlake.operators import models
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 0.0), (0.0, 2.0), (1.0, -1.0)], "label double, x double")
+    fp = models.Fingerprint.of(df, ["x"], {"C": 1})
+    fits = []
+
+    def fit():
+        fits.append(1)
+        return models.logistic(["x"], 4).fit(df)
+
+    path = str(tmp_path / "m")
+    first, second = (models.fit_or_load(path, fp, fit) for _ in range(2))
+    assert len(fits) == 1 and first.stages[-1].intercept == second.stages[-1].intercept
+    other = models.Fingerprint.of(df, ["x"], {"C": 2})
+    with pytest.raises(ValueError, match="not trained"):
+        models.load_model(path, other)
+    models.fit_or_load(path, other, fit)
+    assert len(fits) == 2 and models.stored_fingerprint(path) == other.value
