@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits of the lower-cased text. A spaced seed is a mask over
+Tokens are runs of letters and digits of the case-folded text. A spaced seed is a mask over
 consecutive tokens that hashes only some of them, so that a changed token at an ignored place does
 not change the hash. The four masks together hit every stretch of 13 tokens with up to two
 changed tokens, and every stretch of 15 with up to three.
@@ -55,7 +55,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def tokens(text: str | None) -> np.ndarray:
     """One 64-bit hash per token of the text."""
-    data = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer((text or "").casefold().encode("utf-8", "replace"), np.uint8)
     inside = np.concatenate(([False], _IS_TOKEN[data], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
