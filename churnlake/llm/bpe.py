@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 from churnlake.llm.tables import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 200_000
+CACHE_PIECES = 60_000
+CACHE_PAIRS = 200_000
 
 
 class Vocabulary:
@@ -56,7 +57,7 @@ class Vocabulary:
             self.parts[i] = halves
             if len(token) > 1:
                 self.merged[halves] = i
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def _last_merge(self, token: bytes) -> tuple[int, int] | None:
         """The ids that the token's own merges join last; the token twice for one byte; None if they never build it."""
@@ -73,11 +74,12 @@ class Vocabulary:
 
     def pair_holds(self, left: int, right: int) -> bool:
         """Whether two neighbouring tokens stay as they are under the merges."""
-        known = self._pairs.get((left, right))
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= CACHE_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[left, right] = self._holds(left, right)
+            known = self._pairs[pair] = self._holds(left, right)
         return known
 
     def _holds(self, left: int, right: int) -> bool:
@@ -98,10 +100,20 @@ class Vocabulary:
                 return True
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str) -> Vocabulary:
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)})
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs."""
+    return {i: b for b, i in read_ranks(path).items()}
 
 
 class Prefixes:
@@ -222,7 +234,7 @@ class EncodedText:
         return self.edit(len(self.text), len(self.text), more)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
@@ -238,7 +250,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for batch in parts:
-            for rows in slices(batch, "_text"):
+            for rows in slices(batch, "_text", 2 << 20):
                 ids = [np.array(tool.encode(t), "<u4").tobytes() for t in rows.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(i) for i in range(len(names))]
@@ -255,10 +267,10 @@ def decode(df: DataFrame, tokens_col: str = "tokens", name: str = "decoded", pat
     at = df.columns.index(tokens_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path, public_tokenizers.PATTERN)
+        of = token_bytes(path)
         for batch in parts:
-            for rows in slices(batch, batch.schema.names[at]):
-                texts = [tool.decode(np.frombuffer(b or b"", "<u4").tolist()) for b in rows.column(at).to_pylist()]
+            for rows in slices(batch, batch.schema.names[at], 2 << 20):
+                texts = [b"".join([of[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in rows.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
