@@ -114,7 +114,9 @@ def with_ledger(df: DataFrame, text_col: str = "text", name: str = "_ledger") ->
         f"{name}_words": F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)),
         f"{name}_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
     })
-    measured = staged.withColumn(f"{name}_m", F.struct(
+    # Generated from an array of one, the measurements are a value that later expressions refer to. As a plain column
+    # they would be written out again wherever a rule, a verdict or a filter mentions them, and computed each time.
+    measured = staged.withColumn(f"{name}_m", F.explode(F.array(F.struct(
         F.size(word).cast("long").alias("n_words"),
         F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
         _characters(text, r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -124,7 +126,7 @@ def with_ledger(df: DataFrame, text_col: str = "text", name: str = "_ledger") ->
         _characters(text, r"\P{L}+").alias("n_letters"),
         _characters(text, r"\P{Lu}+").alias("n_upper"),
         _characters(text, r"[^!]+").alias("n_exclaim"),
-    ))
+    ))))
     fields = {m: F.col(f"{name}_m")[m] for m in MEASURES}
     bits = F.lit(0).cast("long")
     for rule, condition in RULES:
@@ -173,5 +175,4 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
 def keep_documents(df: DataFrame, policy: Policy = POLICIES[CURRENT], text_col: str = "text") -> DataFrame:
     """The rows of ``df`` the policy keeps, columns unchanged."""
     led = with_ledger(df, text_col, "_qr")
-    bits = F.col("_qr.failure_bits")
-    return led.filter(policy.kept(bits)).drop("_qr")
+    return led.filter(policy.kept(F.col("_qr.failure_bits"))).select(*df.columns)
