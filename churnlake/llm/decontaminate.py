@@ -5,7 +5,7 @@ consecutive tokens that hashes only some of them, so that a changed token at an
 not change the hash. The four masks together hit every stretch of 13 tokens with up to two
 changed tokens, and every stretch of 15 with up to three.
 
-1. Benchmark items are hashed under every mask and kept as a table. A bitmap of these hashes, of
+1. Benchmark items are hashed under every mask and kept as a table. A Bloom filter of these hashes, of
    bounded size, goes to the tasks that scan the documents; it has no false negatives, so only
    windows that are not in the benchmark are dropped there.
 2. The windows that pass are gathered into passages with their surroundings. Equal passages are
@@ -39,7 +39,10 @@ MASKS = ("1001001111", "1110100011", "1111011", "111001101")
 MIN_ITEM = 5
 WINDOW = 13
 EQUAL = 0.8
+#: Bits of the filter for each hash, up to 2^MAX_BITMAP_BITS in all, and places looked at for a hash.
+BITS_A_HASH = 64
 MAX_BITMAP_BITS = 27
+PROBES = 6
 
 _RNG = np.random.Generator(np.random.PCG64(6))
 _BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -110,25 +113,43 @@ def item_hashes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The hashes' leading bits as a bitmap: 16 bits a hash, and never more than 2^MAX_BITMAP_BITS bits."""
+    """A Bloom filter of the hashes: probe k reads its place from the top bits of h times an odd factor."""
     n = hashes.select("h").distinct().count()
-    bits = min(MAX_BITMAP_BITS, max(16, math.ceil(math.log2(16 * max(n, 1)))))
-    place = F.shiftrightunsigned("h", 64 - bits)
-    words = hashes.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
+    bits = min(MAX_BITMAP_BITS, max(16, math.ceil(math.log2(BITS_A_HASH * max(n, 1)))))
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            h = part["h"].to_numpy(np.int64).view(np.uint64)
+            p = np.unique(np.concatenate([_place(h, k, bits) for k in range(PROBES)]))
+            yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "bit": (p & np.uint64(63)).astype(np.int32)})
+
+    words = hashes.select("h").mapInPandas(place, "word long, bit int").groupBy("word").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
     out = np.zeros(1 << (bits - 6), np.uint64)
     got = words.toPandas()
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
+def _place(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (h * _FACTOR[50 + probe]) >> np.uint64(64 - bits)
+
+
+def _in_bitmap(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Indexes of the hashes that the filter may hold; each probe looks only at what the one before has left."""
+    bits = len(bitmap).bit_length() - 1 + 6
+    left = np.arange(len(h))
+    for probe in range(PROBES):
+        p = _place(h[left], probe, bits)
+        left = left[((bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)) != 0]
+    return left
+
+
 def _passages(toks: np.ndarray, bitmap: np.ndarray, lengths: tuple[int, ...], context: int):
     """Stretches (start, end) of tokens around the windows that are in the bitmap, with the windows' hashes and places."""
-    shift = np.uint64(64 - (len(bitmap).bit_length() - 1 + 6))
     starts, ends, hashes = [], [], []
     for span, h in window_hashes(toks, lengths):
-        p = h >> shift
-        hit = np.flatnonzero((bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1))
+        hit = _in_bitmap(h, bitmap)
         starts.append(hit)
         ends.append(hit + span)
         hashes.append(h[hit])
