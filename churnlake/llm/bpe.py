@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from churnlake.llm.tables import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 200_000
-CACHE_PAIRS = 400_000
+CACHE_PIECES = 250_000
+CACHE_PAIRS = 1_500_000
 
 
 class Vocabulary:
