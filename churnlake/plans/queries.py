@@ -740,8 +740,8 @@ QUERIES.update({
     "train_gbt": _scores("gbt"),
     "train_gbt_light": _scores("gbt_light"),
     "tune_models": _tuned("logistic", None),
-    "tune_forest": _tuned("forest", 3),
-    "tune_boosting": _tuned("gbt", 2),
+    "tune_forest": _tuned("forest", None),
+    "tune_boosting": _tuned("gbt", None),
     "validation_fit": q_validation_fit,
     "train_all": q_train_all,
     "feature_importance": q_feature_importance,

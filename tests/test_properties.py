@@ -173,6 +173,26 @@ def test_randomised_search_forest_and_boosting(spark):
     assert all(0.0 <= r["mean_auc"] <= 1.0 for r in table.collect())
 
 
+@pytest.mark.parametrize("name, kind, n", [("tune_models", "logistic", 12), ("tune_forest", "forest", 15), ("tune_boosting", "gbt", 15)])
+def test_registered_searches_draw_every_candidate(spark, monkeypatch, name, kind, n):
+    from churnlake.operators import models
+    fitted = []
+
+    class Search:
+        avgMetrics, bestModel = [], None
+
+        def __init__(self, estimatorParamMaps, **settings):
+            self.avgMetrics = [0.5] * len(estimatorParamMaps)
+            fitted.extend(estimatorParamMaps)
+
+        def fit(self, data):
+            return self
+
+    monkeypatch.setattr(models, "CrossValidator", Search)
+    table = Q.QUERIES[name](spark, SF001)
+    assert {r.model for r in table.collect()} == {kind} and table.count() == len(fitted) == n
+
+
 def test_feature_filters_reach_the_prepared_scan(spark):
     df = Q.q_filter_customers(spark, SF001)
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
