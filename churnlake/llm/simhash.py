@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.llm.components import components
@@ -62,17 +62,23 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def _text_hashes(text_col: str) -> list[Column]:
+    """Two 64-bit hashes that tell texts apart; a NULL text counts as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
-    """(id, fp): one row per input row; fp holds the 64 bits as a signed long."""
+    """(id, fp, h1, h2): one row per input row; fp holds the 64 bits as a signed long, h1 and h2 tell the text."""
     kind = df.schema[id_col].dataType
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             fp = np.fromiter((fingerprint(t, size) for t in part["text"]), np.uint64, len(part))
-            yield pd.DataFrame({"id": part["id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"id": part["id"], "fp": fp.view(np.int64), "h1": part["h1"], "h2": part["h2"]})
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(score, f"id {kind.simpleString()}, fp long")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_text_hashes(text_col))
+    return rows.mapInPandas(score, f"id {kind.simpleString()}, fp long, h1 long, h2 long")
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
@@ -279,9 +285,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, blocks: int = 6, chu
     return grouped.mapInPandas(compare_buckets(radius), "x long, y long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4,
-                    radius: int = 4, blocks: int = 6, chunk: int = 4096) -> DataFrame:
-    """(id, fp, component): the component is the smallest id reachable over links of ``radius`` bits or fewer."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, size: int, radius: int, blocks: int, chunk: int) -> DataFrame:
+    """(id, fp, h1, h2, root, component): the root names a component, whose smallest id another one can share."""
     prints = materialize(fingerprints(df, id_col, text_col, size), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     links = materialize(fingerprint_links(distinct.select("fp"), radius, blocks, chunk).distinct(), "simhash-links")
@@ -289,19 +294,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = rooted.join(least, "root").select("fp", "component")
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    by_print = rooted.join(least, "root").select("fp", "root", "component")
+    return prints.join(by_print, "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4,
+                    radius: int = 4, blocks: int = 6, chunk: int = 4096) -> DataFrame:
+    """(id, fp, component): the component is the smallest id reachable over links of ``radius`` bits or fewer."""
+    rooted = _rooted(df, id_col, text_col, size, radius, blocks, chunk)
+    return rooted.select(F.col("id").alias(id_col), "fp", "component")
 
 
 def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4,
                       radius: int = 4) -> DataFrame:
-    """The row of each component's smallest id; of rows that share that id, the one with the least text.
+    """The row of each component's smallest id; of rows of a component that share that id, the one with the least text.
 
+    Unrelated texts under one id are in components of their own, and each of these keeps its row.
     Rows with a NULL id cannot be named as the one that stays: they are only freed of exact repeats of a text.
     """
-    keep = near_duplicates(df, id_col, text_col, size, radius).filter(
-        F.col(id_col) == F.col("component")).select(F.col(id_col).alias("_kept")).distinct()
+    keep = _rooted(df, id_col, text_col, size, radius, 6, 4096).filter(F.col("id") == F.col("component")).select(
+        F.col("id").alias("_kept"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("root").alias("_root")).distinct()
     first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(text_col))
-    named = df.join(keep, F.col(id_col) == F.col("_kept"), "left_semi").withColumn("_row", first(id_col))
+    h1, h2 = _text_hashes(text_col)
+    same = (F.col(id_col) == F.col("_kept")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2"))
+    named = df.join(keep, same).withColumn("_row", first(id_col, "_root")).select(*df.columns, "_row")
     unnamed = df.filter(F.col(id_col).isNull()).withColumn("_row", first(F.xxhash64(text_col), text_col))
     return named.unionByName(unnamed).filter("_row = 1").drop("_row")

@@ -2,7 +2,7 @@
 
 A byte is removed when it lies in a ``length``-byte string that also starts in a
 document with a smaller id. All suffixes of a corpus are never sorted at once. Whole copies of a
-text are told by two 64-bit hashes and the length: they go entirely, and only the copy of least id is
+text are told by two 64-bit hashes and the length, row by row: they go entirely, and only the copy of least id is
 searched. For the rest the work goes in three passes over blocks of documents (consecutive ranges of the id):
 
 1. Cover sample. The positions of a document whose residue modulo ``PERIOD`` lies in a difference cover.
@@ -103,9 +103,9 @@ class Block:
         self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
         self.sizes = np.diff(self.offsets)
         ids = table.column("_id").to_pandas()
-        copied = set(marks.filter(pc.field("round") == 0).column("copy").to_pylist())
-        self.copies = np.fromiter((i in copied for i in table.column("_id").to_pylist()), bool, len(ids)) & (
-            self.sizes >= LENGTH)
+        copied = {tuple(c.values()) for c in marks.filter(pc.field("round") == 0).column("copy").to_pylist()}
+        prints = zip(*(table.column(c).to_pylist() for c in _PRINT))
+        self.copies = np.fromiter((p in copied for p in prints), bool, len(ids)) & (self.sizes >= LENGTH)
         self.usable = (self.sizes >= LENGTH) & ids.notna().to_numpy() & ~self.copies
         self.order = ids.rank(method="dense").fillna(0).to_numpy(np.int32)
 
@@ -202,16 +202,18 @@ _MARKS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("b
                        T.StructField("round", T.IntegerType())])
 
 
+#: What tells a whole copy: the id alone does not, as rows that share one can hold different texts.
+_PRINT = ("_id", "_size", "_h1", "_h2")
+
+
 def _copies(blocks: DataFrame) -> DataFrame:
     """A row of round 0 for every document whose text a document of smaller id has as a whole."""
-    text = F.col("_text")
-    prints = blocks.filter(F.col("_id").isNotNull()).select("block", F.col("_id").alias("copy"), F.octet_length(text).alias("size"),
-                           F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
-    least = prints.groupBy("size", "h1", "h2").agg(F.min("copy").alias("least"), F.max("copy").alias("greatest"))
-    copied = prints.join(least.filter("least < greatest"), ["size", "h1", "h2"]).filter("copy > least")
+    prints = blocks.filter(F.col("_id").isNotNull()).select("block", *_PRINT)
+    least = prints.groupBy("_size", "_h1", "_h2").agg(F.min("_id").alias("least"), F.max("_id").alias("greatest"))
+    copied = prints.join(least.filter("least < greatest"), ["_size", "_h1", "_h2"]).filter("_id > least")
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in _MARKS.fields} | {
         "block": F.col("block"), "round": F.lit(0).alias("round")}
-    return copied.select(*none.values(), "copy").distinct()
+    return copied.select(*none.values(), F.struct(*_PRINT).alias("copy")).distinct()
 
 
 def _lists(block: int, values: np.ndarray, bits: int, bucket_bits: int) -> pa.Table:
@@ -285,6 +287,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"),
                      *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    text = F.col("_text")
+    rows = rows.withColumns({"_size": F.octet_length(text), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit("second"), text)})
     name = f"suffix_blocks_{uuid.uuid4().hex[:12]}"
     (rows.repartitionByRange(n_blocks, "_id").withColumn("block", F.spark_partition_id())
      .write.option("path", f"{ensure_checkpoint_dir(spark)}/tables/{name}").option("compression", "zstd")
@@ -322,13 +326,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                          pa.array(block.sizes, pa.int64())], names=[f.name for f in schema.fields])
 
-    texts = blocks.select("block", "_id", "_text").groupBy("block")
-    none = F.lit(None).cast(df.schema[id_col].dataType).alias("copy")
+    copies = materialize(_copies(blocks), "whole-copies")
+    texts = blocks.select("block", "_text", *_PRINT).groupBy("block")
+    none = F.lit(None).cast(copies.schema["copy"].dataType).alias("copy")
 
     def sorted_buckets(lists: DataFrame, bits: int, bucket_bits: int, later_only: bool, turn: int) -> DataFrame:
         return lists.groupBy("bucket").applyInArrow(_sorted_bucket(later_only, turn, bits, bucket_bits), _MARKS).select("*", none)
 
-    copies = materialize(_copies(blocks), "whole-copies")
     first = texts.cogroup(copies.groupBy("block")).applyInArrow(first_lists, _LISTS)
     ranks = materialize(sorted_buckets(first, sample_bits, sample_buckets, False, 1).unionByName(copies), "cover-ranks")
     second = texts.cogroup(ranks.groupBy("block")).applyInArrow(second_lists, _LISTS)

@@ -100,6 +100,14 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(None) == 1
 
 
+def test_unrelated_texts_under_one_id_stay(spark):
+    rng = random.Random(11)
+    one, two = (" ".join(str(rng.random()) for _ in range(200)) for _ in range(2))
+    rows = [(1, one), (1, two), (1, one), (2, two), (3, one), (4, None), (4, "")]
+    kept = S.one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(1, one), (1, two), (4, "")])
+
+
 def test_empty_table(spark):
     assert S.near_duplicates(empty(spark)).count() == 0
     assert S.one_per_component(empty(spark)).count() == 0

@@ -34,6 +34,16 @@ def test_matches_brute_force(spark, block_bytes):
     assert all(r.n_bytes == len(r.kept) + sum(s.end - s.start for s in r.spans) and r.n_words == "clash" for r in rows)
 
 
+@pytest.mark.parametrize("block_bytes", [8 << 20, 200])
+def test_one_id_with_two_texts(spark, block_bytes):
+    copied, other = "a text that two documents hold as a whole, word by word; " * 2, "quite another one, held nowhere else but under this id. " * 2
+    rows = [(3, copied), (5, copied), (5, other), (7, other), (9, copied)]
+    want = Counter((i, kept) for i, kept, _ in repeats_removed(rows))
+    cut = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=block_bytes)
+    assert Counter((r.doc_id, bytes(r.kept)) for r in cut.collect()) == want
+    assert want[(5, other.encode())] == 1
+
+
 def test_planted_passage_is_cut_once(spark):
     passage = "the quick brown fox jumps over the lazy dog and runs away " * 2
     df = spark.createDataFrame([(1, "aaa " + passage), (2, passage + "bbb"), (3, passage), (4, "ä" * 40 + "b"), (5, "cä" + "ä" * 40)],
