@@ -1,10 +1,12 @@
 """Main text of HTML pages by tree scoring.
 
 The page is parsed into a tree. Every paragraph passes points to its ancestors, for its length and its
-commas: all to its parent, half to the grandparent, a third, a quarter and so on further up. A container's points are
-discounted by its link density, the share of its characters that lie in links. The container
-with the most points is the main text, and with it those siblings that look like parts of it: siblings with a fifth
-of its points, and paragraphs among them with few links. What holds menus, headers, footers, sidebars, notices,
+commas: all to its parent, half to the grandparent, a third, a quarter and so on further up. A paragraph is any block
+without blocks inside, be it a p or a div, and bare text between blocks or double line breaks, whose parent is the element
+it stands in. Points of a paragraph and of a container are discounted by their link density, the share of characters that lie in links. The
+container with the most points is the main text, and with it those siblings that look like parts of it: siblings with a
+fifth of its points; headings, paragraphs, lists and tables of any length with few links; and all else with few
+links that lies between two kept siblings. A heading with none of these after it goes. What holds menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments is left out, by element or by the words of its class and id (a marked
 element that holds the page's h1 or main element is a wrapper and stays). A best container inside an article or
 main element stands for the whole of it.
@@ -36,6 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LEFT_OUT = frozenset("""aside audio button canvas dialog footer form head header iframe input label math menu nav noscript
 object option script select style svg template textarea title video""".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd li h2 h3 h4".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Siblings of the best container that are text by their element, however short.
+TEXTUAL = PARAGRAPHS | HEADINGS | frozenset("ul ol dl table figure".split())
+MANY_LINKS = 0.25
 #: Words of a class, id or role that mark what is not the article.
 NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment
 comments comentarios commentaires consent cookie cookies disqus discussion footer gdpr header login masthead menu
@@ -145,34 +151,66 @@ def _measure(tree: Tree) -> None:
         node.linked = node.chars if node.tag == "a" else sum(c.linked for c in inner)
 
 
-def _text(node: Node) -> str:
-    return " ".join(" ".join(blocks([node])).split())
+def _holders(tree: Tree) -> list[bool]:
+    """For every node, whether a block that is not left out lies inside it."""
+    holds = [False] * len(tree.nodes)
+    for node in reversed(tree.nodes):
+        if node.parent is not None and not node.out and (node.tag in BLOCKS or holds[node.order]):
+            holds[node.parent.order] = True
+    return holds
 
 
-def _score(tree: Tree) -> dict[int, float]:
-    """Discounted points of every container."""
-    for node in tree.nodes:
-        if node.out or node.tag not in PARAGRAPHS or _inside_left_out(node) or not node.chars:
+def _runs(node: Node, holds: list[bool]) -> list[str]:
+    """The texts directly in a node, cut at the blocks inside it and at double line breaks."""
+    found: list[str] = []
+    words: list[str] = []
+    breaks = 0
+
+    def end_run() -> None:
+        text = " ".join("".join(words).split())
+        if text:
+            found.append(text)
+        words.clear()
+
+    todo = node.children[::-1]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            words.append(item)
+            breaks = 0 if item.strip() else breaks
+        elif item.out:
             continue
-        text = _text(node) if not any(isinstance(c, Node) and c.tag in PARAGRAPHS for c in node.children) else ""
-        if not text:
+        elif item.tag == "br":
+            words.append(" ")
+            breaks += 1
+            if breaks == 2:
+                end_run()
+        elif item.tag in BLOCKS or holds[item.order]:
+            end_run()
+        else:
+            todo.extend(reversed(item.children))
+    end_run()
+    return found
+
+
+def _score(tree: Tree, holds: list[bool]) -> dict[int, float]:
+    """Discounted points of every container."""
+    hidden = [False] * len(tree.nodes)
+    for node in tree.nodes[1:]:
+        hidden[node.order] = node.out or hidden[node.parent.order]
+        if hidden[node.order] or not node.chars or not (node.tag in BLOCKS or holds[node.order]):
             continue
-        points = 1 + len(_COMMAS.findall(text)) + min(3.0, len(text) / 100)
-        up, share = node.parent, 1
-        while up is not None and up.tag != "#root":
+        runs = _runs(node, holds)
+        own = holds[node.order] or (len(runs) > 1 and node.tag not in PARAGRAPHS)
+        points = sum(1 + len(_COMMAS.findall(t)) + min(3.0, len(t) / 100) for t in (runs if own else [" ".join(runs)]) if t)
+        points *= 1 - node.linked / node.chars
+        up, share = (node if own else node.parent), 1
+        while points and up is not None and up.tag != "#root":
             up.points += points / share
             up, share = up.parent, share + 1
     return {n.order: n.points * (1 - n.linked / n.chars) for n in tree.nodes if n.points and n.chars}
 
 
-def _inside_left_out(node: Node) -> bool:
-    while node is not None:
-        if node.out:
-            return True
-        node = node.parent
-    return False
-
-
 def _enclosing(node: Node) -> Node | None:
     """The nearest article or main element around a node."""
     up = node.parent
@@ -181,7 +219,7 @@ def _enclosing(node: Node) -> Node | None:
     return up
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     """The text blocks below some nodes, in page order, each with single spaces."""
     found: list[str] = []
     words: list[str] = []
@@ -219,7 +257,7 @@ def main_text(html: str | None) -> str:
     tree.close()
     tree.unmark_wrappers()
     _measure(tree)
-    scores = _score(tree)
+    scores = _score(tree, _holders(tree))
     if not scores:
         return "\n".join(blocks([tree.root]))
     best = min(scores, key=lambda k: (-scores[k], k))
@@ -228,16 +266,28 @@ def main_text(html: str | None) -> str:
         top = whole
     if top.tag in ("article", "main"):
         return "\n".join(blocks([top]))
-    limit = max(10.0, scores[best] / 5)
-    keep = []
-    for sibling in (top.parent.children if top.parent else [top]):
-        if not isinstance(sibling, Node) or sibling.out:
-            continue
-        density = sibling.linked / sibling.chars if sibling.chars else 0
-        if sibling is top or scores.get(sibling.order, 0) >= limit \
-                or (sibling.tag in PARAGRAPHS and sibling.chars >= 80 and density < 0.25):
-            keep.append(sibling)
-    return "\n".join(blocks(keep))
+    return "\n".join(blocks(_with_siblings(tree, top, scores)))
+
+
+def _few_links(item: Node | str) -> bool:
+    if isinstance(item, str):
+        return bool(item.strip())
+    return not item.out and item.chars > 0 and item.linked / item.chars < MANY_LINKS
+
+
+def _with_siblings(tree: Tree, top: Node, scores: dict[int, float]) -> list[Node | str]:
+    """The best container and what beside it is part of the article, in page order."""
+    beside = top.parent.children if top.parent else [top]
+    titled = set()  # what holds an h1
+    for node in reversed(tree.nodes):
+        if node.parent is not None and not node.out and (node.tag == "h1" or node.order in titled):
+            titled.add(node.parent.order)
+    limit = scores[top.order] / 5
+    sure = [i for i, x in enumerate(beside) if isinstance(x, Node) and not x.out and (
+        x is top or scores.get(x.order, 0) >= limit or (_few_links(x) and (x.tag in TEXTUAL or x.order in titled)))]
+    last = max(i for i in sure if beside[i].tag not in HEADINGS)
+    whole = {i for i in sure if i <= last}
+    return [x for i, x in enumerate(beside) if i in whole or (sure[0] < i < last and _few_links(x))]
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:

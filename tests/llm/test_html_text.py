@@ -27,6 +27,32 @@ def test_container_without_article_and_siblings():
     assert got == f"{LONG} 1\n{LONG} 2\n{LONG} tail"
 
 
+def test_divs_and_line_breaks_without_paragraphs():
+    end = "<div class=end><p>Printed in Leipzig.</p></div>"
+    got = H.main_text(page(f"<div class=entry><div>{LONG} 1</div><div>{LONG} 2</div></div>{end}"))
+    assert got.startswith(f"{LONG} 1\n{LONG} 2")
+    got = H.main_text(page(f"<div class=entry>{LONG} 1<br><br><b>{LONG}</b> 2<br> <br>{LONG} 3</div>{end}"))
+    assert got.startswith(f"{LONG} 1 {LONG} 2 {LONG} 3")
+    got = H.main_text(page(f"<div class=entry>{LONG} 1<blockquote>Quoted.</blockquote>{LONG} 2</div>{end}"))
+    assert got.startswith(f"{LONG} 1\nQuoted.\n{LONG} 2")
+
+
+def test_short_parts_beside_the_best_container_stay():
+    section = "One paragraph of a second section, which is about a hundred and fifty characters long and so has few points; "
+    links = "".join(f"<li><a href=x>{LONG}</a></li>" for _ in range(3))
+    text = "".join(f"<p>{LONG}</p>" for _ in range(6))
+    got = H.main_text(page(
+        f"<h1>Title</h1><p>Lead.</p><div>{text}</div><h2>Second</h2><div><p>{section}</p></div>"
+        f"<ul>{links}</ul><ul><li>one<li>two</ul> bare <b>text</b> <table><tr><td>cell</table><p>Short.</p><h3>More</h3>"
+        f"<div>{links}</div>"))
+    assert got == f"Title\nLead.\n{chr(10).join([LONG] * 6)}\nSecond\n{section.strip()}\none\ntwo\nbare text\ncell\nShort."
+
+
+def test_title_in_a_box_of_its_own():
+    got = H.main_text(page(f"<div class=top><h1>Title</h1></div><div><p>{LONG} 1</p><p>{LONG} 2</p></div>"))
+    assert got == f"Title\n{LONG} 1\n{LONG} 2"
+
+
 def test_links_count_against_a_container():
     links = "".join(f"<p><a href=x>{LONG}</a></p>" for _ in range(9))
     assert H.main_text(page(f"<div>{links}</div><div><p>{LONG} real</p></div>")) == f"{LONG} real"
