@@ -1,9 +1,11 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters and digits of the case-folded text. A spaced seed is a mask over
+Tokens are runs of letters, marks and digits (by Unicode class) of the case-folded text; in scripts that
+are written without spaces every letter is a token, with its marks. A spaced seed is a mask over
 consecutive tokens that hashes only some of them, so that a changed token at an ignored place does
 not change the hash. The four masks together hit every stretch of 13 tokens with up to two
-changed tokens, and every stretch of 15 with up to three.
+changed tokens, and every stretch of 15 with up to three. Items of 5 to 11 tokens have masks of their own, which
+hit them with as many changed tokens as step 4 allows.
 
 1. Benchmark items are hashed under every mask and kept as a table. A Bloom filter of these hashes, of
    bounded size, goes to the tasks that scan the documents; it has no false negatives, so only
@@ -14,8 +16,7 @@ changed tokens, and every stretch of 15 with up to three.
 4. Around the diagonal the two token sequences are compared token by token. A stretch is an overlap when
    each window of 13 tokens (or of the whole item, if shorter) has at least 80 % equal tokens.
 
-Items shorter than the longest mask are hashed whole and found without a changed token; items under
-``MIN_ITEM`` tokens say nothing and are not searched for.
+Items under ``MIN_ITEM`` tokens say nothing and are not searched for.
 
 Defined cases: NULL and empty texts hold no token and no overlap; repeated rows of an id are one document;
 rows with a NULL id are found too (their overlaps carry the NULL id); empty tables give no overlaps;
@@ -25,10 +26,12 @@ other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,9 @@ from churnlake.session import materialize
 
 #: Fixed spaced seeds: 1 marks a token that is hashed, 0 one that is ignored.
 MASKS = ("1001001111", "1110100011", "1111011", "111001101")
+#: For items of so few tokens: alone they hit an item with one changed token, from 10 tokens on with MASKS one with two.
+SHORT = {5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("11111", "111011", "110111"),
+         8: ("11111", "111011"), 9: ("11111", "111011"), 10: ("111111", "1100110101", "1101010101"), 11: ("111111",)}
 MIN_ITEM = 5
 WINDOW = 13
 EQUAL = 0.8
@@ -45,9 +51,13 @@ MAX_BITMAP_BITS = 27
 PROBES = 6
 
 _RNG = np.random.Generator(np.random.PCG64(6))
-_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
+_RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _FACTOR = _RNG.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
-_IS_TOKEN = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
+_SHORT_MASKS = sorted(set().union(*SHORT.values()))
+#: Scripts that put no space between words; of the long-vowel marks that several share.
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Yi}\p{Tai_Le}\p{New_Tai_Lue}" \
+            r"\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}\u30FC\uFF70"
+_LETTER, _ALONE, _MARK = 1, 2, 3
 _POWERS = np.array([pow(0xD1342543DE82EF95, k, 1 << 64) for k in range(1 << 12)], dtype=np.uint64)
 
 
@@ -56,39 +66,58 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: its class (0 between tokens) and a random number."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.zeros(len(every), np.uint8)
+    for kind, pattern in ((_LETTER, r"[\p{L}\p{N}]+"), (_ALONE, rf"[[\p{{L}}\p{{N}}]&&[{_UNSPACED}]]+"), (_MARK, r"\p{M}+")):
+        for run in regex.finditer(pattern, every, regex.V1):
+            kinds[run.start(): run.end()] = kind
+    return kinds, np.random.Generator(np.random.PCG64(60)).integers(0, 1 << 64, len(every), dtype=np.uint64)
+
+
 def tokens(text: str | None) -> np.ndarray:
     """One 64-bit hash per token of the text."""
-    data = np.frombuffer((text or "").casefold().encode("utf-8", "replace"), np.uint8)
-    inside = np.concatenate(([False], _IS_TOKEN[data], [False]))
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    data = np.frombuffer((text or "").casefold().encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds, numbers = _characters()
+    kind = kinds[data]
+    inside = kind > 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    if (kind == _ALONE).any():
+        # a mark belongs to what it follows; no other character goes on a letter that is alone
+        base = kind[np.maximum.accumulate(np.where(kind != _MARK, np.arange(len(kind)), 0))]
+        first |= kind == _ALONE
+        first[1:] |= (kind[1:] == _LETTER) & (base[:-1] == _ALONE)
+    starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64)
     place = np.arange(len(data))
     place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = np.where(inside[1:-1], _BYTE[data] * _POWERS[place % len(_POWERS)], np.uint64(0))
-    return _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
+    value = np.where(inside, numbers[data] * _POWERS[place % len(_POWERS)], np.uint64(0))
+    return _mix(np.add.reduceat(value, starts) + np.add.reduceat(inside, starts, dtype=np.uint64))
+
 
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks that an item of so many tokens is hashed under."""
+    return (MASKS if n >= max(map(len, MASKS)) else ()) + SHORT.get(n, ())
 
-def window_hashes(toks: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[int, np.ndarray]]:
-    """For each mask, and each whole length of short items: its span and the hash from every start."""
-    shapes = [(len(m), [i for i, c in enumerate(m) if c == "1"], _FACTOR[40 + k]) for k, m in enumerate(MASKS)]
-    shapes += [(n, list(range(n)), _FACTOR[30 + n]) for n in lengths]
+
+def window_hashes(toks: np.ndarray, masks: Iterable[str]) -> list[tuple[int, np.ndarray]]:
+    """For each mask: its span and the hash from every start."""
     found = []
-    for span, places, seed in shapes:
-        n = len(toks) - span + 1
+    for mask in masks:
+        seed = _FACTOR[40 + MASKS.index(mask)] if mask in MASKS else _FACTOR[10 + _SHORT_MASKS.index(mask)]
+        n = len(toks) - len(mask) + 1
         if n > 0:
             h = np.full(n, seed)
-            for j, place in enumerate(places):
+            for j, place in enumerate(i for i, c in enumerate(mask) if c == "1"):
                 h = (h + toks[place: place + n] * _FACTOR[j]) * _FACTOR[62]
-            found.append((span, _mix(h)))
+            found.append((len(mask), _mix(h)))
     return found
 
 
-def _span() -> int:
-    return max(map(len, MASKS))
-
-
 def item_hashes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, n, h, at): a row per window of every item that is searched for: tokens of the item, hash, place."""
     kind = bench.schema[id_col].dataType.simpleString()
@@ -98,13 +127,9 @@ def item_hashes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text
             rows = []
             for item, text in zip(part["item"], part["text"]):
                 toks = tokens(text)
-                if len(toks) >= _span():
-                    windows = window_hashes(toks, ())
-                elif len(toks) >= MIN_ITEM:
-                    windows = window_hashes(toks, (len(toks),))[-1:]
-                else:
+                if len(toks) < MIN_ITEM:
                     continue
-                for _, hashes in windows:
+                for _, hashes in window_hashes(toks, masks_for(len(toks))):
                     rows.extend((item, len(toks), int(h), at) for at, h in enumerate(hashes.view(np.int64)))
             yield pd.DataFrame(rows, columns=["item", "n", "h", "at"])
 
@@ -145,10 +170,10 @@ def _in_bitmap(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return left
 
 
-def _passages(toks: np.ndarray, bitmap: np.ndarray, lengths: tuple[int, ...], context: int):
+def _passages(toks: np.ndarray, bitmap: np.ndarray, masks: tuple[str, ...], context: int):
     """Stretches (start, end) of tokens around the windows that are in the bitmap, with the windows' hashes and places."""
     starts, ends, hashes = [], [], []
-    for span, h in window_hashes(toks, lengths):
+    for span, h in window_hashes(toks, masks):
         hit = _in_bitmap(h, bitmap)
         starts.append(hit)
         ends.append(hit + span)
@@ -164,7 +189,7 @@ def _passages(toks: np.ndarray, bitmap: np.ndarray, lengths: tuple[int, ...], co
         yield first, last, h[lo:hi], at[lo:hi] - first
 
 
-def passages(docs: DataFrame, bitmap, lengths: tuple[int, ...], context: int, id_col: str, text_col: str) -> DataFrame:
+def passages(docs: DataFrame, bitmap, masks: tuple[str, ...], context: int, id_col: str, text_col: str) -> DataFrame:
     """(id, start, key, toks, hs, ats): suspected passages of the documents; equal passages have equal keys."""
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -175,7 +200,7 @@ def passages(docs: DataFrame, bitmap, lengths: tuple[int, ...], context: int, id
             rows = []
             for key, text in zip(part["id"], part["text"]):
                 toks = tokens(text)
-                for first, last, h, at in _passages(toks, shared.value, lengths, context):
+                for first, last, h, at in _passages(toks, shared.value, masks, context):
                     rows.append((key, int(first), toks[first:last].view(np.int64), h.view(np.int64), at.astype(np.int32)))
                     if len(rows) >= 2000:
                         yield pd.DataFrame(rows, columns=names)
@@ -221,10 +246,10 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, first_token, last_token, n_tokens, n_equal): the longest overlap of each document with each item."""
     items = materialize(item_hashes(bench, item_col, item_text), "seed-hashes")
-    shape = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") < _span(), F.col("n")))).first()
-    context, lengths = shape[0] or 0, tuple(sorted(shape[1]))
+    shape = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") <= max(SHORT), F.col("n")))).first()
+    context, masks = shape[0] or 0, tuple(sorted({*MASKS, *(m for n in shape[1] for m in masks_for(n))}))
     bitmap = _bitmap(items)
-    found = materialize(passages(docs, bitmap, lengths, context, id_col, text_col), "seed-passages")
+    found = materialize(passages(docs, bitmap, masks, context, id_col, text_col), "seed-passages")
 
     distinct = found.groupBy("key").agg(F.first("toks").alias("toks"), F.first("hs").alias("hs"), F.first("ats").alias("ats"))
     windows = distinct.select("key", F.explode(F.arrays_zip("hs", "ats")).alias("w")).select(

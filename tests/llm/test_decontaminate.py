@@ -1,5 +1,6 @@
 """Decontamination: planted passages, exact and with changed tokens, and a brute-force search."""
 
+import math
 import random
 import re
 from itertools import combinations
@@ -46,6 +47,45 @@ def test_masks_hit_every_stretch():
             assert any((good >> s) & m == m for m in masks for s in range(n - m.bit_length() + 1))
 
 
+@pytest.mark.parametrize("n", range(D.MIN_ITEM, D.WINDOW))
+def test_masks_hit_short_items(n):
+    for places in combinations(range(n), n - math.ceil(D.EQUAL * n)):
+        assert any(all(s + i not in places for i, c in enumerate(m) if c == "1")
+                   for m in D.masks_for(n) for s in range(n - len(m) + 1))
+
+
+def test_short_items_with_changed_tokens(spark):
+    rng = random.Random(8)
+    items, rows = {n: prose(rng, n) for n in range(5, 13)}, []
+    for n, text in items.items():
+        for places in combinations(range(n), n - math.ceil(D.EQUAL * n)):
+            words = [f"zz{i}" if i in places else w for i, w in enumerate(text.split())]
+            rows.append((1000 * n + len(rows), f"{prose(rng, 20)}, {' '.join(words)}; {prose(rng, 20)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = D.overlaps(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i // 1000) for i, _ in rows}
+
+
+def test_tokens_by_unicode_class():
+    same = lambda a, b: D.tokens(a).tolist() == D.tokens(b).tolist()
+    assert same("\u201cdon\u2019t\u201d\u2014he\u00a0said\u2026 \u00abno\u00bb", '"don\'t" - he said... "no"')
+    assert same("\u6771\u4eac\u3001abc\u5927x", "\u6771 \u4eac abc \u5927 x") and len(D.tokens("\u6771\u4eac\u3001abc\u5927x")) == 5
+    assert same("\u0e01\u0e47\u0e02ab", "\u0e01\u0e47 \u0e02 ab") and same("\u0e02\u0e47ab", "\u0e02\u0e47 ab")
+    assert len(D.tokens("caf\u00e9 cafe\u0301 na\u00efve \u0645\u0631\u062d\u0628\u0627 \ud55c\uad6d\uc5b4 x\u00b2")) == 6
+    assert len(D.tokens("\ud800 _ \u2014")) == 0
+
+
+def test_passages_without_spaces_are_found(spark):
+    rng = random.Random(9)
+    for letters in ((0x4E00, 0x9FFF), (0x3041, 0x3096), (0x0E01, 0x0E2E)):
+        draw = lambda n: "".join(chr(rng.randint(*letters)) for _ in range(n))
+        item = draw(40)
+        docs = spark.createDataFrame([(1, draw(30) + item + draw(30)), (2, draw(100)), (3, draw(9) + item[:20] + "x" + item[21:])],
+                                     "doc_id long, text string")
+        found = D.overlaps(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+        assert sorted(r.doc_id for r in found) == [1, 3]
+
+
 def test_planted_passages_are_found(planted):
     docs, bench, leaks = planted
     found = D.overlaps(docs, bench).collect()
