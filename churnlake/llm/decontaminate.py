@@ -67,21 +67,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _characters() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: its class (0 between tokens) and a random number."""
-    every = "".join(map(chr, range(0x110000)))
-    kinds = np.zeros(len(every), np.uint8)
-    for kind, pattern in ((_LETTER, r"[\p{L}\p{N}]+"), (_ALONE, rf"[[\p{{L}}\p{{N}}]&&[{_UNSPACED}]]+"), (_MARK, r"\p{M}+")):
-        for run in regex.finditer(pattern, every, regex.V1):
-            kinds[run.start(): run.end()] = kind
-    return kinds, np.random.Generator(np.random.PCG64(60)).integers(0, 1 << 64, len(every), dtype=np.uint64)
+def _kinds() -> np.ndarray:
+    """For every code point: its class (0 between tokens). A part at a time, as each worker holds a table of its own."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for low in range(0, len(kinds), 1 << 12):
+        part = "".join(map(chr, range(low, low + (1 << 12))))
+        for kind, pattern in ((_LETTER, r"[\p{L}\p{N}]+"), (_ALONE, rf"[[\p{{L}}\p{{N}}]&&[{_UNSPACED}]]+"), (_MARK, r"\p{M}+")):
+            for run in regex.finditer(pattern, part, regex.V1):
+                kinds[low + run.start(): low + run.end()] = kind
+    return kinds
 
 
 def tokens(text: str | None) -> np.ndarray:
     """One 64-bit hash per token of the text."""
     data = np.frombuffer((text or "").casefold().encode("utf-32-le", "surrogatepass"), "<u4")
-    kinds, numbers = _characters()
-    kind = kinds[data]
+    kind = _kinds()[data]
     inside = kind > 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -95,7 +95,7 @@ def tokens(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     place = np.arange(len(data))
     place[starts[0]:] -= np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = np.where(inside, numbers[data] * _POWERS[place % len(_POWERS)], np.uint64(0))
+    value = np.where(inside, _mix(data * _FACTOR[60]) * _POWERS[place % len(_POWERS)], np.uint64(0))
     return _mix(np.add.reduceat(value, starts) + np.add.reduceat(inside, starts, dtype=np.uint64))
 
 
