@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, chat_format, decontaminate, html_text, language_id, licenses, quality_fm, quality_rules, simhash, suffix_dedup
+from churnlake.llm import bpe, chat_format, decontaminate, html_text, language_id, licenses, quality_fm, quality_rules, simhash, substring_dedup, suffix_dedup
 from churnlake.llm.tables import learning_rows, read_table
 
 
@@ -71,6 +71,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_passages(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_fm": op2_quality_fm,
@@ -82,4 +88,5 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
 }

@@ -61,3 +61,22 @@ def repeats_removed(rows: list[tuple[int | None, str | None]], length: int = 50)
         spans = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
         out.append((i, bytes(b for b, g in zip(data, gone) if not g), spans))
     return out
+
+
+def passages_removed(rows: list[tuple[int | None, str | None]], window: int = 13) -> list[tuple]:
+    """(id, kept words, spans, word count) by looking every window of every document up in those with smaller ids."""
+    least: dict[tuple, int] = {}
+    split = [(i, WORD.findall(text or "")) for i, text in rows]
+    for i, words in split:
+        for p in range(len(words) - window + 1 if i is not None else 0):
+            w = tuple(words[p:p + window])
+            least[w] = min(least.get(w, i), i)
+    out = []
+    for i, words in split:
+        gone = bytearray(len(words))
+        for p in range(len(words) - window + 1 if i is not None else 0):
+            if least[tuple(words[p:p + window])] < i:
+                gone[p:p + window] = b"\1" * window
+        spans = tuple(m.span() for m in re.finditer(b"\1+", bytes(gone)))
+        out.append((i, " ".join(w for w, g in zip(words, gone) if not g), spans, len(words)))
+    return out
