@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlake.llm import bpe, chat_format, decontaminate, html_text, language_id, licenses, quality_fm, quality_rules, simhash, substring_dedup, suffix_dedup
-from churnlake.llm.tables import learning_rows, read_table
+from churnlake.llm import bpe, chat_format, decontaminate, html_text, language_id, licenses, periodic_runs, quality_fm, quality_rules, simhash, spelling, substring_dedup, suffix_dedup
+from churnlake.llm.tables import bound, learning_rows, read_table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,39 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(read_table(spark, sf_dir, "documents"), drop_one_in=97)
+    return spelling.group_variants(words)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a tenth of the documents the words from some place on are made to repeat, as the contract says."""
+    docs = read_table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeating(words):
+        n = F.greatest(F.size(words), F.lit(1))
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.size(words) - 1), lambda i: F.get(
+            words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when((h % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), bound(words, repeating)).otherwise(F.col("text"))
+    found = periodic_runs.collapse_runs(docs.select("doc_id", text.alias("text")))
+    first = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(1).cast("long").alias("period"))
+    best = F.aggregate("runs", first, lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.array_join(line, "").alias("lines"), "collapsed")
+    is_run = F.col("b.start").isNotNull()
+    return out.select("doc_id", "n_runs", F.col("b.start").alias("start"), F.when(is_run, F.col("b.length")).alias("length"),
+                      F.when(is_run, F.col("b.period")).alias("period"),
+                      F.when(is_run, F.expr("1000 * b.length div b.period")).alias("exponent_milli"),
+                      F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+                      F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_fm": op2_quality_fm,
@@ -89,4 +122,6 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
