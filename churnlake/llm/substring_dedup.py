@@ -14,7 +14,7 @@ an index that cannot hold its words:
 4. A shard indexes its strips in order of the least id (Burrows-Wheeler transform in a wavelet matrix), streams
    them past the index by backward search (``fm_index.stream``) and reports the windows whose match interval
    holds a text position of an earlier document. Words are compared as such; hashes only route.
-5. Reports are joined back to the blocks that hold a strip, and each block cuts its documents.
+5. Reports are joined back to the blocks that hold a strip (by its md5, a quarter of its size), and each block cuts its documents.
 
 Work grows with the words; a task holds one block or one shard, whose sizes do not depend on the input. Copies
 that a third of all documents share are one strip per block and one in the index.
@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from churnlake.llm.fm_index import FMIndex, stream
-from churnlake.llm.tables import slices
+from churnlake.llm.tables import shuffle_width, slices, write_once
 from churnlake.llm.words import Words, cut, mix, ranges
-from churnlake.session import ensure_checkpoint_dir, materialize
+from churnlake.session import ensure_checkpoint_dir
 
 WINDOW = 13
 GRAM = 5
@@ -267,11 +267,14 @@ def remove_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                 "_high": F.max("id").over(of_key), "_strips": F.sum("strips").over(of_key)})
               .filter("_one < _all or _low < _high").select("block", "key", (F.col("_strips") > hot).alias("hot")))
     texts = blocks.select("block", "row", "_id", "_words").groupBy("block")
-    strips = materialize(texts.cogroup(shared.groupBy("block")).applyInArrow(_strip_rows(n_shards), _STRIP_TYPE), "passage-strips")
-    different = strips.groupBy("shard", "strip").agg(F.min("low").alias("least"))
-    reports = different.groupBy("shard").applyInArrow(_search, "strip binary, least long, bits int")
-    found = strips.select("block", "strip", "high", "windows", "places").join(reports, "strip").filter("high > least or bits <> 0").select(
-        "block", "least", "bits", "windows", "places")
+    strips = write_once(texts.cogroup(shared.groupBy("block")).applyInArrow(_strip_rows(n_shards), _STRIP_TYPE), "passage-strips")
+    # dealt by shard before they are made different, so that the index needs no second exchange
+    dealt = strips.select("shard", "strip", "low").repartition(min(n_shards, 16 * shuffle_width(spark)), "shard")
+    reports = dealt.groupBy("shard", "strip").agg(F.min("low").alias("least")).groupBy("shard").applyInArrow(
+        _search, "strip binary, least long, bits int")
+    told = F.unhex(F.md5("strip")).alias("print")
+    found = strips.select("block", told, "high", "windows", "places").join(reports.select(told, "least", "bits"), "print").filter(
+        "high > least or bits <> 0").select("block", "least", "bits", "windows", "places")
 
     fields = [T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, df.schema[c].dataType) for c in carry)]
     schema = T.StructType([*fields, T.StructField("kept", T.StringType()), T.StructField("spans", _SPAN), T.StructField("n_words", T.LongType())])

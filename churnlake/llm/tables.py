@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlake.session import ensure_checkpoint_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +21,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder, tightly compressed, and read back: later passes re-read files."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def learning_rows(id_col: str = "doc_id"):
     """The rows a model may learn from: crc32 of the id as text, modulo 3, is not 1."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
