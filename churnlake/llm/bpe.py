@@ -11,6 +11,8 @@ that built the tokens on both sides of it. This is tested by taking the two bord
 apart, latest merge first. Tokens that their own merges never build cannot occur inside an encoding;
 a piece that equals such a token is still encoded as it, as rank-file encoders do.
 
+The short pieces of a batch of texts that are not known yet take the recurrence together, as arrays (``Lattice``).
+
 The rank file is read where it is used, once per process; its path is a parameter.
 
 Defined cases: NULL text encodes like the empty text (no ids, empty bytes); ids are kept as little-endian unsigned
@@ -35,7 +37,10 @@ from pyspark.sql import types as T
 from churnlake.llm.tables import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
+#: Pieces of up to so many bytes are worked out together, so many at a time.
+LATTICE_BYTES = 48
+LATTICE_PIECES = 16_384
 CACHE_PAIRS = 1_500_000
 
 
@@ -100,6 +105,138 @@ class Vocabulary:
                 return True
 
 
+class IntTable:
+    """Integers to integers by open addressing, looked up by whole arrays; -1 for what is not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        place, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[place] < 0)
+            at, first = np.unique(place[free], return_index=True)
+            put = left[free[first]]
+            self.keys[at], self.values[at] = keys[put], values[put]
+            rest = np.ones(len(left), bool)
+            rest[free[first]] = False
+            left, place = left[rest], (place[rest] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        place = self._home(keys)
+        held = self.keys[place]
+        out = np.where(held == keys, self.values[place], -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        place = place[left]
+        while len(left):
+            place = (place + 1) & self.mask
+            held = self.keys[place]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[place[hit]]
+            on = ~hit & (held >= 0)
+            left, place = left[on], place[on]
+        return out
+
+
+class Lattice:
+    """The prefix recurrence over many short pieces at once, as arrays: one step per byte position, for all pieces.
+
+    The tokens that can end at a position are found by walking a trie of reversed tokens back from it; from the longest
+    on, each is held against the last token of the prefix before it.
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        size = max(vocab.bytes_of) + 1
+        self.first, self.second, self.length = (np.zeros(size, np.int64) for _ in range(3))
+        for i, (a, b) in vocab.parts.items():
+            self.first[i], self.second[i] = a, b
+        for i, b in vocab.bytes_of.items():
+            self.length[i] = len(b)
+        pairs = list(vocab.merged)
+        self.merged = IntTable(np.array([a << 32 | b for a, b in pairs], np.int64), np.array([vocab.merged[p] for p in pairs], np.int32))
+        steps: dict[int, int] = {}
+        ends = {}
+        for token, i in vocab.built.items():
+            state = 0
+            for byte in reversed(token):
+                state = steps.setdefault(state << 8 | byte, len(steps) + 1)
+            ends[state] = i
+        self.steps = IntTable(np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps)))
+        self.token = np.full(len(steps) + 1, -1, np.int32)
+        self.token[list(ends)] = list(ends.values())
+
+    def pairs_hold(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Vocabulary.pair_holds`` for arrays."""
+        out, at, before = np.ones(len(left), bool), np.arange(len(left)), np.full(len(left), 1 << 60)
+        while len(at):
+            merge = self.merged.get(left << 32 | right)
+            broken = (merge >= 0) & (merge < before)
+            out[at[broken]] = False
+            inner, outer = self.second[left], self.first[right]
+            take_left = (inner != left) & ((left > right) | (outer == right))
+            take_right = ~take_left & (outer != right)
+            before = np.where(take_left, left, np.where(take_right, right + 1, before))
+            left, right = np.where(take_left, inner, left), np.where(take_right, outer, right)
+            on = ~broken & (take_left | take_right)
+            at, left, right, before = at[on], left[on], right[on], before[on]
+        return out
+
+    def last_tokens(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The last token of each prefix; rows of ``data`` are pieces, longest first, ``sizes`` their lengths."""
+        last = np.full(data.shape, -1, np.int64)
+        for end in range(1, int(sizes.max(initial=0)) + 1):
+            n = int(np.searchsorted(-sizes, -end, "right"))
+            at, state, found = np.arange(n), np.zeros(n, np.int64), []
+            for size in range(1, end + 1):
+                state = self.steps.get(state << 8 | data[at, end - size])
+                on = state >= 0
+                if not on.all():
+                    at, state = at[on], state[on]
+                if not len(at):
+                    break
+                state = state.astype(np.int64)
+                token = self.token[state]
+                ending = token >= 0
+                found.append((size, at[ending], token[ending].astype(np.int64)))
+            for size, rows, token in reversed(found):
+                open_ = last[rows, end - 1] < 0
+                rows, token = rows[open_], token[open_]
+                if size < end and len(rows):
+                    fits = self.pairs_hold(last[rows, end - size - 1], token)
+                    rows, token = rows[fits], token[fits]
+                last[rows, end - 1] = token
+        return last
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian unsigned 32-bit integers."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        data = np.zeros((len(pieces), int(sizes.max(initial=0))), np.uint8)
+        filled = np.arange(data.shape[1]) < sizes[:, None]
+        data[filled] = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8)
+        last = self.last_tokens(data.astype(np.int64), sizes)
+        if (last[filled] < 0).any():
+            raise ValueError("no token ends at some byte: the vocabulary lacks a byte")
+        ids, end, counts = np.zeros(data.shape, "<u4"), sizes.copy(), np.zeros(len(pieces), np.int64)
+        rows = np.arange(len(pieces))
+        while len(rows):
+            token = last[rows, end[rows] - 1]
+            counts[rows] += 1
+            ids[rows, data.shape[1] - counts[rows]] = token
+            end[rows] -= self.length[token]
+            rows = rows[end[rows] > 0]
+        raw = ids[np.arange(data.shape[1]) >= data.shape[1] - counts[:, None]].tobytes()
+        stops = np.cumsum(counts * 4)
+        out = [b""] * len(pieces)
+        for i, a, b in zip(order.tolist(), (stops - counts * 4).tolist(), stops.tolist()):
+            out[i] = raw[a:b]
+        return out
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -172,28 +309,49 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocab = vocabulary(path)
+        self.lattice = Lattice(self.vocab)
         self.pieces = regex.compile(pattern).findall
         self.finditer = regex.compile(pattern).finditer
-        self._known: dict[str, np.ndarray] = {}
+        self._known: dict[str, bytes] = {}
 
     def piece(self, text: str) -> list[int]:
         data = text.encode("utf-8")
         whole = self.vocab.ranks.get(data)
         return [whole] if whole is not None else Prefixes(self.vocab, data).tokens()
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not known yet: long ones one by one, the others together."""
+        found, some = {}, []
+        for text in pieces:
+            data = text.encode("utf-8")
+            whole = self.vocab.ranks.get(data)
+            if whole is not None or len(data) > LATTICE_BYTES:
+                found[text] = np.array([whole] if whole is not None else self.piece(text), "<u4").tobytes()
+            else:
+                some.append((len(data), text, data))
+        some.sort()
+        for lo in range(0, len(some), LATTICE_PIECES):
+            part = some[lo: lo + LATTICE_PIECES]
+            found.update(zip((t for _, t, _ in part), self.lattice.encode([d for _, _, d in part])))
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, packed; ids of pieces are kept for later texts, as many as ``CACHE_PIECES``."""
+        cut = [self.pieces(t) if t else [] for t in texts]
+        new = set().union(*cut).difference(self._known)
+        if len(self._known) + len(new) > CACHE_PIECES:
+            self._known = {}
+            new = set().union(*cut)
         known = self._known
-        for piece in self.pieces(text or ""):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
-                ids = self.piece(piece)
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out += ids
-        return out
+        learnt = self._learn(new)
+        known.update((t, i) for t, i in learnt.items() if len(t) <= LATTICE_BYTES)
+        long = {t: i for t, i in learnt.items() if len(t) > LATTICE_BYTES}
+        if long:
+            return [b"".join([known.get(p) or long[p] for p in ps]) for ps in cut]
+        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         of = self.vocab.bytes_of
@@ -251,7 +409,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
         tool = encoder(path, pattern)
         for batch in parts:
             for rows in slices(batch, "_text", 2 << 20):
-                ids = [np.array(tool.encode(t), "<u4").tobytes() for t in rows.column("_text").to_pylist()]
+                ids = tool.encode_all(rows.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(i) for i in range(len(names))]
                     + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema.names)
@@ -270,7 +428,7 @@ def decode(df: DataFrame, tokens_col: str = "tokens", name: str = "decoded", pat
         of = token_bytes(path)
         for batch in parts:
             for rows in slices(batch, batch.schema.names[at], 2 << 20):
-                texts = [b"".join([of[i] for i in np.frombuffer(b or b"", "<u4").tolist()]) for b in rows.column(at).to_pylist()]
+                texts = [b"".join(map(of.__getitem__, np.frombuffer(b or b"", "<u4").tolist())) for b in rows.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.binary())], schema.names)
 
     return df.mapInArrow(run, schema)
