@@ -1,7 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 The page is parsed into a tree. Every paragraph passes points to its ancestors, for its length and its
-commas: all to its parent, half to the grandparent, a third, a quarter and so on further up. A paragraph is any block
+commas: all to its parent, half to the grandparent, a quarter and so on further up, so that one pass over the tree
+adds them up, however deep it is. A paragraph is any block
 without blocks inside, be it a p or a div, and bare text between blocks or double line breaks, whose parent is the element
 it stands in. Points of a paragraph and of a container are discounted by their link density, the share of characters that lie in links. The
 container with the most points is the main text, and with it those siblings that look like parts of it: siblings with a
@@ -9,7 +10,12 @@ fifth of its points; headings, paragraphs, lists and tables of any length with f
 links that lies between two kept siblings. A heading with none of these after it goes. What holds menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or reader comments is left out, by element or by the words of its class and id (a marked
 element that holds the page's h1 or main element is a wrapper and stays). A best container inside an article or
-main element stands for the whole of it.
+main element stands for the whole of it; of several article elements, the one with the best container.
+
+Inside an article or main element words of class and id are weaker evidence, since they also name an article's own sections
+(``id="related-work"``). There an id, or a class of several words, that has none but the ``WEAK`` words drops an element
+only if a quarter of it is links, a form is inside or it holds no paragraph; an id on a heading or a paragraph never
+does, a class only by other words than these. An article's own header stays if it holds a heading.
 
 Text is then cut into blocks at block elements; white space inside a block becomes one space.
 
@@ -20,6 +26,7 @@ rows give repeated rows; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -42,6 +49,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Siblings of the best container that are text by their element, however short.
 TEXTUAL = PARAGRAPHS | HEADINGS | frozenset("ul ol dl table figure".split())
 MANY_LINKS = 0.25
+LONG_TEXT = 80
 #: Words of a class, id or role that mark what is not the article.
 NOT_ARTICLE = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment
 comments comentarios commentaires consent cookie cookies disqus discussion footer gdpr header login masthead menu
@@ -49,6 +57,9 @@ menus modal nav navbar navigation newsletter notice notices notification outbrai
 promo promoted promotion recommended related replies reply respond search share sharing shoutbox sidebar sidebars signup
 social sponsor sponsored subscribe subscription taboola toolbar tooltip widget widgets complementary
 contentinfo alert alertdialog""".split())
+#: Those of them that name sections of articles too.
+WEAK = frozenset("""ad ads alert banner discussion login notice notices notification promotion related replies reply
+respond search share sharing social widget widgets""".split())
 #: An open element that the start of another one closes.
 CLOSED_BY = {"p": BLOCKS, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
              "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
@@ -63,10 +74,13 @@ _COMMAS = regex.compile(r"[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "points", "chars", "linked", "order")
+    __slots__ = ("tag", "parent", "children", "out", "weak", "within", "foreign", "points", "chars", "linked", "order")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent, self.out, self.weak = tag, parent, False, False
+        # inside an article or main element; inside a drawing or formula
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
+        self.foreign = parent is not None and (parent.foreign or parent.tag in ("svg", "math"))
         self.children: list[Node | str] = []
         self.points, self.chars, self.linked, self.order = 0.0, 0, 0, 0
 
@@ -78,65 +92,116 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", None)
         self.nodes = [self.root]
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self._close_open(tag)
-        node = Node(tag, self.at, tag in LEFT_OUT or _marked(attrs, tag))
+        node = Node(tag, self.at)
+        mark = _mark(attrs, node)
+        node.out, node.weak = tag in LEFT_OUT or mark == SURE, mark == PERHAPS
         node.order = len(self.nodes)
         self.at.children.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
+        # in drawings and formulas a tag can close itself; in html the slash means nothing
+        if self.at.order == len(self.nodes) - 1 and (tag in ("svg", "math") or self.at.foreign):
+            self._leave(self.at)
+
+    def _leave(self, node: Node) -> None:
+        """Close a node and all that is open inside it."""
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[node.tag] -= 1
+        self.at = node.parent
 
     def _close_open(self, tag: str) -> None:
         for open_tag, closers in CLOSED_BY.items():
-            if tag not in closers:
+            if tag not in closers or not self.open[open_tag]:
                 continue
             node = self.at
             while node.parent is not None and node.tag != open_tag and node.tag not in SCOPES[open_tag] \
                     and not (node.tag in BLOCKS and open_tag == "p"):
                 node = node.parent
             if node.tag == open_tag:
-                self.at = node.parent
+                self._leave(node)
 
     def unmark_wrappers(self) -> None:
-        """Elements left out for their class or id alone stay if the page's h1 or main element is inside."""
+        """Elements left out for their class or id alone stay if the page's h1 or main element is inside; headers of articles
+        stay if a heading is."""
+        holds, titles = set(), set()
+        for node in reversed(self.nodes[1:]):
+            if node.tag in ("h1", "main") or node.order in holds:
+                holds.add(node.parent.order)
+            if node.tag in HEADINGS or node.order in titles:
+                titles.add(node.parent.order)
+            if node.order in holds:
+                node.out, node.weak = node.out and node.tag in LEFT_OUT, False
+            if node.tag == "header" and node.within and node.order in titles:
+                node.out = False
+
+    def weigh_marks(self) -> None:
+        """Decide the weak marks, by links, forms and paragraphs inside; measures nodes on the way."""
+        _measure(self)
+        forms, prose = set(), set()
+        for node in reversed(self.nodes[1:]):
+            if node.tag in ("form", "input", "textarea", "select") or node.order in forms:
+                forms.add(node.parent.order)
+            if node.chars and (node.tag == "p" or node.chars >= LONG_TEXT and node.tag in PARAGRAPHS) or node.order in prose:
+                prose.add(node.parent.order)
         for node in self.nodes:
-            if node.tag in ("h1", "main"):
-                up = node.parent
-                while up is not None:
-                    up.out = up.out and up.tag in LEFT_OUT
-                    up = up.parent
+            if node.weak and node.tag not in PARAGRAPHS | HEADINGS and (
+                    node.order in forms or node.order not in prose or node.linked >= MANY_LINKS * node.chars):
+                node.out = True
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         node = self.at
         while node.parent is not None and node.tag != tag:
             if node.tag in BLOCKS and tag not in BLOCKS:
                 return
             node = node.parent
         if node.parent is not None:
-            self.at = node.parent
+            self._leave(node)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
 
 
-def _marked(attrs, tag: str) -> bool:
+NO, PERHAPS, SURE = range(3)
+
+
+def _mark(attrs, node: Node) -> int:
     """Whether the element's own attributes say that it is not part of the article."""
-    if tag in ("html", "body", "article", "main"):
-        return False
+    tag, found = node.tag, NO
+    if tag in ("html", "body", "main") or tag == "article" and not node.within:
+        return NO
+    text = tag in HEADINGS or tag in ("p", "li", "td")
     for name, value in attrs:
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id", "role") and value:
-            if any(w.lower() in NOT_ARTICLE for w in _NAME_WORDS.findall(value)):
-                return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return SURE
         if name == "style" and value and regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return SURE
+        if name not in ("class", "id", "role") or not value or (name == "id" and tag in HEADINGS):
+            continue
+        for one in value.split():
+            words = [w.lower() for w in _NAME_WORDS.findall(one)]
+            marks = [w for w in words if w in NOT_ARTICLE]
+            if not marks:
+                continue
+            if not node.within:
+                return SURE
+            sure = any(w not in WEAK for w in marks) and (name != "id" or not text)
+            if sure or (name != "id" and len(words) == 1 and not text):
+                return SURE
+            found = PERHAPS if not text else found
+    return found
 
 
 def _measure(tree: Tree) -> None:
@@ -204,10 +269,11 @@ def _score(tree: Tree, holds: list[bool]) -> dict[int, float]:
         own = holds[node.order] or (len(runs) > 1 and node.tag not in PARAGRAPHS)
         points = sum(1 + len(_COMMAS.findall(t)) + min(3.0, len(t) / 100) for t in (runs if own else [" ".join(runs)]) if t)
         points *= 1 - node.linked / node.chars
-        up, share = (node if own else node.parent), 1
-        while points and up is not None and up.tag != "#root":
-            up.points += points / share
-            up, share = up.parent, share + 1
+        (node if own else node.parent).points += points
+    # a node's points are those passed to it and half of what its children have
+    for node in reversed(tree.nodes[1:]):
+        node.parent.points += node.points / 2
+    tree.root.points = 0.0
     return {n.order: n.points * (1 - n.linked / n.chars) for n in tree.nodes if n.points and n.chars}
 
 
@@ -256,6 +322,7 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     tree.unmark_wrappers()
+    tree.weigh_marks()
     _measure(tree)
     scores = _score(tree, _holders(tree))
     if not scores:

@@ -69,6 +69,41 @@ def test_marked_wrapper_of_the_article_stays():
     assert "side" not in got and got.count(LONG) == 2
 
 
+def test_sections_named_like_page_parts_stay_in_an_article():
+    parts = ['<section id="discussion"><p>{}</p></section>', '<h2 id="search">{}</h2>', '<p id="related-work">{}</p>', '<p class="notice">{}</p>',
+             '<h2 id="ad-hoc-queries">{}</h2>', '<section class="alert-system"><p>{}</p></section>', '<div id="social-history"><p>{}</p></div>',
+             '<header><h1>{}</h1><p>Lead.</p></header>', '<li id="reply">{}</li>']
+    for part in parts:
+        got = H.main_text(page(f"<article><p>{LONG} 1</p>{part.format('Part of it.')}<p>{LONG} 2</p></article>"))
+        want = [f"{LONG} 1", "Part of it.", *(["Lead."] if "Lead" in part else []), f"{LONG} 2"]
+        assert got == "\n".join(want), part
+
+
+def test_page_parts_inside_an_article_go():
+    link = f"<a href=x>{LONG}</a>"
+    parts = [f'<section id="comments"><p>{LONG} c</p></section>', f'<div class="ad"><p>{LONG}</p></div>', f'<div id="related">{link}</div>',
+             f'<div id="search"><p>Find</p><form><input name=q></form></div>', f'<div class="share-buttons">{link}</div>',
+             f'<article class="comment"><p>{LONG} c</p></article>', '<div class="social-links"><span>like</span></div>',
+             f'<div class="newsletter-box"><p>{LONG}</p></div>', "<header><span>12 May</span></header>", f'<div hidden><p>{LONG}</p></div>']
+    for part in parts:
+        got = H.main_text(page(f"<article><p>{LONG} 1</p>{part}<p>{LONG} 2</p></article>"))
+        assert got == f"{LONG} 1\n{LONG} 2", part
+
+
+def test_drawings_that_close_themselves():
+    for drawing in ("<svg/>", "<math/>", "<svg><path d='m'/><g><circle/></g><text>no</text></svg>", "<svg viewBox='0 0 1 1' />"):
+        got = H.main_text(f"<article><p>{LONG} 1 {drawing} on</p><p>{LONG} 2</p><div/><p>{LONG} 3</p></article>")
+        assert got == f"{LONG} 1 on\n{LONG} 2\n{LONG} 3", drawing
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+    for opening in ("<div>", "<div><b>", "<ul><li>", "<section><h1>x"):
+        began = time.perf_counter()
+        assert "deep" in H.main_text(opening * (50_000 // opening.count("<")) + f"deep {LONG}" + "</section></em>" * 10_000)
+        assert time.perf_counter() - began < 6, opening
+
+
 def test_odd_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text(" \n") == H.main_text("<html></html>") == ""
     assert H.main_text("just text") == "just text"
