@@ -7,8 +7,9 @@ probabilities are fitted by expectation-maximisation (forward and backward passe
 each piece's expected count) on a bounded sample of labelled documents; expected counts are
 added up by Spark and only the vocabulary-sized totals reach the driver.
 
-Words are runs of letters in lower case. A run of over ``MAX_LETTERS`` letters is scored in consecutive
-parts of that length, so that whole texts count and no sum underflows.
+Words are runs of letters in lower case, of any length: a whole paragraph in a script without spaces is one word. So that no
+sum underflows, the forward pass scales its last entries up, each word and language on its own, and keeps the logarithm of the scale.
+Learning takes a run of over ``MAX_LETTERS`` letters in consecutive parts of that length.
 
 Defined cases: a text that is NULL or has no letter gets ``und`` with score 0, and so does every text when there is
 nothing to learn from; ties go to the language that sorts first; repeated rows give repeated rows; an empty table
@@ -41,7 +42,10 @@ MAX_LETTERS = 40
 START = "▁"
 
 _BASE = 0xD1342543DE82EF95
-_WORDS = regex.compile(r"\p{L}{1,%d}" % MAX_LETTERS)
+_WORDS = regex.compile(r"\p{L}+")
+_PARTS = regex.compile(r"\p{L}{1,%d}" % MAX_LETTERS)
+#: What the forward pass scales by, and the least value that it leaves as it is.
+_UP, _LOW = 1e150, 1e-150
 
 
 @dataclass(frozen=True)
@@ -103,26 +107,51 @@ def pieces(path: str) -> Pieces:
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes and code points (word start mark first) of the words of each length, in parts of bounded size."""
+    """Indexes and code points (word start mark first) of words of like length, in parts of bounded size.
+
+    Words of up to ``MAX_LETTERS`` letters are with words of their own length. Longer ones, which are rare, are with words of up
+    to twice the length, filled up with zeros.
+    """
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(lengths):
-        for at in np.array_split(np.flatnonzero(lengths == n), max(1, int((lengths == n).sum() * n // 500_000))):
-            text = np.array([START + words[i] for i in at], dtype=f"<U{n + 1}")
-            yield at, text.view(np.uint32).reshape(len(at), n + 1)
+    classes = np.where(lengths <= MAX_LETTERS, lengths, MAX_LETTERS * 2 ** np.ceil(np.log2(np.maximum(lengths, MAX_LETTERS) / MAX_LETTERS)).astype(np.int64))
+    for n in np.unique(classes):
+        own = np.flatnonzero(classes == n)
+        for at in np.array_split(own, max(1, int(len(own) * n // 500_000))):
+            width = int(lengths[at].max()) + 1
+            text = np.array([START + words[i] for i in at], dtype=f"<U{width}")
+            yield at, text.view(np.uint32).reshape(len(at), width)
 
 
 def word_scores(vocab: Pieces, probability: np.ndarray, words: list[str]) -> np.ndarray:
     """Log probability of each word in each language, over all segmentations."""
     out = np.zeros((len(words), probability.shape[1]))
     for at, letters in by_length(words):
+        sizes = (letters > 0).sum(axis=1)
         forward = np.zeros((letters.shape[1] + 1, len(at), probability.shape[1]))
+        scale = np.zeros(forward.shape[1:])
         forward[0] = 1
+        done = 0
         for start, end, rows, ids in vocab.lattice(letters):
+            if end - 1 > done:
+                done = end - 1
+                _settle(forward, scale, done, vocab.longest, out, at, sizes)
             forward[end][rows] += forward[start][rows] * probability[ids]
-        out[at] = np.log(np.maximum(forward[-1], 1e-300))
+        _settle(forward, scale, letters.shape[1], vocab.longest, out, at, sizes)
     return out
 
 
+def _settle(forward: np.ndarray, scale: np.ndarray, end: int, reach: int, out: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> None:
+    """Close the sums that end at one place: words of that length are done; entries that get small are scaled up."""
+    over = np.flatnonzero(sizes == end)
+    if len(over):
+        out[at[over]] = np.log(np.maximum(forward[end, over], 1e-300)) + scale[over]
+    small = forward[end] < _LOW
+    if small.any():
+        row, k = np.nonzero(small & (forward[end] > 0))
+        forward[max(0, end - reach): end + 1, row, k] *= _UP
+        scale[row, k] -= np.log(_UP)
+
+
 def expected_counts(vocab: Pieces, probability: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in the words of one language."""
     total = np.zeros(vocab.n + 1)
@@ -156,7 +185,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
             for lang, texts in part.groupby("lang")["text"]:
                 seen = Counter()
                 for text in texts:
-                    seen.update(_WORDS.findall(text.lower()))
+                    seen.update(_PARTS.findall(text.lower()))
                 yield pd.DataFrame({"lang": lang, "word": list(seen), "n": list(seen.values())})
 
     return rows.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -96,3 +96,31 @@ def test_quality_of_awkward_rows(spark):
     none = Q.fit(df, labels.limit(0), F.lit(True))
     assert {r.score for r in Q.predict(df, none).collect()} == {0.5}
     assert Q.predict(empty(spark), none).count() == 0
+
+
+def test_long_runs_of_letters_are_one_word():
+    """The scaled sums against plain recursion in logarithms, for runs far past what doubles hold unscaled."""
+    import math
+
+    import numpy as np
+    import public_tokenizers
+    from churnlake.llm import language_id as L
+    vocab = L.pieces(public_tokenizers.path(L.PIECE_MODEL))
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet(np.full(vocab.n + 1, 0.3), 3).T + 1e-12
+    words = ["a", "anything", "the" * 40, "x" * 333, "qwertz" * 200, "ж" * 50, "日本" * 45]
+    got = L.word_scores(vocab, p, words)
+    ids = dict(zip(vocab.hashes.tolist(), vocab.ids.tolist()))
+    for w, row in zip(words, got):
+        text = L.START + w
+        for k in range(3):
+            sums = [0.0] + [-math.inf] * len(text)
+            for e in range(1, len(text) + 1):
+                terms = []
+                for s in range(max(0, e - vocab.longest), e):
+                    i = ids.get(vocab._hash(text[s:e]), vocab.n if e - s == 1 else None)
+                    if i is not None:
+                        terms.append(sums[s] + math.log(p[i, k]))
+                top = max(terms)
+                sums[e] = top + math.log(sum(math.exp(t - top) for t in terms))
+            assert abs(sums[-1] - row[k]) < 1e-6 * abs(sums[-1]) + 1e-9
