@@ -11,9 +11,11 @@ searched. For the rest the work goes in three passes over blocks of documents (c
    ``length - PERIOD + 1`` bytes. Sample strings are ranked (sorted bucket by bucket);
    a rank that only one document holds settles every suffix in whose reach it is the only evidence:
    it cannot tie for ``length`` bytes.
-2. Suffix buckets. The suffixes left over, reduced to a 64-bit fingerprint of their first ``length``
-   bytes and unique within their block, are dealt into buckets by leading bits and each bucket is
-   sorted on its own. In a tie the block that comes first is the earlier document.
+2. Suffix buckets. The suffixes left over are dealt into buckets by their first 16 bytes, reduced to a 64-bit fingerprint of
+   their first ``length`` bytes and made unique within their block; each bucket is
+   sorted on its own. In a tie the block that comes first is the earlier document. As the bucket is told by other bits than the
+   fingerprint, and there are the more buckets the more suffixes there are, the odds of a false tie grow with the
+   suffixes, not with their square.
 3. Coverage. Each block marks its suffixes that tie with an earlier document, there or in the block itself,
    and the union of their strings is cut out.
 
@@ -46,6 +48,8 @@ COVER, PERIOD = (3, 6, 7, 12, 14), 21
 LENGTH = 50
 SAMPLE = LENGTH - PERIOD + 1
 PIECE_BYTES = 1 << 17
+#: Files of the block table at most; a file then holds the blocks of one hash value, in order.
+MAX_BUCKETS = 8192
 
 _BASE = 0xD1342543DE82EF95
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -134,15 +138,22 @@ class Block:
         at = _Grown.cover[nth] + self.offsets[doc]
         return self._hashed(at, SAMPLE) >> np.uint64(64 - bits), at, doc
 
-    def suffixes(self, shared: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, byte position and document of the suffixes in reach of rising sample positions ``shared``."""
+    def suffixes(self, shared: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, hash of the start, byte position and document of the suffixes in reach of rising sample positions."""
         first = np.maximum(shared - PERIOD + 1, self.offsets[doc])
         last = np.minimum(shared, self.offsets[doc + 1] - LENGTH)
         first, last, doc = (x[first <= last] for x in (first, last, doc))
         if len(last):
             first[1:] = np.maximum(first[1:], last[:-1] + 1)
         at, which = _ranges(first, np.maximum(last - first + 1, 0))
-        return self._hashed(at, LENGTH), at, doc[which]
+        return self._hashed(at, LENGTH), self._starts(at), at, doc[which]
+
+    def _starts(self, at: np.ndarray) -> np.ndarray:
+        """A hash of the 16 bytes from each place (a suffix has ``LENGTH`` at least)."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        return _mix(words[at] * np.uint64(0xA0761D6478BD642F) + _mix(words[at + 8]))
 
 
 def _order(values: np.ndarray, bits: int) -> np.ndarray:
@@ -166,13 +177,24 @@ def _distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
-def _classes(h: np.ndarray, bits: int, order: np.ndarray):
-    """Each entry's class of equal values, in value order, and the least and greatest document order of each class."""
-    if not len(h):
-        return np.zeros(0, np.int64), order, order
+def _bucket_order(h: np.ndarray, bits: int, bucket: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending order by bucket and value, and where in it a new value begins."""
     by = _order(h, bits)
+    if bucket is not None:
+        kind = np.uint16 if int(bucket.max(initial=0)) < 1 << 16 else np.uint64
+        by = by[np.argsort(bucket[by].astype(kind), kind="stable")]
     ranked = h[by]
-    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(h)]
+    if bucket is not None:
+        first[1:] |= bucket[by][1:] != bucket[by][:-1]
+    return by, first
+
+
+def _classes(h: np.ndarray, bits: int, order: np.ndarray, bucket: np.ndarray | None = None):
+    """Each entry's class of equal values, in (bucket and) value order, and the least and greatest document order of each class."""
+    if not len(h):
+        return np.zeros(0, np.int64), order, order
+    by, first = _bucket_order(h, bits, bucket)
     starts = np.flatnonzero(first)
     cls = np.empty(len(h), np.int64)
     cls[by] = np.cumsum(first) - 1
@@ -216,9 +238,9 @@ def _copies(blocks: DataFrame) -> DataFrame:
     return copied.select(*none.values(), F.struct(*_PRINT).alias("copy")).distinct()
 
 
-def _lists(block: int, values: np.ndarray, bits: int, bucket_bits: int) -> pa.Table:
-    """The sorted values of a block, cut into one packed list per bucket."""
-    bucket = (values >> np.uint64(bits - bucket_bits)).astype(np.int64)
+def _lists(block: int, values: np.ndarray, bucket: np.ndarray) -> pa.Table:
+    """The values of a block, sorted by bucket and value, as one packed list per bucket."""
+    bucket = bucket.astype(np.int64)
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(values) else np.zeros(0, np.int64)
     ends = np.append(cut[1:], len(values)).astype(np.int64)
     return pa.table({
@@ -292,22 +314,22 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = f"suffix_blocks_{uuid.uuid4().hex[:12]}"
     (rows.repartitionByRange(n_blocks, "_id").withColumn("block", F.spark_partition_id())
      .write.option("path", f"{ensure_checkpoint_dir(spark)}/tables/{name}").option("compression", "zstd")
-     .bucketBy(n_blocks, "block").sortBy("block").saveAsTable(name))
+     .bucketBy(min(n_blocks, MAX_BUCKETS), "block").sortBy("block").saveAsTable(name))
     blocks = spark.table(name)
 
     def first_lists(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(table):
-            return _lists(0, np.zeros(0, np.uint64), sample_bits, sample_buckets)
-        block = Block(table, marks)
-        return _lists(table.column("block")[0].as_py(), _distinct(block.samples(sample_bits)[0]),
-                      sample_bits, sample_buckets)
+            return _lists(0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        values = _distinct(Block(table, marks).samples(sample_bits)[0])
+        return _lists(table.column("block")[0].as_py(), values, values >> np.uint64(sample_bits - sample_buckets))
 
     def second_lists(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(table):
-            return _lists(0, np.zeros(0, np.uint64), 64, suffix_buckets)
-        block = Block(table, marks)
-        h, _, _ = _reachable(block, _read_marks(marks, 1), sample_bits)
-        return _lists(table.column("block")[0].as_py(), _distinct(h), 64, suffix_buckets)
+            return _lists(0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        h, start, _, _ = _reachable(Block(table, marks), _read_marks(marks, 1), sample_bits)
+        bucket = start >> np.uint64(64 - suffix_buckets)
+        by, first = _bucket_order(h, 64, bucket)
+        return _lists(table.column("block")[0].as_py(), h[by][first], bucket[by][first])
 
     fields = [T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, df.schema[c].dataType) for c in carry)]
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -316,9 +338,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(table: pa.Table, marks: pa.Table) -> pa.Table:
         block = Block(table, marks)
-        h, at, doc = _reachable(block, _read_marks(marks, 1), sample_bits)
+        h, start, at, doc = _reachable(block, _read_marks(marks, 1), sample_bits)
         order = block.order[doc]
-        cls, low, _ = _classes(h, 64, order)
+        cls, low, _ = _classes(h, 64, order, start >> np.uint64(64 - suffix_buckets))
         repeated = at[(_read_marks(marks, 2)[cls] | (low[cls] < order)) if len(at) else slice(0)]
         kept, spans = _cut_out(block, repeated, whole_characters)
         return pa.table([table.column("_id"), *(table.column(f"_c{i}") for i in range(len(carry))),
@@ -336,7 +358,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = texts.cogroup(copies.groupBy("block")).applyInArrow(first_lists, _LISTS)
     ranks = materialize(sorted_buckets(first, sample_bits, sample_buckets, False, 1).unionByName(copies), "cover-ranks")
     second = texts.cogroup(ranks.groupBy("block")).applyInArrow(second_lists, _LISTS)
-    ties = materialize(sorted_buckets(second, 64, suffix_buckets, True, 2), "suffix-ties")
+    ties = materialize(sorted_buckets(second, 64, 0, True, 2), "suffix-ties")
     return blocks.groupBy("block").cogroup(ranks.unionByName(ties).groupBy("block")).applyInArrow(cut, schema)
 
 
