@@ -4,8 +4,8 @@ Tokens are runs of letters, marks and digits (by Unicode class) of the case-fold
 are written without spaces every letter is a token, with its marks. A spaced seed is a mask over
 consecutive tokens that hashes only some of them, so that a changed token at an ignored place does
 not change the hash. The four masks together hit every stretch of 13 tokens with up to two
-changed tokens, and every stretch of 15 with up to three. Items of 5 to 11 tokens have masks of their own, which
-hit them with as many changed tokens as step 4 allows.
+changed tokens, and every stretch of 15 with up to three. Items of up to 11 tokens have masks of their own, which
+hit them with as many changed tokens as step 4 allows: none under 5 tokens.
 
 1. Benchmark items are hashed under every mask and kept as a table. A Bloom filter of these hashes, of
    bounded size, goes to the tasks that scan the documents; it has no false negatives, so only
@@ -14,9 +14,10 @@ hit them with as many changed tokens as step 4 allows.
    collapsed first, so a passage that very many documents share is compared once.
 3. Passage hashes join benchmark hashes on the full 64 bits; each hit gives an item and a diagonal.
 4. Around the diagonal the two token sequences are compared token by token. A stretch is an overlap when
-   each window of 13 tokens (or of the whole item, if shorter) has at least 80 % equal tokens.
+   each window of 13 tokens (or of the whole item, if shorter) has at least 80 % equal tokens. All overlaps of a document
+   and an item are given.
 
-Items under ``MIN_ITEM`` tokens say nothing and are not searched for.
+Items of any length are searched for; one without a token has nothing to be found.
 
 Defined cases: NULL and empty texts hold no token and no overlap; repeated rows of an id are one document;
 rows with a NULL id are found too (their overlaps carry the NULL id); empty tables give no overlaps;
@@ -35,14 +36,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlake.llm.tables import free_names
 from churnlake.session import materialize
 
 #: Fixed spaced seeds: 1 marks a token that is hashed, 0 one that is ignored.
 MASKS = ("1001001111", "1110100011", "1111011", "111001101")
 #: For items of so few tokens: alone they hit an item with one changed token, from 10 tokens on with MASKS one with two.
-SHORT = {5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("11111", "111011", "110111"),
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "10111", "11101"), 6: ("1111", "11011"), 7: ("11111", "111011", "110111"),
          8: ("11111", "111011"), 9: ("11111", "111011"), 10: ("111111", "1100110101", "1101010101"), 11: ("111111",)}
-MIN_ITEM = 5
 WINDOW = 13
 EQUAL = 0.8
 #: Bits of the filter for each hash, up to 2^MAX_BITMAP_BITS in all, and places looked at for a hash.
@@ -127,8 +128,6 @@ def item_hashes(bench: DataFrame, id_col: str = "item_id", text_col: str = "text
             rows = []
             for item, text in zip(part["item"], part["text"]):
                 toks = tokens(text)
-                if len(toks) < MIN_ITEM:
-                    continue
                 for _, hashes in window_hashes(toks, masks_for(len(toks))):
                     rows.extend((item, len(toks), int(h), at) for at, h in enumerate(hashes.view(np.int64)))
             yield pd.DataFrame(rows, columns=["item", "n", "h", "at"])
@@ -213,22 +212,21 @@ def passages(docs: DataFrame, bitmap, masks: tuple[str, ...], context: int, id_c
                                             F.size("toks").alias("n")))
 
 
-def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int, int] | None:
-    """(first, last, tokens, equal): the part of ``doc`` that overlaps ``item`` on a diagonal, if any."""
+def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int, int]]:
+    """(first, last, tokens, equal): the parts of ``doc`` that overlap ``item`` on a diagonal, in order."""
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
     width = min(WINDOW, len(item))
-    if hi - lo < width:
-        return None
+    if hi - lo < width or not width:
+        return []
     same = doc[lo:hi] == item[lo - diagonal: hi - diagonal]
     sums = np.concatenate(([0], np.cumsum(same)))
     good = np.flatnonzero(sums[width:] - sums[:-width] >= math.ceil(EQUAL * width))
     if not len(good):
-        return None
-    cover = np.zeros(len(same) + 1, np.int64)
-    np.add.at(cover, good, 1)
-    np.add.at(cover, good + width, -1)
-    covered = np.cumsum(cover)[:-1] > 0
-    return lo + int(good[0]), lo + int(good[-1]) + width, int(covered.sum()), int((covered & same).sum())
+        return []
+    # windows that touch or overlap are one part
+    cut = np.flatnonzero(np.diff(good) > width) + 1
+    first, last = good[np.concatenate(([0], cut))], good[np.concatenate((cut - 1, [len(good) - 1]))] + width
+    return [(lo + int(a), lo + int(b), int(b - a), int(sums[b] - sums[a])) for a, b in zip(first, last)]
 
 
 def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,15 +234,14 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, item, diagonal, toks, item_text in zip(
                 part["key"], part["item"], part["diagonal"], part["toks"], part["item_text"]):
-            found = overlap(np.asarray(toks, np.int64).view(np.uint64), tokens(item_text), int(diagonal))
-            if found:
+            for found in overlap(np.asarray(toks, np.int64).view(np.uint64), tokens(item_text), int(diagonal)):
                 rows.append((key["a"], key["b"], key["n"], item, *found))
         yield pd.DataFrame(rows, columns=["a", "b", "n", "item", "first", "last", "tokens", "equal"])
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item, first_token, last_token, n_tokens, n_equal): the longest overlap of each document with each item."""
+    """(id, item, first_token, last_token, n_tokens, n_equal): all overlaps of the documents with the items."""
     items = materialize(item_hashes(bench, item_col, item_text), "seed-hashes")
     shape = items.agg(F.max("n"), F.collect_set(F.when(F.col("n") <= max(SHORT), F.col("n")))).first()
     context, masks = shape[0] or 0, tuple(sorted({*MASKS, *(m for n in shape[1] for m in masks_for(n))}))
@@ -260,17 +257,14 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     item_type, id_type = bench.schema[item_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
     seen = pairs.select("key", "item", "diagonal", "toks", "item_text").mapInPandas(
         _verify, f"a long, b int, n int, item {item_type}, first long, last long, tokens long, equal long")
-    best = F.max(F.struct("tokens", "equal", "first", "last"))
     per_passage = seen.select(F.struct("a", "b", "n").alias("key"), "item", "first", "last", "tokens", "equal")
-    placed = found.select("id", "start", "key").join(per_passage, "key").select(
-        "id", "item", "tokens", "equal", (F.col("start") + F.col("first")).alias("first"),
-        (F.col("start") + F.col("last")).alias("last"))
-    return placed.groupBy("id", "item").agg(best.alias("o")).select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("o.first").alias("first_token"),
-        F.col("o.last").alias("last_token"), F.col("o.tokens").alias("n_tokens"), F.col("o.equal").alias("n_equal"))
+    return found.select("id", "start", "key").join(per_passage, "key").select(
+        F.col("id").alias(id_col), F.col("item").alias(item_col), (F.col("start") + F.col("first")).alias("first_token"),
+        (F.col("start") + F.col("last")).alias("last_token"), F.col("tokens").alias("n_tokens"), F.col("equal").alias("n_equal")).distinct()
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item."""
-    leaks = overlaps(docs, bench, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("_leak")), "left_anti")
+    leak, = free_names(docs.columns, "leak_")
+    leaks = overlaps(docs, bench, id_col, text_col).select(F.col(id_col).alias(leak)).distinct()
+    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col(leak)), "left_anti")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlake.llm.tables import bound
+from churnlake.llm.tables import bound, free_names, named
 
 SPACE = r"\x20\x09-\x0D"
 
@@ -107,16 +107,18 @@ def _repeat_words(words: Column) -> Column:
 
 
 def with_ledger(df: DataFrame, text_col: str = "text", name: str = "_ledger") -> DataFrame:
-    """``df`` with one struct column ``name``: the measurements and ``failure_bits``."""
-    text = F.col(f"{name}_text")
-    word, lines = F.col(f"{name}_words"), F.col(f"{name}_lines")
-    staged = df.withColumn(f"{name}_text", F.coalesce(F.col(text_col), F.lit(""))).withColumns({
-        f"{name}_words": F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)),
-        f"{name}_lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
+    """``df`` with one struct column ``name`` more: the measurements and ``failure_bits``."""
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"the table has a column {name} already")
+    t_name, w_name, l_name, m_name = free_names([*df.columns, name], "text_", "words_", "lines_", "measures_")
+    text, word, lines = (F.col(n) for n in (t_name, w_name, l_name))
+    staged = df.withColumn(t_name, F.coalesce(F.col(text_col), F.lit(""))).withColumns({
+        w_name: F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0)),
+        l_name: F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]")),
     })
     # Generated from an array of one, the measurements are a value that later expressions refer to. As a plain column
     # they would be written out again wherever a rule, a verdict or a filter mentions them, and computed each time.
-    measured = staged.withColumn(f"{name}_m", F.explode(F.array(F.struct(
+    measured = staged.withColumn(m_name, F.explode(F.array(F.struct(
         F.size(word).cast("long").alias("n_words"),
         F.length(F.array_join(word, "")).cast("long").alias("word_chars"),
         _characters(text, r"[^#*$%&|<>]+").alias("n_symbols"),
@@ -127,13 +129,13 @@ def with_ledger(df: DataFrame, text_col: str = "text", name: str = "_ledger") ->
         _characters(text, r"\P{Lu}+").alias("n_upper"),
         _characters(text, r"[^!]+").alias("n_exclaim"),
     ))))
-    fields = {m: F.col(f"{name}_m")[m] for m in MEASURES}
+    fields = {m: F.col(m_name)[m] for m in MEASURES}
     bits = F.lit(0).cast("long")
     for rule, condition in RULES:
-        bits = bits + F.when(_condition(condition, f"{name}_m"), F.lit(rule_bit(rule)).cast("long")).otherwise(F.lit(0))
+        bits = bits + F.when(_condition(condition, m_name), F.lit(rule_bit(rule)).cast("long")).otherwise(F.lit(0))
     return (measured
             .withColumn(name, F.struct(*[c.alias(m) for m, c in fields.items()], bits.alias("failure_bits")))
-            .drop(f"{name}_text", f"{name}_words", f"{name}_lines", f"{name}_m"))
+            .drop(t_name, w_name, l_name, m_name))
 
 
 def _condition(condition: str, struct: str) -> Column:
@@ -143,7 +145,8 @@ def _condition(condition: str, struct: str) -> Column:
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, measurements, ``failure_bits``."""
-    return with_ledger(df.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, "_ledger.*")
+    name, = free_names([id_col, text_col], "_ledger")
+    return with_ledger(df.select(id_col, text_col), text_col, name).select(id_col, f"{name}.*")
 
 
 def apply_policy(led: DataFrame, policy: Policy) -> DataFrame:
@@ -174,5 +177,5 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
 
 def keep_documents(df: DataFrame, policy: Policy = POLICIES[CURRENT], text_col: str = "text") -> DataFrame:
     """The rows of ``df`` the policy keeps, columns unchanged."""
-    led = with_ledger(df, text_col, "_qr")
-    return led.filter(policy.kept(F.col("_qr.failure_bits"))).select(*df.columns)
+    name, = free_names(df.columns, "_ledger")
+    return with_ledger(df, text_col, name).filter(policy.kept(F.col(name)["failure_bits"])).select(*named(df.columns))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake.llm.components import components
-from churnlake.llm.tables import shuffle_width
+from churnlake.llm.tables import free_names, named, shuffle_width
 from churnlake.session import materialize
 
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -312,11 +312,13 @@ def one_per_component(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Unrelated texts under one id are in components of their own, and each of these keeps its row.
     Rows with a NULL id cannot be named as the one that stays: they are only freed of exact repeats of a text.
     """
+    kept, h1, h2, root, row = free_names(df.columns, "kept_", "h1_", "h2_", "root_", "row_")
     keep = _rooted(df, id_col, text_col, size, radius, 6, 4096).filter(F.col("id") == F.col("component")).select(
-        F.col("id").alias("_kept"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("root").alias("_root")).distinct()
+        F.col("id").alias(kept), F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("root").alias(root)).distinct()
     first = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(text_col))
-    h1, h2 = _text_hashes(text_col)
-    same = (F.col(id_col) == F.col("_kept")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2"))
-    named = df.join(keep, same).withColumn("_row", first(id_col, "_root")).select(*df.columns, "_row")
-    unnamed = df.filter(F.col(id_col).isNull()).withColumn("_row", first(F.xxhash64(text_col), text_col))
-    return named.unionByName(unnamed).filter("_row = 1").drop("_row")
+    own1, own2 = _text_hashes(text_col)
+    same = (F.col(id_col) == F.col(kept)) & (own1 == F.col(h1)) & (own2 == F.col(h2))
+    columns = named(df.columns)
+    by_id = df.join(keep, same).withColumn(row, first(id_col, root)).select(*columns, row)
+    unnamed = df.filter(F.col(id_col).isNull()).withColumn(row, first(F.xxhash64(text_col), text_col))
+    return by_id.unionByName(unnamed).filter(F.col(row) == 1).select(*columns)

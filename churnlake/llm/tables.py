@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,22 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that are not taken, in any case: helpers that no column of the input can clash with."""
+    used, found = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """``df`` written in the shared folder, tightly compressed, and read back: later passes re-read files."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ def planted(spark):
     rows += [(200, None, "a", "b"), (201, "", "a", "b"), rows[0], (None, items[5], "a", "b")]
     leaks.add((None, 5))
     docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, h string")
-    bench = spark.createDataFrame([*items.items(), (50, None), (51, ""), (52, "too short"), (3, items[3])],
+    bench = spark.createDataFrame([*items.items(), (50, None), (51, ""), (52, "zzz yyy"), (3, items[3])],
                                   "item_id long, text string")
     return docs, bench, leaks
 
@@ -47,7 +47,7 @@ def test_masks_hit_every_stretch():
             assert any((good >> s) & m == m for m in masks for s in range(n - m.bit_length() + 1))
 
 
-@pytest.mark.parametrize("n", range(D.MIN_ITEM, D.WINDOW))
+@pytest.mark.parametrize("n", range(1, D.WINDOW))
 def test_masks_hit_short_items(n):
     for places in combinations(range(n), n - math.ceil(D.EQUAL * n)):
         assert any(all(s + i not in places for i, c in enumerate(m) if c == "1")
@@ -56,14 +56,28 @@ def test_masks_hit_short_items(n):
 
 def test_short_items_with_changed_tokens(spark):
     rng = random.Random(8)
-    items, rows = {n: prose(rng, n) for n in range(5, 13)}, []
+    items, rows = {n: prose(rng, n) for n in range(1, 13)}, []
     for n, text in items.items():
         for places in combinations(range(n), n - math.ceil(D.EQUAL * n)):
             words = [f"zz{i}" if i in places else w for i, w in enumerate(text.split())]
             rows.append((1000 * n + len(rows), f"{prose(rng, 20)}, {' '.join(words)}; {prose(rng, 20)}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = D.overlaps(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(i, i // 1000) for i, _ in rows}
+    want = {(i, n) for i, t in rows for n in range(1, 13) if any(
+        D.overlap(D.tokens(t), D.tokens(items[n]), d) for d in range(-13, 80))}
+    assert {(r.doc_id, r.item_id) for r in found} == want and {(i, i // 1000) for i, _ in rows} <= want
+
+
+def test_all_overlaps_of_a_pair(spark):
+    rng = random.Random(3)
+    item = prose(rng, 40).split()
+    text = " ".join([*item[:15], prose(rng, 30), *item[20:], prose(rng, 9), *item])
+    found = D.overlaps(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string"),
+                       spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")).collect()
+    exact = {(0, 15), (45, 65), (74, 114)}
+    assert len(found) == 3 and all(any(r.first_token <= a and b <= r.last_token for r in found) for a, b in exact)
+    both = D.overlap(D.tokens(" ".join([*item[:15], *["x"] * 10, *item[25:]])), D.tokens(" ".join(item)), 0)
+    assert [(a, b) for a, b, _, _ in both] == [(0, 17), (23, 40)]
 
 
 def test_tokens_by_unicode_class():

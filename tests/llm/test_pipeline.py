@@ -9,7 +9,7 @@ import corpus_pipeline
 from churnlake.llm import decontaminate, quality_rules
 from churnlake.llm.oracle import ORACLE
 from churnlake.llm.queries import QUERIES
-from tests.llm.helpers import WORD, repeats_removed
+from tests.llm.helpers import WORD, documents, repeats_removed
 from tests.llm.test_quality_rules import measured
 from tests.llm.test_simhash import brute_components, brute_print
 
@@ -72,3 +72,20 @@ def test_sql_twins(spark, name):
 
 def test_policy_has_a_version():
     assert quality_rules.CURRENT in quality_rules.POLICIES and os.path.isdir(SF)
+
+
+HELPERS = ["_kept", "_h1", "_h2", "_row", "_root", "kept", "spans", "n_bytes", "_leak", "_qr", "_qr_text", "_qr_m", "_ledger", "text_", "words_",
+           "lines_", "measures_", "KEPT_", "h1_", "h2_", "root_", "row_", "leak_", "row", "fp", "component", "id", "key", "item", "block", "_id",
+           "_text", "_c0", "a.b", "failure_bits", "n_tokens", "tokens", "decoded"]
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_helper_names_do_not_clash(spark, number):
+    """A stage leaves columns that are named like its own helpers as they are."""
+    from pyspark.sql import functions as F
+    names, stage = corpus_pipeline.STAGES[number]
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(n).alias(n) for n in HELPERS))
+    out = stage(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[n] == n for r in rows for n in HELPERS)
