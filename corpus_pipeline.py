@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.llm import bpe, decontaminate, quality_rules, simhash, suffix_dedup
-from churnlake.llm.tables import read_table
+from churnlake.llm.tables import named, read_table
 from churnlake.session import materialize
 
 
@@ -27,10 +27,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the byte strings that an earlier one holds; a document of which no word is left goes."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = suffix_dedup.remove_repeats(docs, carry=others, whole_characters=True).withColumn(
-        "text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    # the other columns travel as one, so that none can clash with those of the operator
+    packed = docs.select("doc_id", "text", F.struct(*named(c for c in docs.columns if c != "text")).alias("row"))
+    cut = suffix_dedup.remove_repeats(packed, carry=("row",), whole_characters=True)
+    text = F.col("kept").cast("string")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    columns = [new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns]
+    return cut.filter(text.rlike(r"[^\x20\x09-\x0D]")).select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
