@@ -1,7 +1,7 @@
 """Complaint-text features and text reports.
 
-Everything is expressed with native column functions; the lexicon scorer is
-an in-row map lookup (no explode, no shuffle), TF-IDF is a term-count
+Everything is expressed with native column functions; the lexicon scorer
+(``sentiment``) works in-row (no explode, no shuffle), TF-IDF is a term-count
 aggregation with a broadcast vocabulary of fixed size.
 """
 
@@ -14,24 +14,11 @@ from pyspark.sql import functions as F
 
 from churnlake import schema as S
 from churnlake.functions.text import MENTION_RE, NON_LETTER_RUN_RE, URL_RE, drop_stopwords, keyword_flag
+from churnlake.operators import sentiment
 
 TEXT_COL = "complaint_text"
 CLEAN_COL = "complaint_text_clean"
 
-# Sentiment lexicon (term, polarity), polarities in eighths so sums stay exact.
-# Replaces a per-row library scorer; the words are ordinary English polarity
-# words plus the ones the synthetic corpus uses.
-LEXICON = [
-    ("good", 0.75), ("great", 0.875), ("excellent", 1.0), ("best", 1.0), ("happy", 0.75),
-    ("love", 0.5), ("nice", 0.625), ("fast", 0.25), ("helpful", 0.5), ("resolved", 0.25),
-    ("thanks", 0.25), ("satisfied", 0.5), ("reliable", 0.5), ("friendly", 0.375),
-    ("bad", -0.75), ("poor", -0.375), ("terrible", -1.0), ("awful", -1.0), ("worst", -1.0),
-    ("hate", -0.75), ("slow", -0.25), ("rude", -0.375), ("useless", -0.5), ("broken", -0.375),
-    ("angry", -0.5), ("disappointed", -0.75), ("expensive", -0.5), ("worthless", -0.875),
-    ("stupid", -0.75), ("idiot", -0.75), ("pathetic", -1.0), ("horrible", -1.0),
-]
-
-
 def clean_text(df: DataFrame, text_col: str = TEXT_COL) -> DataFrame:
     """F1 as staged columns: every expensive step is a column consumed by the next.
 
@@ -52,30 +39,14 @@ def clean_text(df: DataFrame, text_col: str = TEXT_COL) -> DataFrame:
     return out.drop(low, no_url, no_at)
 
 
-def _lexicon_map(lexicon):
-    return F.create_map(*[x for t, p in lexicon for x in (F.lit(t), F.lit(float(p)))])
-
-
-def sentiment_score(df: DataFrame, text_col: str = CLEAN_COL, lexicon=None) -> DataFrame:
-    """Mean polarity of the lexicon words in the text (0 when none) + flags.
-
-    The polarity array is its own column (read three times by the score).
-    """
+def sentiment_score(df: DataFrame, text_col: str = CLEAN_COL, lexicon: list[sentiment.Entry] | None = None) -> DataFrame:
+    """Polarity of the text by a lexicon (``sentiment``; 0 when it has no entry) + flags."""
     if text_col not in df.columns:
         return df.withColumns({"sentiment_score": F.lit(0.0), "sentiment_negative": F.lit(0),
                                "sentiment_positive": F.lit(0)})
-    lex = _lexicon_map(lexicon or LEXICON)
-    toks = F.split(F.coalesce(F.col(text_col), F.lit("")), " ")
-    out = df.withColumn("_pol", F.filter(F.transform(toks, lambda w: F.try_element_at(lex, w)),
-                                         lambda x: x.isNotNull()))
-    pol = F.col("_pol")
-    total = F.aggregate(pol, F.lit(0.0), lambda acc, x: acc + x)
-    score = F.when(F.size(pol) > 0, total / F.size(pol)).otherwise(F.lit(0.0))
-    return (out.withColumn("sentiment_score", score)
-            .withColumns({
-                "sentiment_negative": (F.col("sentiment_score") < S.SENTIMENT_NEGATIVE_BELOW).cast("int"),
-                "sentiment_positive": (F.col("sentiment_score") > S.SENTIMENT_POSITIVE_ABOVE).cast("int"),
-            }).drop("_pol"))
+    return sentiment.polarity(df, text_col, "sentiment_score", lexicon).withColumns({
+        "sentiment_negative": (F.col("sentiment_score") < S.SENTIMENT_NEGATIVE_BELOW).cast("int"),
+        "sentiment_positive": (F.col("sentiment_score") > S.SENTIMENT_POSITIVE_ABOVE).cast("int")})
 
 
 def keyword_flags(df: DataFrame, text_col: str = CLEAN_COL, network=None, billing=None,

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from churnlake import schema as S
 from churnlake.functions.text import MENTION_RE, NON_ALPHA_RE, URL_RE, WS_RUN_RE
-from churnlake.operators.text import LEXICON
+from churnlake.operators.sentiment import LEXICON
 from churnlake.sources import adapters as A
 
 
@@ -107,7 +107,8 @@ def keyword_sql(expr: str, words: list[str]) -> str:
 
 
 def lexicon_values() -> str:
-    return "VALUES " + ", ".join(f"({q(t)}, CAST({p!r} AS DOUBLE))" for t, p in LEXICON)
+    number = lambda x: "CAST(NULL AS DOUBLE)" if x is None else f"CAST({x!r} AS DOUBLE)"
+    return "VALUES " + ", ".join(f"({q(e.words)}, {number(e.polarity)}, {number(e.intensity)})" for e in LEXICON)
 
 
 def prepared_ctes(with_text: bool = True) -> str:
@@ -137,11 +138,21 @@ structured AS (
         return ctes + ",\nprepared AS (SELECT * FROM structured)"
     return ctes + f""",
 txt AS (SELECT *, {clean_text_sql('complaint_text')} AS complaint_text_clean FROM structured),
-lexicon(term, pol) AS ({lexicon_values()}),
+lexicon(term, pol, scale) AS ({lexicon_values()}),
+toks AS (SELECT customerID, string_split(complaint_text_clean, ' ') AS ws FROM txt),
+grams AS (
+  SELECT customerID, pos, size, array_to_string(ws[pos:pos + size - 1], ' ') AS term
+  FROM (SELECT customerID, ws, size, unnest(range(1, len(ws) - size + 2)) AS pos FROM toks, range(1, {1 + max(len(e.words.split()) for e in LEXICON)}) k(size))),
+hits AS (
+  SELECT g.customerID, pos, max(size) AS size, arg_max(pol, size) AS pol, arg_max(scale, size) AS scale
+  FROM grams g JOIN lexicon l USING (term) GROUP BY g.customerID, pos),
+held AS (
+  SELECT h.* FROM hits h WHERE NOT EXISTS (
+    SELECT 1 FROM hits o WHERE o.customerID = h.customerID AND o.pos < h.pos AND o.pos + o.size >= h.pos + h.size)),
 sent AS (
-  SELECT customerID, avg(l.pol) AS s
-  FROM (SELECT customerID, unnest(string_split(complaint_text_clean, ' ')) AS w FROM txt) t
-  JOIN lexicon l ON l.term = t.w GROUP BY customerID),
+  SELECT h.customerID, avg(greatest(least(h.pol * coalesce(b.scale, 1.0), 1.0), -1.0)) AS s
+  FROM held h LEFT JOIN held b ON b.customerID = h.customerID AND b.pos + b.size = h.pos AND b.scale IS NOT NULL
+  WHERE h.pol IS NOT NULL GROUP BY h.customerID),
 prepared AS (
   SELECT txt.*,
     coalesce(sent.s, 0.0) AS sentiment_score,
