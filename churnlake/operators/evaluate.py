@@ -114,9 +114,9 @@ def threshold_metrics(scored: DataFrame, thresholds: list[float] | None = None)
 # ------------------------------------------------------------- curves / AUC
 
 def score_table(scored: DataFrame, by: str | None = None) -> DataFrame:
-    """(model?, p, pos, neg, cum_pos, cum_neg, n_pos, n_neg) over distinct scores, descending p.
+    """(model?, p, pos, neg, cum_pos, cum_neg, n_pos, n_neg, place) over distinct scores, descending p.
 
-    cum_* are inclusive counts of rows with score >= p (within the model).
+    cum_* are inclusive counts of rows with score >= p (within the model); place numbers all rows in (model, descending p) order.
     """
     keys = ([by] if by else []) + ["p"]
     g = materialize(complete(scored).groupBy(*keys).agg(
@@ -126,16 +126,16 @@ def score_table(scored: DataFrame, by: str | None = None) -> DataFrame:
     if not by:
         stats = range_stats(stored, ["pos", "neg"])
         n_pos, n_neg = (sum(r[f"_s_{v}"] or 0 for r in stats) for v in ("pos", "neg"))
-        return totals_of(stored, g.columns, order, ["pos", "neg"], stats=stats).withColumns(
+        return totals_of(stored, g.columns, order, ["pos", "neg"], stats=stats, position="place").withColumns(
             {"n_pos": F.lit(n_pos).cast("long"), "n_neg": F.lit(n_neg).cast("long")})
-    rt = totals_of(stored, g.columns, order, ["pos", "neg"])
+    rt = totals_of(stored, g.columns, order, ["pos", "neg"], position="place")
     # the first score of a model tells what all models before it hold
     base = rt.groupBy(by).agg(F.min(F.col("cum_pos") - F.col("pos")).alias("base_pos"),
                               F.min(F.col("cum_neg") - F.col("neg")).alias("base_neg"),
                               F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return rt.join(base, by).select(by, "p", "pos", "neg",
                                     (F.col("cum_pos") - F.col("base_pos")).alias("cum_pos"),
-                                    (F.col("cum_neg") - F.col("base_neg")).alias("cum_neg"), "n_pos", "n_neg")
+                                    (F.col("cum_neg") - F.col("base_neg")).alias("cum_neg"), "n_pos", "n_neg", "place")
 
 
 def roc_auc(scored: DataFrame, by: str | None = None) -> DataFrame:
@@ -150,9 +150,24 @@ def roc_auc(scored: DataFrame, by: str | None = None) -> DataFrame:
                                            2.0 * F.col("n_pos") * F.col("n_neg")), 6).alias("roc_auc"))
 
 
-def roc_curve(scored: DataFrame, by: str | None = None) -> DataFrame:
-    """(fpr, tpr) per distinct score plus the origin (threshold = +inf)."""
+def _corners(t: DataFrame, by: str | None) -> DataFrame:
+    """The points of a score table at which the curve turns, and the first and last of each model.
+
+    A step of the curve is (neg, pos) of one score; it goes straight on where the next score has the same counts. The next
+    score is found by its place, so a neighbour in another range, or on another executor, is a join partner like any other.
+    """
+    following = t.select((F.col("place") - 1).alias("place"), F.col("pos").alias("_pos"), F.col("neg").alias("_neg"),
+                         (F.col(by) if by else F.lit(0)).alias("_by"))
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    last = F.col("_pos").isNull() | ~F.col("_by").eqNullSafe(F.col(by) if by else F.lit(0))
+    turns = (F.col("_pos") != F.col("pos")) | (F.col("_neg") != F.col("neg"))
+    return t.join(following, "place", "left").filter(first | last | turns)
+
+
+def roc_curve(scored: DataFrame, by: str | None = None, drop_collinear: bool = True) -> DataFrame:
+    """(fpr, tpr) per distinct score plus the origin (threshold = +inf); points on a straight stretch are left out."""
     t = score_table(scored, by)
+    t = _corners(t, by) if drop_collinear else t
     keys = [by] if by else []
     pts = t.select(*keys, F.col("p").alias("threshold"),
                    F.round(F.try_divide(F.col("cum_neg").cast("double"), F.col("n_neg")), 6).alias("fpr"),

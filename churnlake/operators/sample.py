@@ -8,6 +8,7 @@ reproducible, independent of partitioning and checkable.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +27,19 @@ HASH_BITS = 60
 STEP_BITS = 12
 
 
+def apportion(sizes: dict, test_size: float) -> dict:
+    """Test rows of each class: ceil(test_size * rows) in all, dealt by largest remainder (ties: smaller label, NULL last)."""
+    total = sum(sizes.values())
+    tests = math.ceil(Fraction(str(test_size)) * total)
+    share = {y: n * tests // total for y, n in sizes.items()}
+    by_rest = sorted(sizes, key=lambda y: (-(sizes[y] * tests % total), y is None, y))
+    for y in by_rest[: tests - sum(share.values())]:
+        share[y] += 1
+    return share
+
+
 def class_cuts(df: DataFrame, wanted, target: str, id_col: str, seed: int) -> dict:
-    """Per class (NULL is a class): the (hash, id) of its ``wanted(class size)``-th row in (hash, id) order.
+    """Per class (NULL is a class): the (hash, id) of its n-th row in (hash, id) order, n from ``wanted(class sizes)``.
 
     The place is found by counting: rows per leading hash bits, then again inside the one group that holds the place,
     until the hash is known; only then are ids looked at, those of that one hash. Every round reads
@@ -35,7 +47,7 @@ def class_cuts(df: DataFrame, wanted, target: str, id_col: str, seed: int) -> di
     """
     rows = df.select(churn_label(F.col(target)).alias("y"), key_hash(id_col, seed).alias("h"), F.col(id_col).alias("id"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    left = {y: wanted(n) for y, n in sizes.items() if wanted(n) > 0}
+    left = {y: n for y, n in wanted(sizes).items() if n > 0}
     prefix = {y: 0 for y in left}
     for done in range(STEP_BITS, HASH_BITS + 1, STEP_BITS):
         part = rows.filter(_in_prefix(prefix, done - STEP_BITS)).groupBy(
@@ -48,10 +60,18 @@ def class_cuts(df: DataFrame, wanted, target: str, id_col: str, seed: int) -> di
                 else:
                     prefix[y], left[y] = r["p"], -left[y]
         left = {y: -k for y, k in left.items()}
+    # different ids with equal hashes are rare; rows that repeat an id are counted where they are
     ids: dict = {}
-    for r in rows.filter(_in_prefix(prefix, HASH_BITS)).select("y", "id").collect():
-        ids.setdefault(r["y"], []).append(r["id"])
-    return {y: (prefix[y], sorted(ids[y], key=lambda i: (i is not None, i))[left[y] - 1]) for y in prefix}
+    for r in rows.filter(_in_prefix(prefix, HASH_BITS)).groupBy("y", "id").agg(F.count(F.lit(1)).alias("n")).collect():
+        ids.setdefault(r["y"], []).append((r["id"], r["n"]))
+    cuts = {}
+    for y in prefix:
+        for i, n in sorted(ids[y], key=lambda i: (i[0] is not None, i[0])):
+            left[y] -= n
+            if left[y] <= 0:
+                cuts[y] = (prefix[y], i)
+                break
+    return cuts
 
 
 def _in_prefix(prefix: dict, bits: int) -> Column:
@@ -65,15 +85,15 @@ def stratified_split(df: DataFrame, target: str = S.TARGET_COLUMN, test_size: fl
                      id_col: str = S.ID_COLUMN, seed: int = S.SEED, exact: bool = True) -> DataFrame:
     """Adds ``split`` ('train'/'test').
 
-    exact: per class (NULL labels are one) the round(n_c * test_size) rows first in hash order go to
-    test; each row is compared with its class's cut where it stands. Otherwise a hash threshold with
+    exact: ceil(test_size * rows) rows go to test, shared out to the classes (NULL labels are one) by ``apportion``, of each class
+    those first in hash order; each row is compared with its class's cut where it stands. Otherwise a hash threshold with
     no pass before (class rates within sampling error). Rows that repeat an id at the cut go the same way.
     """
     h = key_hash(id_col, seed)
     if not exact:
         return df.withColumn("split", F.when(h / F.lit(float(1 << HASH_BITS)) < test_size, "test").otherwise("train"))
     test = F.lit(False)
-    for y, (cut, last) in class_cuts(df, lambda n: math.floor(n * test_size + 0.5), target, id_col, seed).items():
+    for y, (cut, last) in class_cuts(df, lambda sizes: apportion(sizes, test_size), target, id_col, seed).items():
         here = churn_label(F.col(target)).eqNullSafe(F.lit(y))
         upto = F.coalesce(F.col(id_col) <= F.lit(last), F.col(id_col).isNull())
         test = test | (here & ((h < F.lit(cut)) | ((h == F.lit(cut)) & upto)))

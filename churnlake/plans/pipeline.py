@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from churnlake import schema as S
 from churnlake.operators import clean, features, text
 from churnlake.session import materialize
 from churnlake.sources import adapters
@@ -35,8 +33,8 @@ def cleaned(df: DataFrame, dedup_order: list[str]) -> DataFrame:
 
 
 # Per-session memo of written tables, like the dashboard's memoised prepare
-# step. The key holds what Spark reports of the input files (paths, sizes, times), so it
-# works alike on any store and changed inputs are rebuilt; values are parquet-backed DataFrames.
+# step. The key holds what the input's file system says of the tables (files, bytes, time of
+# change): a few calls, no rows, on any store. Changed inputs are rebuilt; values are parquet-backed DataFrames.
 _MEMO: dict = {}
 SOURCE_TABLES = ("customer", "orders", "documents")
 
@@ -44,11 +42,10 @@ SOURCE_TABLES = ("customer", "orders", "documents")
 def _inputs_key(spark: SparkSession, sf_dir: str, kind: str):
     marks = []
     for name in SOURCE_TABLES:
-        files = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
-            F.col("_metadata.file_modification_time").alias("time")).distinct()
-        marks.append(tuple(files.agg(F.count(F.lit(1)), F.sum("size"), F.max("time"),
-                                     F.sum(F.xxhash64("path").cast("decimal(38,0)"))).first()))
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        held = store.getContentSummary(path)
+        marks.append((held.getFileCount(), held.getLength(), store.getFileStatus(path).getModificationTime()))
     return (spark.sparkContext.applicationId, sf_dir, kind, tuple(marks))
 
 
