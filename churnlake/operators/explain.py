@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
+from churnlake.operators import treeshap
 from churnlake.operators.rank import exact_order_statistics
 
 
@@ -157,39 +158,44 @@ def pdp_grid(df: DataFrame, feature: str, grid_resolution: int = 100,
     return [lo + i * step for i in range(grid_resolution - 1)] + [hi]
 
 
-def _grid_rows(df: DataFrame, feature: str, grid: list[float], extra: list[str]) -> DataFrame:
-    """Each row repeated once per grid value (grid is a bounded literal list)."""
-    arr = F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(float(v)).alias("gv")) for i, v in enumerate(grid)])
-    return df.select(*extra, *[c for c in df.columns if c not in extra], F.explode(arr).alias("g"))
+@dataclass(frozen=True)
+class TreeScorer:
+    """A fitted tree ensemble, whose response to one feature is a step function worked out per row (``treeshap.responses``)."""
+    ensemble: treeshap.Ensemble
+    features: list
 
 
-def _at_grid(rows: DataFrame, scorer, feature: str) -> DataFrame:
-    """``rows`` with the probability ``p`` when ``feature`` takes the row's grid value.
+def _responses(df: DataFrame, scorer, feature: str, grid: list[float], id_col: str) -> DataFrame:
+    """(id, grid_index, grid_value, p): the probability of every row at every grid value of a feature.
 
-    ``scorer`` is a ``LinearScorer``, or any function from a table of model columns to the same table with ``p``.
+    ``scorer`` is a ``LinearScorer``, scored in-row with the feature replaced, a ``TreeScorer``, or any function
+    from a table of model columns to the same table with ``p``.
     """
-    if isinstance(scorer, LinearScorer):
-        return rows.withColumn("p", scorer.probability({feature: F.col("g.gv")}))
-    return scorer(rows.withColumn(feature, F.col("g.gv").cast("double")))
+    arr = F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(float(v)).alias("gv")) for i, v in enumerate(grid)])
+    if isinstance(scorer, TreeScorer):
+        rows = treeshap.response_rows(df, scorer.ensemble, scorer.features, feature, grid, id_col)
+        each = rows.select(id_col, F.explode(F.arrays_zip(arr.alias("g"), "p")).alias("e")).select(id_col, "e.g", "e.p")
+    else:
+        each = df.select(*[c for c in df.columns if c != "g"], F.explode(arr).alias("g"))
+        each = (each.withColumn("p", scorer.probability({feature: F.col("g.gv")})) if isinstance(scorer, LinearScorer)
+                else scorer(each.withColumn(feature, F.col("g.gv").cast("double"))))
+    return each.select(F.col(id_col).cast("string").alias(id_col), F.col("g.gi").alias("grid_index"), F.col("g.gv").alias("grid_value"), "p")
 
 
-def partial_dependence(df: DataFrame, scorer, features: list[str], grid_resolution: int = 100) -> DataFrame:
+def partial_dependence(df: DataFrame, scorer, features: list[str], grid_resolution: int = 100, id_col: str = S.ID_COLUMN) -> DataFrame:
     """Mean probability with the feature set to each grid value, per feature; features the table lacks are left out.
 
-    Each row is scored at all grid values in-row and aggregated straight
-    away (partial aggregation keeps the shuffle at grid size per task).
+    The rows' values are aggregated straight away (partial aggregation keeps the shuffle at grid size per task).
     """
     known = [f for f in features if f in df.columns]
     if not known:
         raise ValueError(f"no column among {features}")
     outs = []
     for f in known:
-        grid = pdp_grid(df, f, grid_resolution)
-        rows = _at_grid(_grid_rows(df, f, grid, []), scorer, f)
-        outs.append(rows.groupBy(F.col("g.gi").alias("grid_index"), F.col("g.gv").alias("grid_value"))
-                    .agg(F.avg("p").alias("avg")).select(
-                        F.lit(f).alias("feature"), "grid_index", F.round("grid_value", 6).alias("grid_value"),
-                        F.round("avg", 6).alias("partial_dependence")))
+        rows = _responses(df, scorer, f, pdp_grid(df, f, grid_resolution), id_col)
+        outs.append(rows.groupBy("grid_index", "grid_value").agg(F.avg("p").alias("avg")).select(
+            F.lit(f).alias("feature"), "grid_index", F.round("grid_value", 6).alias("grid_value"),
+            F.round("avg", 6).alias("partial_dependence")))
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
@@ -203,9 +209,7 @@ def ice_curves(df: DataFrame, scorer, feature: str, sample_n: int = 100,
     from churnlake.operators.sample import row_sample
     sample = row_sample(df, sample_n, id_col)
     grid = pdp_grid(sample, feature, grid_resolution)
-    rows = _at_grid(_grid_rows(sample, feature, grid, [id_col]), scorer, feature)
-    curves = rows.select(F.col(id_col).cast("string").alias(id_col), F.col("g.gi").alias("grid_index"),
-                         F.col("g.gv").alias("grid_value"), "p")
+    curves = _responses(sample, scorer, feature, grid, id_col)
     mean = curves.groupBy("grid_index", "grid_value").agg(F.avg("p").alias("p")) \
         .select(F.lit("__mean__").alias(id_col), "grid_index", "grid_value", "p")
     both = curves.unionByName(mean)

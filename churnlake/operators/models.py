@@ -1,6 +1,7 @@
 """Model training, tuning, scoring, importance and persistence.
 
-Estimators are MLlib pipelines (VectorAssembler -> estimator) trained on the
+Logistic regression is an MLlib pipeline (VectorAssembler -> estimator); forests
+and boosting are this library's (``forest``, ``boosting``). All train on the
 executors; only model parameters reach the driver. Hyper-parameters mirror
 the reference's fixed settings and search grids.
 """
@@ -9,11 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlake import schema as S
+from churnlake.operators import boosting, forest
+from churnlake.operators.bins import Layout, binned
 from churnlake.session import ensure_checkpoint_dir, materialize
 
 LABEL = "label"
@@ -30,14 +34,13 @@ WEIGHT = "class_weight"
 
 # FIXED VALUES: search spaces of the reference (M6)
 LR_GRID = {"C": [0.001, 0.01, 0.1, 1, 10, 100], "penalty": ["l1", "l2"], "class_weight": ["balanced", None]}
-RF_GRID = {"numTrees": [100, 200, 300], "maxDepth": [None, 5, 10, 15], "minInstancesPerNode": [1, 2, 4],
-           "featureSubsetStrategy": ["sqrt", "log2"], "class_weight": ["balanced", None]}
-GBT_GRID = {"maxIter": [200, 400, 600], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1],
-            "subsamplingRate": [0.6, 0.8, 1.0], "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
-            "minInfoGain": [0.0, 0.1, 0.3]}
+RF_GRID = {"trees": [100, 200, 300], "max_depth": [None, 5, 10, 15], "min_split": [2, 5, 10], "min_leaf": [1, 2, 4],
+           "features": ["sqrt", "log2"], "balanced": [True, False]}
+GBT_GRID = {"trees": [200, 400, 600], "depth": [3, 5, 7], "rate": [0.01, 0.05, 0.1], "subsample": [0.6, 0.8, 1.0],
+            "colsample": [0.6, 0.8, 1.0], "gamma": [0.0, 0.1, 0.3], "alpha": [0.0, 0.1, 1.0]}
 N_CANDIDATES = {"logistic": 12, "forest": 15, "gbt": 15}
 CV_FOLDS = 5
-MAX_TREE_DEPTH = 30  # MLlib's limit; stands for "unlimited"
+TREE_MODELS = (boosting.BoostedTrees, forest.RandomForest)
 
 
 def model_columns(df: DataFrame, exclude: tuple = (S.ID_COLUMN, S.TARGET_COLUMN, LABEL, "split", "fold",
@@ -101,36 +104,10 @@ def logistic(features: list[str], n_rows: int, C: float = 1.0, penalty: str = "l
     return Pipeline(stages=[_assembler(features), lr])
 
 
-def forest(features: list[str], num_trees: int = 200, max_depth: int | None = None,
-           min_instances: int = 1, subset: str = "sqrt", weighted: bool = False,
-           seed: int = S.SEED) -> Pipeline:
-    rf = RandomForestClassifier(featuresCol="features", labelCol=LABEL, numTrees=num_trees,
-                                maxDepth=max_depth or MAX_TREE_DEPTH, minInstancesPerNode=min_instances,
-                                featureSubsetStrategy=subset, seed=seed, cacheNodeIds=True,
-                                maxMemoryInMB=1024, checkpointInterval=10, **_weight_arg(weighted))
-    return Pipeline(stages=[_assembler(features), rf])
-
-
-def boosting(features: list[str], max_iter: int = 300, max_depth: int = 5, step: float = 0.05,
-             subsample: float = 0.8, colsample: str = "0.8", min_info_gain: float = 0.0,
-             weighted: bool = True, validation_col: str | None = None, seed: int = S.SEED) -> Pipeline:
-    # tolerance 0: all iterations run, the best one on the validation rows is kept
-    extra = {"validationIndicatorCol": validation_col, "validationTol": 0.0} if validation_col else {}
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL, maxIter=max_iter, maxDepth=max_depth,
-                        stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=colsample,
-                        minInfoGain=min_info_gain, seed=seed, cacheNodeIds=True, checkpointInterval=10,
-                        **_weight_arg(weighted), **extra)
-    return Pipeline(stages=[_assembler(features), gbt])
-
-
-def boosting_light(features: list[str], weighted: bool = True) -> Pipeline:
-    """The second boosting preset (400 trees, depth 6); depth-wise, not leaf-wise."""
-    return boosting(features, max_iter=400, max_depth=6, step=0.05, subsample=0.8, colsample="0.8",
-                    weighted=weighted)
-
-
-def probability(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def probability(model, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Class-1 probability as a plain column ``p``."""
+    if isinstance(model, TREE_MODELS):
+        return model.probability(df, keep)
     out = model.transform(df)
     return out.select(*(keep or []), vector_to_array("probability")[1].alias("p"))
 
@@ -145,10 +122,11 @@ def _importances(est) -> list[float]:
     return [float(read(v)) for v in vector.toArray()]
 
 
-def feature_importance(model: PipelineModel, features: list[str], top_n: int = 20) -> DataFrame:
+def feature_importance(model, features: list[str], top_n: int = 20) -> DataFrame:
     """Top n features by importance (ties by name)."""
     from pyspark.sql import SparkSession
-    rows = sorted(zip(features, _importances(model.stages[-1])), key=lambda r: (-r[1], r[0]))[:top_n]
+    found = model.importances() if isinstance(model, TREE_MODELS) else _importances(model.stages[-1])
+    rows = sorted(zip(features, found), key=lambda r: (-r[1], r[0]))[:top_n]
     return SparkSession.getActiveSession().createDataFrame(rows, "feature string, importance double")
 
 
@@ -171,72 +149,104 @@ def sample_candidates(grid: dict, n: int, seed: int = S.SEED) -> list[dict]:
     return rng.sample(combos, min(n, len(combos)))
 
 
-def _candidate_maps(kind: str, pipe: Pipeline, cands: list[dict], n: int) -> list[dict]:
-    est = pipe.getStages()[-1]
-    maps = []
-    for c in cands:
-        if kind == "logistic":
-            maps.append({est.regParam: 1.0 / (c["C"] * n),
-                         est.elasticNetParam: 1.0 if c["penalty"] == "l1" else 0.0})
-        elif kind == "forest":
-            maps.append({est.numTrees: c["numTrees"], est.maxDepth: c["maxDepth"] or MAX_TREE_DEPTH,
-                         est.minInstancesPerNode: c["minInstancesPerNode"],
-                         est.featureSubsetStrategy: c["featureSubsetStrategy"]})
-        else:
-            maps.append({est.maxIter: c["maxIter"], est.maxDepth: c["maxDepth"], est.stepSize: c["stepSize"],
-                         est.subsamplingRate: c["subsamplingRate"],
-                         est.featureSubsetStrategy: c["featureSubsetStrategy"], est.minInfoGain: c["minInfoGain"]})
-    return maps
-
-
 GRIDS = {"logistic": LR_GRID, "forest": RF_GRID, "gbt": GBT_GRID}
 
 
 def tune(kind: str, train: DataFrame, features: list[str], n_candidates: int | None = None,
-         parallelism: int = 4, grid: dict | None = None) -> tuple[PipelineModel, DataFrame]:
+         parallelism: int = 4, grid: dict | None = None) -> tuple:
     """Randomised search (M6): seeded sample of the grid, stratified folds, ROC-AUC.
 
-    Candidates that differ in class weighting are searched by separate
-    CrossValidators over their own weighted data; boosting always weighs the
-    positive class by neg/pos. Returns the best model and one row per
-    candidate (parameters as JSON, mean AUC over the folds).
+    Returns the best model, fitted on all rows, and one row per candidate (parameters as JSON, mean AUC over the folds).
+    Boosting weighs the positive class by neg/pos; the others have class weights as a parameter.
     """
+    if kind == "gbt":
+        return tune_boosting(train, features, n_candidates, grid)
+    if kind == "forest":
+        return tune_forest(train, features, n_candidates, grid)
+    return tune_logistic(train, features, n_candidates, parallelism, grid)
+
+
+def tune_logistic(train: DataFrame, features: list[str], n_candidates: int | None = None, parallelism: int = 4,
+                  grid: dict | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Candidates that differ in class weighting are searched by separate CrossValidators over their own weighted data."""
     from churnlake.operators.sample import cv_folds
-    from pyspark.sql import SparkSession
-    grid = grid or GRIDS[kind]
-    cands = sample_candidates(grid, n_candidates or N_CANDIDATES[kind])
+    cands = sample_candidates(grid or LR_GRID, n_candidates or N_CANDIDATES["logistic"])
     # the folds are read by every candidate: ranked and written once
     folded = materialize(cv_folds(train, CV_FOLDS), "folds")
     n = folded.count() * (CV_FOLDS - 1) / CV_FOLDS  # rows a fold is fitted on
-    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction",
-                                              metricName="areaUnderROC")
+    evaluator = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     results, best = [], None
-    weightings = ("ratio",) if kind == "gbt" else ("balanced", None)
-    for weighting in weightings:
-        group = [c for c in cands if kind == "gbt" or c.get("class_weight") == weighting]
+    for weighting in ("balanced", None):
+        group = [c for c in cands if c["class_weight"] == weighting]
         if not group:
             continue
-        data = add_weights(folded, weighting)
-        weighted = weighting is not None
-        pipe = {"logistic": lambda: logistic(features, n, weighted=weighted),
-                "forest": lambda: forest(features, weighted=weighted),
-                "gbt": lambda: boosting(features, weighted=True)}[kind]()
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=_candidate_maps(kind, pipe, group, n),
-                            evaluator=evaluator, foldCol="fold", numFolds=CV_FOLDS,
+        pipe = logistic(features, n, weighted=weighting is not None)
+        est = pipe.getStages()[-1]
+        maps = [{est.regParam: 1.0 / (c["C"] * n), est.elasticNetParam: 1.0 if c["penalty"] == "l1" else 0.0} for c in group]
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=evaluator, foldCol="fold", numFolds=CV_FOLDS,
                             parallelism=parallelism, seed=S.SEED)
-        model = cv.fit(data)
+        model = cv.fit(add_weights(folded, weighting))
         for c, auc in zip(group, model.avgMetrics):
-            results.append((kind, json.dumps(c, sort_keys=True), float(auc)))
+            results.append(("logistic", json.dumps(c, sort_keys=True), float(auc)))
             if best is None or auc > best[0]:
                 best = (auc, model.bestModel)
-    table = SparkSession.getActiveSession().createDataFrame(
-        results, "model string, params string, mean_auc double")
-    return best[1], table
+    return best[1], train.sparkSession.createDataFrame(results, "model string, params string, mean_auc double")
+
+
+def _ensembles(cands: list[dict]) -> dict[str, list[int]]:
+    """The settings without the number of trees, and the numbers of trees asked of each: one ensemble serves them as prefixes."""
+    stages: dict = {}
+    for c in cands:
+        stages.setdefault(json.dumps({k: v for k, v in c.items() if k != "trees"}, sort_keys=True), set()).add(c["trees"])
+    return {rest: sorted(trees) for rest, trees in stages.items()}
 
 
-def tune_logistic(train: DataFrame, features: list[str], n_candidates: int = N_CANDIDATES["logistic"],
-                  parallelism: int = 4) -> tuple[PipelineModel, DataFrame]:
-    return tune("logistic", train, features, n_candidates, parallelism)
+def _mean_areas(kind: str, cands: list[dict], stages: dict, scored: DataFrame) -> tuple[int, DataFrame]:
+    """The best candidate, and (model, params, mean_auc) of all, from scores (fit, trees, id, y, p); fits in order of (ensemble, fold)."""
+    from churnlake.operators.evaluate import roc_auc
+    key = F.concat_ws("/", F.col("fit").cast("string"), F.col("trees").cast("string"))
+    areas = {tuple(map(int, r.model.split("/"))): r.roc_auc for r in
+             roc_auc(scored.select(key.alias("model"), "id", "y", "p"), by="model").collect()}  # a row per fit and stage
+    results = []
+    for c in cands:
+        at = list(stages).index(json.dumps({k: v for k, v in c.items() if k != "trees"}, sort_keys=True)) * CV_FOLDS
+        known = [a for a in (areas.get((at + k, c["trees"])) for k in range(CV_FOLDS)) if a is not None]
+        results.append((kind, json.dumps(c, sort_keys=True), sum(known) / len(known) if known else None))
+    best = max(range(len(cands)), key=lambda i: (results[i][2] is not None, results[i][2] or 0.0, -i))
+    return best, scored.sparkSession.createDataFrame(results, "model string, params string, mean_auc double")
+
+
+def _folded(train: DataFrame, features: list[str]):
+    """The training rows binned once, on all of them, with their folds."""
+    from churnlake.operators.sample import cv_folds
+    layout = Layout.fit(train, features)
+    return layout, materialize(binned(with_label(cv_folds(train, CV_FOLDS)), layout, LABEL, S.ID_COLUMN, "fold"), "folds-binned")
+
+
+def tune_forest(train: DataFrame, features: list[str], n_candidates: int | None = None, grid: dict | None = None,
+                local_rows: int | None = None) -> tuple[forest.RandomForest, DataFrame]:
+    """The search over forests: the trees of all candidates and folds are grown side by side."""
+    cands = sample_candidates(grid or RF_GRID, n_candidates or N_CANDIDATES["forest"])
+    layout, rows = _folded(train, features)
+    stages = _ensembles(cands)
+    fits = [forest.Fit(forest.Settings(**json.loads(rest), trees=trees[-1]), fold) for rest, trees in stages.items() for fold in range(CV_FOLDS)]
+    each = [tuple(trees) for trees in stages.values() for _ in range(CV_FOLDS)]
+    scored = forest.held_out_scores(rows, layout, fits, each, math.gcd(*(t for ts in each for t in ts)), local_rows)
+    best, table = _mean_areas("forest", cands, stages, scored)
+    return forest.train(rows, layout, [forest.Fit(forest.Settings(**cands[best]))], local_rows)[0], table
+
+
+def tune_boosting(train: DataFrame, features: list[str], n_candidates: int | None = None, grid: dict | None = None,
+                  local_rows: int | None = None) -> tuple[boosting.BoostedTrees, DataFrame]:
+    """The search over boosting settings: all candidates and folds are grown at once."""
+    cands = sample_candidates(grid or GBT_GRID, n_candidates or N_CANDIDATES["gbt"])
+    layout, rows = _folded(train, features)
+    ratio, stages = boosting.class_ratio(with_label(train), LABEL), _ensembles(cands)
+    fits = [boosting.Fit(boosting.Settings(**json.loads(rest), trees=trees[-1]), fold, tuple(trees))
+            for rest, trees in stages.items() for fold in range(CV_FOLDS)]
+    _, scored = boosting.train(rows, layout, fits, ratio, with_trees=False, local_rows=local_rows)
+    best, table = _mean_areas("gbt", cands, stages, scored.withColumnRenamed("margin", "p"))
+    return boosting.train(rows, layout, [boosting.Fit(boosting.Settings(**cands[best]))], ratio, local_rows=local_rows)[0][0], table
 
 
 # ----------------------------------------------------------------- persistence
@@ -252,20 +262,26 @@ class Fingerprint:
         return Fingerprint(hashlib.sha256(blob.encode()).hexdigest()[:16])
 
 
-def save_model(model: PipelineModel, path: str, fp: Fingerprint | None = None) -> str:
-    model.write().overwrite().save(path)
+def save_model(model, path: str, fp: Fingerprint | None = None) -> str:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    if isinstance(model, TREE_MODELS):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
     if fp is not None:
-        from pyspark.sql import SparkSession
-        spark = SparkSession.getActiveSession()
         spark.createDataFrame([(fp.value,)], "fingerprint string").write.mode("overwrite").parquet(f"{path}-fingerprint")
     return path
 
 
-def load_model(path: str, fp: Fingerprint | None = None) -> PipelineModel:
-    """The stored pipeline; with ``fp``, one stored under another fingerprint (or none) raises."""
+def load_model(path: str, fp: Fingerprint | None = None, kind=PipelineModel):
+    """The stored model, of the class ``kind``; with ``fp``, one stored under another fingerprint (or none) raises."""
     if fp is not None and stored_fingerprint(path) != fp.value:
         raise ValueError(f"the model in {path} was not trained with this schema and these parameters")
-    return PipelineModel.load(path)
+    if kind in TREE_MODELS:
+        from pyspark.sql import SparkSession
+        return kind.load(SparkSession.getActiveSession(), path)
+    return kind.load(path)
 
 
 def stored_fingerprint(path: str) -> str | None:
@@ -278,10 +294,10 @@ def stored_fingerprint(path: str) -> str | None:
     return row[0] if row else None
 
 
-def fit_or_load(path: str, fp: Fingerprint, fit) -> PipelineModel:
+def fit_or_load(path: str, fp: Fingerprint, fit, kind=PipelineModel):
     """The stored model if its fingerprint is ``fp``, else a new fit, stored under it."""
     if stored_fingerprint(path) == fp.value:
-        return load_model(path, fp)
+        return load_model(path, fp, kind)
     model = fit()
     save_model(model, path, fp)
     return model

@@ -3,7 +3,8 @@ score the test split. Used by the registered model queries and the bench."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake import schema as S
-from churnlake.operators import encode, models, sample
+from churnlake.operators import boosting, encode, forest, models, sample
 from churnlake.operators.explain import LinearScorer
 from churnlake.plans import pipeline
 from churnlake.session import materialize
@@ -40,37 +41,57 @@ def model_matrix(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(train, test, features, scaler)
 
 
+def logistic_pipeline(m: Matrix):
+    return models.logistic(m.features, m.train.count())
+
+
 def fit_logistic(m: Matrix) -> PipelineModel:
-    train = m.scaler.transform(m.train)
-    return models.logistic(m.features, m.train.count()).fit(train)
+    return logistic_pipeline(m).fit(m.scaler.transform(m.train))
+
 
+def fit_gbt(m: Matrix, settings: boosting.Settings = boosting.SECOND_ORDER) -> boosting.BoostedTrees:
+    return boosting.fit(m.train, m.features, settings)
 
-def fit_forest(m: Matrix) -> PipelineModel:
-    return models.forest(m.features).fit(m.train)
 
+@dataclass(frozen=True)
+class Kind:
+    """How a model is fitted, the class it is stored as, and all settings that the fit depends on."""
+    fit: Callable[[Matrix], object]
+    stored: type
+    settings: Callable[[Matrix], dict]
 
-def fit_gbt(m: Matrix, light: bool = False) -> PipelineModel:
-    data = models.add_weights(m.train, "ratio")
-    pipe = models.boosting_light(m.features) if light else models.boosting(m.features)
-    return pipe.fit(data)
 
+def _stage_settings(pipe) -> dict:
+    est = pipe.getStages()[-1]
+    return {p.name: str(v) for p, v in est.extractParamMap().items()}
 
-FITS = {"logistic": fit_logistic, "forest": fit_forest, "gbt": fit_gbt, "gbt_light": lambda m: fit_gbt(m, light=True)}
 
+FITS = {
+    "logistic": Kind(fit_logistic, PipelineModel, lambda m: _stage_settings(logistic_pipeline(m))),
+    "forest": Kind(lambda m: forest.fit(m.train, m.features), forest.RandomForest, lambda m: asdict(forest.Settings())),
+    "gbt": Kind(fit_gbt, boosting.BoostedTrees, lambda m: asdict(boosting.SECOND_ORDER)),
+    "gbt_light": Kind(lambda m: fit_gbt(m, boosting.LEAF_WISE), boosting.BoostedTrees, lambda m: asdict(boosting.LEAF_WISE)),
+}
 
-def fitted(m: Matrix, name: str) -> PipelineModel:
+
+def fitted(m: Matrix, name: str):
     """The model of that name for this matrix: stored once under a fingerprint of its columns, settings and rows."""
     rows = m.train.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*m.train.columns).cast("decimal(38,0)"))).first()
-    fp = models.Fingerprint.of(m.train, m.features, {"model": name, "seed": S.SEED, "rows": [str(v) for v in rows]})
-    return models.fit_or_load(models.model_path(m.train, name, fp), fp, lambda: FITS[name](m))
+    kind = FITS[name]
+    fp = models.Fingerprint.of(m.train, m.features, {"model": name, "settings": kind.settings(m), "rows": [str(v) for v in rows]})
+    return models.fit_or_load(models.model_path(m.train, name, fp), fp, lambda: kind.fit(m), kind.stored)
 
 
-def scored_test(model: PipelineModel, m: Matrix, scaled: bool = False) -> DataFrame:
-    test = m.scaler.transform(m.test) if scaled else m.test
-    out = models.probability(model, test, [S.ID_COLUMN, models.LABEL])
+def scored_rows(model, m: Matrix, rows: DataFrame, scaled: bool = False) -> DataFrame:
+    """(id, y, p) of some rows of the matrix."""
+    out = models.probability(model, m.scaler.transform(rows) if scaled else rows, [S.ID_COLUMN, models.LABEL])
     return out.select(S.ID_COLUMN, F.col(models.LABEL).cast("int").alias("y"), "p")
 
 
+def scored_test(model, m: Matrix, scaled: bool = False) -> DataFrame:
+    return scored_rows(model, m, m.test, scaled)
+
+
 def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked test-split scores of the three trained models: (model, id, y, p)."""
     m = model_matrix(spark, sf_dir)

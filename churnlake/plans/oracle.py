@@ -35,14 +35,17 @@ HASH = "CAST(('0x' || substr(md5(customerID || ':42'), 1, 15)) AS BIGINT)"
 def split_ctes(src: str) -> str:
     lab = label_sql("Churn")
     return f""",
+split_sizes AS (
+  SELECT {lab} AS _y, count(*) AS _c, sum(count(*)) OVER () AS _all, ceil(sum(count(*)) OVER () * 0.2)::BIGINT AS _test
+  FROM {src} GROUP BY 1),
+split_shares AS (
+  SELECT _y, _c * _test // _all + CAST(row_number() OVER (ORDER BY _c * _test % _all DESC, _y NULLS LAST)
+         <= _test - sum(_c * _test // _all) OVER () AS INTEGER) AS _share FROM split_sizes),
 split_rank AS (
-  SELECT t.*, row_number() OVER (PARTITION BY {lab} ORDER BY {HASH}, customerID) - 1 AS _rank,
-         count(*) OVER (PARTITION BY {lab}) AS _n
-  FROM {src} t),
+  SELECT t.*, row_number() OVER (PARTITION BY {lab} ORDER BY {HASH}, customerID) - 1 AS _rank FROM {src} t),
 split AS (
-  SELECT * EXCLUDE (_rank, _n),
-         CASE WHEN _rank < floor(_n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split
-  FROM split_rank)"""
+  SELECT r.* EXCLUDE (_rank), CASE WHEN _rank < _share THEN 'test' ELSE 'train' END AS split
+  FROM split_rank r JOIN split_shares s ON {lab} IS NOT DISTINCT FROM s._y)"""
 
 
 def scorer_p(override: dict | None = None) -> str:
@@ -413,7 +416,10 @@ gains AS (
                      "SELECT round(CAST(sum(pos * (2 * (n_neg - cum_neg) + neg)) AS DOUBLE) / (2.0 * max(n_pos) * max(n_neg)), 6) "
                      "AS roc_auc FROM c"),
         "roc_curve": W(SCORED_MODELS_CTE + _auc_ctes("scored_models", "model"), """
-SELECT model, p AS threshold, round(CAST(cum_neg AS DOUBLE) / n_neg, 6) AS fpr, round(CAST(cum_pos AS DOUBLE) / n_pos, 6) AS tpr FROM c
+SELECT model, p AS threshold, round(CAST(cum_neg AS DOUBLE) / n_neg, 6) AS fpr, round(CAST(cum_pos AS DOUBLE) / n_pos, 6) AS tpr
+FROM (SELECT *, lag(pos) OVER d AS before, lead(pos) OVER d AS next_pos, lead(neg) OVER d AS next_neg FROM c
+      WINDOW d AS (PARTITION BY model ORDER BY p DESC))
+WHERE before IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
 UNION ALL SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM scored_models"""),
         "pr_curve": W(SCORED_CTE + _auc_ctes("scored", None), f"""
 SELECT p AS threshold, round({prec}, 6) AS precision, round({rec}, 6) AS recall FROM c
@@ -545,19 +551,44 @@ FROM (SELECT {lab} AS label, count(*) AS n_c FROM subscribers GROUP BY 1) c,
       FROM subscribers) t""")}
 
 
+def _root_splits() -> str:
+    """The first tree's best cut of each feature: margins are 0, so a row's gradient is w (1/2 - y) and its hessian w / 4."""
+    from churnlake.plans.queries import ROOT_FEATURES
+    lab = label_sql("Churn")
+    rows = " UNION ALL ".join(f"SELECT {q(f)} AS feature, CAST({f} AS DOUBLE) AS x, y FROM tr" for f in ROOT_FEATURES)
+    return W(STRUCT + split_ctes("prepared") + f""",
+tr AS (SELECT *, {lab} AS y FROM split WHERE split = 'train' AND {lab} IS NOT NULL),
+wt AS (SELECT CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE) / greatest(count(*) FILTER (WHERE y = 1), 1) AS w FROM tr),
+long AS ({rows}),
+gh AS (SELECT feature, x, CASE WHEN y = 1 THEN w ELSE 1 END * (0.5 - y) AS g, CASE WHEN y = 1 THEN w ELSE 1 END * 0.25 AS h FROM long, wt),
+ranked AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY x) AS r, count(*) OVER (PARTITION BY feature) AS n,
+                  max(x) OVER (PARTITION BY feature) AS top FROM gh WHERE x IS NOT NULL),
+cuts AS (SELECT DISTINCT feature, x AS threshold FROM ranked, range(1, 255) t(k) WHERE r = CAST(ceil(k * n / 256.0) AS BIGINT) AND x < top),
+total AS (SELECT feature, sum(g) AS g, sum(h) AS h FROM gh GROUP BY feature),
+sides AS (SELECT c.feature, c.threshold, sum(gh.g) AS gl, sum(gh.h) AS hl FROM cuts c JOIN gh ON gh.feature = c.feature AND gh.x <= c.threshold
+          GROUP BY 1, 2),
+gains AS (SELECT s.feature, threshold, gl, hl, gl * gl / (hl + 1) + (t.g - gl) * (t.g - gl) / (t.h - hl + 1) - t.g * t.g / (t.h + 1) AS gain
+          FROM sides s JOIN total t USING (feature) WHERE hl >= 1 AND t.h - hl >= 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY round(gain, 5) DESC, threshold) AS nth FROM gains)""",
+             "SELECT feature, round(threshold, 4) AS threshold, round(gain, 3) AS gain, round(gl, 3) AS left_gradient, "
+             "round(hl, 3) AS left_hessian FROM best WHERE nth = 1")
+
+
 def _trained() -> dict:
     """What must hold of any trained model, for the rows of the split that SQL makes itself."""
     test = W(STRUCT + split_ctes("prepared"), "SELECT customerID, {} FROM split WHERE split = 'test'")
     return {
-        "scores_valid": W(STRUCT + split_ctes("prepared"), f"""
-SELECT model, customerID AS id, {label_sql('Churn')} AS y, TRUE AS valid FROM split,
-  (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting')) m(model) WHERE split = 'test'"""),
+        "models_learn": W(STRUCT + split_ctes("prepared"), """
+SELECT model, count(*) AS n_train, TRUE AS learnt FROM split,
+  (VALUES ('logistic'), ('forest'), ('gbt'), ('gbt_light')) m(model) WHERE split = 'train' GROUP BY model"""),
         "shap_tree_additive": test.format("TRUE AS additive"),
         "logistic_scorer": test.format("TRUE AS equal"),
         "model_roundtrip_equal": test.format("TRUE AS equal"),
         "logistic_optimum": W(STRUCT + split_ctes("prepared"),
                               "SELECT count(*) AS n_train, TRUE AS stationary FROM split WHERE split = 'train'"),
-        "importance_total": "SELECT TRUE AS sums_to_one, TRUE AS none_negative",
+        "importance_identity": "SELECT CAST(i AS INTEGER) AS tree, TRUE AS adds_up FROM range(200) t(i)",
+        "boosting_root_splits": _root_splits(),
+        "evaluation_curve_end": "SELECT 300 AS iteration, TRUE AS same_area",
     }
 
 

@@ -7,6 +7,7 @@ with them. Column names equal the ones of the SQL oracle (``oracle.py``).
 from __future__ import annotations
 
 import datetime as _dt
+import functools
 
 from pyspark.sql import functions as F
 
@@ -573,16 +574,51 @@ def _tuned(kind, n):
     return run
 
 
-def q_validation_fit(spark, sf):
-    """Boosting watched on a fifth of the training rows; the area is that of the test rows, which it never saw."""
-    from churnlake.operators import models
+def _watched(spark, sf):
+    """Boosting on four fifths of the training rows, and the fifth that its curve is taken on."""
+    from churnlake.operators import boosting
     m = _matrix(spark, sf)
-    held = sample.stratified_split(m.train.drop("split"), target=models.LABEL, seed=S.SEED + 1)
-    data = models.add_weights(held.withColumn("is_validation", F.col("split") == "test").drop("split"), "ratio")
-    model = models.boosting(m.features, validation_col="is_validation").fit(data)
-    scored = models.probability(model, m.test, [S.ID_COLUMN, models.LABEL])
-    auc = evaluate.roc_auc(scored.select(F.col(models.LABEL).cast("int").alias("y"), "p"))
-    return auc.select(F.lit(model.stages[-1].getNumTrees).alias("trees_used"), "roc_auc")
+
+    def build():
+        held = sample.stratified_split(m.train.drop("split"), target="label", seed=S.SEED + 1)
+        watched = held.where("split = 'test'")
+        model = boosting.fit(held.where("split = 'train'"), m.features)
+        return model, watched, boosting.evaluation_curve(model, watched)
+    return m, *pipeline.memoized(spark, sf, "watched-boosting", build)
+
+
+def q_evaluation_curve(spark, sf):
+    return _watched(spark, sf)[3].select("iteration", F.round("log_loss", 6).alias("log_loss"), "roc_auc")
+
+
+def q_evaluation_curve_end(spark, sf):
+    """The last point of the curve is the area of the whole model over the same rows."""
+    _, model, watched, curve = _watched(spark, sf)
+    last = curve.orderBy(F.desc("iteration")).limit(1)
+    whole = evaluate.roc_auc(model.probability(watched, [S.ID_COLUMN, "label"]).select(F.col("label").cast("int").alias("y"), "p"))
+    return last.crossJoin(whole.select(F.col("roc_auc").alias("whole"))).select(  # one row each
+        "iteration", (F.col("roc_auc") == F.col("whole")).alias("same_area"))
+
+
+def q_validation_fit(spark, sf):
+    """The prefix of least log loss on the watched rows; the area is that of the test rows, which it never saw."""
+    m, model, _, curve = _watched(spark, sf)
+    used = curve.orderBy("log_loss", "iteration").first()["iteration"]
+    scored = model.prefix(used).probability(m.test, [S.ID_COLUMN, "label"])
+    auc = evaluate.roc_auc(scored.select(F.col("label").cast("int").alias("y"), "p"))
+    return auc.select(F.lit(used).alias("trees_used"), "roc_auc")
+
+
+#: Features of the model matrix that SQL has without encoding.
+ROOT_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "network_quality", "tenure_network_interaction",
+                 "charges_network_interaction", "service_bundle_count", "avg_monthly_charges"]
+
+
+def q_boosting_root_splits(spark, sf):
+    from churnlake.operators import boosting
+    splits = boosting.root_splits(_matrix(spark, sf).train, ROOT_FEATURES)
+    return splits.select("feature", F.round("threshold", 4).alias("threshold"), F.round("gain", 3).alias("gain"),
+                         F.round("left_gradient", 3).alias("left_gradient"), F.round("left_hessian", 3).alias("left_hessian"))
 
 
 def _all_scores(spark, sf):
@@ -620,13 +656,10 @@ def q_model_roundtrip(spark, sf):
 def _tree_rows(spark, sf):
     from churnlake.operators import treeshap
     from churnlake.plans import modeling
-    from churnlake.session import ensure_checkpoint_dir, materialize
+    from churnlake.session import materialize
     m = _matrix(spark, sf)
-
-    def build():
-        path = f"{ensure_checkpoint_dir(spark)}/models/shap-gbt-{_dt.datetime.now():%Y%m%d%H%M%S%f}"
-        return materialize(treeshap.shap_tree_rows(m.test, modeling.fitted(m, "gbt"), m.features, path), "tree-shap")
-    return pipeline.memoized(spark, sf, "tree-shap", build)
+    return pipeline.memoized(spark, sf, "tree-shap", lambda: materialize(
+        treeshap.shap_tree_rows(m.test, modeling.fitted(m, "gbt"), m.features), "tree-shap"))
 
 
 def _tree_long(spark, sf):
@@ -643,7 +676,7 @@ def q_shap_tree_summary(spark, sf):
 
 
 def q_shap_tree_top(spark, sf):
-    return explain.shap_customer_top(_tree_rows(spark, sf), top_n=5)
+    return explain.shap_customer_top(_tree_rows(spark, sf))
 
 
 def q_shap_tree_waterfall(spark, sf):
@@ -657,22 +690,21 @@ def q_shap_tree_additive(spark, sf):
     return _tree_rows(spark, sf).select(S.ID_COLUMN, (F.abs(total - F.col("margin")) < 1e-9).alias("additive"))
 
 
-def _gbt_scorer(spark, sf):
-    from churnlake.operators import models
+def _gbt_nodes(spark, sf):
+    from churnlake.operators import treeshap
     from churnlake.plans import modeling
     m = _matrix(spark, sf)
-    model = modeling.fitted(m, "gbt")
-    return m, lambda rows: models.probability(model, rows, [c for c in (S.ID_COLUMN, "g") if c in rows.columns])
+    return m, explain.TreeScorer(treeshap.ensemble_of(modeling.fitted(m, "gbt")), m.features)
 
 
 def q_partial_dependence_model(spark, sf):
-    m, scorer = _gbt_scorer(spark, sf)
+    m, scorer = _gbt_nodes(spark, sf)
     return explain.partial_dependence(m.test, scorer, ["tenure", "MonthlyCharges"])
 
 
 def q_ice_curves_model(spark, sf):
-    m, scorer = _gbt_scorer(spark, sf)
-    return explain.ice_curves(m.test, scorer, "tenure", sample_n=50)
+    m, scorer = _gbt_nodes(spark, sf)
+    return explain.ice_curves(m.test, scorer, "tenure")
 
 
 def q_roster_trained(spark, sf):
@@ -691,8 +723,21 @@ def q_cost_trained(spark, sf):
     return evaluate.cost_evaluation(_all_scores(spark, sf).where(F.col("model") == "gradient_boosting").drop("model"))
 
 
-def q_scores_valid(spark, sf):
-    return _all_scores(spark, sf).select("model", "id", "y", F.col("p").between(0.0, 1.0).alias("valid"))
+#: Areas over the training rows that only a model of these rows reaches: a constant has 0.5.
+LEARNT = {"logistic": 0.5, "forest": 0.9, "gbt": 0.7, "gbt_light": 0.7}
+
+
+def q_models_learn(spark, sf):
+    """Each trained model ranks its own training rows better than chance, the trees far better."""
+    from churnlake.plans import modeling
+    m, parts = _matrix(spark, sf), []
+    for name in LEARNT:
+        rows = modeling.scored_rows(modeling.fitted(m, name), m, m.train, scaled=name == "logistic")
+        parts.append(rows.select(F.lit(name).alias("model"), "y", "p"))
+    scores = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    need = functools.reduce(lambda c, i: c.when(F.col("model") == i[0], i[1]), LEARNT.items(), F.when(F.lit(False), 0.0))
+    sizes = scores.groupBy("model").agg(F.count(F.lit(1)).alias("n_train"))
+    return evaluate.roc_auc(scores, by="model").join(sizes, "model").select("model", "n_train", (F.col("roc_auc") > need).alias("learnt"))
 
 
 def q_logistic_optimum(spark, sf):
@@ -713,12 +758,17 @@ def q_model_roundtrip_equal(spark, sf):
     return q_model_roundtrip(spark, sf).select(S.ID_COLUMN, "equal")
 
 
-def q_importance_total(spark, sf):
-    from churnlake.operators import models
+def q_importance_identity(spark, sf):
+    """The impurity that the splits of a tree take away, which importances are made of, is that of its root without that of its leaves."""
     from churnlake.plans import modeling
-    m = _matrix(spark, sf)
-    table = models.feature_importance(modeling.fitted(m, "forest"), m.features, top_n=len(m.features))
-    return table.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"), (F.min("importance") >= 0).alias("none_negative"))
+
+    def adds_up(t):
+        impurity = 2 * t.cover * t.value * (1 - t.value)
+        taken = impurity[0] - impurity[t.left < 0].sum()
+        return bool(abs(t.gain[t.left >= 0].sum() - taken) < 1e-6 * max(1.0, impurity[0])) and bool((t.left >= 0).any())
+
+    trees = modeling.fitted(_matrix(spark, sf), "forest").trees
+    return spark.createDataFrame([(i, adds_up(t)) for i, t in enumerate(trees)], "tree int, adds_up boolean")
 
 
 def q_tfidf_wide(spark, sf):
@@ -743,6 +793,9 @@ QUERIES.update({
     "tune_forest": _tuned("forest", None),
     "tune_boosting": _tuned("gbt", None),
     "validation_fit": q_validation_fit,
+    "evaluation_curve": q_evaluation_curve,
+    "evaluation_curve_end": q_evaluation_curve_end,
+    "boosting_root_splits": q_boosting_root_splits,
     "train_all": q_train_all,
     "feature_importance": q_feature_importance,
     "model_roundtrip": q_model_roundtrip,
@@ -757,10 +810,10 @@ QUERIES.update({
     "roster_trained": q_roster_trained,
     "gains_trained": q_gains_trained,
     "cost_trained": q_cost_trained,
-    "scores_valid": q_scores_valid,
+    "models_learn": q_models_learn,
     "logistic_optimum": q_logistic_optimum,
     "logistic_scorer": q_logistic_scorer,
     "model_roundtrip_equal": q_model_roundtrip_equal,
-    "importance_total": q_importance_total,
+    "importance_identity": q_importance_identity,
     "tfidf_wide": q_tfidf_wide,
 })

@@ -158,23 +158,7 @@ def test_no_python_and_no_single_partition_window(spark, name):
             assert "], [], [" not in line, line
 
 
-def test_randomised_search_forest_and_boosting(spark):
-    from churnlake.operators import models
-    from churnlake.plans import modeling
-    m = modeling.model_matrix(spark, SF001)
-    small_rf = {"numTrees": [5, 10], "maxDepth": [3], "minInstancesPerNode": [1, 2],
-                "featureSubsetStrategy": ["sqrt"], "class_weight": ["balanced", None]}
-    model, table = models.tune("forest", m.train, m.features, n_candidates=3, grid=small_rf, parallelism=2)
-    assert table.count() == 3 and model is not None
-    small_gbt = {"maxIter": [3], "maxDepth": [2, 3], "stepSize": [0.1], "subsamplingRate": [1.0],
-                 "featureSubsetStrategy": ["1.0"], "minInfoGain": [0.0]}
-    model, table = models.tune("gbt", m.train, m.features, n_candidates=2, grid=small_gbt, parallelism=2)
-    assert table.count() == 2
-    assert all(0.0 <= r["mean_auc"] <= 1.0 for r in table.collect())
-
-
-@pytest.mark.parametrize("name, kind, n", [("tune_models", "logistic", 12), ("tune_forest", "forest", 15), ("tune_boosting", "gbt", 15)])
-def test_registered_searches_draw_every_candidate(spark, monkeypatch, name, kind, n):
+def test_registered_search_draws_every_candidate(spark, monkeypatch):
     from churnlake.operators import models
     fitted = []
 
@@ -189,8 +173,15 @@ def test_registered_searches_draw_every_candidate(spark, monkeypatch, name, kind
             return self
 
     monkeypatch.setattr(models, "CrossValidator", Search)
-    table = Q.QUERIES[name](spark, SF001)
-    assert {r.model for r in table.collect()} == {kind} and table.count() == len(fitted) == n
+    table = Q.QUERIES["tune_models"](spark, SF001)
+    assert {r.model for r in table.collect()} == {"logistic"} and table.count() == len(fitted) == 12
+
+
+@pytest.mark.parametrize("name", ["tune_forest", "tune_boosting"])
+def test_whole_tree_searches(spark, name):
+    """The registered searches, fits and all."""
+    rows = Q.QUERIES[name](spark, SF001).collect()
+    assert len({r.params for r in rows}) == 15 and all(0.2 < r.mean_auc < 1 for r in rows)
 
 
 def test_feature_filters_reach_the_prepared_scan(spark):
@@ -200,3 +191,41 @@ def test_feature_filters_reach_the_prepared_scan(spark):
     assert "GreaterThanOrEqual(sentiment_score,-1.0)" in text and "In(network_quality, [1,2])" in text
     # the text features are read from the written feature table, never recomputed in the filter
     assert "regexp_replace" not in plan
+
+
+@pytest.mark.parametrize("sizes", [{"a": 7, "b": 8}, {"a": 3, "b": 11, None: 2}, {"a": 1, "b": 1, "c": 1}, {"a": 13, "b": 14, None: 12}])
+def test_apportioned_test_rows(spark, sizes):
+    n = sum(sizes.values())
+    share = sample.apportion(sizes, 0.2)
+    assert sum(share.values()) == -(-n // 5) and all(abs(share[y] - sizes[y] * sum(share.values()) / n) < 1 for y in sizes)
+    label = {"a": "Yes", "b": "No", None: None}
+    if "c" not in sizes:
+        rows = [(f"{y}{i}", label[y]) for y, k in sizes.items() for i in range(k)]
+        split = sample.stratified_split(spark.createDataFrame(rows, "customerID string, Churn string"))
+        got = {r["Churn"]: r["n"] for r in split.where("split = 'test'").groupBy("Churn").agg(F.count("*").alias("n")).collect()}
+        by_bit = sample.apportion({1: sizes["a"], 0: sizes["b"], **({None: sizes[None]} if None in sizes else {})}, 0.2)
+        assert got == {label[{1: "a", 0: "b", None: None}[y]]: k for y, k in by_bit.items() if k}
+
+
+def test_a_hot_id_at_the_cut_is_counted(spark):
+    rows = [("hot", "Yes")] * 300 + [(str(i), "Yes") for i in range(100)]
+    split = sample.stratified_split(spark.createDataFrame(rows, "customerID string, Churn string"))
+    got = split.groupBy("customerID").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0]
+    assert got == 1  # rows that repeat an id go the same way
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_roc_curve_leaves_out_straight_points_only(spark, seed):
+    import random
+    rng = random.Random(seed)
+    rows = [(f"m{m}", i, int(rng.random() < 0.5), round(rng.random(), 2 if m else 1)) for m in range(2) for i in range(200)]
+    df = spark.createDataFrame(rows, "model string, id int, y int, p double")
+    whole, some = (evaluate.roc_curve(df, "model", drop_collinear=d) for d in (False, True))
+    for m in ("m0", "m1"):
+        a, b = ([(r.fpr, r.tpr) for r in c.where(F.col("model") == m).orderBy(F.desc("threshold")).collect()] for c in (whole, some))
+        fps, tps = zip(*a[1:])
+        keep = [a[0]] + [a[i + 1] for i in range(len(fps)) if i in (0, len(fps) - 1)
+                         or abs(fps[i + 1] - 2 * fps[i] + fps[i - 1]) > 3e-6 or abs(tps[i + 1] - 2 * tps[i] + tps[i - 1]) > 3e-6]
+        assert b == keep and len(b) < len(a)
+        area = lambda c: sum((x1 - x0) * (y0 + y1) / 2 for (x0, y0), (x1, y1) in zip(c, c[1:]))
+        assert abs(area(a) - area(b)) < 1e-4

@@ -54,7 +54,7 @@ def _brute(ens: Ensemble, x):
 def test_matches_brute_force_and_adds_up():
     rng = np.random.default_rng(7)
     M = 4
-    ens = Ensemble("gbt", [_tree(rng, M, 4) for _ in range(3)], M)
+    ens = Ensemble("boosting", [_tree(rng, M, 4) for _ in range(3)], M)
     X = rng.normal(size=(25, M))
     phi = explain_batch(ens, X)
     for r in range(len(X)):
@@ -62,48 +62,6 @@ def test_matches_brute_force_and_adds_up():
     np.testing.assert_allclose(phi.sum(axis=1) + ens.expected_value(), ens.predict(X), atol=1e-9)
 
 
-def test_mllib_gbt_margin_and_additivity(spark, tmp_path):
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import functions as F
-
-    from churnlake.operators import models, treeshap
-    from churnlake.plans import modeling
-    from tests.conftest import SF001
-
-    m = modeling.model_matrix(spark, SF001)
-    data = models.add_weights(m.train, "ratio")
-    model = models.boosting(m.features, max_iter=8, max_depth=4).fit(data)
-    shap = treeshap.shap_tree(m.test, model, m.features, str(tmp_path / "gbt"))
-    per = shap.groupBy("customerID").agg(F.sum("shap").alias("s"), F.first("base_value").alias("b"),
-                                         F.first("margin").alias("margin"))
-    raw = model.transform(m.test).select(F.col("customerID"),
-                                         vector_to_array("rawPrediction")[1].alias("raw"))
-    rows = per.join(raw, "customerID").collect()
-    assert len(rows) == m.test.count()
-    for r in rows:
-        assert abs(r["s"] + r["b"] - r["margin"]) < 1e-9
-        assert abs(r["margin"] - r["raw"]) < 1e-9
-
-
-def test_mllib_forest_margin(spark, tmp_path):
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.sql import functions as F
-
-    from churnlake.operators import models, treeshap
-    from churnlake.plans import modeling
-    from tests.conftest import SF001
-
-    m = modeling.model_matrix(spark, SF001)
-    model = models.forest(m.features, num_trees=5, max_depth=4).fit(m.train)
-    shap = treeshap.shap_tree(m.test, model, m.features, str(tmp_path / "rf"))
-    per = shap.groupBy("customerID").agg(F.sum("shap").alias("s"), F.first("base_value").alias("b"),
-                                         F.first("margin").alias("margin"))
-    prob = model.transform(m.test).select("customerID", vector_to_array("probability")[1].alias("p"))
-    for r in per.join(prob, "customerID").collect():
-        assert abs(r["s"] + r["b"] - r["margin"]) < 1e-9
-        assert abs(r["margin"] - r["p"]) < 1e-9
-
-
 def test_deep_trees_are_explained():
     rng = np.random.default_rng(3)
 
@@ -126,6 +84,35 @@ def test_deep_trees_are_explained():
         np.testing.assert_allclose(phi[r], _brute(ens, X[r]), atol=1e-9)
 
 
+def test_deep_forest_finishes():
+    """200 trees of depth 30: time is linear in the nodes, not in leaves times path length squared."""
+    import time
+    rng = np.random.default_rng(5)
+
+    def random_tree(depth):
+        left, right, feature, cover = [], [], [], []
+
+        def build(d, c):
+            i = len(left)
+            left.append(-1), right.append(-1), feature.append(-1), cover.append(c)
+            if d < depth and c > 1.5 and (d < 3 or rng.random() < 0.9):
+                share = rng.uniform(0.05, 0.95)
+                feature[i] = int(rng.integers(40))
+                left[i], right[i] = build(d + 1, c * share), build(d + 1, c * (1 - share))
+            return i
+
+        build(0, 60.0)
+        n = len(left)
+        return Tree(*(np.array(a) for a in (left, right, feature)), rng.normal(size=n), rng.normal(size=n), np.array(cover), 1 / 200)
+
+    ens = Ensemble("forest", [random_tree(30) for _ in range(200)], 40)
+    X = rng.normal(size=(500, 40))
+    began = time.perf_counter()
+    phi = explain_batch(ens, X)
+    assert time.perf_counter() - began < 120
+    np.testing.assert_allclose(phi.sum(axis=1) + ens.expected_value(), ens.predict(X), atol=1e-9)
+
+
 def test_stored_model_is_reused_only_under_its_fingerprint(spark, tmp_path):
     import pytest
 
