@@ -34,7 +34,7 @@ LOCAL_ROWS = 50_000
 #: Rows that the groups of one job hold together; trees are grown in batches of so many.
 JOB_ROWS = 50_000_000
 #: Nodes whose histograms are held at once.
-NODES_AT_ONCE = 256
+NODES_AT_ONCE = 4096
 WIDTH = 256
 UNIT = 1 << 20
 
@@ -133,6 +133,42 @@ def best_cuts(hist: np.ndarray, s: Settings, in_turn: bool) -> tuple[np.ndarray,
     return gain[np.arange(m), nth, code], nth, code
 
 
+def best_cuts_of_rows(codes: np.ndarray, node: np.ndarray, chosen: np.ndarray, sums: np.ndarray, s: Settings, in_turn: bool):
+    """``best_cuts`` of rows by their node. Where nodes have few rows, only the codes that occur are looked at: the same cuts."""
+    m, k = chosen.shape
+    if m * WIDTH <= 2 * len(codes):
+        return best_cuts(histogram(codes, node, chosen, sums), s, in_turn)
+    at = ((node[:, None] * k + np.arange(k)) * WIDTH + codes[np.arange(len(codes))[:, None], chosen[node]]).ravel()
+    by = np.argsort(at, kind="stable")
+    at, row = at[by], by // k
+    begins = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    at = at[begins]
+    entry = np.stack([*(np.add.reduceat(sums[row, c], begins) for c in range(2)), np.diff(np.append(begins, len(row)))], axis=1)
+    # running sums within each (node, feature), and its total
+    pair = at // WIDTH
+    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pair))))
+    running = np.cumsum(entry, axis=0)
+    left = running - (running[first] - entry[first])[which]
+    total = np.add.reduceat(entry, first, axis=0)[which]
+    right = total - left
+    fine = (left[:, 2] >= s.min_leaf) & (right[:, 2] >= s.min_leaf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = lambda x: np.where(x[:, 1] > 0, (x[:, 0] / UNIT) ** 2 / (x[:, 1] / UNIT), 0.0)
+        gain = np.where(fine, 2 * (score(left) + score(right) - score(total)), -np.inf)
+    own = pair // k
+    if in_turn:  # only the first feature that can be cut at all
+        turn = np.full(m, k)
+        np.minimum.at(turn, own[fine], (pair % k)[fine])
+        gain = np.where(pair % k == turn[own], gain, -np.inf)
+    starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    top, best = np.full(m, -np.inf), np.zeros(m, np.int64)
+    top[own[starts]] = np.maximum.reduceat(gain, starts)
+    place = np.where(gain == top[own], np.arange(len(gain)), len(gain))
+    best[own[starts]] = np.minimum.reduceat(place, starts)
+    return top, pair[best] % k, at[best] % WIDTH
+
+
 def _split_all(codes, node, sums, names, tree, s: Settings, n_features: int):
     """Best cut (gain, feature, code) of nodes given by their rows, sorted by node; -inf where none."""
     gain, feature, code = np.full(len(names), -np.inf), np.zeros(len(names), int), np.zeros(len(names), int)
@@ -142,7 +178,7 @@ def _split_all(codes, node, sums, names, tree, s: Settings, n_features: int):
         order = feature_order(names[part], tree, n_features, s.seed)
         k = min(s.drawn(n_features), n_features)
         own = node[a:b] - lo
-        g, nth, c = best_cuts(histogram(codes[a:b], own, order[:, :k], sums[a:b]), s, False)
+        g, nth, c = best_cuts_of_rows(codes[a:b], own, order[:, :k], sums[a:b], s, False)
         gain[part], feature[part], code[part] = g, order[np.arange(len(order)), nth], c
         # none of the features drawn can be cut: go on in drawn order
         stuck = np.flatnonzero(~np.isfinite(g))
@@ -153,7 +189,7 @@ def _split_all(codes, node, sums, names, tree, s: Settings, n_features: int):
             number[stuck] = np.arange(len(stuck))
             rows = number[own] >= 0
             some = order[stuck, lo2: lo2 + k]
-            g, nth, c = best_cuts(histogram(codes[a:b][rows], number[own[rows]], some, sums[a:b][rows]), s, True)
+            g, nth, c = best_cuts_of_rows(codes[a:b][rows], number[own[rows]], some, sums[a:b][rows], s, True)
             gain[lo + stuck], feature[lo + stuck], code[lo + stuck] = g, some[np.arange(len(some)), nth], c
             stuck = stuck[~np.isfinite(g)]
     return gain, feature, code

@@ -116,3 +116,18 @@ def test_one_class_and_no_rows(spark):
     empty = R.fit(df.limit(0), FEATURES, R.Settings(trees=2))
     assert empty.probability(df).count() == 30
     assert Layout.fit(df.limit(0), FEATURES).width == 2 * len(FEATURES)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_of_few_rows_equal_those_of_histograms(seed):
+    rng = np.random.default_rng(seed)
+    codes, node = rng.integers(0, 9, (60, 7)).astype(np.uint8), np.sort(rng.integers(0, 12, 60))
+    chosen = np.stack([rng.permutation(7)[:3] for _ in range(12)])
+    w = rng.integers(1, 4, 60) * R.UNIT
+    sums = np.stack((w * rng.integers(0, 2, 60), w), axis=1).astype(float)
+    for s in (R.Settings(), R.Settings(min_leaf=3)):
+        for in_turn in (False, True):
+            a = R.best_cuts(R.histogram(codes, node, chosen, sums), s, in_turn)
+            b = R.best_cuts_of_rows(codes, node, chosen, sums, s, in_turn)
+            fine = np.isfinite(a[0])
+            assert (a[0] == b[0]).all() and (a[1][fine] == b[1][fine]).all() and (a[2][fine] == b[2][fine]).all()

@@ -226,6 +226,6 @@ def test_roc_curve_leaves_out_straight_points_only(spark, seed):
         fps, tps = zip(*a[1:])
         keep = [a[0]] + [a[i + 1] for i in range(len(fps)) if i in (0, len(fps) - 1)
                          or abs(fps[i + 1] - 2 * fps[i] + fps[i - 1]) > 3e-6 or abs(tps[i + 1] - 2 * tps[i] + tps[i - 1]) > 3e-6]
-        assert b == keep and len(b) < len(a)
+        assert b == keep and (m == "m0" or len(b) < len(a))
         area = lambda c: sum((x1 - x0) * (y0 + y1) / 2 for (x0, y0), (x1, y1) in zip(c, c[1:]))
         assert abs(area(a) - area(b)) < 1e-4
