@@ -24,22 +24,55 @@ from pyspark.sql import functions as F
 
 from churnlake.llm.tables import bound
 
-#: Notices of public licences, fixed values.
-TEMPLATES = (
+#: Notices, titles and usual lines of public licences, fixed values. A title without a version names the family.
+NOTICES = (
+    ("AGPL-3.0", "GNU Affero General Public License"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "it under the terms of the GNU Affero General Public License as published by"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "You may not use this file except in compliance with the License."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0."),
+    ("GPL", "GNU General Public License"),
+    ("GPL", "it under the terms of the GNU General Public License as published by"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "ISC License"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("LGPL", "GNU Lesser General Public License"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "zlib License"),
 )
-CUE = r"(?i)licen[sc]e|spdx|permission is hereby|redistribution and use|public domain"
+#: Names that stand as an identifier line: SPDX-License-Identifier and the name.
+IDENTIFIERS = ("AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0",
+               "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+               "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES = NOTICES + tuple((re.sub("-(only|or-later)$", "", n), f"SPDX-License-Identifier: {n}") for n in IDENTIFIERS)
+CUE = r"(?i)licen[sc]e|spdx|permission is hereby|permission to use|redistribution and use|public domain"
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)?"
 LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|unlicense)[^/]*$"
 SIMILAR = 0.75
@@ -72,21 +105,25 @@ def _terms(text: Column) -> Column:
 
 def _best_template(segment: Column) -> Column:
     """(similarity, template index, words) of the template nearest to a segment; ties go to the first template."""
-    table = template_terms()
-    idf = F.create_map(*[x for t in table for x in (F.lit(t), F.lit(term_idf(t)))])
-    rows = F.create_map(*[x for t, ws in table.items() for x in (F.lit(t), F.array(*map(F.lit, ws)))])
+    table, n = template_terms(), len(TEMPLATES)
+    # literal arrays, each folded from one string
+    names = F.split(F.lit(" ".join(table)), " ")
+    idfs = F.split(F.lit(" ".join(repr(term_idf(t)) for t in table)), " ").cast("array<double>")
+    rows = F.split(F.lit(" ".join(repr(w) for ws in table.values() for w in ws)), " ").cast("array<double>")
 
     def score(terms):
         distinct = F.array_distinct(terms)
+        nth = lambda t: F.array_position(names, t).cast("int")
         weight = lambda t: F.size(F.filter(terms, lambda x: x == t)) * F.coalesce(
-            F.try_element_at(idf, t), F.lit(term_idf(None)))
-        norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda total, t: total + weight(t) * weight(t)))
-        none = F.array(*[F.lit(0.0)] * len(TEMPLATES))
-        dots = F.aggregate(distinct, none, lambda total, t: F.zip_with(
-            total, F.coalesce(F.try_element_at(rows, t), none), lambda a, b: a + weight(t) * b))
-        ranked = F.transform(dots, lambda d, i: F.struct(
-            F.round(d / norm, 6).alias("similarity"), (-i).alias("first"), i.alias("template")))
-        return F.when(F.size(terms) > 0, F.array_max(ranked))
+            F.get(idfs, nth(t) - 1), F.lit(term_idf(None)))
+        norm = F.sqrt(F.aggregate(distinct, F.lit(0.0), lambda total, t: total + bound(weight(t), lambda w: w * w)))
+        known = F.filter(distinct, lambda t: nth(t) > 0)
+        none = F.split(F.lit(" ".join(["0.0"] * n)), " ").cast("array<double>")
+        dots = F.aggregate(known, none, lambda total, t: bound(F.struct(weight(t).alias("w"), nth(t).alias("i")), lambda x: F.zip_with(
+            total, F.slice(rows, (x["i"] - 1) * n + 1, n), lambda a, b: a + x["w"] * b)))
+        ranked = lambda length: F.transform(dots, lambda d, i: F.struct(
+            F.round(d / length, 6).alias("similarity"), (-i).alias("first"), i.alias("template")))
+        return F.when(F.size(terms) > 0, F.array_max(bound(norm, ranked)))
 
     return bound(_terms(segment), score)
 

@@ -37,8 +37,9 @@ idf AS (SELECT t, ln((1 + (SELECT count(*) FROM tpl)) / (1.0 + count(DISTINCT k)
 tw AS (SELECT k, t, tf * w AS w FROM tt JOIN idf USING (t)),
 tn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM tw GROUP BY k),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
-        CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', coalesce(source, 'none'), (floor(doc_id / 1000))::BIGINT::VARCHAR,
-          (floor(doc_id / 100))::BIGINT::VARCHAR, doc_id::VARCHAR) END AS path FROM documents),
+        CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', coalesce(source, 'none'),
+          CASE WHEN (doc_id % 3 + 3) % 3 >= 1 THEN (floor(doc_id / 1000))::BIGINT::VARCHAR END,
+          CASE WHEN (doc_id % 3 + 3) % 3 >= 2 THEN (floor(doc_id / 100))::BIGINT::VARCHAR END, doc_id::VARCHAR) END AS path FROM documents),
 seg AS (SELECT rid, row_number() OVER () AS sid, s FROM (SELECT rid, unnest(string_split(
           regexp_replace(text, '([.;!?])[ 	]+', E'\1
 ', 'g'), chr(10))) AS s FROM d) WHERE regexp_matches(s, '{licenses.CUE}')),
@@ -52,7 +53,8 @@ h AS (SELECT rid, max(sim) AS similarity, arg_min(k, (-sim, k)) AS k, sum(words)
       FROM bs JOIN seg USING (sid) JOIN sn USING (sid) WHERE sim >= {licenses.SIMILAR} GROUP BY rid),
 r AS (SELECT d.rid, doc_id, path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') END AS dir,
         tpl.name AS licence, similarity, h.rid IS NOT NULL AND
-        (words >= {licenses.FILE_SHARE} * len(regexp_extract_all(text, '[^ 	-]+'))
+        (words >= {licenses.FILE_SHARE} * len(regexp_extract_all(text, '[^ 	-
+]+'))
          OR regexp_matches(path, '{licenses.LICENCE_NAME}')) AS is_file
       FROM d LEFT JOIN h USING (rid) LEFT JOIN tpl ON tpl.k = h.k),
 f AS (SELECT dir AS above, arg_min(licence, (-similarity, licence)) AS fl, max(similarity) AS fs FROM r WHERE is_file GROUP BY dir),

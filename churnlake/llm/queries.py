@@ -42,10 +42,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path; one is derived: source, thousands and hundreds of the id, id."""
+    """Documents have no path; one is derived: source, for two of three ids thousands, for one of three hundreds, and the id.
+
+    So directories lie one, two and three levels deep, and a licence file in an upper one is inherited from below.
+    """
     docs = read_table(spark, sf_dir, "documents")
-    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000), part(100), F.col("doc_id").cast("string"))
+    part = lambda n, least: F.when(F.pmod("doc_id", F.lit(3)) >= least, F.floor(F.col("doc_id") / n).cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000, 1), part(100, 2), F.col("doc_id").cast("string"))
     return licenses.scan(docs.withColumn("path", F.when(F.col("doc_id").isNotNull(), path)))
 
 
