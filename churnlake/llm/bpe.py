@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from churnlake.llm.tables import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Pieces of up to so many bytes are worked out together, so many at a time.
 LATTICE_BYTES = 48
 LATTICE_PIECES = 16_384
@@ -350,6 +350,10 @@ class Encoder:
             return [b"".join([known.get(p) or long[p] for p in ps]) for ps in cut]
         return [b"".join(map(known.__getitem__, ps)) for ps in cut]
 
+    def forget(self) -> None:
+        """Drop the pieces kept: a worker that goes on to other work does not hold them."""
+        self._known = {}
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], "<u4").tolist()
 
@@ -413,6 +417,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(i) for i in range(len(names))]
                     + [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema.names)
+        tool.forget()
 
     rows = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)], F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, schema)

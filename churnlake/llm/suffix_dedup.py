@@ -138,22 +138,24 @@ class Block:
         at = _Grown.cover[nth] + self.offsets[doc]
         return self._hashed(at, SAMPLE) >> np.uint64(64 - bits), at, doc
 
-    def suffixes(self, shared: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, hash of the start, byte position and document of the suffixes in reach of rising sample positions."""
+    def suffixes(self, shared: np.ndarray, doc: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, bucket, byte position and document of the suffixes in reach of rising sample positions."""
         first = np.maximum(shared - PERIOD + 1, self.offsets[doc])
         last = np.minimum(shared, self.offsets[doc + 1] - LENGTH)
         first, last, doc = (x[first <= last] for x in (first, last, doc))
         if len(last):
             first[1:] = np.maximum(first[1:], last[:-1] + 1)
         at, which = _ranges(first, np.maximum(last - first + 1, 0))
-        return self._hashed(at, LENGTH), self._starts(at), at, doc[which]
+        return self._hashed(at, LENGTH), self._buckets(at, bucket_bits), at, doc[which].astype(np.int32)
 
-    def _starts(self, at: np.ndarray) -> np.ndarray:
-        """A hash of the 16 bytes from each place (a suffix has ``LENGTH`` at least)."""
-        if not len(at):
-            return np.zeros(0, np.uint64)
-        words = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        return _mix(words[at] * np.uint64(0xA0761D6478BD642F) + _mix(words[at + 8]))
+    def _buckets(self, at: np.ndarray, bits: int) -> np.ndarray:
+        """A hash of so many bits of the 16 bytes from each place (a suffix has ``LENGTH`` at least)."""
+        out = np.zeros(len(at), np.uint16 if bits <= 16 else np.uint32)
+        words = np.ndarray((max(len(self.data) - 7, 0),), "<u8", self.data, strides=(1,))
+        for lo in range(0, len(at), 1 << 18):
+            part = at[lo: lo + (1 << 18)]
+            out[lo: lo + len(part)] = _mix(words[part] * np.uint64(0xA0761D6478BD642F) + _mix(words[part + 8])) >> np.uint64(64 - bits)
+        return out
 
 
 def _order(values: np.ndarray, bits: int) -> np.ndarray:
@@ -181,8 +183,7 @@ def _bucket_order(h: np.ndarray, bits: int, bucket: np.ndarray | None) -> tuple[
     """Ascending order by bucket and value, and where in it a new value begins."""
     by = _order(h, bits)
     if bucket is not None:
-        kind = np.uint16 if int(bucket.max(initial=0)) < 1 << 16 else np.uint64
-        by = by[np.argsort(bucket[by].astype(kind), kind="stable")]
+        by = by[np.argsort(bucket[by], kind="stable")]
     ranked = h[by]
     first = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(h)]
     if bucket is not None:
@@ -279,12 +280,12 @@ def _read_marks(table: pa.Table, turn: int) -> np.ndarray:
                                                 for _, n, m in rows)])
 
 
-def _reachable(block: Block, marks: np.ndarray, bits: int):
+def _reachable(block: Block, marks: np.ndarray, bits: int, bucket_bits: int):
     """Suffixes that may tie with another document: near a sample string that another document holds too."""
     h, at, doc = block.samples(bits)
     cls, low, high = _classes(h, bits, block.order[doc])
     near = (marks | (low != high))[cls]
-    return block.suffixes(at[near], doc[near])
+    return block.suffixes(at[near], doc[near], bucket_bits)
 
 
 def _bits_for(n: float) -> int:
@@ -326,8 +327,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def second_lists(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not len(table):
             return _lists(0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        h, start, _, _ = _reachable(Block(table, marks), _read_marks(marks, 1), sample_bits)
-        bucket = start >> np.uint64(64 - suffix_buckets)
+        h, bucket, _, _ = _reachable(Block(table, marks), _read_marks(marks, 1), sample_bits, suffix_buckets)
         by, first = _bucket_order(h, 64, bucket)
         return _lists(table.column("block")[0].as_py(), h[by][first], bucket[by][first])
 
@@ -338,9 +338,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def cut(table: pa.Table, marks: pa.Table) -> pa.Table:
         block = Block(table, marks)
-        h, start, at, doc = _reachable(block, _read_marks(marks, 1), sample_bits)
+        h, bucket, at, doc = _reachable(block, _read_marks(marks, 1), sample_bits, suffix_buckets)
         order = block.order[doc]
-        cls, low, _ = _classes(h, 64, order, start >> np.uint64(64 - suffix_buckets))
+        cls, low, _ = _classes(h, 64, order, bucket)
         repeated = at[(_read_marks(marks, 2)[cls] | (low[cls] < order)) if len(at) else slice(0)]
         kept, spans = _cut_out(block, repeated, whole_characters)
         return pa.table([table.column("_id"), *(table.column(f"_c{i}") for i in range(len(carry))),
