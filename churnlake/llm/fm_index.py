@@ -102,8 +102,8 @@ def stream(index: FMIndex, tokens: np.ndarray, start: np.ndarray, windows: np.nd
     """Matching statistics of streamed texts, each of ``windows + depth - 1`` symbols from ``start``, cut off at ``depth``.
 
     Every text is read from its end. A match is taken to ``depth`` symbols by backward search; from then on each
-    symbol drops the last one of the match and prepends itself. Returns, text after text and window after window,
-    the interval of suffixes that match the whole window (empty if none does).
+    symbol drops the last one of the match and prepends itself. The texts are among those of the index, so a match never
+    breaks off. Returns, text after text and window after window, the interval of suffixes that match the whole window.
     """
     first = np.cumsum(windows) - windows
     los, his = np.zeros(int(windows.sum()), np.int64), np.zeros(int(windows.sum()), np.int64)
@@ -111,10 +111,7 @@ def stream(index: FMIndex, tokens: np.ndarray, start: np.ndarray, windows: np.nd
     for step in range(int(windows.max(initial=0)) + depth - 1 if len(windows) else 0):
         on = np.flatnonzero(step < windows + depth - 1)
         at = start[on] + windows[on] + depth - 2 - step
-        l, h = lo[on], hi[on]
-        if step >= depth:
-            live = l < h
-            l[live], h[live] = index.shorten(l[live])
+        l, h = index.shorten(lo[on]) if step >= depth else (lo[on], hi[on])
         lo[on], hi[on] = index.prepend(tokens[at], l, h)
         if step >= depth - 1:
             nth = first[on] + windows[on] - 1 - (step - depth + 1)
