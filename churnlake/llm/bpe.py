@@ -37,10 +37,10 @@ from pyspark.sql import types as T
 from churnlake.llm.tables import slices
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 #: Pieces of up to so many bytes are worked out together, so many at a time.
 LATTICE_BYTES = 48
-LATTICE_PIECES = 16_384
+LATTICE_PIECES = 8_192
 CACHE_PAIRS = 1_500_000
 
 
@@ -141,6 +141,24 @@ class IntTable:
         return out
 
 
+def _reversed_trie(tokens: list[bytes], ids: np.ndarray) -> tuple[IntTable, np.ndarray]:
+    """The steps (state, byte) -> state of a trie of reversed tokens, and the token that ends in each state (-1: none)."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    data = np.frombuffer(b"".join(tokens), np.uint8)
+    last, state = np.cumsum(sizes) - 1, np.zeros(len(tokens), np.int64)
+    keys, states, n = [], [], 0
+    for depth in range(int(sizes.max(initial=0))):
+        on = np.flatnonzero(sizes > depth)
+        step, which = np.unique(state[on] << 8 | data[last[on] - depth], return_inverse=True)
+        state[on] = n + 1 + which
+        keys.append(step)
+        states.append(np.arange(n + 1, n + 1 + len(step), dtype=np.int32))
+        n += len(step)
+    token = np.full(n + 1, -1, np.int32)
+    token[state] = ids
+    return IntTable(np.concatenate(keys), np.concatenate(states)), token
+
+
 class Lattice:
     """The prefix recurrence over many short pieces at once, as arrays: one step per byte position, for all pieces.
 
@@ -157,16 +175,7 @@ class Lattice:
             self.length[i] = len(b)
         pairs = list(vocab.merged)
         self.merged = IntTable(np.array([a << 32 | b for a, b in pairs], np.int64), np.array([vocab.merged[p] for p in pairs], np.int32))
-        steps: dict[int, int] = {}
-        ends = {}
-        for token, i in vocab.built.items():
-            state = 0
-            for byte in reversed(token):
-                state = steps.setdefault(state << 8 | byte, len(steps) + 1)
-            ends[state] = i
-        self.steps = IntTable(np.fromiter(steps.keys(), np.int64, len(steps)), np.fromiter(steps.values(), np.int32, len(steps)))
-        self.token = np.full(len(steps) + 1, -1, np.int32)
-        self.token[list(ends)] = list(ends.values())
+        self.steps, self.token = _reversed_trie(list(vocab.built), np.fromiter(vocab.built.values(), np.int32, len(vocab.built)))
 
     def pairs_hold(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """``Vocabulary.pair_holds`` for arrays."""
@@ -412,7 +421,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, pattern)
         for batch in parts:
-            for rows in slices(batch, "_text", 2 << 20):
+            for rows in slices(batch, "_text", 1 << 20):
                 ids = tool.encode_all(rows.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(i) for i in range(len(names))]
