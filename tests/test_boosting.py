@@ -176,3 +176,15 @@ def test_one_class_and_no_rows(spark):
     only_positive = B.fit(df.withColumn("label", F.lit(1.0)), FEATURES, B.Settings(trees=2))
     assert only_positive.probability(df).agg(F.max("p")).first()[0] == 0.5  # weight 0 / 30: nothing to learn
     assert B.fit(df.limit(0), FEATURES, B.Settings(trees=2)).probability(df).agg(F.max("p")).first()[0] == 0.5
+
+
+def test_a_level_is_one_job_over_kept_rows(spark):
+    df, sc = table(spark, 200), spark.sparkContext
+    s = B.Settings(trees=10, depth=3)
+    sc.setJobGroup("levels", "levels")
+    there = B.fit(df, FEATURES, s, local_rows=10)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("levels"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= s.trees * s.depth + 15  # besides: cuts, binned rows, counts, one refresh of the margins
+    here = B.fit(df, FEATURES, s)
+    assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(here.trees, there.trees))
