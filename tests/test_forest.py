@@ -131,3 +131,24 @@ def test_cuts_of_few_rows_equal_those_of_histograms(seed):
             b = R.best_cuts_of_rows(codes, node, chosen, sums, s, in_turn)
             fine = np.isfinite(a[0])
             assert (a[0] == b[0]).all() and (a[1][fine] == b[1][fine]).all() and (a[2][fine] == b[2][fine]).all()
+
+
+@pytest.mark.parametrize("local_rows", [10_000, 60])
+def test_stored_forest_equals_the_held_one(spark, tmp_path, local_rows):
+    """The driver gets the tops alone; scores, importances and facts are those of the whole trees."""
+    df = table(spark, 200).repartition(3)
+    s = R.Settings(trees=4)
+    held, stored = (R.fit(df, FEATURES, s, local_rows=local_rows, held_draws=n) for n in (10_000, 0))
+    assert isinstance(stored, R.StoredForest) and not isinstance(held, R.StoredForest)
+    assert sum(len(t.left) for t in stored.tops) < sum(len(t.left) for t in held.trees) / 4
+    stored.save(spark, str(tmp_path / "m"))
+    again = R.RandomForest.load(spark, str(tmp_path / "m"))
+    rows = df.unionByName(df.limit(5))  # an id may repeat
+    want, *got = (sorted(map(tuple, m.probability(rows, ["customerID", "label"]).collect())) for m in (held, stored, again))
+    assert len(want) == 205 and all(g == want for g in got)
+    np.testing.assert_allclose(stored.importances(), held.importances(), atol=1e-12)
+    for a, b in zip(stored.facts(), held.facts()):
+        np.testing.assert_allclose((a.root, a.leaves, a.splits, *a.gains), (b.root, b.leaves, b.splits, *b.gains), atol=1e-9)
+        assert abs(a.gains.sum() - (a.root - a.leaves)) < 1e-6 * a.root
+    few, some = (sorted(map(tuple, R.prefix(m, 2).probability(df, ["customerID"]).collect())) for m in (held, stored))
+    assert few == some
