@@ -331,7 +331,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         by, first = _bucket_order(h, 64, bucket)
         return _lists(table.column("block")[0].as_py(), h[by][first], bucket[by][first])
 
-    fields = [T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, df.schema[c].dataType) for c in carry)]
+    # types as the table has them: it takes fields inside a struct as nullable, whatever ``df`` says of them
+    fields = [T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, blocks.schema[f"_c{i}"].dataType) for i, c in enumerate(carry))]
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*fields, T.StructField("kept", T.BinaryType()), T.StructField("spans", spans_type),
                            T.StructField("n_bytes", T.LongType())])
