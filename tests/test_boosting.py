@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from churnlake.operators import boosting as B
 from churnlake.operators import evaluate, explain, models, treeshap
+from churnlake.operators.bins import Layout
 
 FEATURES = ["a", "b", "c", "d"]
 
@@ -188,3 +189,36 @@ def test_a_level_is_one_job_over_kept_rows(spark):
     assert jobs <= s.trees * s.depth + 15  # besides: cuts, binned rows, counts, one refresh of the margins
     here = B.fit(df, FEATURES, s)
     assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(here.trees, there.trees))
+
+
+@pytest.mark.parametrize("with_rows", [True, False])
+def test_features_of_few_bins_are_counted_together(with_rows):
+    rng = np.random.default_rng(3)
+    layout = Layout([f"f{j}" for j in range(24)], [np.arange(n, dtype=float) for n in (1, 254, 0, 2, 1, 13, 40, *[1] * 17)])
+    assert len(layout.bundles) <= 8 and sorted(j for b in layout.bundles for j in b) == list(range(24))
+    codes = np.stack([rng.integers(0, m + 1, 500) for m in layout.missing], axis=1).astype(np.uint8)
+    node, sums = rng.integers(0, 3, 500), rng.integers(-1 << 30, 1 << 30, (500, 2)).astype(float)
+    want = np.zeros((4, layout.width, 3), np.int64)
+    for i, row in enumerate(codes):
+        for j, code in enumerate(row):
+            want[node[i], layout.offsets[j] + code] += [int(sums[i, 0]), int(sums[i, 1]), 1]
+    got = B.histogram(layout.packed(codes), node, 4, sums, layout, with_rows)
+    assert (got == want[:, :, : 3 if with_rows else 2]).all()
+
+
+def test_rows_walk_down_a_tree_as_each_split_says():
+    rng = np.random.default_rng(5)
+    missing, tree = np.array([255, 3, 9]), B.Heap(3)
+    tree.feature[[1, 2, 3, 5, 6]], tree.feature[[4, 10, 11, 12, 13, 7]] = [0, 1, 2, 0, 1], -1
+    tree.code[[1, 2, 3, 5, 6]], tree.missing_left[[1, 5, 6]] = [120, 1, 4, 30, 2], True
+    codes = np.stack([rng.integers(0, m + 1, 300) for m in missing], axis=1).astype(np.uint8)
+    codes[:20, 0] = 255
+    for levels in (0, 1, 2, 3, None):
+        for row, end in zip(codes, tree.descend(codes, missing, levels)):
+            at = 1
+            for _ in range(3 if levels is None else levels):
+                f = tree.feature[at]
+                if f >= 0:
+                    left = tree.missing_left[at] if row[f] == missing[f] else row[f] <= tree.code[at]
+                    at = 2 * at + (0 if left else 1)
+            assert at == end
