@@ -191,6 +191,34 @@ def test_a_level_is_one_job_over_kept_rows(spark):
     assert all((a.value == b.value).all() and (a.feature == b.feature).all() for a, b in zip(here.trees, there.trees))
 
 
+def test_a_level_of_a_small_table_is_one_stage(spark):
+    df, sc = table(spark, 240).cache(), spark.sparkContext
+
+    def stages(trees):
+        sc.setJobGroup(f"stages-{trees}", "stages")
+        B.fit(df, FEATURES, B.Settings(trees=trees, depth=3, min_hessian=0.1), local_rows=10)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"stages-{trees}")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        return sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs)
+
+    assert stages(15) - stages(3) <= 12 * 3 + 12 // B.REFRESH + 2
+
+
+@pytest.mark.parametrize("settings", [B.Settings(trees=3, depth=4, min_hessian=0.1),
+                                      B.Settings(trees=3, depth=4, min_rows=7, max_leaves=9, lam=0.0, from_average=True, min_hessian=0.0)])
+def test_sums_of_the_driver_and_of_spark_grow_the_same_trees(spark, monkeypatch, settings):
+    df, found = table(spark, 300, seed=4).repartition(3).cache(), []
+    rows = B.Layout.fit(df, FEATURES).width * 24
+    for held, parts in ((0, 12_000), (1 << 30, 12_000), (1 << 30, 100), (2 * rows * 3, 100)):  # the last: the upper levels by the driver only
+        monkeypatch.setattr(B, "DRIVER_BYTES", held)
+        monkeypatch.setattr(B, "LEAST_ROWS", parts)
+        found.append(B.fit(df, FEATURES, settings, local_rows=10).trees)
+    found.append(B.fit(df, FEATURES, settings).trees)
+    for trees in found[1:]:
+        for a, b in zip(found[0], trees, strict=True):
+            assert all((getattr(a, n) == getattr(b, n)).all() for n in B.Heap.NAMES)
+
+
 @pytest.mark.parametrize("with_rows", [True, False])
 def test_features_of_few_bins_are_counted_together(with_rows):
     rng = np.random.default_rng(3)
