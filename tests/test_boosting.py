@@ -250,3 +250,15 @@ def test_rows_walk_down_a_tree_as_each_split_says():
                     left = tree.missing_left[at] if row[f] == missing[f] else row[f] <= tree.code[at]
                     at = 2 * at + (0 if left else 1)
             assert at == end
+
+
+def test_margins_are_brought_up_to_date_by_the_pass_that_reads_them(spark):
+    """A tree more is a job more for each of its levels, nothing else."""
+    df, sc = table(spark, 300), spark.sparkContext
+    jobs = {}
+    for trees in (8, 16):
+        sc.setJobGroup(f"trees-{trees}", "levels of trees")
+        B.fit(df, FEATURES, B.Settings(trees=trees, depth=2, min_hessian=0.1), local_rows=10)
+        jobs[trees] = len(sc.statusTracker().getJobIdsForGroup(f"trees-{trees}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 16 < jobs[8] and jobs[16] - jobs[8] <= 8 * 2
