@@ -152,3 +152,25 @@ def test_stored_forest_equals_the_held_one(spark, tmp_path, local_rows):
         assert abs(a.gains.sum() - (a.root - a.leaves)) < 1e-6 * a.root
     few, some = (sorted(map(tuple, R.prefix(m, 2).probability(df, ["customerID"]).collect())) for m in (held, stored))
     assert few == some
+
+
+def test_search_scores_the_fits_of_a_larger_table_together(spark):
+    """The scores are those of the fits one by one, the passes are shared by all fits."""
+    df, sc = table(spark, 300).repartition(3).withColumn("fold", F.col("customerID").cast("int") % 3), spark.sparkContext
+    layout = Layout.fit(df, FEATURES)
+    rows = R.materialize(R.binned(df, layout, "label", "customerID", "fold"), "binned")
+    fits = [R.Fit(s, k) for s in (R.Settings(trees=4, max_depth=3), R.Settings(trees=4, balanced=True)) for k in range(3)]
+    jobs, found = {}, None
+    for some in (fits[:2], fits):
+        sc.setJobGroup(f"fits-{len(some)}", "scores of fits")
+        found = R.held_out_scores(rows, layout, some, [(2, 4)] * len(some), 2, 60).collect()
+        jobs[len(some)] = len(sc.statusTracker().getJobIdsForGroup(f"fits-{len(some)}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[6] < 2 * jobs[2]
+    want = set()
+    for k, f in enumerate(fits):
+        model = R.train(rows, layout, [f], 10_000)[0]
+        for n in (2, 4):
+            part = R.prefix(model, n).probability_of_codes(rows.filter(F.col("fold") == f.held), ["id", "y"])
+            want |= {(k, n, r.id, r.y, r.p) for r in part.collect()}
+    assert len(found) == len(want) == 2 * 2 * 300 and set(map(tuple, found)) == want
