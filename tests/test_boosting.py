@@ -262,3 +262,38 @@ def test_margins_are_brought_up_to_date_by_the_pass_that_reads_them(spark):
         jobs[trees] = len(sc.statusTracker().getJobIdsForGroup(f"trees-{trees}"))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert 16 < jobs[8] and jobs[16] - jobs[8] <= 8 * 2
+
+
+def test_fits_of_a_table_that_a_task_can_hold_need_no_pass_per_level(spark):
+    """72,000 rows (six times sf0.1) are grown in a task per fit: more trees are no further jobs."""
+    df, sc = spark.range(72_000).selectExpr("cast(id as string) customerID", "double(id % 7) a", "double(id % 97) b",
+                                            "double((id * id) % 5 < 2) label", "int(id % 3) fold"), spark.sparkContext
+    layout, jobs = Layout.fit(df, ["a", "b"]), {}
+    rows = B.materialize(B.binned(df, layout, "label", "customerID", "fold"), "binned")
+    for trees in (2, 6):
+        fits = [B.Fit(B.Settings(trees=trees, depth=2), k, (trees,)) for k in range(3)]
+        sc.setJobGroup(f"held-{trees}", "fits in tasks")
+        _, scored = B.train(rows, layout, fits, 1.5, with_trees=False)
+        jobs[trees] = len(sc.statusTracker().getJobIdsForGroup(f"held-{trees}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert scored.count() == scored.select("id").distinct().count() == 72_000
+    assert 0 < jobs[6] == jobs[2]
+
+
+def test_every_group_has_all_rows_in_a_task_of_its_own(spark):
+    from churnlake.operators.bins import dealt
+    df = table(spark, 90).repartition(4).withColumn("fold", F.col("customerID").cast("int") % 3)
+    rows = B.binned(df, Layout.fit(df, FEATURES), "label", "customerID", "fold")
+
+    def run(number, ids, key, y, fold, codes):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        n = len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array([number] * n), pa.array([TaskContext.get().partitionId()] * n), ids, pa.array(key), pa.array(y), pa.array(fold),
+                                          pa.array([c.tobytes() for c in codes], pa.binary())], names=["number", "task", "id", "key", "y", "fold", "codes"])
+
+    found = dealt(rows, 7, True, run, "number long, task long, id string, key long, y int, fold int, codes binary").collect()
+    want = {(r.id, r.key, r.y, r.fold, bytes(r.codes)) for r in rows.collect()}
+    for number in range(7):
+        own = [r for r in found if r.number == number]
+        assert len(own) == 90 and {(r.id, r.key, r.y, r.fold, bytes(r.codes)) for r in own} == want and {r.task for r in own} == {number}
