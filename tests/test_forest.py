@@ -174,3 +174,31 @@ def test_search_scores_the_fits_of_a_larger_table_together(spark):
             part = R.prefix(model, n).probability_of_codes(rows.filter(F.col("fold") == f.held), ["id", "y"])
             want |= {(k, n, r.id, r.y, r.p) for r in part.collect()}
     assert len(found) == len(want) == 2 * 2 * 300 and set(map(tuple, found)) == want
+
+
+def test_search_over_a_table_that_a_task_can_hold_needs_no_pass_per_level(spark):
+    """72,000 rows (six times sf0.1) are scored by a task per group of trees: deeper trees are no further jobs."""
+    df, sc = spark.range(72_000).selectExpr("cast(id as string) customerID", "double(id % 7) a", "double(id % 97) b",
+                                            "double((id * id) % 5 < 2) label", "int(id % 3) fold"), spark.sparkContext
+    layout, jobs = Layout.fit(df, ["a", "b"]), {}
+    rows = R.materialize(R.binned(df, layout, "label", "customerID", "fold"), "binned")
+    for depth in (1, 4):
+        sc.setJobGroup(f"deep-{depth}", "groups of trees")
+        found = R.held_out_scores(rows, layout, [R.Fit(R.Settings(trees=2, max_depth=depth), k) for k in range(3)], [(1, 2)] * 3, 1)
+        jobs[depth] = len(sc.statusTracker().getJobIdsForGroup(f"deep-{depth}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert found.count() == 2 * 72_000
+    assert 0 < jobs[4] == jobs[1]
+
+
+def test_first_features_drawn_and_those_of_two_codes():
+    names = np.random.default_rng(1).integers(1, 1 << 62, 50).astype(np.uint64)
+    whole = R.feature_order(names, 3, 20, 42)
+    for k in (1, 6, 19, 20):
+        assert (R.feature_order(names, 3, 20, 42, k) == whole[:, :k]).all()
+    codes, node = np.random.default_rng(2).integers(0, 2, (60, 9)).astype(np.uint8), np.repeat(np.arange(20), 3)
+    order = np.stack([np.random.default_rng(i).permutation(9) for i in range(20)])
+    got, n = R._not_constant(codes, node, order)
+    for i in range(20):
+        two = [f for f in order[i] if len(set(codes[node == i, f])) > 1]
+        assert got[i, : n[i]].tolist() == two and sorted(got[i]) == list(range(9))
