@@ -202,3 +202,25 @@ def test_first_features_drawn_and_those_of_two_codes():
     for i in range(20):
         two = [f for f in order[i] if len(set(codes[node == i, f])) > 1]
         assert got[i, : n[i]].tolist() == two and sorted(got[i]) == list(range(9))
+
+
+def test_tops_of_all_trees_are_grown_by_the_same_passes(spark, monkeypatch):
+    """Rows are sent in batches of few trees, but a pass splits the open nodes of all of them; some may wait for the next pass."""
+    df, sc = table(spark, 240).repartition(3).cache(), spark.sparkContext
+    s, x = R.Settings(trees=6, min_leaf=2), matrix(df)[0]
+    monkeypatch.setattr(R, "JOB_ROWS", 480)  # two trees at a time
+    jobs, models_ = {}, {}
+    for room in (2048, 5):
+        monkeypatch.setattr(R, "NODES_A_PASS", room)
+        sc.setJobGroup(f"tops-{room}", "tops")
+        models_[room] = R.fit(df, FEATURES, s, local_rows=60)
+        jobs[room] = len(sc.statusTracker().getJobIdsForGroup(f"tops-{room}"))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    here = R.fit(df, FEATURES, s)
+    deepest = max(t.depth() for t in here.trees)
+    assert jobs[2048] <= 3 * (2 * deepest + 4) < 3 * jobs[5] and jobs[2048] < jobs[5]
+    codes = here.layout.codes(x)
+    for model in models_.values():
+        for a, b in zip(here.trees, model.trees, strict=True):
+            assert (a.left >= 0).sum() == (b.left >= 0).sum()
+            assert (a.value[a.descend(codes)] == b.value[b.descend(codes)]).all()
